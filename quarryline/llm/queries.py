@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lm_score
+from . import jaccard_join, lm_score
 from .store import crc32_mod
 
 
@@ -19,5 +19,9 @@ def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (~F.col("is_train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
-QUERIES = {"op1_lm_score": op1_lm_score}
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_lm_score": op1_lm_score, "op7_jaccard_join": op7_jaccard_join}
 SQL: dict[str, str] = {}
