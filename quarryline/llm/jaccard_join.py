@@ -153,8 +153,9 @@ def _fits(n: Column, m: Column, percent: int) -> Column:
 def _ids_bitmap(ids: DataFrame, bits: int = 24) -> np.ndarray:
     """One bit for each slot that an id of ``ids`` hashes to: 2 ** bits bits, whatever the number of ids."""
     slot = F.pmod(F.xxhash64("id"), F.lit(1 << bits))
-    rows = ids.groupBy(F.bitmap_bucket_number(slot).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("v")).collect()
-    out = np.zeros((1 << bits) // 8 + 4096, np.uint8)
+    one = slot + 1  # Spark's bitmap functions number values from 1
+    rows = ids.groupBy(F.bitmap_bucket_number(one).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(one)).alias("v")).collect()
+    out = np.zeros((1 << bits) // 8, np.uint8)
     for r in rows:
         at = (r.k - 1) * 4096
         out[at : at + 4096] = np.frombuffer(bytes(r.v), np.uint8)
