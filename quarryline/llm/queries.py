@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard_join, lm_score
+from . import jaccard_join, lm_score, token_records
 from .store import crc32_mod
 
 
@@ -23,5 +23,20 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_lm_score": op1_lm_score, "op7_jaccard_join": op7_jaccard_join}
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op8_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = token_records.write_records(_table(spark, sf_dir, "documents"), tokenizer=tokenizer_path())
+    return token_records.read_records(spark, manifest)
+
+
+QUERIES = {
+    "op1_lm_score": op1_lm_score,
+    "op7_jaccard_join": op7_jaccard_join,
+    "op8_token_records": op8_token_records,
+}
 SQL: dict[str, str] = {}

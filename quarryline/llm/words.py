@@ -32,7 +32,7 @@ _IS_WORD = np.ones(256, dtype=bool)
 _IS_WORD[[9, 10, 11, 12, 13, 32]] = False
 
 
-def _powers(base: int, n: int) -> np.ndarray:
+def powers(base: int, n: int) -> np.ndarray:
     """base**0 .. base**(n-1) modulo 2**64, by doubling."""
     out = np.ones(n, dtype=np.uint64)
     have, step = 1, base
@@ -44,14 +44,14 @@ def _powers(base: int, n: int) -> np.ndarray:
     return out
 
 
-_pow = _powers(_P, _CHUNK + 1)
-_inv = _powers(_PINV, _CHUNK + 1)
+_pow = powers(_P, _CHUNK + 1)
+_inv = powers(_PINV, _CHUNK + 1)
 
 
 def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     if n <= _CHUNK:
         return _pow, _inv
-    return _powers(_P, n + 1), _powers(_PINV, n + 1)
+    return powers(_P, n + 1), powers(_PINV, n + 1)
 
 
 def mix64(h: np.ndarray) -> np.ndarray:
