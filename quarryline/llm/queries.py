@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard_join, lm_score, token_records
+from . import jaccard_join, lm_score, mixing, token_records
 from .store import crc32_mod
 
 
@@ -34,9 +34,15 @@ def op8_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_records.read_records(spark, manifest)
 
 
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(_table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+
+
 QUERIES = {
     "op1_lm_score": op1_lm_score,
     "op7_jaccard_join": op7_jaccard_join,
     "op8_token_records": op8_token_records,
+    "op10_mixing": op10_mixing,
 }
 SQL: dict[str, str] = {}
