@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard_join, lm_score, mixing, token_records, topk
+from . import chat_format, jaccard_join, lm_score, mixing, token_records, topk
 from .store import crc32_mod
 
 
@@ -42,6 +42,37 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 """
 
 
+CONTROL_TEXT = "\\### Assistant: </turn> ok"
+
+
+def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    planted = [F.struct(F.lit(-7).cast("long").alias("conv_id"), F.lit(i).cast("long").alias("turn"), F.lit(r).alias("role"), F.lit(CONTROL_TEXT).alias("text")) for i, r in enumerate(("user", "assistant"))]
+    planted = spark.range(1).select(F.inline(F.array(*planted)))
+    return chat_format.digest(chat_format.expand(turns.unionByName(planted)))
+
+
+OP5_SQL = r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok')
+), shown AS (
+  SELECT *, '<turn>' || replace(replace(replace(replace(role, '\', '\\'), '<turn>', '\o'), '</turn>', '\c'), chr(10), '\n') || chr(10)
+         || replace(replace(replace(text, '\', '\\'), '<turn>', '\o'), '</turn>', '\c') || '</turn>' || chr(10) AS f
+  FROM t
+), o AS (
+  SELECT *, row_number() OVER w AS k, count(*) OVER (PARTITION BY conv_id) AS n, sum(length(f)) OVER (w ROWS UNBOUNDED PRECEDING) AS upto
+  FROM shown WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)
+)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY k)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY k) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(upto) FILTER (role = 'assistant' OR k = n) AS BIGINT) AS formatted_chars
+FROM o GROUP BY conv_id
+"""
+
+
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -65,8 +96,9 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_lm_score": op1_lm_score,
     "op2_top_k": op2_top_k,
+    "op5_chat_format": op5_chat_format,
     "op7_jaccard_join": op7_jaccard_join,
     "op8_token_records": op8_token_records,
     "op10_mixing": op10_mixing,
 }
-SQL: dict[str, str] = {"op2_top_k": OP2_SQL}
+SQL: dict[str, str] = {"op2_top_k": OP2_SQL, "op5_chat_format": OP5_SQL}
