@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, jaccard_join, lm_score, mixing, token_records, topk
+from . import chat_format, jaccard_join, lang_id, lm_score, mixing, token_records, topk
 from .store import crc32_mod
 
 
@@ -42,6 +42,14 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 """
 
 
+def op3_lang_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    learned = crc32_mod("doc_id", 4) != 2
+    model = lang_id.train(docs.where(learned), id_column="doc_id", text_column="text", lang_column="lang")
+    out = lang_id.identify(docs, model, keep=["doc_id", (~learned).alias("held_out")])
+    return out.select("doc_id", "held_out", "lang_pred", "score")
+
+
 CONTROL_TEXT = "\\### Assistant: </turn> ok"
 
 
@@ -96,6 +104,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_lm_score": op1_lm_score,
     "op2_top_k": op2_top_k,
+    "op3_lang_id": op3_lang_id,
     "op5_chat_format": op5_chat_format,
     "op7_jaccard_join": op7_jaccard_join,
     "op8_token_records": op8_token_records,
