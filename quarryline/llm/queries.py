@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, jaccard_join, lang_id, lm_score, mixing, token_records, topk
+from . import chat_format, decontaminate, jaccard_join, lang_id, lm_score, mixing, token_records, topk
 from .store import crc32_mod
 
 
@@ -50,6 +50,10 @@ def op3_lang_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 CONTROL_TEXT = "\\### Assistant: </turn> ok"
 
 
@@ -105,6 +109,7 @@ QUERIES = {
     "op1_lm_score": op1_lm_score,
     "op2_top_k": op2_top_k,
     "op3_lang_id": op3_lang_id,
+    "op4_decontaminate": op4_decontaminate,
     "op5_chat_format": op5_chat_format,
     "op7_jaccard_join": op7_jaccard_join,
     "op8_token_records": op8_token_records,
