@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, jaccard_join, lang_id, lm_score, mixing, token_records, topk
+from . import chat_format, decontaminate, jaccard_join, lang_id, lm_score, mixing, quality, token_records, topk
 from .store import crc32_mod
 
 
@@ -85,6 +85,13 @@ FROM o GROUP BY conv_id
 """
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    model = quality.train(docs, labels.where(crc32_mod("doc_id", 3) != 1))
+    out = quality.score(docs, model, keep=["doc_id", (crc32_mod("doc_id", 3) == 1).alias("held_out")])
+    return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -111,6 +118,7 @@ QUERIES = {
     "op3_lang_id": op3_lang_id,
     "op4_decontaminate": op4_decontaminate,
     "op5_chat_format": op5_chat_format,
+    "op6_quality": op6_quality,
     "op7_jaccard_join": op7_jaccard_join,
     "op8_token_records": op8_token_records,
     "op10_mixing": op10_mixing,
