@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import logistic
-from .sampling import labelled_sample
+from .sampling import labelled_sample, prior_shift
 from .words import text_bytes
 
 CHUNK = 1024
@@ -132,6 +132,7 @@ def train(docs: DataFrame, labels: DataFrame, *, label_column: str = "quality",
     model = QualityModel(build_dictionary(chunks[0]), build_dictionary(chunks[1]))
     fitted = _apply(rows.where("part = 1").select("id", "label", "text"), model, score=False).orderBy("id", "label").collect()
     model.calibrate(np.array([r.result for r in fitted]).reshape(-1, len(FEATURES)), np.array([r.label for r in fitted], float))
+    model.weights[-1] += prior_shift(marked, "label", [r.label for r in fitted])
     return model
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, jaccard_join, lang_id, lm_score, mixing, quality, token_records, topk
+from . import chat_format, decontaminate, jaccard_join, lang_id, lm_score, mixing, quality, token_records, topk, toxicity
 from .store import crc32_mod
 
 
@@ -107,6 +107,13 @@ def op8_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_records.read_records(spark, manifest)
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    model = toxicity.train(docs, labels.where(crc32_mod("doc_id", 4) != 2))
+    out = toxicity.score(docs, model, keep=["doc_id", (crc32_mod("doc_id", 4) == 2).alias("held_out")])
+    return out.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(_table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
@@ -121,6 +128,7 @@ QUERIES = {
     "op6_quality": op6_quality,
     "op7_jaccard_join": op7_jaccard_join,
     "op8_token_records": op8_token_records,
+    "op9_toxicity": op9_toxicity,
     "op10_mixing": op10_mixing,
 }
 SQL: dict[str, str] = {"op2_top_k": OP2_SQL, "op5_chat_format": OP5_SQL}

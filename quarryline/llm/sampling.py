@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,3 +21,12 @@ def labelled_sample(rows: DataFrame, label: str, key: str, per_label: int, max_l
     for r in counts:
         rate = F.when(F.col(label) == F.lit(r[0]), min(1.0, per_label / r[1])).otherwise(rate)
     return rows.where(F.pmod(F.xxhash64(F.col(key), F.lit("sample")), F.lit(_UNIT)) < rate * _UNIT)
+
+
+def prior_shift(rows: DataFrame, label: str, sampled: list[int]) -> float:
+    """What to add to the intercept of a model fitted on a sample, so that it fits the labels' shares in all rows."""
+    counts = {r[0]: r[1] for r in rows.where(F.col(label).isin(0, 1)).groupBy(F.col(label).cast("int")).count().collect()}
+    have = [sum(x == k for x in sampled) for k in (0, 1)]
+    if not (counts.get(0) and counts.get(1) and have[0] and have[1]):
+        return 0.0
+    return math.log(counts[1] / counts[0]) - math.log(have[1] / have[0])

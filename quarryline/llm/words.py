@@ -66,10 +66,12 @@ def mix64(h: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Words:
-    """Word hashes of a batch; document d owns hashes[bounds[d]:bounds[d + 1]]."""
+    """Word hashes of a batch, and where in its bytes the words are; document d owns hashes[bounds[d]:bounds[d + 1]]."""
 
     hashes: np.ndarray
     bounds: np.ndarray
+    starts: np.ndarray
+    ends: np.ndarray
 
     def of(self, d: int) -> np.ndarray:
         return self.hashes[self.bounds[d] : self.bounds[d + 1]]
@@ -97,7 +99,7 @@ def hash_words(column: pa.Array | pa.ChunkedArray) -> Words:
     data, offsets = text_bytes(column)
     total = len(data)
     starts_of_docs = np.unique(offsets[:-1])
-    hashes, firsts = [], []
+    hashes, firsts, lasts = [], [], []
     a = 0
     while a < total:
         b = min(total, a + _CHUNK)
@@ -126,10 +128,13 @@ def hash_words(column: pa.Array | pa.ChunkedArray) -> Words:
             np.cumsum(_TABLE[part] * power[: b - a], out=sums[1:])
             hashes.append(mix64((sums[e] - sums[s]) * inverse[s]))
             firsts.append(s + a)
+            lasts.append(e + a)
         a = b
     if not hashes:
-        return Words(np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64))
-    return Words(np.concatenate(hashes), np.searchsorted(np.concatenate(firsts), offsets))
+        none = np.zeros(0, np.int64)
+        return Words(np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64), none, none)
+    starts = np.concatenate(firsts)
+    return Words(np.concatenate(hashes), np.searchsorted(starts, offsets), starts, np.concatenate(lasts))
 
 
 def combine(hashes: np.ndarray, n: int) -> np.ndarray:
