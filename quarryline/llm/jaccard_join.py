@@ -10,14 +10,19 @@ order, linked sets share a shingle within their first
     one keeps what many documents share out of the prefixes.
 2.  Documents of equal sets form a class; classes of equal prefix and size form
     a group, and only one copy of a group's prefix goes into the join.
-3.  In the list of a prefix shingle, in order of size, each group is paired with
-    the first and with the one before it, never all with all.  The members of a
-    group are paired with the group's first member.  Pairs are verified on the
-    whole sets, and the links make components.
+3.  In the list of a prefix shingle, in order of its place in each prefix, each group is paired with
+    the first and with the one before it, never all with all: the first has the fewest rarer
+    shingles, so it is what edited copies were made from.  The members of a
+    group are paired with the group's first member.  Pairs that pass the size, position and bitmap
+    filters (all without loss) are verified on the whole sets, and the links make components.
 4.  What can still add to the components is every pair of members of one list
-    that lies in two components, fits in size and is untested.  These are expanded
+    that lies in two components, passes the filters and is untested.  These are expanded
     and verified without exception, so the components are those of all links.
 
+The position filter: what two sets share, when their first common shingle stands at places i and j, is at most the
+smaller of ``n - i`` and ``m - j``.  The bitmap filter: with one bit for every slot of a hash, flipped by each shingle, two sets differ
+in at least as many shingles as their bitmaps differ in bits.
+
 Nothing is capped: step 3 only spares the tests that cannot change a component.
 
 Defined results: texts without words have no shingles and link with nothing
@@ -34,6 +39,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -59,27 +65,52 @@ def signature(hashes: np.ndarray, salt: int = 0) -> int:
     return int(mix64(np.array([total], np.uint64)).view(np.int64)[0])
 
 
+def parity_bitmap(hashes: np.ndarray) -> bytes:
+    """A bit for each of 2 ** k slots, about two for each shingle, flipped by every shingle of the slot."""
+    k = min(max(int(2 * len(hashes) - 1).bit_length(), 6), 16)
+    return np.packbits(np.bincount((hashes & _U((1 << k) - 1)).astype(np.int64), minlength=1 << k) & 1, bitorder="little").tobytes()
+
+
+def bitmap_distance(a: bytes, b: bytes) -> int:
+    """Differing bits; the larger bitmap is folded to the smaller one's size."""
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    n = min(len(x), len(y))
+    x, y = (np.bitwise_xor.reduce(z.reshape(-1, n), axis=0) if len(z) > n else z for z in (x, y))
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 def prefix_length(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
 def _sketcher(size: int, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << bits, np.int64)
+        counts = np.zeros(1 << bits, np.uint32)
         for b in batches:
             for s in range(0, b.num_rows, 2000):
                 got = [x >> _U(64 - bits) for x in shingle_sets(b.column(0).slice(s, 2000), size)]
-                counts += np.bincount(np.concatenate(got).astype(np.int64), minlength=1 << bits)
-        parts = np.split(counts.astype(np.uint32), _SLICES)
-        yield pa.RecordBatch.from_arrays([pa.array(range(_SLICES), pa.int32()), pa.array([x.tobytes() for x in parts])], names=["slice", "counts"])
+                slot, n = np.unique(np.concatenate(got), return_counts=True)
+                counts[slot.astype(np.int64)] += n.astype(np.uint32)
+        parts = [_pack(x) for x in np.split(counts, _SLICES)]
+        yield pa.RecordBatch.from_arrays([pa.array(range(_SLICES), pa.int32()), pa.array(parts, pa.binary())], names=["slice", "counts"])
 
     return run
 
 
+def _pack(counts: np.ndarray) -> bytes:
+    return zstandard.compress(counts.view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+
+
+def _unpack(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zstandard.decompress(data), np.uint8).reshape(4, -1).T).view(np.uint32).reshape(-1)
+
+
 def _add(table: pa.Table) -> pa.Table:
-    total = sum(np.frombuffer(x.as_py(), np.uint32).astype(np.uint64) for x in table.column("counts"))
-    total = np.minimum(total, (1 << 32) - 1).astype(np.uint32)
-    return pa.table({"slice": table.column("slice")[:1], "counts": pa.array([total.tobytes()], pa.binary())})
+    total = np.zeros(1, np.uint64)
+    for x in table.column("counts"):
+        total = total + _unpack(x.as_py())
+    total = np.minimum(total, _U((1 << 32) - 1)).astype(np.uint32)
+    return pa.table({"slice": table.column("slice")[:1], "counts": pa.array([_pack(total)], pa.binary())})
 
 
 def frequency_levels(docs: DataFrame, text_column: str, size: int, bits: int) -> np.ndarray:
@@ -90,28 +121,30 @@ def frequency_levels(docs: DataFrame, text_column: str, size: int, bits: int) ->
     rows = once.groupBy("slice").applyInArrow(_add, "slice int, counts binary").collect()
     counts = np.zeros((_SLICES, (1 << bits) // _SLICES), np.int64)
     for r in rows:
-        counts[r["slice"]] = np.frombuffer(bytes(r["counts"]), np.uint32)
+        counts[r["slice"]] = _unpack(bytes(r["counts"]))
     return np.minimum(255, np.log2(counts.reshape(-1) + 1) * 8).astype(np.uint8)
 
 
 def _describe(size: int, percent: int, levels, bits: int):
-    """(id, n, class, group, prefix) of each text."""
+    """(id, n, class, group, bitmap, prefix) of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level = levels.value
         for b in batches:
             for s in range(0, b.num_rows, 2000):
                 part = b.slice(s, 2000)
-                n, sig, grp, prefix = [], [], [], []
+                n, sig, grp, bitmap, prefix = [], [], [], [], []
                 for u in shingle_sets(part.column(1), size):
                     n.append(len(u))
                     sig.append(signature(u))
+                    bitmap.append(parity_bitmap(u))
                     first = u[np.argsort(level[(u >> _U(64 - bits)).astype(np.int64)], kind="stable")[: prefix_length(len(u), percent)]] if len(u) else u
                     prefix.append(first >> _U(24))
                     grp.append(signature(first, len(u) + 1))
                 lists = pa.ListArray.from_arrays(np.cumsum([0, *map(len, prefix)]).astype(np.int32), np.concatenate([*prefix, np.zeros(0, np.uint64)]).astype(np.int64))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(n, pa.int64()), pa.array(sig, pa.int64()), pa.array(grp, pa.int64()), lists], names=["id", "n", "cls", "grp", "prefix"]
+                    [part.column(0), pa.array(n, pa.int64()), pa.array(sig, pa.int64()), pa.array(grp, pa.int64()), pa.array(bitmap, pa.binary()), lists],
+                    names=["id", "n", "cls", "grp", "bitmap", "prefix"],
                 )
 
     return run
@@ -145,9 +178,19 @@ def _verify(size: int, percent: int):
     return run
 
 
-def _fits(n: Column, m: Column, percent: int) -> Column:
-    """Sizes that a linked pair can have."""
-    return 100 * F.least(n, m) >= percent * F.greatest(n, m)
+def _may_link(n: Column, i: Column, m: Column, j: Column, percent: int) -> Column:
+    """The size and position filters, for sets of n and m shingles that share one at places i and j."""
+    return (100 + percent) * F.least(n - i, m - j) >= percent * (n + m)
+
+
+def _bitmap_filter(percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n, m, x, y = (b.column(c).to_pylist() for c in ("n_a", "n_b", "bitmap_a", "bitmap_b"))
+            keep = [(100 + percent) * (p + q - bitmap_distance(v, w)) >= 2 * percent * (p + q) for p, q, v, w in zip(n, m, x, y, strict=True)]
+            yield b.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    return run
 
 
 def _ids_bitmap(ids: DataFrame, bits: int = 24) -> np.ndarray:
@@ -165,6 +208,11 @@ def _ids_bitmap(ids: DataFrame, bits: int = 24) -> np.ndarray:
 def verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs (a, b) of classes that link, by the whole texts of one document of each class."""
     spark = docs.sparkSession
+    marks = classes.select("cls", "n", "bitmap")
+    both = pairs.join(marks.select(*(F.col(c).alias(d) for c, d in zip(marks.columns, ("a", "n_a", "bitmap_a"), strict=True))), "a")
+    both = both.join(marks.select(*(F.col(c).alias(d) for c, d in zip(marks.columns, ("b", "n_b", "bitmap_b"), strict=True))), "b")
+    both = both.select("a", "b", "n_a", "n_b", "bitmap_a", "bitmap_b").mapInArrow(_bitmap_filter(percent), "a long, b long")
+    pairs = materialize(both, "likely-pairs")
     wanted = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
     named = wanted.join(classes.select("cls", "id"), "cls")
     bits = 24
@@ -185,28 +233,28 @@ def verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, size: int, p
 
 
 def near_duplicates(
-    docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", size: int = SHINGLE, percent: int = 75, sketch_bits: int = 20
+    docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", size: int = SHINGLE, percent: int = 75, sketch_bits: int = 22
 ) -> DataFrame:
     """Rows (id, n_shingles, component_id) for every row of ``docs``; see the module's text."""
     spark = docs.sparkSession
     docs = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
     levels = spark.sparkContext.broadcast(frequency_levels(docs, "text", size, sketch_bits))
-    schema = T.StructType([T.StructField("id", docs.schema["id"].dataType)] + [T.StructField(c, T.LongType()) for c in ("n", "cls", "grp")] + [T.StructField("prefix", T.ArrayType(T.LongType()))])
+    schema = T.StructType([T.StructField("id", docs.schema["id"].dataType)] + [T.StructField(c, T.LongType()) for c in ("n", "cls", "grp")] + [T.StructField("bitmap", T.BinaryType()), T.StructField("prefix", T.ArrayType(T.LongType()))])
     described = materialize(docs.mapInArrow(_describe(size, percent, levels, sketch_bits), schema), "described")
     some = described.where("n > 0")
-    classes = materialize(some.groupBy("cls").agg(F.min("id").alias("id"), F.min("grp").alias("grp"), F.min("n").alias("n")), "classes")
+    classes = materialize(some.groupBy("cls").agg(F.min("id").alias("id"), F.min("grp").alias("grp"), F.min("n").alias("n"), F.min("bitmap").alias("bitmap")), "classes")
     groups = classes.groupBy("grp").agg(F.min("cls").alias("first"))
 
-    entries = some.select("grp", "n", "prefix").dropDuplicates(["grp"]).select(F.explode("prefix").alias("key"), "n", "grp")
-    order = Window.partitionBy("key").orderBy("n", "grp")
+    entries = some.select("grp", "n", "prefix").dropDuplicates(["grp"]).select("n", "grp", F.posexplode("prefix").alias("pos", "key"))
+    order = Window.partitionBy("key").orderBy("pos", "n", "grp")
     whole = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    me = F.struct("n", "grp")
-    lists = entries.select("key", "n", "grp", F.lag(me).over(order).alias("before"), F.lead("grp").over(order).alias("after"), F.first(me).over(whole).alias("hub"))
+    me = F.struct("n", "grp", "pos")
+    lists = entries.select("key", "n", "grp", "pos", F.lag(me).over(order).alias("before"), F.lead("grp").over(order).alias("after"), F.first(me).over(whole).alias("hub"))
     lists = materialize(lists.where("before is not null or after is not null"), "lists").drop("after")
 
     # filter the group pairs, then stand for each group by its first member
-    hubs = lists.where("before is not null").select("n", "grp", F.explode(F.array("hub", "before")).alias("with"))
-    group_pairs = hubs.where(_fits(F.col("n"), F.col("with.n"), percent)).select("grp", F.col("with.grp").alias("with")).distinct()
+    hubs = lists.where("before is not null").select("n", "grp", "pos", F.explode(F.array("hub", "before")).alias("with"))
+    group_pairs = hubs.where(_may_link(F.col("n"), F.col("pos"), F.col("with.n"), F.col("with.pos"), percent)).select("grp", F.col("with.grp").alias("with")).distinct()
     starred = (
         group_pairs.join(groups, "grp")
         .select("with", F.col("first").alias("a"))
@@ -220,14 +268,19 @@ def near_duplicates(
 
     # expand what is left: members of one list, in two components, untested
     members = classes.join(joined.withColumnRenamed("node", "cls"), "cls", "left").select("grp", "cls", F.coalesce("root", "cls").alias("root"), "n")
-    listed = lists.select("key", "grp").join(members, "grp")
+    # an entry that no partner can match, even one that shares all the rest, is closed
+    reach = lists.where((100 + percent) * (F.col("n") - F.col("pos")) >= percent * (F.col("n") + F.ceil(F.col("n") * percent / 100)))
+    listed = reach.select("key", "grp", "pos").join(members, "grp")
     open_lists = listed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("key")
     alone = members.groupBy("grp").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("grp")
     # a group of one list is its own list as well: its members share their whole prefix
-    left = listed.join(open_lists, "key").select("key", "cls", "root", "n").unionByName(members.join(alone, "grp").select(F.col("grp").alias("key"), "cls", "root", "n"))
+    left = listed.join(open_lists, "key").select("key", "cls", "root", "n", "pos").unionByName(
+        members.join(alone, "grp").select(F.col("grp").alias("key"), "cls", "root", "n", F.lit(0).alias("pos"))
+    )
     left = materialize(left, "open-lists")
-    other = left.select("key", *(F.col(c).alias(f"{c}_b") for c in ("cls", "root", "n")))
-    rest = left.join(other, "key").where((F.col("cls") < F.col("cls_b")) & (F.col("root") != F.col("root_b")) & _fits(F.col("n"), F.col("n_b"), percent))
+    other = left.select("key", *(F.col(c).alias(f"{c}_b") for c in ("cls", "root", "n", "pos")))
+    may_link = _may_link(F.col("n"), F.col("pos"), F.col("n_b"), F.col("pos_b"), percent)
+    rest = left.join(other, "key").where((F.col("cls") < F.col("cls_b")) & (F.col("root") != F.col("root_b")) & may_link)
     rest = rest.select(F.col("cls").alias("a"), F.col("cls_b").alias("b")).distinct().join(starred, ["a", "b"], "left_anti")
     rest = materialize(rest, "open-pairs")
     if not rest.isEmpty():
