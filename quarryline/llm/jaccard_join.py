@@ -37,13 +37,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .filters import may_hold
 from .graph import components
 from .store import materialize
 from .words import SHINGLE, hash_words, mix64, shingles
@@ -193,21 +193,8 @@ def _bitmap_filter(percent: int):
     return run
 
 
-def _ids_bitmap(ids: DataFrame, bits: int = 24) -> np.ndarray:
-    """One bit for each slot that an id of ``ids`` hashes to: 2 ** bits bits, whatever the number of ids."""
-    slot = F.pmod(F.xxhash64("id"), F.lit(1 << bits))
-    one = slot + 1  # Spark's bitmap functions number values from 1
-    rows = ids.groupBy(F.bitmap_bucket_number(one).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(one)).alias("v")).collect()
-    out = np.zeros((1 << bits) // 8, np.uint8)
-    for r in rows:
-        at = (r.k - 1) * 4096
-        out[at : at + 4096] = np.frombuffer(bytes(r.v), np.uint8)
-    return out
-
-
 def verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs (a, b) of classes that link, by the whole texts of one document of each class."""
-    spark = docs.sparkSession
     marks = classes.select("cls", "n", "bitmap")
     both = pairs.join(marks.select(*(F.col(c).alias(d) for c, d in zip(marks.columns, ("a", "n_a", "bitmap_a"), strict=True))), "a")
     both = both.join(marks.select(*(F.col(c).alias(d) for c, d in zip(marks.columns, ("b", "n_b", "bitmap_b"), strict=True))), "b")
@@ -215,16 +202,8 @@ def verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, size: int, p
     pairs = materialize(both, "likely-pairs")
     wanted = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
     named = wanted.join(classes.select("cls", "id"), "cls")
-    bits = 24
-    bitmap = spark.sparkContext.broadcast(_ids_bitmap(named.select("id"), bits))
-
-    @F.pandas_udf(T.BooleanType())
-    def may_be_wanted(slot):
-        s = slot.to_numpy()
-        return pd.Series(bitmap.value[s >> 3] >> (s & 7).astype(np.uint8) & 1 == 1)
-
     # most documents are in no pair: a bitmap of fixed size drops them before the shuffle, and the joins are exact
-    some = docs.where(may_be_wanted(F.pmod(F.xxhash64("id"), F.lit(1 << bits))))
+    some = docs.where(may_hold(docs, "id", named.select("id")))
     texts = some.select("text").mapInArrow(_resign(size), "cls long, text string").join(wanted, "cls", "left_semi").dropDuplicates(["cls"])
     texts = materialize(texts, "pair-texts")
     both = pairs.join(texts.select(F.col("cls").alias("a"), F.col("text").alias("text_a")), "a")

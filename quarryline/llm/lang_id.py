@@ -148,13 +148,13 @@ def train(docs: DataFrame, *, id_column: str, text_column: str, lang_column: str
     return net
 
 
-def _predict(model):
+def _predict(model, at: int, drop: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net: ByteCnn | None = model.value
         for whole in batches:
             for s in range(0, whole.num_rows, 500):
                 b = whole.slice(s, 500)
-                texts = b.column(b.num_columns - 1)
+                texts = b.column(at)
                 known = np.array([net is not None and x is not None and _LETTER.search(x) is not None for x in texts.to_pylist()])
                 pred, score = np.full(len(b), UNDETERMINED, object), np.zeros(len(b))
                 if known.any():
@@ -171,14 +171,16 @@ def _predict(model):
                         w = _LETTER_BYTE[rows[:, :WINDOW]].sum(axis=1) + 1e-3
                         np.add.at(total, owner + d0, lp * w[:, None])
                         np.add.at(weight, owner + d0, w)
-                    at = np.flatnonzero(known & (lengths > 0))
-                    mean = total[at] / weight[at][:, None]
+                    able = np.flatnonzero(known & (lengths > 0))
+                    mean = total[able] / weight[able][:, None]
                     mean -= mean.max(axis=1, keepdims=True)
                     p = np.exp(mean)
                     p /= p.sum(axis=1, keepdims=True)
-                    pred[at] = np.array(net.labels, object)[p.argmax(axis=1)]
-                    score[at] = p.max(axis=1)
-                yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(pred.tolist(), pa.string()), pa.array(score)], names=[*b.schema.names[:-1], "lang_pred", "score"])
+                    pred[able] = np.array(net.labels, object)[p.argmax(axis=1)]
+                    score[able] = p.max(axis=1)
+                kept = b.columns[:-1] if drop else b.columns
+                arrays = [*kept, pa.array(pred.tolist(), pa.string()), pa.array(score)]
+                yield pa.RecordBatch.from_arrays(arrays, names=[f"c{i}" for i in range(len(arrays))])
 
     return run
 
@@ -199,9 +201,19 @@ def _pieces(offsets: np.ndarray, step: int) -> Iterator[tuple[int, int, int, int
         d = e
 
 
-def identify(docs: DataFrame, model: ByteCnn | None, *, text_column: str = "text", keep: list[str | Column] | None = None) -> DataFrame:
-    """The ``keep`` columns (default: all but the text) with lang_pred and score, for every row."""
-    kept = docs.select(*(keep if keep is not None else [F.col(f"`{c}`") for c in docs.columns if c != text_column]))
-    fields = [*kept.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
-    rows = docs.select(*(keep if keep is not None else [F.col(f"`{c}`") for c in docs.columns if c != text_column]), F.col(text_column).alias("__text"))
-    return rows.mapInArrow(_predict(docs.sparkSession.sparkContext.broadcast(model)), T.StructType(fields))
+def identify(
+    docs: DataFrame,
+    model: ByteCnn | None,
+    *,
+    text_column: str = "text",
+    keep: list[str | Column] | None = None,
+    pred_column: str = "lang_pred",
+    score_column: str = "score",
+) -> DataFrame:
+    """The ``keep`` columns (default: all) with the predicted language and its probability, for every row."""
+    rows = docs if keep is None else docs.select(*keep, F.col(text_column).alias("__text"))
+    at = docs.columns.index(text_column) if keep is None else len(rows.columns) - 1
+    fields = rows.schema.fields if keep is None else rows.schema.fields[:-1]
+    schema = T.StructType([*fields, T.StructField(pred_column, T.StringType()), T.StructField(score_column, T.DoubleType())])
+    named = T.StructType([T.StructField(f"c{i}", f.dataType) for i, f in enumerate(schema)])
+    return rows.mapInArrow(_predict(docs.sparkSession.sparkContext.broadcast(model), at, keep is not None), named).toDF(*schema.names)

@@ -169,15 +169,10 @@ def mix(
 def repeat_rows(docs: DataFrame, mixed: DataFrame, *, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The rows of ``docs``, each as often as ``mixed`` (of the same documents) takes it.
 
-    Rows meet by id and text hash; rows that repeat both are told apart by number.
+    Rows meet by a hash of id and text; rows that repeat both are told apart by number.
     """
-    def numbered(df: DataFrame, key: Column, tie: Column) -> DataFrame:
-        named = df.withColumns({"__key": key, "__tie": tie})
-        return named.withColumn("__no", F.row_number().over(Window.partitionBy("__key", "__tie").orderBy(F.lit(0))))
-
-    rows = numbered(docs, F.col(id_column), F.xxhash64(F.col(id_column), F.col(text_column)))
-    taken = numbered(mixed.where("copies is not null"), F.col(id_column), F.col("tie")).select("__key", "__tie", "__no", "copies")
-    taken = taken.where("copies > 0").select(F.col("__tie").alias("t"), F.col("__no").alias("k"), F.col("__key").alias("i"), "copies")
-    same = (F.col("__tie") == F.col("t")) & (F.col("__no") == F.col("k")) & F.col("__key").eqNullSafe(F.col("i"))
-    met = rows.join(taken, same).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-    return met.select(*(rows[c] for c in docs.columns))
+    by_tie = Window.partitionBy("__tie").orderBy(F.lit(0))
+    rows = docs.withColumn("__tie", F.xxhash64(F.col(id_column), F.col(text_column))).withColumn("__no", F.row_number().over(by_tie))
+    taken = mixed.select(F.col("tie").alias("__tie"), F.col("copies").alias("__copies")).withColumn("__no", F.row_number().over(by_tie))
+    met = rows.join(taken.where("__copies > 0"), ["__tie", "__no"])
+    return met.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*(F.col(f"`{c}`") for c in docs.columns))
