@@ -1,12 +1,69 @@
-"""A training-corpus pipeline made of the llm operators; each stage reads what the one before wrote."""
+"""A training-corpus pipeline made of the llm operators; each stage reads what the one before wrote.
+
+Stages take (spark, docs, sf_dir) and return a DataFrame.  All but the last return the columns of
+``docs``, whatever they are besides doc_id, text, lang and source.
+
+* language: documents without any letter (null texts as well), and those in which the network finds no
+  language at ``MIN_LANGUAGE_SCORE`` or more, go;
+* near_duplicates: of each component of the Jaccard join the document of the smallest id stays; a
+  repeated id stays once, with the first of its texts; documents without an id stay, and so do documents without words;
+* decontamination: documents that hold an item of ``benchmark`` go;
+* mixing: each document is repeated as often as the mix to target weights takes it, maybe not at all;
+* token_records: token ids are written as binary records in order of id, and read back.
+
+A stage handles an empty table by returning an empty one.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from quarryline.llm import decontaminate, filters, jaccard_join, lang_id, mixing, token_records
+from quarryline.llm.queries import tokenizer_path
 from quarryline.llm.store import materialize
 
-STAGES: list = []
+MIN_LANGUAGE_SCORE = 0.3
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    model = lang_id.train(docs, id_column="doc_id", text_column="text", lang_column="lang")
+    found = lang_id.identify(docs, model, pred_column="__lang", score_column="__score")
+    kept = found.where((F.col("__lang") != lang_id.UNDETERMINED) & (F.col("__score") >= MIN_LANGUAGE_SCORE))
+    return kept.select(*(F.col(f"`{c}`") for c in docs.columns))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = materialize(jaccard_join.near_duplicates(docs).where("doc_id is not null"), "pipeline-near")
+    by_id = found.groupBy("doc_id").agg(F.count("*").alias("rows"), F.max(F.col("component_id") == F.col("doc_id")).alias("stays"))
+    by_id = materialize(by_id, "pipeline-near-ids")
+    kept = filters.drop_ids(docs, by_id.where("not stays").select("doc_id"))
+    repeated = by_id.where("stays and rows > 1").select("doc_id")
+    return kept if repeated.isEmpty() else filters.keep_one(kept, repeated)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    leaks = decontaminate.find_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return filters.drop_ids(docs, materialize(leaks.select("doc_id").where("doc_id is not null").distinct(), "pipeline-leaks"))
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.repeat_rows(docs, mixing.mix(docs))
+
+
+def token_records_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return token_records.read_records(spark, token_records.write_records(docs, tokenizer=tokenizer_path()))
+
+
+STAGES = [
+    ("language", language),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("mixing", mixing_stage),
+    ("token_records", token_records_stage),
+]
+
+#: The network, the sketches and the tokenizer have no SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
