@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import logistic
-from .sampling import labelled_sample, prior_shift
+from .sampling import labelled_sample, labelled_texts, prior_shift
 from .words import text_bytes
 
 CHUNK = 1024
@@ -120,10 +120,8 @@ def _apply(rows: DataFrame, model: QualityModel, score: bool) -> DataFrame:
 def train(docs: DataFrame, labels: DataFrame, *, label_column: str = "quality", id_column: str = "doc_id", text_column: str = "text", per_label: int = 2500) -> QualityModel:
     """Dictionaries and calibration from labelled documents; see the module's text for the bounds."""
     marked = labels.where(F.col(label_column).isin(0, 1)).select(F.col(id_column).alias("id"), F.col(label_column).cast("int").alias("label"))
-    part = F.pmod(F.xxhash64("id", F.lit("part")), F.lit(2))
-    # choose before the join, which then carries no text of unlabelled documents
-    chosen = labelled_sample(marked, "label", "id", 2 * per_label).withColumn("part", part)
-    rows = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).join(chosen, "id").where("text is not null")
+    rows = labelled_texts(docs, labelled_sample(marked, "label", "id", 2 * per_label), id_column, text_column).where("text is not null")
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("id", F.lit("part")), F.lit(2)))
     spread = F.greatest(F.length("text") - CHUNK, F.lit(0)) + 1
     spots = F.array(*(F.substr("text", (F.pmod(F.xxhash64("id", F.lit(i)), spread) + 1).cast("int"), F.lit(CHUNK)) for i in range(CHUNKS_EACH)))
     some = F.slice(spots, 1, F.least(F.lit(CHUNKS_EACH), F.ceil(F.length("text") / CHUNK).cast("int") + 1))

@@ -7,6 +7,9 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .filters import may_hold
+from .store import materialize
+
 _UNIT = 1 << 30
 
 
@@ -23,6 +26,12 @@ def labelled_sample(rows: DataFrame, label: str, key: str, per_label: int, max_l
     return rows.where(F.pmod(F.xxhash64(F.col(key), F.lit("sample")), F.lit(_UNIT)) < rate * _UNIT)
 
 
+def labelled_texts(docs: DataFrame, chosen: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    """(id, label, text) of the chosen (id, label) rows, written once; texts that are not chosen stay where they are."""
+    some = docs.where(may_hold(docs, id_column, chosen)).select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
+    return materialize(some.join(chosen, "id").select("id", "label", "text"), "labelled")
+
+
 def prior_shift(rows: DataFrame, label: str, sampled: list[int]) -> float:
     """What to add to the intercept of a model fitted on a sample, so that it fits the labels' shares in all rows."""
     counts = {r[0]: r[1] for r in rows.where(F.col(label).isin(0, 1)).groupBy(F.col(label).cast("int")).count().collect()}
