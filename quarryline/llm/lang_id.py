@@ -90,9 +90,14 @@ class ByteCnn:
             out.append(z - np.log(np.exp(z).sum(axis=1, keepdims=True)))
         return np.concatenate(out) if out else np.zeros((0, len(self.labels)), np.float32)
 
-    def fit(self, rows: np.ndarray, target: np.ndarray, epochs: int = 12, batch: int = 128, rate: float = 0.004, seed: int = 11) -> None:
-        """Adam on the cross-entropy; a pooled maximum passes its gradient to its own position alone."""
+    def fit(self, rows: np.ndarray, target: np.ndarray, epochs: int = 12, least_steps: int = 700, rate: float = 0.004, seed: int = 11) -> None:
+        """Adam on the cross-entropy; a pooled maximum passes its gradient to its own position alone.
+
+        Small samples are gone through more often, so that there are at least about ``least_steps`` steps.
+        """
         rng = np.random.default_rng(seed)
+        batch = min(128, max(16, len(rows) // 16))
+        epochs = max(epochs, least_steps * batch // len(rows))
         params = [self.embed, self.filters, self.bias, self.out, self.out_bias]
         first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
         step = 0
