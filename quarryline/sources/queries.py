@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..catalogue import operator
+from ..store import new_path
 from ..views import Views
 
 c = F.col
@@ -14,10 +15,8 @@ c = F.col
 @operator("src_store", "SELECT run_id, path, name, value FROM run_metrics WHERE run_id = 1999")
 def src_store(v: Views) -> DataFrame:
     """Runs appended to the store, read back for one key: the partition filter prunes all other runs' files."""
-    from ..store import shared_dir
-
-    folder = f"{shared_dir(v.spark)}/store-{abs(hash(v.sf_dir))}"
-    v.run_metrics.write.mode("overwrite").partitionBy("run_id").parquet(folder)
+    folder = new_path(v.spark, "store")
+    v.run_metrics.write.partitionBy("run_id").parquet(folder)
     return v.spark.read.parquet(folder).where("run_id = 1999").select(c("run_id").cast("int"), "path", "name", "value")
 
 
@@ -39,10 +38,8 @@ def src_multi(v: Views) -> DataFrame:
 @operator("snk_snapshot", "SELECT run_id, count(*) AS rows, round(sum(value), 2) AS total FROM run_metrics GROUP BY run_id")
 def snk_snapshot(v: Views) -> DataFrame:
     """Each run exported as JSON lines, read back and summed."""
-    from ..store import shared_dir
-
-    folder = f"{shared_dir(v.spark)}/snapshot-{abs(hash(v.sf_dir))}"
-    v.run_metrics.select("run_id", F.to_json(F.struct("path", "name", "value")).alias("value")).write.mode("overwrite").partitionBy("run_id").text(folder)
+    folder = new_path(v.spark, "snapshot")
+    v.run_metrics.select("run_id", F.to_json(F.struct("path", "name", "value")).alias("value")).write.partitionBy("run_id").text(folder)
     back = v.spark.read.text(folder).select("run_id", F.from_json("value", "path string, name string, value double").alias("m"))
     return back.groupBy("run_id").agg(F.count("*").alias("rows"), F.round(F.sum("m.value"), 2).alias("total"))
 

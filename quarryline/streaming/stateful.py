@@ -6,12 +6,10 @@ Streams read the folder of a table with an explicit schema and end when all of i
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..store import shared_dir
+from ..store import new_path
 
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
@@ -40,7 +38,7 @@ def run_to_table(stream: DataFrame, mode: str = "complete") -> DataFrame:
     Every micro-batch replaces (complete) or adds to (append) the table.
     """
     spark = stream.sparkSession
-    base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    base = new_path(spark, "stream")
 
     def sink(batch: DataFrame, _: int) -> None:
         batch.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{base}/table")
