@@ -1,43 +1,12 @@
-"""Shared-folder tables that cut lineage and outlive any one executor."""
+"""Shared-folder tables and the folds of the queries."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CHECKPOINT_KEY = "spark.checkpoint.dir"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The shared folder that the session names, or one of our own where it names none.
-
-    Without the setting a local session gets a fresh temporary folder; a
-    cluster session gets a folder in its warehouse, which executors share.
-    """
-    base = spark.conf.get(CHECKPOINT_KEY, None)
-    if base:
-        return base.rstrip("/")
-    if spark.sparkContext.master.startswith("local"):
-        base = "file://" + tempfile.mkdtemp(prefix="spark-shared-", dir="/tmp")
-    else:
-        base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
-    spark.conf.set(CHECKPOINT_KEY, base)
-    return base
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
+from ..store import materialize, new_path, shared_dir
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it back: computed once, safe from lost executors."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["crc32_mod", "materialize", "new_path", "shared_dir"]
 
 
 def crc32_mod(column: str, modulus: int):
