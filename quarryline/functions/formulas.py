@@ -44,8 +44,7 @@ def diff_confidence(kill_rate: Column, delta: Column) -> Column:
 def risk_profile(complexity: Column, coupling: Column, coverage: Column) -> Column:
     """Weighted sum of three scores of 0 to 100; a missing coverage counts as a score of 80."""
     gap = F.when(coverage.isNull(), 80.0).otherwise(clamp(100 - coverage, 0, 100))  # least and greatest skip nulls
-    score = 0.45 * F.least(4 * complexity, F.lit(100.0)) + 0.30 * F.least(10 * coupling, F.lit(100.0)) + 0.25 * gap
-    return F.round(F.round(score, 6), 2)  # so that halves do not hang on the last bit of the sum
+    return 0.45 * F.least(4 * complexity, F.lit(100.0)) + 0.30 * F.least(10 * coupling, F.lit(100.0)) + 0.25 * gap
 
 
 def priority(score: Column, criticality: Column) -> Column:

@@ -51,11 +51,11 @@ def mat_diffconf(v: Views) -> DataFrame:
 
 
 @operator("mat_riskprofile", """
-SELECT path, round(round(45e-2*least(4*complexity, 100.0) + 30e-2*least(10*coupling, 100.0)
-  + 25e-2*coalesce(CASE WHEN fixes > 0 THEN least(greatest(100 - 100e0*fixes/commits, 0.0), 100.0) END, 80.0), 6), 2) AS risk FROM modules""")
+SELECT path, round(45e-2*least(4*complexity, 100.0) + 30e-2*least(10*coupling, 100.0)
+  + 25e-2*coalesce(CASE WHEN fixes > 0 THEN least(greatest(100 - 100e0*fixes/commits, 0.0), 100.0) END, 80.0), 5) AS risk FROM modules""")
 def mat_riskprofile(v: Views) -> DataFrame:
     coverage = F.when(c("fixes") > 0, 100.0 * c("fixes") / c("commits"))
-    return v.modules.select("path", M.risk_profile(c("complexity"), c("coupling"), coverage).alias("risk"))
+    return v.modules.select("path", F.round(M.risk_profile(c("complexity"), c("coupling"), coverage), 5).alias("risk"))
 
 
 @operator("mat_priority", """
