@@ -143,12 +143,16 @@ def gra_blast_mcp(v: Views) -> DataFrame:
     return v.nodes.join(n, "id", "left").select("id", F.round(1.5 * F.coalesce("n", F.lit(0)) * F.sqrt("complexity"), 2).alias("score"))
 
 
-def closure(edges: DataFrame, starts: DataFrame) -> DataFrame:
-    """(id): everything reachable from ``starts(id)``, themselves included, level by level until nothing is new."""
-    e = edges.select("src", "dst").distinct()
+def closure(edges: DataFrame, starts: DataFrame, hops: int = 3) -> DataFrame:
+    """(id): everything reachable from ``starts(id)``, themselves included; each round goes ``hops`` steps on from what was new."""
+    e = materialize(edges.select("src", "dst").distinct(), "closure-edges")
     seen = level = materialize(starts.select("id").distinct(), "closure")
     while not level.isEmpty():
-        level = materialize(level.join(e, c("id") == c("src")).select(c("dst").alias("id")).distinct().join(seen, "id", "left_anti"), "closure")
+        step, found = level, None
+        for _ in range(hops):
+            step = step.join(e, c("id") == c("src")).select(c("dst").alias("id")).distinct()
+            found = step if found is None else found.unionByName(step)
+        level = materialize(found.distinct().join(seen, "id", "left_anti"), "closure")
         seen = seen.unionByName(level)
     return seen
 

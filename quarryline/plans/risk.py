@@ -20,6 +20,7 @@ c = F.col
 def global_rank(rows: DataFrame, *order, name: str = "rank") -> DataFrame:
     """``rows`` with their 1-based position in ``order``, by range partitions."""
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = materialize(rows, "ranked")  # finding the ranges reads the rows once more
     dealt = materialize(rows.repartitionByRange(n, *order).withColumn("__part", F.spark_partition_id()), "ranges")
     size = dealt.groupBy("__part").agg(F.count("*").alias("__n"))
     before = F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))

@@ -34,9 +34,18 @@ def stm_loop(v: Views) -> DataFrame:
     return out.select("user_id", F.unix_seconds("start").alias("start"), "n")
 
 
-@operator("stm_changes", """
+_CHANGES = """
 SELECT user_id, event_id, CASE WHEN state IS DISTINCT FROM p THEN CASE WHEN p IS NULL THEN 'added' ELSE 'modified' END END AS change FROM (
-  SELECT user_id, event_id, event_type AS state, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM events) s WHERE state IS DISTINCT FROM p""")
+  SELECT user_id, event_id, event_type AS state, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM events) s WHERE state IS DISTINCT FROM p"""
+
+
+@operator("stm_changes_stream", _CHANGES)
+def stm_changes_stream(v: Views) -> DataFrame:
+    """Changes of entities, with their last state kept by the stream."""
+    return stateful.run_to_table(stateful.changes(stateful.event_stream(v.spark, v.sf_dir)), "append")
+
+
+@operator("stm_changes", _CHANGES)
 def stm_changes(v: Views) -> DataFrame:
     """The batch twin of the change stream: an entity's state is added, then modified when it differs; a touch is no change."""
     order = Window.partitionBy("user_id").orderBy("ts", "event_id")
