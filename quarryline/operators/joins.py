@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,7 +19,7 @@ def longest_prefix(imports: DataFrame, modules: DataFrame, *, separator: str = "
 
     Every prefix of a name is a row, so it is an equi-join whatever the number of modules; an importer itself is no target.
     """
-    parts = F.split("name", separator)
+    parts = F.split("name", re.escape(separator))
     each = imports.select("importer", "name", F.explode(F.sequence(F.lit(1), F.size(parts))).alias("n"), parts.alias("p"))
     each = each.select("importer", "name", "n", F.array_join(F.slice("p", F.lit(1), c("n")), separator).alias("module"))
     best = each.join(modules, "module").groupBy("importer", "name").agg(F.max_by("module", "n").alias("target"))
