@@ -333,7 +333,7 @@ def agg_agreement(v: Views) -> DataFrame:
 
 
 @operator("agg_spearman", """
-SELECT package, round(corr(rx, ry), 6) AS rho FROM (
+SELECT package, round(covar_pop(rx, ry) / nullif(stddev_pop(rx) * stddev_pop(ry), 0), 6) AS rho FROM (
   SELECT package, rank() OVER (PARTITION BY package ORDER BY complexity) + (count(*) OVER (PARTITION BY package, complexity) - 1) / 2.0 AS rx,
     rank() OVER (PARTITION BY package ORDER BY loc) + (count(*) OVER (PARTITION BY package, loc) - 1) / 2.0 AS ry FROM modules) s GROUP BY package""")
 def agg_spearman(v: Views) -> DataFrame:
@@ -341,7 +341,9 @@ def agg_spearman(v: Views) -> DataFrame:
     def rank(x):
         return F.rank().over(Window.partitionBy("package").orderBy(x)) + (F.count("*").over(Window.partitionBy("package", x)) - 1) / 2.0
 
-    return v.modules.select("package", rank("complexity").alias("rx"), rank("loc").alias("ry")).groupBy("package").agg(F.round(F.corr("rx", "ry"), 6).alias("rho"))
+    return v.modules.select("package", rank("complexity").alias("rx"), rank("loc").alias("ry")).groupBy("package").agg(
+        F.round(F.try_divide(F.covar_pop("rx", "ry"), F.stddev_pop("rx") * F.stddev_pop("ry")), 6).alias("rho")  # null where either is constant
+    )
 
 
 @operator("agg_sample", """
