@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .words import SHINGLE, combine, hash_words, shingles
+from .words import SHINGLE, combine, hash_words, shingles, slices
 
 _U = np.uint64
 BLOCKS = 5
@@ -172,8 +172,7 @@ def _matcher(items):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         it: Items = items.value
         for whole in batches:
-            for s in range(0, whole.num_rows, 2000):
-                b = whole.slice(s, 2000)
+            for b in slices(whole, 1):
                 w = hash_words(b.column(1))
                 rows = [(d, *m) for d in range(len(b)) for m in it.matches(w.of(d))]
                 if rows:

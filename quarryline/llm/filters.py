@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -11,41 +12,48 @@ from pyspark.sql import types as T
 _BITS = 24
 
 
-def _slot(column: str) -> Column:
+def slot(column: str) -> Column:
+    """The bitmap slot of an id."""
     return F.pmod(F.xxhash64(F.col(column)), F.lit(1 << _BITS))
 
 
-def may_hold(docs: DataFrame, id_column: str, ids: DataFrame) -> Column:
-    """True for every row of ``docs`` whose id is in ``ids`` (its first column), and for few others.
+def held(bitmap: np.ndarray, slots: np.ndarray) -> np.ndarray:
+    """Which slots are set."""
+    return bitmap[slots >> 3] >> (slots & 7).astype(np.uint8) & 1 == 1
 
-    It is a bitmap of 2 ** 24 slots (2 MB), whatever the number of ids; Spark builds it from all of them.
-    """
-    one = _slot(ids.columns[0]) + 1  # Spark's bitmap functions number values from 1
+
+def ids_bitmap(ids: DataFrame) -> Broadcast:
+    """The set slots of all ids in ``ids`` (its first column): 2 ** 24 bits (2 MB), whatever their number; Spark builds it from all of them."""
+    one = slot(ids.columns[0]) + 1  # Spark's bitmap functions number values from 1
     rows = ids.groupBy(F.bitmap_bucket_number(one).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(one)).alias("v")).collect()
     field = np.zeros((1 << _BITS) // 8, np.uint8)
     for r in rows:
         at = (r.k - 1) * 4096
         field[at : at + 4096] = np.frombuffer(bytes(r.v), np.uint8)
-    bitmap = docs.sparkSession.sparkContext.broadcast(field)
+    return ids.sparkSession.sparkContext.broadcast(field)
+
+
+def may_hold(id_column: str, ids: DataFrame) -> Column:
+    """True for every row whose id is in ``ids`` (its first column), and for few others."""
+    bitmap = ids_bitmap(ids)
 
     @F.pandas_udf(T.BooleanType())
-    def probe(slot: pd.Series) -> pd.Series:
-        s = slot.to_numpy()
-        return pd.Series(bitmap.value[s >> 3] >> (s & 7).astype(np.uint8) & 1 == 1)
+    def probe(slots: pd.Series) -> pd.Series:
+        return pd.Series(held(bitmap.value, slots.to_numpy()))
 
-    return probe(_slot(id_column))
+    return probe(slot(id_column))
 
 
 def drop_ids(docs: DataFrame, ids: DataFrame, *, id_column: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` whose id is not in ``ids`` (its first column); rows without an id stay."""
-    suspect = may_hold(docs, id_column, ids)
+    suspect = may_hold(id_column, ids)
     gone = ids.select(F.col(ids.columns[0]).alias("__gone")).distinct()
     return docs.where(~suspect).unionByName(docs.where(suspect).join(gone, F.col(id_column) == F.col("__gone"), "left_anti"))
 
 
 def keep_one(docs: DataFrame, ids: DataFrame, *, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """``docs`` with one row, the first by text, of each id in ``ids`` (its first column); other rows stay as they are."""
-    suspect = may_hold(docs, id_column, ids)
+    suspect = may_hold(id_column, ids)
     several = ids.select(F.col(ids.columns[0]).alias("__several")).distinct()
     some = docs.where(suspect).join(several, F.col(id_column) == F.col("__several"), "left")
     first = F.row_number().over(Window.partitionBy(id_column).orderBy(F.col(text_column)))

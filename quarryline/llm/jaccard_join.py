@@ -43,10 +43,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .filters import may_hold
+from .filters import held, ids_bitmap, slot
 from .graph import components
 from .store import materialize
-from .words import SHINGLE, hash_words, mix64, shingles
+from .words import SHINGLE, hash_words, mix64, shingles, slices
 
 _U = np.uint64
 _SLICES = 64
@@ -87,8 +87,8 @@ def _sketcher(size: int, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << bits, np.uint32)
         for b in batches:
-            for s in range(0, b.num_rows, 2000):
-                got = [x >> _U(64 - bits) for x in shingle_sets(b.column(0).slice(s, 2000), size)]
+            for part in slices(b, 0):
+                got = [x >> _U(64 - bits) for x in shingle_sets(part.column(0), size)]
                 slot, n = np.unique(np.concatenate(got), return_counts=True)
                 counts[slot.astype(np.int64)] += n.astype(np.uint32)
         parts = [_pack(x) for x in np.split(counts, _SLICES)]
@@ -131,8 +131,7 @@ def _describe(size: int, percent: int, levels, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level = levels.value
         for b in batches:
-            for s in range(0, b.num_rows, 2000):
-                part = b.slice(s, 2000)
+            for part in slices(b, 1):
                 n, sig, grp, bitmap, prefix = [], [], [], [], []
                 for u in shingle_sets(part.column(1), size):
                     n.append(len(u))
@@ -150,14 +149,16 @@ def _describe(size: int, percent: int, levels, bits: int):
     return run
 
 
-def _resign(size: int):
-    """(class, text) of the texts, one of a class in each task's batch."""
+def _resign(size: int, wanted):
+    """(class, text) of the texts whose slot is wanted, one of a class in each slice of a batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sig = np.array([signature(u) for u in shingle_sets(b.column(0), size)], np.int64)
-            at = np.unique(sig, return_index=True)[1]
-            yield pa.RecordBatch.from_arrays([pa.array(sig[at]), b.column(0).take(pa.array(at))], names=["cls", "text"])
+            b = b.filter(pa.array(held(wanted.value, b.column(0).to_numpy()))).select([1])
+            for part in slices(b, 0):
+                sig = np.array([signature(u) for u in shingle_sets(part.column(0), size)], np.int64)
+                at = np.unique(sig, return_index=True)[1]
+                yield pa.RecordBatch.from_arrays([pa.array(sig[at]), part.column(0).take(pa.array(at))], names=["cls", "text"])
 
     return run
 
@@ -167,8 +168,7 @@ def _verify(size: int, percent: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for s in range(0, b.num_rows, 500):
-                part = b.slice(s, 500)
+            for part in slices(b, 2, 3):
                 keep = []
                 for x, y in zip(shingle_sets(part.column(2), size), shingle_sets(part.column(3), size), strict=True):
                     both = len(np.intersect1d(x, y, assume_unique=True))
@@ -203,8 +203,8 @@ def verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, size: int, p
     wanted = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
     named = wanted.join(classes.select("cls", "id"), "cls")
     # most documents are in no pair: a bitmap of fixed size drops them before the shuffle, and the joins are exact
-    some = docs.where(may_hold(docs, "id", named.select("id")))
-    texts = some.select("text").mapInArrow(_resign(size), "cls long, text string").join(wanted, "cls", "left_semi").dropDuplicates(["cls"])
+    bitmap = ids_bitmap(named.select("id"))
+    texts = docs.select(slot("id").alias("slot"), "text").mapInArrow(_resign(size, bitmap), "cls long, text string").join(wanted, "cls", "left_semi").dropDuplicates(["cls"])
     texts = materialize(texts, "pair-texts")
     both = pairs.join(texts.select(F.col("cls").alias("a"), F.col("text").alias("text_a")), "a")
     both = both.join(texts.select(F.col("cls").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .sampling import labelled_sample
-from .words import text_bytes
+from .words import slices, text_bytes
 
 UNDETERMINED = "und"
 WINDOW = 256
@@ -157,8 +157,7 @@ def _predict(model, at: int, drop: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net: ByteCnn | None = model.value
         for whole in batches:
-            for s in range(0, whole.num_rows, 500):
-                b = whole.slice(s, 500)
+            for b in slices(whole, at):
                 texts = b.column(at)
                 known = np.array([net is not None and x is not None and _LETTER.search(x) is not None for x in texts.to_pylist()])
                 pred, score = np.full(len(b), UNDETERMINED, object), np.zeros(len(b))

@@ -13,12 +13,11 @@ constraint over a table of (source, size, number of documents), which is grouped
 source with a third of all rows is no larger than its number of different sizes.
 The multipliers themselves stay a table, written to the shared folder after each step.
 
-Rates become copies by error diffusion: within blocks of a source (documents dealt by a hash of id and text,
-so that none grows with its source) documents go from long to short, each takes the whole
-number of copies, next to its rate, that brings the words taken so far closest to
-the words due so far.  What a block misses is below half its smallest documents' size,
-and is passed on to one last short document of its source only through the blocks' own sums;
-reruns give the same copies, since nothing depends on the order of rows.
+Rates become copies by error diffusion.  The documents of a source are dealt into blocks by a hash of id and
+text, so that no block grows with its source.  Within a block documents go from long to short, and each takes
+the whole number next to its rate, above or below, that brings the words taken so far closest to
+the words due so far; so a block misses its share by about half its shortest documents' size.  Reruns give the same
+copies, since nothing depends on the order of rows.
 
 Targets: sources in order of code points, null last, weigh ``weights`` in turn, and share
 ``share`` of all words; none gets more than ``cap`` times its own words, and what is

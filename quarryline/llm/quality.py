@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 
 from . import logistic
 from .sampling import labelled_sample, labelled_texts, prior_shift
-from .words import text_bytes
+from .words import slices, text_bytes
 
 CHUNK = 1024
 CHUNKS_EACH = 6
@@ -101,8 +101,7 @@ def _run(model, score: bool):
         m: QualityModel = model.value
         packed = Compressors(m.good, m.bad)
         for b in batches:
-            for s in range(0, b.num_rows, 1000):
-                part = b.slice(s, 1000)
+            for part in slices(b, b.num_columns - 1):
                 f = packed.features(*text_bytes(part.column(part.num_columns - 1)))
                 result = pa.array(m.score(f)) if score else pa.ListArray.from_arrays(np.arange(0, f.size + 1, f.shape[1], dtype=np.int32), f.reshape(-1))
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], result], names=[*part.schema.names[:-1], "result"])

@@ -28,7 +28,7 @@ def labelled_sample(rows: DataFrame, label: str, key: str, per_label: int, max_l
 
 def labelled_texts(docs: DataFrame, chosen: DataFrame, id_column: str, text_column: str) -> DataFrame:
     """(id, label, text) of the chosen (id, label) rows, written once; texts that are not chosen stay where they are."""
-    some = docs.where(may_hold(docs, id_column, chosen)).select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
+    some = docs.where(may_hold(id_column, chosen)).select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
     return materialize(some.join(chosen, "id").select("id", "label", "text"), "labelled")
 
 

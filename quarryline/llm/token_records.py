@@ -21,11 +21,11 @@ from the tasks' own reports, names the files that count.  A lost executor only m
 
 Encoding is exact but saves work: the pre-tokenizer never joins a
 non-space with a following space or line feed, so a text is cut there and every
-distinct piece is encoded once for each worker's cache.  Cut pieces are found and compared
+distinct piece is encoded once for each task's cache.  Cut pieces are found and compared
 by 64-bit hashes in numpy.
 
 Defined results: a null or empty text is a record of the end id alone; repeated
-ids each keep their record, ordered by text; null ids come first, as Spark sorts them; an empty table
+ids each keep their record, in order of a hash of their texts; null ids come first, as Spark sorts them; an empty table
 makes no files and no rows.  Texts are encoded whole, whatever their length.
 """
 
@@ -42,14 +42,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .store import materialize, new_path
-from .words import mix64, powers, text_bytes
+from .words import mix64, powers, slices, text_bytes
 
 # The mask of the record checksum.
 _MASK_ROTATE, _MASK_ADD = 15, 0xA282EAD8
 _WIDE, _NULL_ID = 2, 1
 _U = np.uint64
-_CHUNK = 1 << 20
-_CACHE_IDS = 24_000_000
+_CHUNK = 1 << 18
+_CACHE_IDS = 6_000_000
 
 _rng = np.random.default_rng(81)
 _TABLE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * _U(2) + _U(1)
@@ -101,8 +101,8 @@ class Encoder:
 
     def _clear(self) -> None:
         self.keys = np.zeros(0, np.uint64)
-        self.at = np.zeros(0, np.int64)
-        self.length = np.zeros(0, np.int64)
+        self.at = np.zeros(0, np.int32)
+        self.length = np.zeros(0, np.int32)
         self.ids = np.zeros(0, self.dtype)
 
     def _encode_pieces(self, data: np.ndarray, ends_solid: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -158,25 +158,15 @@ class Encoder:
             by = np.argsort(distinct[new])
             place = np.searchsorted(self.keys, distinct[new][by])
             self.keys = np.insert(self.keys, place, distinct[new][by])
-            self.at, self.length = np.insert(self.at, place, at[by]), np.insert(self.length, place, counts[by])
+            self.at, self.length = np.insert(self.at, place, at[by].astype(np.int32)), np.insert(self.length, place, counts[by].astype(np.int32))
             spot = np.searchsorted(self.keys, distinct)
         spot = spot[back]
-        length = self.length[spot]
+        length = self.length[spot].astype(np.int64)
         reach = np.cumsum(length)
         out = self.ids[np.arange(reach[-1]) + np.repeat(self.at[spot] - (reach - length), length)]
         return out, np.concatenate([[0], reach])[np.searchsorted(starts, offsets)]
 
 
-_encoders: dict[str, Encoder] = {}
-
-
-def encoder(path: str) -> Encoder:
-    """One for each Python worker, whose cache lasts over its tasks."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
-
-
 def frame(payload: bytes) -> bytes:
     head = len(payload).to_bytes(8, "little")
     return b"".join((head, masked_crc(head).to_bytes(4, "little"), payload, masked_crc(payload).to_bytes(4, "little")))
@@ -203,10 +193,9 @@ def _writer(folder: str, tokenizer: str, end_id: int):
         sink = index = None
         at = records = tokens = 0
         for batch in batches:
-            for s in range(0, batch.num_rows, 2000):
-                rows = batch.slice(s, 2000)
+            for rows in slices(batch, 1, most=3 << 20):
                 if sink is None:
-                    enc = encoder(tokenizer)
+                    enc = Encoder(tokenizer)
                     where, base = fs.FileSystem.from_uri(folder)
                     where.create_dir(base, recursive=True)
                     name = f"part-{part:06d}-{task.taskAttemptId()}"
@@ -247,7 +236,8 @@ def write_records(
     folder = folder or new_path(spark, "token-records")
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"))
-    ordered = rows.repartitionByRange(n, "id", F.xxhash64("text")).sortWithinPartitions("id", "text")
+    order = ("id", F.xxhash64("text"), "text")
+    ordered = rows.repartitionByRange(n, *order[:2]).sortWithinPartitions(*order)
     return materialize(ordered.mapInArrow(_writer(folder, tokenizer, end_id), MANIFEST_SCHEMA), "token-manifest")
 
 

@@ -11,6 +11,8 @@ bijective mixer.  They stand for the words wherever words are compared.
 
 from __future__ import annotations
 
+import ctypes
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,7 +20,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 SHINGLE = 5
-_CHUNK = 1 << 20
+_CHUNK = 1 << 18
 _U = np.uint64
 _MASK = (1 << 64) - 1
 _P = 0x9E3779B97F4A7C15 | 1
@@ -94,6 +96,36 @@ def text_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarr
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+try:
+    _trim = ctypes.CDLL(None).malloc_trim
+except (AttributeError, OSError):  # another C library
+
+    def _trim(_: int) -> int:
+        return 0
+
+
+def give_back() -> None:
+    """Return freed memory to the system: Python workers live on between tasks, and several share an executor."""
+    pa.default_memory_pool().release_unused()
+    _trim(0)
+
+
+def slices(batch: pa.RecordBatch, *text_at: int, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Runs of rows with about ``most`` bytes in the columns ``text_at`` (or one row, if it is longer).
+
+    Spark's batches count rows, not bytes; working on slices bounds what a task holds besides the batch
+    itself.  What Arrow and numpy have freed goes back to the system at each batch's end.
+    """
+    size = np.zeros(batch.num_rows, np.int64)
+    for i in text_at:
+        size += np.asarray(pc.fill_null(pc.binary_length(batch.column(i)), 0), dtype=np.int64)
+    part = (np.cumsum(size) - size) // most
+    cut = np.append(np.flatnonzero(np.diff(part, prepend=-1)), batch.num_rows).tolist()
+    for a, z in zip(cut[:-1], cut[1:], strict=True):
+        yield batch.slice(a, z - a)
+    give_back()
+
+
 def hash_words(column: pa.Array | pa.ChunkedArray) -> Words:
     """Hashes of all words of a string column, in order."""
     data, offsets = text_bytes(column)

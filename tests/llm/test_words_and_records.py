@@ -5,6 +5,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -12,6 +13,7 @@ from quarryline.llm import token_records
 from quarryline.llm.queries import tokenizer_path
 from quarryline.llm.words import hash_words, shingles
 
+ENCODER = token_records.Encoder(tokenizer_path())
 TEXTS = st.lists(st.one_of(st.none(), st.text(alphabet=st.sampled_from(list("abAB é \t\n\x1c 日.'1")), max_size=30)), max_size=8)
 
 
@@ -47,7 +49,7 @@ def test_encoder_equals_the_library(texts):
 
     whole = Tokenizer.from_file(tokenizer_path())
     whole.encode_special_tokens = True
-    ids, at = token_records.encoder(tokenizer_path()).encode(pa.array(texts, pa.string()))
+    ids, at = ENCODER.encode(pa.array(texts, pa.string()))
     for d, t in enumerate(texts):
         assert ids[at[d] : at[d + 1]].tolist() == whole.encode(t or "", add_special_tokens=False).ids
 
@@ -67,7 +69,8 @@ def test_records_round_trip(spark):
     rows = [(5, "five five"), (1, None), (3, ""), (5, "another five"), (None, "no id"), (2, "é " * 3000)]
     docs = spark.createDataFrame([(i, t, "clash", 9) for i, t in rows], "doc_id long, text string, start string, n_tokens int")
     got = token_records.read_records(spark, token_records.write_records(docs, tokenizer=tokenizer_path(), partitions=3)).orderBy("start").collect()
-    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
+    by_hash = lambda t: (xxhash.xxh64(t.encode(), seed=42).intdigest() + (1 << 63)) % (1 << 64) if t is not None else 42 + (1 << 63)
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, by_hash(r[1])))
     at = 0
     for r, (i, t) in zip(got, order, strict=True):
         ids = [*whole.encode(t or "", add_special_tokens=False).ids, 0]
