@@ -21,7 +21,7 @@ from the tasks' own reports, names the files that count.  A lost executor only m
 
 Encoding is exact but saves work: the pre-tokenizer never joins a
 non-space with a following space or line feed, so a text is cut there and every
-distinct piece is encoded once for each task's cache.  Cut pieces are found and compared
+distinct piece is encoded once for each worker's cache.  Cut pieces are found and compared
 by 64-bit hashes in numpy.
 
 Defined results: a null or empty text is a record of the end id alone; repeated
@@ -167,6 +167,16 @@ class Encoder:
         return out, np.concatenate([[0], reach])[np.searchsorted(starts, offsets)]
 
 
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    """One for each Python worker, whose bounded cache lasts over its tasks."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
+
+
 def frame(payload: bytes) -> bytes:
     head = len(payload).to_bytes(8, "little")
     return b"".join((head, masked_crc(head).to_bytes(4, "little"), payload, masked_crc(payload).to_bytes(4, "little")))
@@ -195,7 +205,7 @@ def _writer(folder: str, tokenizer: str, end_id: int):
         for batch in batches:
             for rows in slices(batch, 1, most=3 << 20):
                 if sink is None:
-                    enc = Encoder(tokenizer)
+                    enc = encoder(tokenizer)
                     where, base = fs.FileSystem.from_uri(folder)
                     where.create_dir(base, recursive=True)
                     name = f"part-{part:06d}-{task.taskAttemptId()}"
