@@ -284,4 +284,5 @@ def read_records(spark: SparkSession, manifest: DataFrame) -> DataFrame:
     starts = files.select("part", F.coalesce(before, F.lit(0)).alias("before"))
     n = max(manifest.count(), 1)
     rows = files.repartition(n, "part").select("part", "path").mapInArrow(_reader, "part int, doc_id long, n_tokens long, local long, ids_crc32 long")
-    return rows.join(starts, "part").select("doc_id", (F.col("before") + F.col("local")).alias("start"), "n_tokens", "ids_crc32")
+    # starts has one row for each file, a number that write_records sets
+    return rows.join(F.broadcast(starts), "part").select("doc_id", (F.col("before") + F.col("local")).alias("start"), "n_tokens", "ids_crc32")
