@@ -18,9 +18,11 @@ How it is laid out:
   bits of their hash, so one n-gram meets in one bucket whatever its
   frequency (a hot word is one entry for each task);
 * buckets are as many as the corpus needs, so that each stays small, and each
-  makes its own shard of the filter; shards take ``bits_per_entry`` for each
-  entry, and all shards together never exceed ``max_filter_bytes``.  Beyond
-  that bound no n-gram is left out: the false positive rate rises instead;
+  makes its own shard of the filter, of ``bits_per_entry`` or more for each entry;
+* shards of ``max_filter_bytes`` or less together are broadcast.  Beyond that
+  they stay where they are: texts are put into chunks, each chunk's distinct
+  n-grams travel to their shards, and the levels that they have there travel back.
+  The scores are the same;
 * exact unigram counts, which the base score needs, stay a distributed table.
   Words above a frequency threshold (``hot_words`` entries at most) are
   broadcast; every other token is joined to the table by Spark.
@@ -43,7 +45,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .store import materialize
-from .words import combine, hash_words, mix64, slices
+from .words import combine, give_back, hash_words, mix64, slices
 
 _U = np.uint64
 #: Stands for a text's start and its end.
@@ -52,8 +54,11 @@ _LEVELS = 128
 _PROBES = 4
 _FLUSH = 6_000_000
 _BUCKET_BYTES = 8 << 20
+_CHUNK_BYTES = 4 << 20
+_ASK_BYTES = 2 << 20
 
 _COUNT_SCHEMA = "bucket int, n int, high binary, low binary, counts binary"
+_ASK_SCHEMA = "bucket int, chunk long, data binary"
 _SHARD_SCHEMA = "bucket int, entries long, bits binary, histogram binary, word_high binary, word_low binary, word_counts binary, tokens long"
 
 
@@ -149,7 +154,7 @@ def _inside(grams: np.ndarray, ends: np.ndarray, n: int) -> np.ndarray:
     return grams[keep]
 
 
-def _shard(order: int, base: float, bits: int, bits_per_entry: int, max_bits: int):
+def _shard(order: int, base: float, bits: int, bits_per_entry: int):
     """Makes a bucket's shard of the filter, and keeps the exact counts of its words."""
 
     def run(table: pa.Table) -> pa.Table:
@@ -167,9 +172,8 @@ def _shard(order: int, base: float, bits: int, bits_per_entry: int, max_bits: in
         key, level = np.concatenate(keys), np.concatenate(level_of)
         entries = int(level.sum())
         size = 64
-        while size < min(entries * bits_per_entry, max_bits):
+        while size < entries * bits_per_entry:
             size *= 2
-        size = min(size, max_bits)
         field = np.zeros(size, dtype=bool)
         j = 1
         while len(key):
@@ -202,7 +206,7 @@ def _words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class CountFilter:
-    """The broadcast log-frequency filter; counts() reads quantised counts by probing."""
+    """The log-frequency filter, or some of its shards; counts() reads quantised counts by probing."""
 
     def __init__(self, shards: list[tuple[int, bytes]], bits: int, base: float):
         self.bits, self.base = bits, base
@@ -217,9 +221,18 @@ class CountFilter:
         self.stands_for = level_counts(base)
 
     def counts(self, h: np.ndarray) -> np.ndarray:
+        return self.stands_for[self.levels(h)]
+
+    def levels(self, h: np.ndarray) -> np.ndarray:
         bucket, key = _split(h, self.bits)
-        size, at = self.size[bucket], self.at[bucket]
-        level = np.zeros(len(h), np.int64)
+        return self._probe(key, self.size[bucket], self.at[bucket])
+
+    def levels_of_key(self, key: np.ndarray) -> np.ndarray:
+        """Levels in the first shard."""
+        return self._probe(key, np.full(len(key), self.size[0]), np.full(len(key), self.at[0]))
+
+    def _probe(self, key: np.ndarray, size: np.ndarray, at: np.ndarray) -> np.ndarray:
+        level = np.zeros(len(key), np.int64)
         left = np.flatnonzero(size)
         j = 1
         while len(left) and j < len(self.stands_for):
@@ -231,59 +244,177 @@ class CountFilter:
             left = left[hit]
             level[left] = j
             j += 1
-        return self.stands_for[level]
+        return level
 
 
-def _scorer(filt, hot, order: int, growth: list[float], tokens: int, vocabulary: int):
-    """Scores texts; tokens outside the hot words leave as a list of hashes, to be joined."""
-    total = float(tokens + vocabulary + 1)
+class Answers:
+    """The levels of a chunk's n-grams, as its shards gave them; counts() is that of the filter."""
+
+    def __init__(self, grams: np.ndarray, level: np.ndarray, stands_for: np.ndarray):
+        self.grams, self.level, self.stands_for = grams, level, stands_for
+
+    def counts(self, h: np.ndarray) -> np.ndarray:
+        return self.stands_for[self.level[np.searchsorted(self.grams, h)]]
+
+
+def _grams(texts: pa.Array, order: int) -> np.ndarray:
+    """Sorted distinct hashes of all that scoring these texts reads from the filter."""
+    found = []
+    for part in slices(pa.RecordBatch.from_arrays([texts], names=["text"]), 0):
+        w = hash_words(part.column(0))
+        whole = np.concatenate([[END], np.insert(w.hashes, w.bounds[1:], END)])
+        found.append(np.unique(np.concatenate([whole, *(combine(whole, n) for n in range(2, order + 1))])))
+    return np.unique(np.concatenate(found))
+
+
+def _pack_keys(keys: np.ndarray) -> bytes:
+    """Sorted keys of 40 bits, their highest bytes first, which compress well."""
+    return keys.view(np.uint8).reshape(-1, 8)[:, 4::-1].T.tobytes()
+
+
+def _unpack_keys(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // 5, 8), np.uint8)
+    out[:, 4::-1] = np.frombuffer(data, np.uint8).reshape(5, -1).T
+    return out.view(np.uint64).reshape(-1)
+
+
+def _chunker(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each slice of rows: a list for each column."""
+    for batch in batches:
+        for part in slices(batch, batch.num_columns - 1, most=_CHUNK_BYTES):
+            if part.num_rows:
+                at = pa.array([0, part.num_rows], pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(at, x) for x in part.columns], names=part.schema.names)
+
+
+def _asker(order: int, bits: int):
+    """The distinct n-grams of each chunk, one row for each bucket that they fall into."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, chunk in enumerate(batch.column(0).to_pylist()):
+                grams = _grams(batch.column(1)[i].values, order)
+                bucket, key = _split(grams, bits)
+                at = np.flatnonzero(np.diff(bucket, prepend=-1))
+                data = [_pack_keys(key[s:e]) for s, e in zip(at, [*at[1:], len(key)], strict=True)]
+                arrays = [pa.array(bucket[at].astype(np.int32)), pa.array(np.full(len(at), chunk, np.int64)), pa.array(data, pa.binary())]
+                yield pa.RecordBatch.from_arrays(arrays, names=["bucket", "chunk", "data"])
+            give_back()
+
+    return run
 
+
+def _answerer(base: float):
+    """Levels of what was asked; a bucket's shard, if it has one, comes before its questions."""
+
+    def answer(f: CountFilter | None, asked: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+        keys = [_unpack_keys(data) for _, _, data in asked]
+        key = np.concatenate(keys)
+        level = (np.zeros(len(key)) if f is None else f.levels_of_key(key)).astype(np.uint8)
+        data = [x.tobytes() for x in np.split(level, np.cumsum([len(k) for k in keys])[:-1])]
+        bucket, chunk, _ = zip(*asked, strict=True)
+        arrays = [pa.array(bucket, pa.int32()), pa.array(chunk, pa.int64()), pa.array(data, pa.binary())]
+        return pa.RecordBatch.from_arrays(arrays, names=["bucket", "chunk", "data"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, f, asked, size = None, None, [], 0
+        for batch in batches:
+            for bucket, chunk, data in zip(*(batch.column(i) for i in range(3)), strict=True):
+                b, c, d = bucket.as_py(), chunk.as_py(), data.as_py()
+                if asked and (b != at or size >= _ASK_BYTES):
+                    yield answer(f, asked)
+                    asked, size = [], 0
+                if b != at:
+                    at, f = b, None
+                if c < 0:
+                    f = CountFilter([(0, d)], 0, base)
+                else:
+                    asked.append((b, c, d))
+                    size += len(d)
+            give_back()
+        if asked:
+            yield answer(f, asked)
+
+    return run
+
+
+def _chunk_scorer(hot, stands_for: np.ndarray, order: int, growth: list[float], tokens: int, vocabulary: int):
+    """Scores chunks; a chunk's texts come before its answers, and these in order of their buckets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, level = None, []
+        names = ["id", "is_train", "text"]
+
+        def done() -> Iterator[pa.RecordBatch]:
+            if part is not None:
+                f = Answers(_grams(part.column(2), order), np.frombuffer(b"".join(level), np.uint8), stands_for)
+                for some in slices(part, 2):
+                    yield _scores(some, f, *hot.value, order, growth, tokens, vocabulary)
+
+        for batch in batches:
+            for i, bucket in enumerate(batch.column(0).to_pylist()):
+                if bucket < 0:
+                    yield from done()
+                    part, level = pa.RecordBatch.from_arrays([batch.column(c)[i].values for c in (3, 4, 5)], names=names), []
+                else:
+                    level.append(batch.column(2)[i].as_py())
+            give_back()
+        yield from done()
+
+    return run
+
+
+def _scorer(filt, hot, order: int, growth: list[float], tokens: int, vocabulary: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        f: CountFilter = filt.value
-        hot_words, hot_counts = hot.value
         for batch in batches:
             for part in slices(batch, batch.num_columns - 1):
-                w = hash_words(part.column(part.num_columns - 1))
-                n_docs = len(w.bounds) - 1
-                seq = np.insert(w.hashes, w.bounds[1:], END)
-                bounds = w.bounds + np.arange(n_docs + 1)
-                u, back = np.unique(seq, return_inverse=True)
-                c1 = f.counts(u)
-                prob = ((c1 + 1) / total)[back]
-                for n in range(2, order + 1):
-                    if n == 2:
-                        c_h = np.concatenate([f.counts(np.array([END])), c1[back][:-1]])
-                        c = f.counts(combine(np.concatenate([[END], seq]), 2))
-                        ok = np.ones(len(seq), bool)
-                    else:
-                        ok = np.arange(len(seq)) - np.repeat(bounds[:-1], np.diff(bounds)) >= n - 2
-                        at = np.flatnonzero(ok)
-                        whole = np.concatenate([[END], seq])
-                        c, c_h = np.zeros(len(seq)), np.zeros(len(seq))
-                        c[at] = f.counts(combine(whole, n)[at + 2 - n])
-                        c_h[at] = f.counts(combine(whole[:-1], n - 1)[at + 2 - n])
-                    c_h = np.maximum(c_h, c)  # quantised counts and false hits can't make more than certainty
-                    seen = ok & (c_h > 0)
-                    t_h = np.maximum(c_h, 1) ** growth[n - 2]
-                    prob = np.where(seen, (np.minimum(c, c_h) + t_h * prob) / np.maximum(c_h + t_h, 1), prob)
-                score = np.add.reduceat(np.log10(prob), bounds[:-1]) if n_docs else np.zeros(0)
-                at = np.minimum(np.searchsorted(hot_words, u), max(len(hot_words) - 1, 0))
-                is_hot = hot_words[at] == u if len(hot_words) else np.zeros(len(u), bool)
-                exact = np.where(is_hot, hot_counts[at] if len(hot_words) else 0, 0)
-                logs = np.log10((exact + 1) / total)
-                hot_token = is_hot[back]
-                base = np.add.reduceat(np.where(hot_token, logs[back], 0.0), bounds[:-1]) if n_docs else np.zeros(0)
-                known = np.add.reduceat(hot_token.astype(np.int64), bounds[:-1]) if n_docs else np.zeros(0, np.int64)
-                cold = np.flatnonzero(~hot_token)
-                lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(cold, bounds).astype(np.int32)), pa.array(seq[cold].view(np.int64)))
-                yield pa.RecordBatch.from_arrays(
-                    [*part.columns[:-1], pa.array(np.diff(bounds)), pa.array(known), pa.array(base), pa.array(score), lists],
-                    names=[*part.schema.names[:-1], "n_tokens", "n_known", "base_score", "score", "cold"],
-                )
+                yield _scores(part, filt.value, *hot.value, order, growth, tokens, vocabulary)
 
     return run
 
 
+def _scores(part: pa.RecordBatch, f: CountFilter | Answers, hot_words: np.ndarray, hot_counts: np.ndarray, order: int, growth: list[float], tokens: int, vocabulary: int) -> pa.RecordBatch:
+    """Scores texts; tokens outside the hot words leave as a list of hashes, to be joined."""
+    total = float(tokens + vocabulary + 1)
+    w = hash_words(part.column(part.num_columns - 1))
+    n_docs = len(w.bounds) - 1
+    seq = np.insert(w.hashes, w.bounds[1:], END)
+    bounds = w.bounds + np.arange(n_docs + 1)
+    u, back = np.unique(seq, return_inverse=True)
+    c1 = f.counts(u)
+    prob = ((np.minimum(c1, tokens) + 1) / total)[back]  # quantised counts can exceed all tokens
+    for n in range(2, order + 1):
+        if n == 2:
+            c_h = np.concatenate([f.counts(np.array([END])), c1[back][:-1]])
+            c = f.counts(combine(np.concatenate([[END], seq]), 2))
+            ok = np.ones(len(seq), bool)
+        else:
+            ok = np.arange(len(seq)) - np.repeat(bounds[:-1], np.diff(bounds)) >= n - 2
+            at = np.flatnonzero(ok)
+            whole = np.concatenate([[END], seq])
+            c, c_h = np.zeros(len(seq)), np.zeros(len(seq))
+            c[at] = f.counts(combine(whole, n)[at + 2 - n])
+            c_h[at] = f.counts(combine(whole[:-1], n - 1)[at + 2 - n])
+        c_h = np.maximum(c_h, c)  # quantised counts and false hits can't make more than certainty
+        seen = ok & (c_h > 0)
+        t_h = np.maximum(c_h, 1) ** growth[n - 2]
+        prob = np.where(seen, (np.minimum(c, c_h) + t_h * prob) / np.maximum(c_h + t_h, 1), prob)
+    score = np.add.reduceat(np.log10(prob), bounds[:-1]) if n_docs else np.zeros(0)
+    at = np.minimum(np.searchsorted(hot_words, u), max(len(hot_words) - 1, 0))
+    is_hot = hot_words[at] == u if len(hot_words) else np.zeros(len(u), bool)
+    exact = np.where(is_hot, hot_counts[at] if len(hot_words) else 0, 0)
+    logs = np.log10((exact + 1) / total)
+    hot_token = is_hot[back]
+    base = np.add.reduceat(np.where(hot_token, logs[back], 0.0), bounds[:-1]) if n_docs else np.zeros(0)
+    known = np.add.reduceat(hot_token.astype(np.int64), bounds[:-1]) if n_docs else np.zeros(0, np.int64)
+    cold = np.flatnonzero(~hot_token)
+    lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(cold, bounds).astype(np.int32)), pa.array(seq[cold].view(np.int64)))
+    return pa.RecordBatch.from_arrays(
+        [*part.columns[:-1], pa.array(np.diff(bounds)), pa.array(known), pa.array(base), pa.array(score), lists],
+        names=[*part.schema.names[:-1], "n_tokens", "n_known", "base_score", "score", "cold"],
+    )
+
+
 def successor_growth(histories: np.ndarray, distinct: int, stands_for: np.ndarray) -> float:
     """g in (0, 1) for which the histories' count ** g add up to the number of distinct n-grams."""
     n, c = histories[1:], stands_for[1 : len(histories)]
@@ -319,17 +450,16 @@ def score_documents(
     # as many buckets as keep each within a few MB of counts, whatever the corpus
     size = learn.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = min(max(math.ceil(math.log2(max(size, 1) / _BUCKET_BYTES * order)), 4), 16)
-    max_bits = 1 << int(math.log2(max(max_filter_bytes * 8 >> bits, 64)))
     counted = learn.mapInArrow(_counter(order, bits), _COUNT_SCHEMA)
     shards = materialize(
-        counted.groupBy("bucket").applyInArrow(_shard(order, quantisation, bits, bits_per_entry, max_bits), _SHARD_SCHEMA), "lm-shards"
+        counted.groupBy("bucket").applyInArrow(_shard(order, quantisation, bits, bits_per_entry), _SHARD_SCHEMA), "lm-shards"
     )
 
     stands_for = level_counts(quantisation)
     histogram = np.zeros((order, _LEVELS), np.int64)
-    fields, tokens = [], 0
-    for r in shards.select("bucket", "bits", "histogram", "tokens").toLocalIterator():
-        fields.append((r.bucket, bytes(r.bits)))
+    tokens, filter_bytes = 0, 0
+    for r in shards.select(F.octet_length("bits").alias("size"), "histogram", "tokens").toLocalIterator():
+        filter_bytes += r.size
         histogram += np.frombuffer(bytes(r.histogram), np.int64).reshape(order, _LEVELS)
         tokens += r.tokens
     vocabulary = int(histogram[0].sum())
@@ -341,7 +471,6 @@ def score_documents(
     got = words.where(F.col("n") >= threshold).toArrow()
     hot_w, hot_n = got.column("word").to_numpy().view(np.uint64), got.column("n").to_numpy()
     by = np.argsort(hot_w)
-    filt = spark.sparkContext.broadcast(CountFilter(fields, bits, quantisation))
     hot = spark.sparkContext.broadcast((hot_w[by], hot_n[by]))
 
     id_type = rows.schema["id"].dataType
@@ -349,7 +478,18 @@ def score_documents(
         [T.StructField("id", id_type), T.StructField("is_train", T.BooleanType()), T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType())]
         + [T.StructField("base_score", T.DoubleType()), T.StructField("score", T.DoubleType()), T.StructField("cold", T.ArrayType(T.LongType()))]
     )
-    scored = rows.mapInArrow(_scorer(filt, hot, order, growth, tokens, vocabulary), schema)
+    if filter_bytes <= max_filter_bytes:
+        fields = [(r.bucket, bytes(r.bits)) for r in shards.select("bucket", "bits").toLocalIterator()]
+        filt = spark.sparkContext.broadcast(CountFilter(fields, bits, quantisation))
+        scored = rows.mapInArrow(_scorer(filt, hot, order, growth, tokens, vocabulary), schema)
+    else:
+        lists = T.StructType([T.StructField(f.name, T.ArrayType(f.dataType)) for f in rows.schema])
+        chunks = materialize(rows.mapInArrow(_chunker, lists).withColumn("chunk", F.monotonically_increasing_id()), "lm-chunks")
+        asked = chunks.select("chunk", "text").mapInArrow(_asker(order, bits), _ASK_SCHEMA)
+        asked = shards.select("bucket", F.lit(-1).cast("long").alias("chunk"), F.col("bits").alias("data")).unionByName(asked)
+        answers = asked.repartition("bucket").sortWithinPartitions("bucket", "chunk").mapInArrow(_answerer(quantisation), _ASK_SCHEMA)
+        both = chunks.select(F.lit(-1).alias("bucket"), "chunk", F.lit(None).cast("binary").alias("data"), *rows.columns).unionByName(answers, allowMissingColumns=True)
+        scored = both.repartition("chunk").sortWithinPartitions("chunk", "bucket").mapInArrow(_chunk_scorer(hot, stands_for, order, growth, tokens, vocabulary), schema)
     scored = materialize(scored.withColumn("row", F.monotonically_increasing_id()), "lm-scored")
     total = F.lit(float(tokens + vocabulary + 1))
     cold = (

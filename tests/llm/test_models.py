@@ -44,6 +44,21 @@ def test_nothing_to_learn_from(spark):
     assert lm_score.score_documents(docs.limit(0), F.lit(True)).count() == 0
 
 
+@pytest.mark.parametrize("order", [2, 3])
+def test_filter_beyond_what_may_be_broadcast(spark, order):
+    texts = [" ".join(f"w{(i * j * j + i) % (50 + 7 * i)}" for j in range(30 + i)) for i in range(120)] + [None, "", "new words here"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    train = F.col("doc_id") % 3 != 2
+    got = [lm_score.score_documents(docs, train, order=order, max_filter_bytes=most).collect() for most in (64 << 20, 64)]
+    assert sorted(got[0]) == sorted(got[1]) and len(got[0]) == len(texts)
+    assert all(r.score < 0 for r in got[1])
+
+
+def test_probability_of_a_frequent_word_is_at_most_1(spark):
+    docs = spark.createDataFrame([(i, " ".join(["a"] * 8)) for i in range(50)], "doc_id long, text string")
+    assert all(r.score <= 0 for r in lm_score.score_documents(docs, F.lit(True)).collect())
+
+
 def test_filter_holds_quantised_counts():
     stands = lm_score.level_counts(1.5)
     assert [stands[lm_score.levels(__import__("numpy").array([c]), 1.5)[0]] for c in (0, 1, 2, 3)] == [0, 1, 2, 3]
