@@ -7,11 +7,11 @@ widths being zero-padded to the longest.  A document's log probabilities are the
 windows, weighted by their numbers of letter bytes; no part of a text is left out.
 
 The network is trained on the driver, on a bounded sample: about ``per_language`` documents of
-each language and two windows of each.  Its size does not depend on the data.
+each language and two windows of each.  Every language is learned, in whatever script; with more than
+``_FULL_SAMPLES`` languages the sample of each is smaller, ``_LEAST_SAMPLE`` at least, so that the driver's work stays bounded.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0; so is every text if there is nothing to learn
-from; with one language only, every text with a letter is of that language with score 1.  Languages beyond
-the ``max_languages`` most frequent are not learned.  Equal probabilities go to the language first in order.  Repeated
+from; with one language only, every text with a letter is of that language with score 1.  Equal probabilities go to the language first in order.  Repeated
 rows are predicted alike; no other columns are read.
 """
 
@@ -33,6 +33,7 @@ UNDETERMINED = "und"
 WINDOW = 256
 WIDTHS = (2, 3, 4, 5)
 _FILTERS, _DIM, _WIDE = 12, 8, max(WIDTHS)
+_FULL_SAMPLES, _LEAST_SAMPLE = 64, 50
 _LETTER = re.compile(r"[^\W\d_]")
 
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -130,10 +131,12 @@ class ByteCnn:
                     q -= lr * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
 
 
-def train(docs: DataFrame, *, id_column: str, text_column: str, lang_column: str, per_language: int = 2500, max_languages: int = 64) -> ByteCnn | None:
+def train(docs: DataFrame, *, id_column: str, text_column: str, lang_column: str, per_language: int = 2500) -> ByteCnn | None:
     """A network for the languages of ``docs``, from about per_language documents of each; None without any."""
-    rows = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"), F.col(lang_column).cast("string").alias("lang")).where("lang is not null and text rlike '[^\\\\W\\\\d_]'")
-    some = labelled_sample(rows, "lang", "id", per_language, max_languages)
+    rows = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"), F.col(lang_column).cast("string").alias("lang")).where("lang is not null and text rlike '\\\\p{L}'")
+    languages = rows.select("lang").distinct().count()
+    per_language = min(per_language, max(per_language * _FULL_SAMPLES // max(languages, 1), _LEAST_SAMPLE))
+    some = labelled_sample(rows, "lang", "id", per_language, None)
     spread = F.greatest(F.length("text") - WINDOW, F.lit(1))
     spots = [F.substr("text", (F.pmod(F.xxhash64("id", F.lit(i)), spread) + 1).cast("int"), F.lit(WINDOW + _WIDE)) for i in range(2)]
     got = some.select("id", "lang", F.array(*spots).alias("w")).orderBy("id", "lang").toArrow()
@@ -146,7 +149,7 @@ def train(docs: DataFrame, *, id_column: str, text_column: str, lang_column: str
     # one window of each substring: its first WINDOW bytes
     rows_of, owner = windows(data, offsets)
     firsts = np.flatnonzero(np.diff(owner, prepend=-1))
-    target = np.array([labels.index(x) for x in lang])[owner[firsts] // 2]
+    target = np.searchsorted(np.array(labels, object), np.array(lang, object))[owner[firsts] // 2]
     net = ByteCnn(labels)
     if len(labels) > 1:
         net.fit(rows_of[firsts], target)

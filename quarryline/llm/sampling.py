@@ -13,13 +13,18 @@ from .store import materialize
 _UNIT = 1 << 30
 
 
-def labelled_sample(rows: DataFrame, label: str, key: str, per_label: int, max_labels: int = 64) -> DataFrame:
-    """About ``per_label`` rows of each of the ``max_labels`` most frequent labels, chosen by a hash of ``key``.
+def labelled_sample(rows: DataFrame, label: str, key: str, per_label: int, max_labels: int | None = 64) -> DataFrame:
+    """About ``per_label`` rows of each of the ``max_labels`` most frequent labels (None: all), chosen by a hash of ``key``.
 
     Labels are counted over all rows first, so a label with a third of all rows gives no
     more rows than a rare one.  The choice depends on the rows alone: reruns agree.
     """
-    counts = rows.where(F.col(label).isNotNull()).groupBy(label).count().orderBy(F.desc("count"), label).limit(max_labels).collect()
+    counted = rows.where(F.col(label).isNotNull()).groupBy(label).count()
+    if max_labels is None:
+        rates = counted.select(label, F.least(F.lit(1.0), F.lit(per_label) / F.col("count")).alias("__rate"))
+        chosen = F.pmod(F.xxhash64(F.col(key), F.lit("sample")), F.lit(_UNIT)) < F.col("__rate") * _UNIT
+        return rows.join(F.broadcast(rates), label).where(chosen).select(*rows.columns)
+    counts = counted.orderBy(F.desc("count"), label).limit(max_labels).collect()
     rate = F.lit(0.0)
     for r in counts:
         rate = F.when(F.col(label) == F.lit(r[0]), min(1.0, per_label / r[1])).otherwise(rate)

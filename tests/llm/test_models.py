@@ -85,6 +85,22 @@ def test_language_without_languages(spark):
     assert (r.lang_pred, r.score) == ("en", 1.0)
 
 
+def test_languages_of_other_scripts_are_learned(spark):
+    words = {"en": "the cat and some other words of a text", "ru": "и это слова другого текста на русском языке", "zh": "这是 一个 中文 文本 其他 的 词语"}
+    rows = [(i, " ".join(w.split()[(i * j + j) % 7] for j in range(20)), lang) for i in range(40) for lang, w in words.items()]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = lang_id.train(docs, id_column="doc_id", text_column="text", lang_column="lang")
+    assert model.labels == ["en", "ru", "zh"]
+    assert all(r.lang == r.lang_pred for r in lang_id.identify(docs, model).collect())
+
+
+def test_more_than_64_languages_are_learned(spark):
+    rows = [(k * 3 + i, f"word{k} text of {k}", f"l{k:02}") for k in range(70) for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = lang_id.train(docs, id_column="doc_id", text_column="text", lang_column="lang")
+    assert model.labels == [f"l{k:02}" for k in range(70)]
+
+
 @pytest.mark.parametrize(("module", "label"), [(quality, "quality"), (toxicity, "toxic")])
 def test_labels_on_held_out_documents(spark, sf_dir, module, label):
     sf_dir = sf_dir.replace("sf0.001", "sf0.01")  # the smallest tables have a handful of toxic labels
