@@ -1,7 +1,7 @@
 """Operator 4, benchmark decontamination by SimHash windows.
 
 For every benchmark item of L words, every window of L words of every document is a
-candidate place.  Items and windows have 64-bit SimHash fingerprints of their weighted word shingles; a
+candidate place; a document of fewer words is one window as a whole.  Items and windows have 64-bit SimHash fingerprints of their weighted word shingles; a
 window is compared with the items of its length whose fingerprints lie within ``radius``
 bits.  These are found by a multi-index: fingerprints are cut into ``BLOCKS`` blocks, and two
 within the radius agree in some block up to ``radius // BLOCKS`` bits, so that looking up one block's value in a
@@ -139,9 +139,9 @@ class Items:
             shared = np.where(hit, self.weight[at], 0)
             reach = np.concatenate([[0], np.cumsum(shared)])
             for c, (length, n, ids, index, bags, lightest) in enumerate(self.classes):
-                m = n - length + 1  # shingles of a window
-                if length != k or len(hashes) < m:
+                if length != k:
                     continue
+                m = min(n - length + 1, len(hashes))  # shingles of a window; a shorter text is one window
                 starts = np.flatnonzero(100 * (reach[m:] - reach[:-m]) >= self.percent * lightest)
                 for part in _regions(starts, m):
                     a, z = int(part[0]), int(part[-1]) + m
@@ -154,7 +154,7 @@ class Items:
                         both = sum(min(x, bags[e][h]) for h, x in bag.items() if h in bags[e])
                         union = sum(bag.values()) + sum(bags[e].values()) - both
                         if 100 * both >= self.percent * union:
-                            found = (-both / union, s, n, int(d))
+                            found = (-both / union, s, m + length - 1, int(d))
                             if (c, e) not in best or found < best[c, e]:
                                 best[c, e] = found
         for (c, e), (similarity, s, n, d) in best.items():

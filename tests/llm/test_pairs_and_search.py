@@ -136,6 +136,23 @@ def test_leaks_by_brute_force(spark):
     assert decontaminate.find_leaks(d.limit(0), b).count() == 0 and decontaminate.find_leaks(d, b.limit(0)).count() == 0
 
 
+def test_documents_shorter_than_an_item(spark):
+    rng = random.Random(9)
+    items = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(n)) for n in (15, 30, 59, 4)]
+    docs = [" ".join(t.split()[a : len(t.split()) - z]) for t in items for a, z in ((0, 1), (1, 0), (1, 2), (9, 4))] + ["", "w1"]
+    d = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    b = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (round(r.similarity, 9), r.start_word, r.n_words) for r in decontaminate.find_leaks(d, b).collect()}
+    want = {}
+    for i, t in enumerate(docs):
+        for j, q in enumerate(items):
+            s, k = shingle_set(t, min(5, len(q.split()))), shingle_set(q, min(5, len(q.split())))
+            # all shingles are in one item, so they weigh the same
+            if s and 100 * len(s & k) >= 75 * len(s | k):
+                want[i, j] = (round(len(s & k) / len(s | k), 9), 0, len(t.split()))
+    assert got == want and {(0, 0), (1, 0), (4, 1), (8, 2), (10, 2)} <= set(got)
+
+
 def test_multi_index_misses_nothing():
     rng = np.random.default_rng(3)
     base = rng.integers(0, 1 << 63, 40, dtype=np.uint64)
