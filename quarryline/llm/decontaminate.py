@@ -8,7 +8,9 @@ within the radius agree in some block up to ``radius // BLOCKS`` bits, so that l
 table of all values that close misses none.  Candidates are verified by the exact weighted Jaccard similarity
 of the two multisets of shingles.
 
-A shingle weighs the more the fewer items hold it.  Windows whose shared weight cannot reach the
+A shingle weighs the more the fewer of all items hold it; those that fewer than one item in ``_RARE`` holds weigh
+alike, so that at most ``_RARE`` times an item's length of shingles weigh less, and their table can be broadcast.  It is
+counted by Spark once, over the whole benchmark, so verdicts do not depend on waves.  Windows whose shared weight cannot reach the
 threshold are passed over before their fingerprints are made: similarity is at most the weight of the window's
 shingles that any item holds, over the lightest item of that length.  That drops no match, and leaves most texts with
 one lookup for each word.
@@ -34,12 +36,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .store import materialize
 from .words import SHINGLE, combine, hash_words, shingles, slices
 
 _U = np.uint64
 BLOCKS = 5
 _EDGES = [round(64 * i / BLOCKS) for i in range(BLOCKS + 1)]
 _REGION = 20_000
+_RARE = 1000
 _SHIFTS = np.arange(64, dtype=np.uint64)
 
 
@@ -57,6 +61,11 @@ def simhash(hashes: np.ndarray, weights: np.ndarray) -> int:
     return int(_pack(_votes(hashes, weights).sum(axis=0, keepdims=True))[0])
 
 
+def weigh(items: int, holding: int) -> int:
+    """A whole-number weight, so that sums are exact in any order, of a shingle that ``holding`` of all ``items`` hold."""
+    return max(1, round(16 * math.log(1 + min(items / max(holding, 1), _RARE))))
+
+
 class MultiIndex:
     """Finds all of its fingerprints within ``radius`` bits."""
 
@@ -89,9 +98,12 @@ class MultiIndex:
 
 
 class Items:
-    """A wave of benchmark items, ready to be matched."""
+    """A wave of benchmark items, ready to be matched.
 
-    def __init__(self, ids: list, texts: pa.Array, size: int, percent: int, radius: int):
+    ``total`` counts all items; ``common`` has the hashes of shingles that weigh less than the rarest, sorted, and how many items hold each.
+    """
+
+    def __init__(self, ids: list, texts: pa.Array, size: int, percent: int, radius: int, total: int, common: tuple[np.ndarray, np.ndarray]):
         self.size, self.percent, self.radius = size, percent, radius
         w = hash_words(texts)
         held = []  # (id, words, shingles)
@@ -99,11 +111,10 @@ class Items:
             words = w.of(i)
             if len(words):
                 held.append((ids[i], len(words), shingles(words, size)))
-        among = Counter(int(h) for _, _, s in held for h in set(s.tolist()))
-        self.known = np.array(sorted(among), np.uint64)
-        #: whole-number weights, so that sums are exact in any order
-        self.weight = np.array([self._weigh(len(held), among[h]) for h in self.known.tolist()], np.int64)
-        self.new = self._weigh(len(held), 1)
+        self.new = weigh(total, 1)
+        self.common, self.common_weight = common[0], np.array([weigh(total, n) for n in common[1].tolist()], np.int64)
+        self.known = np.unique(np.concatenate([np.zeros(0, np.uint64), *(s for _, _, s in held)]))
+        self.weight = self.weights(self.known)
         # shingle length (short items have shorter ones), words, items of that many words
         self.classes: list[tuple[int, int, list, MultiIndex, list, int]] = []
         for n in sorted({n for _, n, _ in held}):
@@ -112,13 +123,11 @@ class Items:
             index = MultiIndex(np.array([simhash(s, self.weights(s)) for _, s in some], np.uint64), radius)
             self.classes.append((min(n, size), n, [i for i, _ in some], index, bags, min(sum(b.values()) for b in bags)))
 
-    @staticmethod
-    def _weigh(items: int, holding: int) -> int:
-        return max(1, round(16 * math.log(1 + items / holding)))
-
     def weights(self, hashes: np.ndarray) -> np.ndarray:
-        at = np.minimum(np.searchsorted(self.known, hashes), len(self.known) - 1)
-        return np.where(self.known[at] == hashes, self.weight[at], self.new)
+        if not len(self.common):
+            return np.full(len(hashes), self.new)
+        at = np.minimum(np.searchsorted(self.common, hashes), len(self.common) - 1)
+        return np.where(self.common[at] == hashes, self.common_weight[at], self.new)
 
     def bag(self, hashes: np.ndarray) -> Counter:
         """Summed weight of every different shingle."""
@@ -146,7 +155,7 @@ class Items:
                 for part in _regions(starts, m):
                     a, z = int(part[0]), int(part[-1]) + m
                     sums = np.zeros((z - a + 1, 64), np.int64)
-                    np.cumsum(_votes(hashes[a:z], np.where(hit[a:z], shared[a:z], self.new)), axis=0, out=sums[1:])
+                    np.cumsum(_votes(hashes[a:z], self.weights(hashes[a:z])), axis=0, out=sums[1:])
                     prints = _pack(sums[part - a + m] - sums[part - a])
                     for q, e, d in zip(*index.find(prints), strict=True):
                         s = int(part[q])
@@ -168,6 +177,31 @@ def _regions(starts: np.ndarray, m: int) -> Iterator[np.ndarray]:
         yield from np.split(starts, cut)
 
 
+def _item_shingles(size: int):
+    """One row for each different shingle of an item, and one null for each item that has words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in slices(whole, 0):
+                w = hash_words(b.column(0))
+                held = [np.unique(shingles(w.of(i), size)).view(np.int64) for i in range(len(b)) if len(w.of(i))]
+                hashes = pa.concat_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *held])), pa.nulls(len(held), pa.int64())])
+                yield pa.RecordBatch.from_arrays([hashes], names=["shingle"])
+
+    return run
+
+
+def common_shingles(items: DataFrame, size: int) -> tuple[int, tuple[np.ndarray, np.ndarray]]:
+    """How many items have words, and the shingles that weigh less than the rarest with the number of items that hold them."""
+    counts = items.select("text").mapInArrow(_item_shingles(size), "shingle long").groupBy("shingle").agg(F.count("*").alias("n"))
+    counts = materialize(counts.where("n > 1 or shingle is null"), "item-shingles")
+    total = (counts.where("shingle is null").agg(F.max("n")).first()[0]) or 0
+    got = counts.where(F.col("shingle").isNotNull() & (F.col("n") > total / _RARE)).select("shingle", "n").toArrow()
+    shingle, n = got.column("shingle").to_numpy().view(np.uint64), got.column("n").to_numpy()
+    by = np.argsort(shingle)
+    return total, (shingle[by], n[by])
+
+
 def _matcher(items):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         it: Items = items.value
@@ -210,10 +244,11 @@ def find_leaks(
         [T.StructField("id", rows.schema["id"].dataType), T.StructField("item_id", item_type), T.StructField("start_word", T.LongType())]
         + [T.StructField("n_words", T.LongType()), T.StructField("distance", T.LongType()), T.StructField("similarity", T.DoubleType())]
     )
+    total, common = common_shingles(items, size)
     found = None
     for wave in range(waves):
         got = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(waves)) == wave).orderBy("item", "text").toArrow()
-        held = Items(got.column("item").to_pylist(), got.column("text"), size, percent, radius)
+        held = Items(got.column("item").to_pylist(), got.column("text"), size, percent, radius, total, common)
         if held.classes:
             part = rows.mapInArrow(_matcher(spark.sparkContext.broadcast(held)), schema)
             found = part if found is None else found.unionByName(part)
