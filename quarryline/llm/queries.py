@@ -25,15 +25,14 @@ def op2_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP2_SQL = """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+  SELECT vec_id, embedding, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
   FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), s AS (
   SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
          CAST(list_inner_product(CAST(q.e AS DOUBLE[]), CAST(c.e AS DOUBLE[])) AS BIGINT) AS score
-  FROM v AS q JOIN v AS c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e)
-  WHERE q.vec_id % 100 = 0
+  FROM (SELECT DISTINCT vec_id, embedding, e FROM v WHERE vec_id % 100 = 0) AS q JOIN v AS c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e)
 ), r AS (
   SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
   FROM s
@@ -103,7 +102,7 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
 
 
 def op8_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    manifest = token_records.write_records(_table(spark, sf_dir, "documents"), tokenizer=tokenizer_path())
+    manifest = token_records.write_records(_table(spark, sf_dir, "documents"), tokenizer=tokenizer_path)
     return token_records.read_records(spark, manifest)
 
 

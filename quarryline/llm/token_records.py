@@ -22,7 +22,9 @@ from the tasks' own reports, names the files that count.  A lost executor only m
 Encoding is exact but saves work: the pre-tokenizer never joins a
 non-space with a following space or line feed, so a text is cut there and every
 distinct piece is encoded once for each worker's cache.  Cut pieces are found and compared
-by 64-bit hashes in numpy.
+by 64-bit hashes in numpy.  Control tokens in a text (``<|endoftext|>``) are encoded as the tokenizer's file says, to their
+own id, unless ``plain_specials`` asks for them to be read as ordinary text; a vocabulary
+whose control tokens hold or take in white space is never cut.
 
 Defined results: a null or empty text is a record of the end id alone; repeated
 ids each keep their record, in order of a hash of their texts; null ids come first, as Spark sorts them; an empty table
@@ -32,7 +34,8 @@ makes no files and no rows.  Texts are encoded whole, whatever their length.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -50,6 +53,7 @@ _WIDE, _NULL_ID = 2, 1
 _U = np.uint64
 _CHUNK = 1 << 18
 _CACHE_IDS = 6_000_000
+_READ_BYTES = 8 << 20
 
 _rng = np.random.default_rng(81)
 _TABLE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * _U(2) + _U(1)
@@ -84,19 +88,21 @@ def _tables(n: int):
 class Encoder:
     """Token ids of texts, by way of a cache of pieces."""
 
-    def __init__(self, path: str, cache_ids: int = _CACHE_IDS):
+    def __init__(self, path: str, cache_ids: int = _CACHE_IDS, plain_specials: bool = False):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_padding()
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = plain_specials
         self.cache_ids = cache_ids
+        added = self.tokenizer.get_added_tokens_decoder()
+        self.cuts = not any(t.lstrip or t.rstrip or any(c.isspace() for c in t.content) for t in added.values())
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.dtype = np.uint16 if size <= 1 << 16 else np.uint32
         # bytes of each token: in a byte-level vocabulary every character stands for one byte
         self.width = np.zeros(size, np.int64)
         for token, i in self.tokenizer.get_vocab(with_added_tokens=True).items():
-            self.width[i] = len(token)
+            self.width[i] = len(token.encode()) if i in added else len(token)
         self._clear()
 
     def _clear(self) -> None:
@@ -111,11 +117,15 @@ class Encoder:
         for s in range(0, len(starts), 4096):
             b, e = starts[s : s + 4096], ends[s : s + 4096]
             # pieces that begin with a space or line feed after a solid end may follow one another in one text
-            solid = ends_solid[e[:-1] - 1] & _SPACE[data[b[1:]]] if len(b) > 1 else np.zeros(0, bool)
+            solid = ends_solid[e[:-1] - 1] & _SPACE[data[b[1:]]] & self.cuts if len(b) > 1 else np.zeros(0, bool)
             cut = [0, *(np.flatnonzero(~solid) + 1), len(b)]
             for i, j in zip(cut[:-1], cut[1:], strict=True):
                 raw = b"".join(data[x:y].tobytes() for x, y in zip(b[i:j], e[i:j], strict=True))
                 got = np.asarray(self.tokenizer.encode(raw.decode("utf-8"), add_special_tokens=False).ids, np.int64)
+                if j == i + 1:
+                    ids.append(got.astype(self.dtype))
+                    counts.append(np.array([len(got)]))
+                    continue
                 reach = np.cumsum(self.width[got])
                 upto = np.searchsorted(reach, np.cumsum(e[i:j] - b[i:j]), side="left") + 1
                 ids.append(got.astype(self.dtype))
@@ -130,7 +140,8 @@ class Encoder:
             return np.zeros(0, self.dtype), np.zeros(len(offsets), np.int64)
         begin = np.zeros(total, bool)
         ends_solid = solid_ends(data)
-        begin[1:] = _SPACE[data[1:]] & ends_solid[:-1]
+        if self.cuts:
+            begin[1:] = _SPACE[data[1:]] & ends_solid[:-1]
         begin[offsets[:-1][np.diff(offsets) > 0]] = True
         starts = np.flatnonzero(begin)
         ends = np.append(starts[1:], total)
@@ -167,14 +178,15 @@ class Encoder:
         return out, np.concatenate([[0], reach])[np.searchsorted(starts, offsets)]
 
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[tuple[str, bool], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
-    """One for each Python worker, whose bounded cache lasts over its tasks."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+def encoder(tokenizer: str | Callable[[], str], plain_specials: bool) -> Encoder:
+    """One for each Python worker, whose bounded cache lasts over its tasks; a path is looked up where the task runs."""
+    key = (tokenizer if isinstance(tokenizer, str) else tokenizer(), plain_specials)
+    if key not in _encoders:
+        _encoders[key] = Encoder(key[0], plain_specials=plain_specials)
+    return _encoders[key]
 
 
 def frame(payload: bytes) -> bytes:
@@ -193,7 +205,7 @@ def read_frame(data, at: int) -> tuple[memoryview, int]:
     return payload, at + 16 + n
 
 
-def _writer(folder: str, tokenizer: str, end_id: int):
+def _writer(folder: str, tokenizer: str | Callable[[], str], end_id: int, plain_specials: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -205,7 +217,7 @@ def _writer(folder: str, tokenizer: str, end_id: int):
         for batch in batches:
             for rows in slices(batch, 1, most=3 << 20):
                 if sink is None:
-                    enc = encoder(tokenizer)
+                    enc = encoder(tokenizer, plain_specials)
                     where, base = fs.FileSystem.from_uri(folder)
                     where.create_dir(base, recursive=True)
                     name = f"part-{part:06d}-{task.taskAttemptId()}"
@@ -236,19 +248,31 @@ def _writer(folder: str, tokenizer: str, end_id: int):
 
 
 def write_records(
-    docs: DataFrame, folder: str | None = None, *, id_column: str = "doc_id", text_column: str = "text", tokenizer: str, end_id: int = 0, partitions: int | None = None
+    docs: DataFrame,
+    folder: str | None = None,
+    *,
+    id_column: str = "doc_id",
+    text_column: str = "text",
+    tokenizer: str | Callable[[], str],
+    end_id: int = 0,
+    plain_specials: bool = False,
+    file_bytes: int = 256 << 20,
+    partitions: int | None = None,
 ) -> DataFrame:
     """Encode ``docs`` and write them in ascending order of id; returns the manifest (part, path, records, tokens).
 
-    ``partitions`` is the number of files (default: the session's shuffle partitions).
+    ``tokenizer`` is a path that every machine has, or a function that finds it, called in the tasks.  ``partitions`` is
+    the number of files; by default as many as hold ``file_bytes`` of text each, and the session's shuffle partitions at least.
     """
     spark = docs.sparkSession
     folder = folder or new_path(spark, "token-records")
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if not partitions:
+        size = docs.agg(F.sum(F.octet_length(text_column))).first()[0] or 0
+        partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / file_bytes))
     rows = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"))
     order = ("id", F.xxhash64("text"), "text")
-    ordered = rows.repartitionByRange(n, *order[:2]).sortWithinPartitions(*order)
-    return materialize(ordered.mapInArrow(_writer(folder, tokenizer, end_id), MANIFEST_SCHEMA), "token-manifest")
+    ordered = rows.repartitionByRange(partitions, *order[:2]).sortWithinPartitions(*order)
+    return materialize(ordered.mapInArrow(_writer(folder, tokenizer, end_id, plain_specials), MANIFEST_SCHEMA), "token-manifest")
 
 
 def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -260,8 +284,8 @@ def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 index = np.frombuffer(f.read(), np.uint64).reshape(-1, 2).astype(np.int64)
             start = 0
             with where.open_input_file(base + ".rec") as f:
-                for s in range(0, len(index), 2000):
-                    some = index[s : s + 2000]
+                cut = np.flatnonzero(np.diff(index[:, 0] // _READ_BYTES, prepend=-1))
+                for some in np.split(index, cut[1:]) if len(index) else []:
                     data = f.read_at(int(some[-1].sum() - some[0, 0]), int(some[0, 0]))
                     cols: list[list] = [[], [], [], []]
                     for at, _ in some - [some[0, 0], 0]:

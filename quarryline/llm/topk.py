@@ -2,8 +2,8 @@
 
 Vectors are quantised to whole numbers, ``floor(scale * x)``, and scored by the inner product.
 
-* Queries are taken in waves of ``wave_rows`` in order of id, so that what is broadcast
-  is bounded by ``wave_rows * dimensions * 8`` bytes; each wave reads the vectors once.
+* Queries, each distinct (id, vector) once, are dealt by hash into as many waves as keep what is broadcast
+  near ``wave_bytes``; each wave reads the vectors once.  Results do not depend on the waves.
 * A task multiplies tiles of ``tile_rows`` vectors with tiles of ``tile_rows``
   queries, and keeps for each query the best k of tile and list so far.
 * Each task's lists are merged as a tree: groups of ``fan_in`` tasks to one list per query,
@@ -141,7 +141,7 @@ def top_k(
     vector_column: str = "embedding",
     k: int = 10,
     scale: int = 1024,
-    wave_rows: int = 65536,
+    wave_bytes: int = 64 << 20,
     tile_rows: int = 1024,
     fan_in: int = 16,
 ) -> DataFrame:
@@ -149,22 +149,19 @@ def top_k(
     spark = vectors.sparkSession
     rows = vectors.select(F.col(id_column).cast("long").alias("id"), F.col(vector_column).alias("embedding"))
     queries = vectors.where(is_query & F.col(id_column).isNotNull() & F.col(vector_column).isNotNull()).select(F.col(id_column).cast("long").alias("id"), F.col(vector_column).alias("embedding"))
-    found, last = [], None
-    while True:
-        left = queries if last is None else queries.where(F.col("id") > last)
-        wave = left.orderBy("id").limit(wave_rows).toArrow().combine_chunks()
-        if not wave.num_rows:
-            break
-        ids = wave.column(0).to_numpy()
-        if wave.num_rows == wave_rows and ids[0] != ids[-1]:  # an id's rows stay in one wave
-            wave = wave.filter(pa.array(ids != ids[-1]))
-            ids = wave.column(0).to_numpy()
-        last = int(ids[-1])
+    queries = materialize(queries.distinct().withColumn("deal", F.pmod(F.xxhash64("id", "embedding", F.lit("wave")), F.lit(1 << 30))), "top-queries")
+    size = queries.agg(F.sum(8 + 8 * F.size("embedding").cast("long"))).first()[0] or 0
+    waves = -(-size * 5 // (4 * wave_bytes))  # a quarter more, for what a hash deals unevenly
+    found = []
+    for w in range(waves):
+        wave = queries.where(F.col("deal") % waves == w).select("id", "embedding").orderBy("id", "embedding").toArrow().combine_chunks()
         usable: dict[int, tuple[list, list]] = {}
         for b in wave.to_batches():
             for n, (i, x) in quantised(b, scale).items():
                 usable.setdefault(n, ([], []))[0].append(i)
                 usable[n][1].append(x)
+        if not usable:
+            continue
         tiles = spark.sparkContext.broadcast({n: (np.concatenate(i), np.concatenate(x)) for n, (i, x) in usable.items()})
         found.append(materialize(rows.mapInArrow(_searcher(tiles, k, tile_rows, scale), _LIST_SCHEMA), "top-lists"))
     if not found:
