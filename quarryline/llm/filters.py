@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark import Broadcast
@@ -9,24 +11,39 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_BITS = 24
+#: The least and the most slots of a bitmap, as powers of two: 2 MB to 64 MB.
+_BITS, _MOST_BITS = 24, 29
+_TOP = 62
+
+
+def unused(name: str, *frames: DataFrame) -> str:
+    """``name``, or the first of ``name_``, ``name__`` ... that is no column of the frames."""
+    taken = {c.lower() for df in frames for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def slot(column: str) -> Column:
-    """The bitmap slot of an id."""
-    return F.pmod(F.xxhash64(F.col(column)), F.lit(1 << _BITS))
+    """A hash of an id; a bitmap takes its low bits."""
+    return F.pmod(F.xxhash64(F.col(f"`{column}`")), F.lit(1 << _TOP))
 
 
 def held(bitmap: np.ndarray, slots: np.ndarray) -> np.ndarray:
     """Which slots are set."""
+    slots = slots & (8 * len(bitmap) - 1)
     return bitmap[slots >> 3] >> (slots & 7).astype(np.uint8) & 1 == 1
 
 
 def ids_bitmap(ids: DataFrame) -> Broadcast:
-    """The set slots of all ids in ``ids`` (its first column): 2 ** 24 bits (2 MB), whatever their number; Spark builds it from all of them."""
-    one = slot(ids.columns[0]) + 1  # Spark's bitmap functions number values from 1
+    """The set slots of all ids in ``ids`` (its first column): 8 bits or more for each id, within 2 to 64 MB; Spark builds it from all of them.
+
+    Beyond some 60 million ids the bitmap fills, and lets ever more rows pass that the exact joins behind it then drop.
+    """
+    bits = min(max(_BITS, math.ceil(math.log2(8 * max(ids.count(), 1)))), _MOST_BITS)
+    one = slot(ids.columns[0]) % (1 << bits) + 1  # Spark's bitmap functions number values from 1
     rows = ids.groupBy(F.bitmap_bucket_number(one).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(one)).alias("v")).collect()
-    field = np.zeros((1 << _BITS) // 8, np.uint8)
+    field = np.zeros((1 << bits) // 8, np.uint8)
     for r in rows:
         at = (r.k - 1) * 4096
         field[at : at + 4096] = np.frombuffer(bytes(r.v), np.uint8)
@@ -46,17 +63,17 @@ def may_hold(id_column: str, ids: DataFrame) -> Column:
 
 def drop_ids(docs: DataFrame, ids: DataFrame, *, id_column: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` whose id is not in ``ids`` (its first column); rows without an id stay."""
-    suspect = may_hold(id_column, ids)
-    gone = ids.select(F.col(ids.columns[0]).alias("__gone")).distinct()
-    return docs.where(~suspect).unionByName(docs.where(suspect).join(gone, F.col(id_column) == F.col("__gone"), "left_anti"))
+    suspect, name = may_hold(id_column, ids), unused("gone", docs)
+    gone = ids.select(F.col(ids.columns[0]).alias(name)).distinct()
+    return docs.where(~suspect).unionByName(docs.where(suspect).join(gone, F.col(f"`{id_column}`") == F.col(name), "left_anti"))
 
 
 def keep_one(docs: DataFrame, ids: DataFrame, *, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """``docs`` with one row, the first by text, of each id in ``ids`` (its first column); other rows stay as they are."""
-    suspect = may_hold(id_column, ids)
-    several = ids.select(F.col(ids.columns[0]).alias("__several")).distinct()
-    some = docs.where(suspect).join(several, F.col(id_column) == F.col("__several"), "left")
+    suspect, mark, no = may_hold(id_column, ids), unused("several", docs), unused("no", docs)
+    several = ids.select(F.col(ids.columns[0]).alias(mark)).distinct()
+    some = docs.where(suspect).join(several, F.col(f"`{id_column}`") == F.col(mark), "left")
     first = F.row_number().over(Window.partitionBy(id_column).orderBy(F.col(text_column)))
-    once = some.where("__several is not null").withColumn("__no", first).where("__no = 1")
-    stay = some.where("__several is null").unionByName(once.drop("__no")).drop("__several")
+    once = some.where(F.col(mark).isNotNull()).withColumn(no, first).where(F.col(no) == 1)
+    stay = some.where(F.col(mark).isNull()).unionByName(once.drop(no)).drop(mark)
     return docs.where(~suspect).unionByName(stay)

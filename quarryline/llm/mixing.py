@@ -14,7 +14,7 @@ source with a third of all rows is no larger than its number of different sizes.
 The multipliers themselves stay a table, written to the shared folder after each step.
 
 Rates become copies by error diffusion.  The documents of a source are dealt into blocks by a hash of id and
-text, so that no block grows with its source.  Within a block documents go from long to short, and each takes
+text, and more equal rows than a block holds also by their number, so that no block grows with its source.  Within a block documents go from long to short, and each takes
 the whole number next to its rate, above or below, that brings the words taken so far closest to
 the words due so far; so a block misses its share by about half its shortest documents' size.  Reruns give the same
 copies, since nothing depends on the order of rows.
@@ -37,6 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .filters import unused
 from .store import materialize
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -135,6 +136,20 @@ def _diffuse(table: pa.Table) -> pa.Table:
     return table.select(["row"]).append_column("copies", pa.array(copies))
 
 
+def _number(rows: DataFrame) -> DataFrame:
+    """``rows(source, tie, row)`` with a number from 0 among those of one source and tie.
+
+    ``row`` holds its partition in its high bits; rows are numbered within a partition, after the counts of those before.
+    """
+    rows = rows.withColumn("part", F.shiftright("row", 33))
+    before = Window.partitionBy("source", "tie").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    upto = rows.groupBy("source", "tie", "part").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    upto = upto.select(F.col("source").alias("s"), F.col("tie").alias("t"), F.col("part").alias("p"), "before")
+    inside = rows.withColumn("k", F.row_number().over(Window.partitionBy("source", "tie", "part").orderBy("row")) - 1)
+    met = inside.join(upto, F.col("source").eqNullSafe(F.col("s")) & (F.col("tie") == F.col("t")) & (F.col("part") == F.col("p")))
+    return met.select("row", (F.col("before") + F.col("k")).alias("number"))
+
+
 def mix(
     docs: DataFrame,
     *,
@@ -159,7 +174,16 @@ def mix(
     of = materialize(of.select(F.col("source").alias("of"), "blocks", "source_size", "target", "scale", "tilt", "full"), "mix-of")
     x = F.col("size") / F.col("scale")
     rate = F.when(F.col("size") == 0, 1.0).when(F.col("full"), float(cap)).when(F.col("target") <= 0, 0.0).otherwise(F.least(F.lit(float(cap)), F.exp(F.col("tilt") * x)))
-    rated = rows.join(of, F.col("source").eqNullSafe(F.col("of"))).withColumn("rate", rate).withColumn("block", F.pmod("tie", "blocks"))
+    rated = rows.join(of, F.col("source").eqNullSafe(F.col("of"))).withColumn("rate", rate)
+    often = materialize(rows.groupBy("source", "tie").count().where(F.col("count") > block_rows).select(F.col("source").alias("of_source"), F.col("tie").alias("of_tie")), "mix-often")
+    if often.isEmpty():
+        rated = rated.withColumn("block", F.pmod("tie", "blocks"))
+    else:
+        same = F.col("source").eqNullSafe(F.col("of_source")) & (F.col("tie") == F.col("of_tie"))
+        numbered = _number(rows.join(often, same).select("source", "tie", "row")).select(F.col("row").alias("of_row"), "number")
+        rated = rated.join(numbered, F.col("row") == F.col("of_row"), "left")
+        block = F.pmod(F.col("tie") + F.coalesce(F.floor(F.col("number") / block_rows), F.lit(0)), F.col("blocks"))
+        rated = rated.withColumn("block", block).drop("of_row", "number")
     copies = rated.groupBy("source", "block").applyInArrow(lambda t: _diffuse(t.select(["row", "size", "rate", "tie"])), "row long, copies long")
     out = rated.join(copies, "row")
     return out.select(F.col("id").alias(id_column), "source", "size", "source_size", "target", "rate", "copies", "tie")
@@ -170,8 +194,9 @@ def repeat_rows(docs: DataFrame, mixed: DataFrame, *, id_column: str = "doc_id",
 
     Rows meet by a hash of id and text; rows that repeat both are told apart by number.
     """
-    by_tie = Window.partitionBy("__tie").orderBy(F.lit(0))
-    rows = docs.withColumn("__tie", F.xxhash64(F.col(id_column), F.col(text_column))).withColumn("__no", F.row_number().over(by_tie))
-    taken = mixed.select(F.col("tie").alias("__tie"), F.col("copies").alias("__copies")).withColumn("__no", F.row_number().over(by_tie))
-    met = rows.join(taken.where("__copies > 0"), ["__tie", "__no"])
-    return met.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*(F.col(f"`{c}`") for c in docs.columns))
+    tie, no, copies, copy = (unused(x, docs) for x in ("tie", "no", "copies", "copy"))
+    by_tie = Window.partitionBy(tie).orderBy(F.lit(0))
+    rows = docs.withColumn(tie, F.xxhash64(F.col(id_column), F.col(text_column))).withColumn(no, F.row_number().over(by_tie))
+    taken = mixed.select(F.col("tie").alias(tie), F.col("copies").alias(copies)).withColumn(no, F.row_number().over(by_tie))
+    met = rows.join(taken.where(F.col(copies) > 0), [tie, no])
+    return met.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies).cast("int")))).select(*(F.col(f"`{c}`") for c in docs.columns))
