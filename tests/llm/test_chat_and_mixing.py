@@ -88,6 +88,36 @@ def test_mix_meets_targets(spark):
     assert out.columns == docs.columns and out.count() == sum(r.copies for r in got)
 
 
+def test_many_equal_rows_are_dealt_into_blocks(spark):
+    docs = spark.range(3000).select(F.lit(7).cast("long").alias("doc_id"), F.when(F.col("id") < 1000, "a").otherwise("b").alias("source"), F.lit("w w w").alias("text"))
+    for parts in (1, 6):
+        mixed = mixing.mix(docs.repartition(parts), block_rows=100)
+        taken = {r.source: (r.t, r.n) for r in mixed.groupBy("source").agg(F.sum(F.col("copies") * F.col("size")).alias("t"), F.count("*").alias("n")).collect()}
+        assert {s: n for s, (_, n) in taken.items()} == {"a": 1000, "b": 2000}
+        assert abs(taken["a"][0] - 3000) <= 90 and abs(taken["b"][0] - 6000) <= 90
+
+
+def test_very_long_texts_are_mixed_and_formatted(spark):
+    docs = spark.createDataFrame([(1, "a", "w " * 1_000_000), (2, "a", "x" * 3_000_000), (3, "b", "w w")], "doc_id long, source string, text string")
+    assert sorted((r.doc_id, r.size) for r in mixing.mix(docs).collect()) == [(1, 1_000_000), (2, 1), (3, 2)]
+    text = "<turn>\\" * 300_000
+    turns = spark.createDataFrame([(1, 0, "user", text), (1, 1, "assistant", text)], "conv_id long, turn long, role string, text string")
+    r = chat_format.digest(chat_format.expand(turns)).first()
+    assert (r.n_turns, r.loss_chars, r.loss_sha256) == (2, len(text), hashlib.sha256(text.encode()).hexdigest())
+
+
+def test_stages_with_clashing_names(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(60)
+    names = ["tie", "no", "copies", "copy", "gone", "several", "found_lang", "found_score", "id", "row", "slot", "size", "rate", "block", "cls", "n"]
+    docs = docs.select("*", *(F.lit(7).alias(x) for x in names))
+    docs = docs.unionByName(docs.orderBy("doc_id").limit(2)).cache()
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, sf_dir)
+        assert out.columns == docs.columns and {tuple(r) for r in out.select(*names).distinct().collect()} <= {(7,) * len(names)}
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir).count() == docs.count()
+    docs.unpersist()
+
+
 def test_mix_of_nothing(spark):
     docs = spark.createDataFrame([], "doc_id long, source string, text string")
     assert mixing.mix(docs).count() == 0

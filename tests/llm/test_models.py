@@ -124,9 +124,35 @@ def test_one_kind_of_label_or_none(spark, module):
         assert len(scores) == 6 and all(least - 1e-9 <= s <= most for s in scores)
 
 
+def test_time_grows_with_the_length_of_a_word():
+    import time
+
+    m = toxicity.LetterModel(Counter({"idiot": 50, "the": 900}))
+    for word in ("a" + "=" * 1_000_000 + "a", "a" + "!" * 1_000_000 + "!a", "a" + "!" * 1_000_000, "1d10t" * 40_000, "=" * 1_000_000):
+        t = time.process_time()
+        toxicity.readings(word, m)
+        assert time.process_time() - t < 20
+    t = time.process_time()
+    assert len(toxicity.readings("the" * 30_000, m, spelled=True)) > 10_000 and time.process_time() - t < 20
+
+
+@pytest.mark.parametrize(("module", "label"), [(quality, "quality"), (toxicity, "toxic")])
+def test_repeated_rows_and_empty_tables(spark, module, label):
+    texts = {0: "a fine day for you all", 1: "you are an 1d10t and a moron"}
+    docs = spark.createDataFrame([(i, texts[i % 2], "clash") for i in range(20)] + [(3, texts[1], "clash")] * 3, "doc_id long, text string, score string")
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(20)] * 2, "doc_id long, quality int, toxic int")
+    model = module.train(docs, labels)
+    got = module.score(docs, model, keep=["doc_id"]).collect()
+    assert len(got) == 23 and len({r.score for r in got if r.doc_id % 2}) == 1
+    assert module.score(docs.limit(0), model, keep=["doc_id"]).count() == 0
+    nothing = module.train(docs.limit(0), labels.limit(0))
+    assert {r.score for r in module.score(docs, nothing, keep=["doc_id"]).collect()} == {0.5}
+
+
 def test_restoring_words():
     m = toxicity.LetterModel(Counter({"idiot": 50, "moron": 40, "clown": 50, "worthless": 30, "pathetic": 40, "stupid": 30, "the": 900, "thing": 100, "attion": 50}))
     written = {"1d10t": "idiot", "id*ot": "idiot", "m0r0n!": "moron", "i.d.i.o.t": "idiot", "w0rthle$$": "worthless", "iiidiooot": "idiot", "P@thetic,": "pathetic", "THING!!": "thing", "the&&&": "the", "attion": "attion", "12.5": ""}
     assert {w: toxicity.restore(w, m) for w in written} == written
+    assert "idiot" in toxicity.readings("!diot", m) and {"the", "moron"} <= set(toxicity.readings("themoron", m, spelled=True))
     got = list(toxicity.documents_words(pa.array(["you s t u p i d thing", None, ""]), lambda w: toxicity.restore(w, m)))
     assert [n for n, _, _ in got] == [8, 0, 0] and "stupid" in got[0][1]

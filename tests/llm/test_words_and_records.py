@@ -15,6 +15,7 @@ from quarryline.llm.words import hash_words, shingles
 
 ENCODER = token_records.Encoder(tokenizer_path())
 TEXTS = st.lists(st.one_of(st.none(), st.text(alphabet=st.sampled_from(list("abAB é \t\n\x1c 日.'1")), max_size=30)), max_size=8)
+MARKED = st.lists(st.lists(st.sampled_from(["<|endoftext|>", "<|endof", "text|>", " ", "  ", "\n", "a", "b c", "é", "日"]), max_size=12).map("".join), max_size=6)
 
 
 @settings(max_examples=150, deadline=None)
@@ -42,18 +43,31 @@ def test_short_texts_are_one_shingle():
     assert len(shingles(w.of(0))) == 1 and len(shingles(w.of(1))) == 2 and shingles(w.of(0)) == shingles(w.of(2))
 
 
-@settings(max_examples=40, deadline=None)
-@given(TEXTS)
+@settings(max_examples=80, deadline=None)
+@given(st.one_of(TEXTS, MARKED))
 def test_encoder_equals_the_library(texts):
     from tokenizers import Tokenizer
 
     whole = Tokenizer.from_file(tokenizer_path())
-    whole.encode_special_tokens = True
     ids, at = ENCODER.encode(pa.array(texts, pa.string()))
     for d, t in enumerate(texts):
         assert ids[at[d] : at[d + 1]].tolist() == whole.encode(t or "", add_special_tokens=False).ids
 
 
+def test_control_tokens():
+    text = pa.array(["x <|endoftext|> y"])
+    assert ENCODER.encode(text)[0].tolist() == [87, 220, 50256, 331]
+    assert 50256 not in token_records.Encoder(tokenizer_path(), plain_specials=True).encode(text)[0].tolist()
+
+
+def test_very_long_texts_are_encoded_whole():
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(tokenizer_path())
+    for text in ("ab" * 100_000, "some words, é 12 " * 60_000):
+        assert ENCODER.encode(pa.array([text]))[0].tolist() == whole.encode(text, add_special_tokens=False).ids
+
+
 def test_frames_notice_damage():
     data = token_records.frame(b"abc") + token_records.frame(b"")
     first, at = token_records.read_frame(data, 0)
@@ -66,9 +80,9 @@ def test_records_round_trip(spark):
     from tokenizers import Tokenizer
 
     whole = Tokenizer.from_file(tokenizer_path())
-    rows = [(5, "five five"), (1, None), (3, ""), (5, "another five"), (None, "no id"), (2, "é " * 3000)]
+    rows = [(5, "five five"), (1, None), (3, ""), (5, "another five"), (None, "no id"), (2, "é " * 3000), (7, "x <|endoftext|> y"), (8, "long " * 900_000), (9, "after")]
     docs = spark.createDataFrame([(i, t, "clash", 9) for i, t in rows], "doc_id long, text string, start string, n_tokens int")
-    got = token_records.read_records(spark, token_records.write_records(docs, tokenizer=tokenizer_path(), partitions=3)).orderBy("start").collect()
+    got = token_records.read_records(spark, token_records.write_records(docs, tokenizer=tokenizer_path, partitions=3)).orderBy("start").collect()
     by_hash = lambda t: (xxhash.xxh64(t.encode(), seed=42).intdigest() + (1 << 63)) % (1 << 64) if t is not None else 42 + (1 << 63)
     order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, by_hash(r[1])))
     at = 0
