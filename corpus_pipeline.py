@@ -28,8 +28,9 @@ MIN_LANGUAGE_SCORE = 0.3
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = lang_id.train(docs, id_column="doc_id", text_column="text", lang_column="lang")
-    found = lang_id.identify(docs, model, pred_column="__lang", score_column="__score")
-    kept = found.where((F.col("__lang") != lang_id.UNDETERMINED) & (F.col("__score") >= MIN_LANGUAGE_SCORE))
+    lang, score = filters.unused("found_lang", docs), filters.unused("found_score", docs)
+    found = lang_id.identify(docs, model, pred_column=lang, score_column=score)
+    kept = found.where((F.col(lang) != lang_id.UNDETERMINED) & (F.col(score) >= MIN_LANGUAGE_SCORE))
     return kept.select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
@@ -52,7 +53,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def token_records_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return token_records.read_records(spark, token_records.write_records(docs, tokenizer=tokenizer_path()))
+    return token_records.read_records(spark, token_records.write_records(docs, tokenizer=tokenizer_path))
 
 
 STAGES = [
