@@ -2,27 +2,28 @@
 
 Counts of all n-grams of the training documents are quantised on a log scale
 and stored in a Bloom filter: an n-gram of level q is inserted q times, as
-(n-gram, 1) .. (n-gram, q).  The filter is broadcast, and a scorer reads a
-count back by probing levels 1, 2, ... until one is absent.  The probabilities
-are interpolated in Witten-Bell's way:
+(n-gram, 1) .. (n-gram, q).  A scorer reads a level back by probing 1, 2, ...
+until one is absent.  The probabilities are interpolated in Witten-Bell's way:
 
-    P(w | v) = (c(v w) + t(v) * P(w)) / (c(v) + t(v)),  t(v) = c(v) ** g
+    P(w | v) = (low(v w) + t(v) * P(w)) / (high(v) + t(v)),  t(v) = high(v) ** g
+    P(w) = (low(w) + 1) / (sum of low over all words + V + 1)
 
-and P(w) = (c(w) + 1) / (N + V + 1).  t(v) stands for the number of different
-successors of v; g is set so that these add up to the number of different
-n-grams in the corpus.  All c() here are the filter's quantised counts.
+low() and high() are the least and the greatest count of an n-gram's level, so that the
+probabilities of all words, and one for all unknown ones, add up to 1 in P(w) and to 1 at most in P(w | v).
+t(v) stands for the number of different successors of v; g is set so that these add up to
+the number of different n-grams in the corpus.
 
-How it is laid out:
+How it is laid out, whatever the size of the corpus:
 
 * every task counts its own n-grams in numpy and deals them out by the top
   bits of their hash, so one n-gram meets in one bucket whatever its
   frequency (a hot word is one entry for each task);
 * buckets are as many as the corpus needs, so that each stays small, and each
   makes its own shard of the filter, of ``bits_per_entry`` or more for each entry;
-* shards of ``max_filter_bytes`` or less together are broadcast.  Beyond that
-  they stay where they are: texts are put into chunks, each chunk's distinct
-  n-grams travel to their shards, and the levels that they have there travel back.
-  The scores are the same;
+* the filter of the frequent n-grams (``hot_count`` or more; a higher count where that would not
+  fit ``max_filter_bytes``) is broadcast.  An n-gram that it does not show to be frequent is asked where its shard
+  is: texts are put into chunks, each chunk's distinct n-grams travel to their shards, and their levels travel
+  back.  Broadcasting all would need about a byte for each different n-gram, which grows with the corpus;
 * exact unigram counts, which the base score needs, stay a distributed table.
   Words above a frequency threshold (``hot_words`` entries at most) are
   broadcast; every other token is joined to the table by Spark.
@@ -37,8 +38,10 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -53,13 +56,14 @@ END = _U(0x51AFD7ED558CCD6D)
 _LEVELS = 128
 _PROBES = 4
 _FLUSH = 6_000_000
-_BUCKET_BYTES = 8 << 20
+_BUCKET_BYTES = 24 << 20
+_MOST_BITS = 21
 _CHUNK_BYTES = 4 << 20
 _ASK_BYTES = 2 << 20
 
-_COUNT_SCHEMA = "bucket int, n int, high binary, low binary, counts binary"
+_COUNT_SCHEMA = "bucket int, n int, keys binary, counts binary"
 _ASK_SCHEMA = "bucket int, chunk long, data binary"
-_SHARD_SCHEMA = "bucket int, entries long, bits binary, histogram binary, word_high binary, word_low binary, word_counts binary, tokens long"
+_SHARD_SCHEMA = "bucket int, bits binary, histogram binary, hot_keys binary, hot_levels binary, words binary, word_counts binary, tokens long"
 
 
 def levels(counts: np.ndarray, base: float) -> np.ndarray:
@@ -67,38 +71,44 @@ def levels(counts: np.ndarray, base: float) -> np.ndarray:
     return np.where(counts > 0, 1 + np.floor(np.log(np.maximum(counts, 1)) / math.log(base) + 1e-9), 0).astype(np.int64)
 
 
-def level_counts(base: float, top: int = _LEVELS) -> np.ndarray:
-    """The count that a level stands for: the middle of the whole numbers of that level."""
+def level_counts(base: float, top: int = _LEVELS) -> tuple[np.ndarray, np.ndarray]:
+    """The least and the greatest count of every level."""
     edges = base ** np.arange(top + 1)
-    first, last = np.ceil(edges[:-1] - 1e-9), np.ceil(edges[1:] - 1e-9) - 1
-    return np.concatenate([[0.0], np.maximum(1, (first + np.maximum(first, last)) / 2)])
+    low = np.ceil(edges[:-1] - 1e-9)
+    return np.concatenate([[0.0], low]), np.concatenate([[0.0], np.maximum(low, np.ceil(edges[1:] - 1e-9) - 1)])
 
 
 def _split(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket (top bits) and the 40 bits below them, which identify an n-gram within its bucket."""
-    return (h >> _U(64 - bits)).astype(np.int64), (h << _U(bits)) >> _U(24)
+    """Bucket (top bits) and the 32 bits below them, which identify an n-gram within its bucket."""
+    return (h >> _U(64 - bits)).astype(np.int64), (h << _U(bits)) >> _U(32)
 
 
-def _spots(key: np.ndarray, level: int, size: np.ndarray | int) -> Iterator[np.ndarray]:
-    """The bits of (n-gram, level) in a shard of ``size`` bits, a power of two."""
+def _pack(keys: np.ndarray) -> bytes:
+    """Keys of 32 or 64 bits by bytes, highest first: sorted ones compress well."""
+    return keys.view(np.uint8).reshape(-1, keys.itemsize)[:, ::-1].T.tobytes()
+
+
+def _unpack(data: bytes, width: int) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(width, -1)[::-1].T).view(f"<u{width}").reshape(-1).astype(np.uint64)
+
+
+def _hashes(key: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+    """The place and the step of the bits of (n-gram, level)."""
     h = mix64(key ^ _U(level * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
-    step = (h >> _U(33)) | _U(1)
-    for i in range(_PROBES):
-        yield (h + step * _U(i)) & (size - _U(1))
+    return h, (h >> _U(33)) | _U(1)
 
 
 def _emit(parts: dict[int, tuple[np.ndarray, np.ndarray]], bits: int) -> pa.RecordBatch:
-    cols: list[list] = [[], [], [], [], []]
+    cols: list[list] = [[], [], [], []]
     for n, (u, c) in parts.items():
         bucket, key = _split(u, bits)
-        key = u if n == 1 else key
-        high, low = (key >> _U(32)).astype(np.uint32 if n == 1 else np.uint8), key.astype(np.uint32)
+        key = u if n == 1 else key.astype(np.uint32)
         at = np.flatnonzero(np.diff(bucket, prepend=-1))
         for s, e in zip(at, [*at[1:], len(u)], strict=True):
-            for col, x in zip(cols, (int(bucket[s]), n, high[s:e].tobytes(), low[s:e].tobytes(), c[s:e].astype(np.uint32).tobytes()), strict=True):
+            for col, x in zip(cols, (int(bucket[s]), n, _pack(key[s:e]), c[s:e].astype(np.uint32).tobytes()), strict=True):
                 col.append(x)
-    kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(cols, kinds, strict=True)], names=["bucket", "n", "high", "low", "counts"])
+    kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(cols, kinds, strict=True)], names=["bucket", "n", "keys", "counts"])
 
 
 def _fold(chunks: list[tuple[np.ndarray, np.ndarray | None]]) -> tuple[np.ndarray, np.ndarray]:
@@ -154,62 +164,77 @@ def _inside(grams: np.ndarray, ends: np.ndarray, n: int) -> np.ndarray:
     return grams[keep]
 
 
-def _shard(order: int, base: float, bits: int, bits_per_entry: int):
-    """Makes a bucket's shard of the filter, and keeps the exact counts of its words."""
+def _bloom(key: np.ndarray, level: np.ndarray, bits_per_entry: int) -> bytes:
+    """The bits of a shard that holds each key at the levels 1 .. level."""
+    size = 64
+    while size < int(level.sum()) * bits_per_entry:
+        size *= 2
+    field = np.zeros(size, dtype=bool)
+    j = 1
+    while len(key):
+        h, step = _hashes(key, j)
+        for i in range(_PROBES):
+            field[((h + step * _U(i)) & _U(size - 1)).astype(np.int64)] = True
+        j += 1
+        keep = level >= j
+        key, level = key[keep], level[keep]
+    return np.packbits(field, bitorder="little").tobytes()
+
+
+def _shard(order: int, base: float, bits: int, bits_per_entry: int, hot_level: int):
+    """Makes a bucket's shard of the filter; keeps its frequent n-grams, and the exact counts of its words."""
 
     def run(table: pa.Table) -> pa.Table:
         got: dict[int, list] = {}
-        for n, high, low, counts in zip(*(table.column(c).to_pylist() for c in ("n", "high", "low", "counts")), strict=True):
-            key = np.frombuffer(high, np.uint32 if n == 1 else np.uint8).astype(np.uint64) << _U(32) | np.frombuffer(low, np.uint32)
-            got.setdefault(n, []).append((key, np.frombuffer(counts, np.uint32).astype(np.int64)))
-        words, word_counts = _fold(got[1]) if 1 in got else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-        keys, level_of = [_split(words, bits)[1]], [levels(word_counts, base)]
-        for n in range(2, order + 1):
-            k, c = _fold(got[n]) if n in got else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-            keys.append(k)
-            level_of.append(levels(c, base))
-        histogram = np.stack([np.bincount(x, minlength=_LEVELS) for x in level_of])
-        key, level = np.concatenate(keys), np.concatenate(level_of)
-        entries = int(level.sum())
-        size = 64
-        while size < entries * bits_per_entry:
-            size *= 2
-        field = np.zeros(size, dtype=bool)
-        j = 1
-        while len(key):
-            for spot in _spots(key, j, _U(size)):
-                field[spot.astype(np.int64)] = True
-            j += 1
-            keep = level >= j
-            key, level = key[keep], level[keep]
-        return pa.table(
-            {
-                "bucket": pa.array([table.column("bucket")[0].as_py()], pa.int32()),
-                "entries": pa.array([entries], pa.int64()),
-                "bits": pa.array([np.packbits(field, bitorder="little").tobytes()], pa.binary()),
-                "histogram": pa.array([histogram.astype(np.int64).tobytes()], pa.binary()),
-                "word_high": pa.array([(words >> _U(32)).astype(np.uint32).tobytes()], pa.binary()),
-                "word_low": pa.array([words.astype(np.uint32).tobytes()], pa.binary()),
-                "word_counts": pa.array([word_counts.tobytes()], pa.binary()),
-                "tokens": pa.array([int(word_counts.sum())], pa.int64()),
-            }
-        )
+        for n, keys, counts in zip(*(table.column(c).to_pylist() for c in ("n", "keys", "counts")), strict=True):
+            got.setdefault(n, []).append((_unpack(keys, 8 if n == 1 else 4), np.frombuffer(counts, np.uint32).astype(np.int64)))
+        none = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        words, word_counts = _fold(got[1]) if 1 in got else none
+        folded = [(_split(words, bits)[1], word_counts), *(_fold(got[n]) if n in got else none for n in range(2, order + 1))]
+        level_of = [levels(c, base) for _, c in folded]
+        key, level = np.concatenate([k for k, _ in folded]), np.concatenate(level_of)
+        hot = level >= hot_level
+        values = {
+            "bucket": table.column("bucket")[0].as_py(),
+            "bits": _bloom(key, level, bits_per_entry),
+            "histogram": np.stack([np.bincount(x, minlength=_LEVELS) for x in level_of]).astype(np.int64).tobytes(),
+            "hot_keys": _pack(key[hot].astype(np.uint32)),
+            "hot_levels": level[hot].astype(np.uint8).tobytes(),
+            "words": _pack(words),
+            "word_counts": word_counts.tobytes(),
+            "tokens": int(word_counts.sum()),
+        }
+        kinds = {"bucket": pa.int32(), "tokens": pa.int64()}
+        return pa.table({c: pa.array([x], kinds.get(c, pa.binary())) for c, x in values.items()})
+
+    return run
+
+
+def _hot_shards(hot_level: int, bits_per_entry: int):
+    """The part of each bucket's filter that holds its n-grams of ``hot_level`` or more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fields = []
+            for keys, level in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                key, level = _unpack(keys, 4), np.frombuffer(level, np.uint8).astype(np.int64)
+                fields.append(_bloom(key[level >= hot_level], level[level >= hot_level], bits_per_entry))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fields, pa.binary())], names=["bucket", "bits"])
 
     return run
 
 
 def _words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        for high, low, counts in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-            h = np.frombuffer(high, np.uint32).astype(np.uint64) << _U(32) | np.frombuffer(low, np.uint32)
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.frombuffer(counts, np.int64))], names=["word", "n"])
+        for words, counts in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            yield pa.RecordBatch.from_arrays([pa.array(_unpack(words, 8).view(np.int64)), pa.array(np.frombuffer(counts, np.int64))], names=["word", "n"])
 
 
 class CountFilter:
-    """The log-frequency filter, or some of its shards; counts() reads quantised counts by probing."""
+    """The log-frequency filter, or some of its shards; levels() reads quantised counts by probing."""
 
-    def __init__(self, shards: list[tuple[int, bytes]], bits: int, base: float):
-        self.bits, self.base = bits, base
+    def __init__(self, shards: list[tuple[int, bytes]], bits: int):
+        self.bits = bits
         self.size = np.zeros(1 << bits, np.uint64)
         self.at = np.zeros(1 << bits, np.uint64)
         shards = sorted(shards)
@@ -218,10 +243,6 @@ class CountFilter:
             self.size[b], self.at[b] = len(field) * 8, at * 8
             at += len(field)
         self.field = np.frombuffer(b"".join(f for _, f in shards) or bytes(8), np.uint8)
-        self.stands_for = level_counts(base)
-
-    def counts(self, h: np.ndarray) -> np.ndarray:
-        return self.stands_for[self.levels(h)]
 
     def levels(self, h: np.ndarray) -> np.ndarray:
         bucket, key = _split(h, self.bits)
@@ -235,180 +256,189 @@ class CountFilter:
         level = np.zeros(len(key), np.int64)
         left = np.flatnonzero(size)
         j = 1
-        while len(left) and j < len(self.stands_for):
-            k, z, o = key[left], size[left], at[left]
-            hit = np.ones(len(left), bool)
-            for spot in _spots(k, j, z):
-                spot += o
-                hit &= (self.field[(spot >> _U(3)).astype(np.int64)] >> (spot & _U(7)).astype(np.uint8)) & np.uint8(1) == 1
-            left = left[hit]
+        while len(left) and j < _LEVELS:
+            h, step = _hashes(key[left], j)
+            for i in range(_PROBES):
+                spot = ((h + step * _U(i)) & (size[left] - _U(1))) + at[left]
+                hit = (self.field[(spot >> _U(3)).astype(np.int64)] >> (spot & _U(7)).astype(np.uint8)) & np.uint8(1) == 1
+                left, h, step = left[hit], h[hit], step[hit]
             level[left] = j
             j += 1
         return level
 
 
-class Answers:
-    """The levels of a chunk's n-grams, as its shards gave them; counts() is that of the filter."""
-
-    def __init__(self, grams: np.ndarray, level: np.ndarray, stands_for: np.ndarray):
-        self.grams, self.level, self.stands_for = grams, level, stands_for
-
-    def counts(self, h: np.ndarray) -> np.ndarray:
-        return self.stands_for[self.level[np.searchsorted(self.grams, h)]]
-
-
-def _grams(texts: pa.Array, order: int) -> np.ndarray:
-    """Sorted distinct hashes of all that scoring these texts reads from the filter."""
-    found = []
-    for part in slices(pa.RecordBatch.from_arrays([texts], names=["text"]), 0):
-        w = hash_words(part.column(0))
-        whole = np.concatenate([[END], np.insert(w.hashes, w.bounds[1:], END)])
-        found.append(np.unique(np.concatenate([whole, *(combine(whole, n) for n in range(2, order + 1))])))
-    return np.unique(np.concatenate(found))
-
-
-def _pack_keys(keys: np.ndarray) -> bytes:
-    """Sorted keys of 40 bits, their highest bytes first, which compress well."""
-    return keys.view(np.uint8).reshape(-1, 8)[:, 4::-1].T.tobytes()
-
-
-def _unpack_keys(data: bytes) -> np.ndarray:
-    out = np.zeros((len(data) // 5, 8), np.uint8)
-    out[:, 4::-1] = np.frombuffer(data, np.uint8).reshape(5, -1).T
-    return out.view(np.uint64).reshape(-1)
-
-
-def _chunker(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row for each slice of rows: a list for each column."""
-    for batch in batches:
-        for part in slices(batch, batch.num_columns - 1, most=_CHUNK_BYTES):
-            if part.num_rows:
-                at = pa.array([0, part.num_rows], pa.int32())
-                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(at, x) for x in part.columns], names=part.schema.names)
+class ChunkGrams:
+    """A chunk's tokens, its distinct n-grams, and which of these the broadcast filter leaves to be asked.
 
+    The same texts give the same n-grams in the same order, so that the answers need no keys.
+    """
 
-def _asker(order: int, bits: int):
-    """The distinct n-grams of each chunk, one row for each bucket that they fall into."""
+    def __init__(self, texts: pa.Array, order: int, hot: CountFilter, hot_level: int):
+        w = hash_words(texts)
+        self.docs = len(w.bounds) - 1
+        self.tokens = np.insert(w.hashes, w.bounds[1:], END)
+        self.bounds = w.bounds + np.arange(self.docs + 1)
+        whole = np.concatenate([[END], self.tokens])
+        self.codes, self.distinct = zip(*(pd.factorize(self.tokens if n == 1 else combine(whole, n)) for n in range(1, order + 1)), strict=True)
+        every = np.concatenate(self.distinct)
+        self.level = hot.levels(every)
+        self.ask = np.flatnonzero(self.level < hot_level)
+        bucket, key = _split(every[self.ask], hot.bits)
+        by = np.argsort(bucket.astype(np.uint16 if hot.bits <= 16 else np.uint32), kind="stable")
+        self.ask, self.bucket, self.key = self.ask[by], bucket[by], key[by].astype(np.uint32)
+
+    def questions(self) -> Iterator[tuple[int, bytes]]:
+        """(bucket, keys) for every bucket that is asked, in order of the buckets."""
+        at = np.flatnonzero(np.diff(self.bucket, prepend=-1)).tolist()
+        for s, e in zip(at, [*at[1:], len(self.key)]):  # nothing asked: no bucket
+            yield int(self.bucket[s]), self.key[s:e].tobytes()
+
+    def answered(self, level: np.ndarray) -> list[np.ndarray]:
+        """Levels of the n-grams of each order, one for each place, given those of ``questions`` in order."""
+        self.level[self.ask] = level
+        ends = np.cumsum([len(d) for d in self.distinct])
+        return [self.level[e - len(d) : e][c] for c, d, e in zip(self.codes, self.distinct, ends, strict=True)]
+
+
+def _chunker(chunk_bytes: int):
+    """One row for each slice of rows, as a compressed Arrow stream."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        options = pa.ipc.IpcWriteOptions(compression="zstd")
         for batch in batches:
-            for i, chunk in enumerate(batch.column(0).to_pylist()):
-                grams = _grams(batch.column(1)[i].values, order)
-                bucket, key = _split(grams, bits)
-                at = np.flatnonzero(np.diff(bucket, prepend=-1))
-                data = [_pack_keys(key[s:e]) for s, e in zip(at, [*at[1:], len(key)], strict=True)]
-                arrays = [pa.array(bucket[at].astype(np.int32)), pa.array(np.full(len(at), chunk, np.int64)), pa.array(data, pa.binary())]
-                yield pa.RecordBatch.from_arrays(arrays, names=["bucket", "chunk", "data"])
-            give_back()
+            for part in slices(batch, batch.num_columns - 1, most=chunk_bytes):
+                if part.num_rows:
+                    sink = pa.BufferOutputStream()
+                    with pa.ipc.new_stream(sink, part.schema, options=options) as out:
+                        out.write_batch(part)
+                    yield pa.RecordBatch.from_arrays([pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["data"])
 
     return run
 
 
-def _answerer(base: float):
-    """Levels of what was asked; a bucket's shard, if it has one, comes before its questions."""
+def _unchunk(data: bytes) -> pa.RecordBatch:
+    return pa.ipc.open_stream(data).read_next_batch()
+
 
-    def answer(f: CountFilter | None, asked: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
-        keys = [_unpack_keys(data) for _, _, data in asked]
-        key = np.concatenate(keys)
-        level = (np.zeros(len(key)) if f is None else f.levels_of_key(key)).astype(np.uint8)
-        data = [x.tobytes() for x in np.split(level, np.cumsum([len(k) for k in keys])[:-1])]
-        bucket, chunk, _ = zip(*asked, strict=True)
-        arrays = [pa.array(bucket, pa.int32()), pa.array(chunk, pa.int64()), pa.array(data, pa.binary())]
-        return pa.RecordBatch.from_arrays(arrays, names=["bucket", "chunk", "data"])
+def _asker(order: int, hot, hot_level: int):
+    """What each chunk asks, one row for each bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, f, asked, size = None, None, [], 0
         for batch in batches:
-            for bucket, chunk, data in zip(*(batch.column(i) for i in range(3)), strict=True):
-                b, c, d = bucket.as_py(), chunk.as_py(), data.as_py()
-                if asked and (b != at or size >= _ASK_BYTES):
-                    yield answer(f, asked)
-                    asked, size = [], 0
-                if b != at:
-                    at, f = b, None
-                if c < 0:
-                    f = CountFilter([(0, d)], 0, base)
-                else:
-                    asked.append((b, c, d))
-                    size += len(d)
-            give_back()
-        if asked:
-            yield answer(f, asked)
+            for chunk, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                part = _unchunk(data.as_py())
+                asked = list(ChunkGrams(part.column(part.num_columns - 1), order, hot.value, hot_level).questions())
+                if asked:
+                    bucket, keys = zip(*asked, strict=True)
+                    arrays = [pa.array(bucket, pa.int32()), pa.array([chunk] * len(bucket), pa.int64()), pa.array(keys, pa.binary())]
+                    yield pa.RecordBatch.from_arrays(arrays, names=["bucket", "chunk", "data"])
+                give_back()
 
     return run
 
 
-def _chunk_scorer(hot, stands_for: np.ndarray, order: int, growth: list[float], tokens: int, vocabulary: int):
-    """Scores chunks; a chunk's texts come before its answers, and these in order of their buckets."""
+def _answer(f: CountFilter | None, asked: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+    keys = [np.frombuffer(data, np.uint32) for _, _, data in asked]
+    key = np.concatenate(keys).astype(np.uint64)
+    level = (np.zeros(len(key)) if f is None else f.levels_of_key(key)).astype(np.uint8)
+    data = [x.tobytes() for x in np.split(level, np.cumsum([len(k) for k in keys])[:-1])]
+    bucket, chunk, _ = zip(*asked, strict=True)
+    arrays = [pa.array(bucket, pa.int32()), pa.array(chunk, pa.int64()), pa.array(data, pa.binary())]
+    return pa.RecordBatch.from_arrays(arrays, names=["bucket", "chunk", "data"])
+
+
+def _answerer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Levels of what was asked; a bucket's shard, if it has one, comes before its questions."""
+    at, f, asked, size = None, None, [], 0
+    for batch in batches:
+        for bucket, chunk, data in zip(*(batch.column(i) for i in range(3)), strict=True):
+            b, c, d = bucket.as_py(), chunk.as_py(), data.as_py()
+            if asked and (b != at or size >= _ASK_BYTES):
+                yield _answer(f, asked)
+                asked, size = [], 0
+            if b != at:
+                at, f = b, None
+            if c < 0:
+                f = CountFilter([(0, d)], 0)
+            else:
+                asked.append((b, c, d))
+                size += len(d)
+        give_back()
+    if asked:
+        yield _answer(f, asked)
+
+
+def _scorer(hot, hot_level: int, words, model: Model):
+    """Scores chunks; a chunk comes before its answers, and these in order of their buckets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, level = None, []
-        names = ["id", "is_train", "text"]
+        chunk, level = None, []
 
         def done() -> Iterator[pa.RecordBatch]:
-            if part is not None:
-                f = Answers(_grams(part.column(2), order), np.frombuffer(b"".join(level), np.uint8), stands_for)
-                for some in slices(part, 2):
-                    yield _scores(some, f, *hot.value, order, growth, tokens, vocabulary)
+            if chunk is not None:
+                part = _unchunk(chunk)
+                grams = ChunkGrams(part.column(part.num_columns - 1), model.order, hot.value, hot_level)
+                yield _scores(part, grams, np.frombuffer(b"".join(level), np.uint8), *words.value, model)
 
         for batch in batches:
             for i, bucket in enumerate(batch.column(0).to_pylist()):
+                data = batch.column(2)[i].as_py()
                 if bucket < 0:
                     yield from done()
-                    part, level = pa.RecordBatch.from_arrays([batch.column(c)[i].values for c in (3, 4, 5)], names=names), []
+                    chunk, level = data, []
                 else:
-                    level.append(batch.column(2)[i].as_py())
+                    level.append(data)
             give_back()
         yield from done()
 
     return run
 
 
-def _scorer(filt, hot, order: int, growth: list[float], tokens: int, vocabulary: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, batch.num_columns - 1):
-                yield _scores(part, filt.value, *hot.value, order, growth, tokens, vocabulary)
-
-    return run
-
-
-def _scores(part: pa.RecordBatch, f: CountFilter | Answers, hot_words: np.ndarray, hot_counts: np.ndarray, order: int, growth: list[float], tokens: int, vocabulary: int) -> pa.RecordBatch:
+@dataclass
+class Model:
+    """What scoring needs besides the filter."""
+
+    order: int
+    base: float
+    growth: list[float]
+    tokens: int
+    vocabulary: int
+    mass: float  # the sum of the least counts of all words' levels
+
+    def probabilities(self, level: list[np.ndarray], bounds: np.ndarray) -> np.ndarray:
+        """P of every token, from the levels of the n-grams (of each order, by where they begin in START + tokens)."""
+        low, high = level_counts(self.base)
+        prob = (low[level[0]] + 1) / (self.mass + self.vocabulary + 1)
+        for n in range(2, self.order + 1):
+            if n == 2:
+                # the token before a text's first is its START, the same mark as END
+                before = np.concatenate([level[0][bounds[1] - 1 : bounds[1]], level[0][:-1]])
+                c, h, ok = low[level[1]], high[before], np.ones(len(prob), bool)
+            else:
+                ok = np.arange(len(prob)) - np.repeat(bounds[:-1], np.diff(bounds)) >= n - 2
+                at = np.flatnonzero(ok)
+                c, h = np.zeros(len(prob)), np.zeros(len(prob))
+                c[at], h[at] = low[level[n - 1][at + 2 - n]], high[level[n - 2][at + 2 - n]]
+            # a false hit can't make more than certainty, and none follows what was never seen
+            t = np.maximum(h, 1) ** self.growth[n - 2]
+            prob = np.where(ok & (h > 0), (np.minimum(c, h) + t * prob) / (h + t), prob)
+        return prob
+
+
+def _scores(part: pa.RecordBatch, grams: ChunkGrams, answers: np.ndarray, hot_words: np.ndarray, hot_counts: np.ndarray, model: Model) -> pa.RecordBatch:
     """Scores texts; tokens outside the hot words leave as a list of hashes, to be joined."""
-    total = float(tokens + vocabulary + 1)
-    w = hash_words(part.column(part.num_columns - 1))
-    n_docs = len(w.bounds) - 1
-    seq = np.insert(w.hashes, w.bounds[1:], END)
-    bounds = w.bounds + np.arange(n_docs + 1)
-    u, back = np.unique(seq, return_inverse=True)
-    c1 = f.counts(u)
-    prob = ((np.minimum(c1, tokens) + 1) / total)[back]  # quantised counts can exceed all tokens
-    for n in range(2, order + 1):
-        if n == 2:
-            c_h = np.concatenate([f.counts(np.array([END])), c1[back][:-1]])
-            c = f.counts(combine(np.concatenate([[END], seq]), 2))
-            ok = np.ones(len(seq), bool)
-        else:
-            ok = np.arange(len(seq)) - np.repeat(bounds[:-1], np.diff(bounds)) >= n - 2
-            at = np.flatnonzero(ok)
-            whole = np.concatenate([[END], seq])
-            c, c_h = np.zeros(len(seq)), np.zeros(len(seq))
-            c[at] = f.counts(combine(whole, n)[at + 2 - n])
-            c_h[at] = f.counts(combine(whole[:-1], n - 1)[at + 2 - n])
-        c_h = np.maximum(c_h, c)  # quantised counts and false hits can't make more than certainty
-        seen = ok & (c_h > 0)
-        t_h = np.maximum(c_h, 1) ** growth[n - 2]
-        prob = np.where(seen, (np.minimum(c, c_h) + t_h * prob) / np.maximum(c_h + t_h, 1), prob)
-    score = np.add.reduceat(np.log10(prob), bounds[:-1]) if n_docs else np.zeros(0)
+    bounds = grams.bounds
+    score = np.add.reduceat(np.log10(model.probabilities(grams.answered(answers), bounds)), bounds[:-1])
+    u, back = grams.distinct[0], grams.codes[0]
     at = np.minimum(np.searchsorted(hot_words, u), max(len(hot_words) - 1, 0))
     is_hot = hot_words[at] == u if len(hot_words) else np.zeros(len(u), bool)
     exact = np.where(is_hot, hot_counts[at] if len(hot_words) else 0, 0)
-    logs = np.log10((exact + 1) / total)
+    logs = np.log10((exact + 1) / float(model.tokens + model.vocabulary + 1))
     hot_token = is_hot[back]
-    base = np.add.reduceat(np.where(hot_token, logs[back], 0.0), bounds[:-1]) if n_docs else np.zeros(0)
-    known = np.add.reduceat(hot_token.astype(np.int64), bounds[:-1]) if n_docs else np.zeros(0, np.int64)
+    base = np.add.reduceat(np.where(hot_token, logs[back], 0.0), bounds[:-1])
+    known = np.add.reduceat(hot_token.astype(np.int64), bounds[:-1])
     cold = np.flatnonzero(~hot_token)
-    lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(cold, bounds).astype(np.int32)), pa.array(seq[cold].view(np.int64)))
+    lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(cold, bounds).astype(np.int32)), pa.array(grams.tokens[cold].view(np.int64)))
     return pa.RecordBatch.from_arrays(
         [*part.columns[:-1], pa.array(np.diff(bounds)), pa.array(known), pa.array(base), pa.array(score), lists],
         names=[*part.schema.names[:-1], "n_tokens", "n_known", "base_score", "score", "cold"],
@@ -434,6 +464,7 @@ def score_documents(
     order: int = 2,
     quantisation: float = 1.5,
     bits_per_entry: int = 8,
+    hot_count: int = 8,
     max_filter_bytes: int = 64 << 20,
     hot_words: int = 1_000_000,
 ) -> DataFrame:
@@ -447,49 +478,53 @@ def score_documents(
     rows = docs.select(F.col(id_column).alias("id"), F.coalesce(train, F.lit(False)).alias("is_train"), F.col(text_column).alias("text"))
     learn = rows.where("is_train").select("text")
 
-    # as many buckets as keep each within a few MB of counts, whatever the corpus
+    # as many buckets as keep each within a few MB of counts, whatever the corpus; chunks grow where buckets are very many
     size = learn.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = min(max(math.ceil(math.log2(max(size, 1) / _BUCKET_BYTES * order)), 4), 16)
+    bits = min(max(math.ceil(math.log2(max(size, 1) / _BUCKET_BYTES * order)), 4), _MOST_BITS)
+    chunk_bytes = _CHUNK_BYTES << min(max(bits - 14, 0), 4)
+    low, high = level_counts(quantisation)
+    hot_level = int(levels(np.array([hot_count]), quantisation)[0])
     counted = learn.mapInArrow(_counter(order, bits), _COUNT_SCHEMA)
     shards = materialize(
-        counted.groupBy("bucket").applyInArrow(_shard(order, quantisation, bits, bits_per_entry), _SHARD_SCHEMA), "lm-shards"
+        counted.groupBy("bucket").applyInArrow(_shard(order, quantisation, bits, bits_per_entry, hot_level), _SHARD_SCHEMA), "lm-shards"
     )
 
-    stands_for = level_counts(quantisation)
     histogram = np.zeros((order, _LEVELS), np.int64)
-    tokens, filter_bytes = 0, 0
-    for r in shards.select(F.octet_length("bits").alias("size"), "histogram", "tokens").toLocalIterator():
-        filter_bytes += r.size
+    tokens = 0
+    for r in shards.select("histogram", "tokens").toLocalIterator():
         histogram += np.frombuffer(bytes(r.histogram), np.int64).reshape(order, _LEVELS)
         tokens += r.tokens
     vocabulary = int(histogram[0].sum())
-    growth = [successor_growth(histogram[n - 2], int(histogram[n - 1].sum()), stands_for) for n in range(2, order + 1)]
+    growth = [successor_growth(histogram[n - 2], int(histogram[n - 1].sum()), high) for n in range(2, order + 1)]
+    model = Model(order, quantisation, growth, tokens, vocabulary, float((histogram[0] * low[:_LEVELS]).sum()))
+
+    # the frequent part of the filter; a shard's bits are less than twice what its entries need, and 8 bytes at least
+    entries = np.cumsum((histogram.sum(axis=0) * np.arange(_LEVELS))[::-1])[::-1]
+    while hot_level < _LEVELS - 1 and entries[hot_level] * bits_per_entry // 4 + (8 << bits) > max_filter_bytes:
+        hot_level += 1
+    hot_bits = shards.select("bucket", "hot_keys", "hot_levels").mapInArrow(_hot_shards(hot_level, bits_per_entry), "bucket int, bits binary")
+    hot = spark.sparkContext.broadcast(CountFilter([(r.bucket, bytes(r.bits)) for r in hot_bits.collect()], bits))
+
     above = np.cumsum(histogram[0][::-1])[::-1]
     first_hot = int(np.argmax(above <= hot_words))
     threshold = math.ceil(quantisation ** (first_hot - 1) - 1e-9) if first_hot else 0
-    words = shards.select("word_high", "word_low", "word_counts").mapInArrow(_words_of, "word long, n long")
+    words = shards.select("words", "word_counts").mapInArrow(_words_of, "word long, n long")
     got = words.where(F.col("n") >= threshold).toArrow()
     hot_w, hot_n = got.column("word").to_numpy().view(np.uint64), got.column("n").to_numpy()
     by = np.argsort(hot_w)
-    hot = spark.sparkContext.broadcast((hot_w[by], hot_n[by]))
+    hot_exact = spark.sparkContext.broadcast((hot_w[by], hot_n[by]))
 
     id_type = rows.schema["id"].dataType
     schema = T.StructType(
         [T.StructField("id", id_type), T.StructField("is_train", T.BooleanType()), T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType())]
         + [T.StructField("base_score", T.DoubleType()), T.StructField("score", T.DoubleType()), T.StructField("cold", T.ArrayType(T.LongType()))]
     )
-    if filter_bytes <= max_filter_bytes:
-        fields = [(r.bucket, bytes(r.bits)) for r in shards.select("bucket", "bits").toLocalIterator()]
-        filt = spark.sparkContext.broadcast(CountFilter(fields, bits, quantisation))
-        scored = rows.mapInArrow(_scorer(filt, hot, order, growth, tokens, vocabulary), schema)
-    else:
-        lists = T.StructType([T.StructField(f.name, T.ArrayType(f.dataType)) for f in rows.schema])
-        chunks = materialize(rows.mapInArrow(_chunker, lists).withColumn("chunk", F.monotonically_increasing_id()), "lm-chunks")
-        asked = chunks.select("chunk", "text").mapInArrow(_asker(order, bits), _ASK_SCHEMA)
-        asked = shards.select("bucket", F.lit(-1).cast("long").alias("chunk"), F.col("bits").alias("data")).unionByName(asked)
-        answers = asked.repartition("bucket").sortWithinPartitions("bucket", "chunk").mapInArrow(_answerer(quantisation), _ASK_SCHEMA)
-        both = chunks.select(F.lit(-1).alias("bucket"), "chunk", F.lit(None).cast("binary").alias("data"), *rows.columns).unionByName(answers, allowMissingColumns=True)
-        scored = both.repartition("chunk").sortWithinPartitions("chunk", "bucket").mapInArrow(_chunk_scorer(hot, stands_for, order, growth, tokens, vocabulary), schema)
+    chunks = materialize(rows.mapInArrow(_chunker(chunk_bytes), "data binary").withColumn("chunk", F.monotonically_increasing_id()), "lm-chunks")
+    asked = chunks.select("chunk", "data").mapInArrow(_asker(order, hot, hot_level), _ASK_SCHEMA)
+    asked = shards.select("bucket", F.lit(-1).cast("long").alias("chunk"), F.col("bits").alias("data")).unionByName(asked)
+    answers = asked.repartition("bucket").sortWithinPartitions("bucket", "chunk").mapInArrow(_answerer, _ASK_SCHEMA)
+    both = chunks.select(F.lit(-1).alias("bucket"), "chunk", "data").unionByName(answers)
+    scored = both.repartition("chunk").sortWithinPartitions("chunk", "bucket").mapInArrow(_scorer(hot, hot_level, hot_exact, model), schema)
     scored = materialize(scored.withColumn("row", F.monotonically_increasing_id()), "lm-scored")
     total = F.lit(float(tokens + vocabulary + 1))
     cold = (

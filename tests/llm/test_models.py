@@ -1,8 +1,10 @@
 """Operators that learn: brute force for counts, held-out accuracy for models, odd input."""
 
+import functools
 import math
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -44,14 +46,80 @@ def test_nothing_to_learn_from(spark):
     assert lm_score.score_documents(docs.limit(0), F.lit(True)).count() == 0
 
 
-@pytest.mark.parametrize("order", [2, 3])
-def test_filter_beyond_what_may_be_broadcast(spark, order):
-    texts = [" ".join(f"w{(i * j * j + i) % (50 + 7 * i)}" for j in range(30 + i)) for i in range(120)] + [None, "", "new words here"]
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
-    train = F.col("doc_id") % 3 != 2
-    got = [lm_score.score_documents(docs, train, order=order, max_filter_bytes=most).collect() for most in (64 << 20, 64)]
-    assert sorted(got[0]) == sorted(got[1]) and len(got[0]) == len(texts)
-    assert all(r.score < 0 for r in got[1])
+def model_by_brute_force(texts, train, order, base=1.5):
+    """(log10 P of a text, P(word | history)) with exact counts, quantised as the filter does."""
+    low, high = lm_score.level_counts(base)
+    level = functools.cache(lambda c: int(lm_score.levels(np.array([c]), base)[0]))
+    seqs = [[*(t or "").lower().split(), None] for t in texts]
+    count = Counter()
+    for i in train:
+        padded = [None, *seqs[i]]
+        count.update((w,) for w in seqs[i])
+        for n in range(2, order + 1):
+            count.update(tuple(padded[j : j + n]) for j in range(len(padded) - n + 1))
+    histogram = np.zeros((order, 128), np.int64)
+    for g, c in count.items():
+        histogram[len(g) - 1][level(c)] += 1
+    growth = [lm_score.successor_growth(histogram[n - 2], int(histogram[n - 1].sum()), high) for n in range(2, order + 1)]
+    words = [g for g in count if len(g) == 1]
+    mass = sum(low[level(count[g])] for g in words) + len(words) + 1
+
+    @functools.cache
+    def known(w, before):
+        out = (low[level(count[(w,)])] + 1) / mass
+        for n in range(2, order + 1):
+            if len(before) >= n - 1:
+                history = tuple(before[len(before) - n + 1 :])
+                h = high[level(count[history])]
+                if h:
+                    t = h ** growth[n - 2]
+                    out = (min(low[level(count[(*history, w)])], h) + t * out) / (h + t)
+        return out
+
+    def p(w, before):
+        return known(w, tuple(before[max(len(before) - order + 1, 0) :]))
+
+    def score(seq):
+        padded = [None, *seq]
+        return sum(math.log10(p(w, padded[max(j + 2 - order, 0) : j + 1])) for j, w in enumerate(seq))
+
+    return [score(q) for q in seqs], p, [w for (w,) in words]
+
+
+TEXTS = [" ".join(f"w{(i * j * j + i) % (50 + 7 * i) % 60}" for j in range(30 + i)) for i in range(60)] + [None, "", "new words here", "w1 " * 500, "x" * 3_000_000, "w3 w1 " * 200_000]
+
+
+@pytest.mark.parametrize(("order", "hot_count", "most"), [(2, 8, 64 << 20), (3, 8, 64 << 20), (2, 1, 64 << 20), (2, 8, 64), (3, 10**9, 64)])
+def test_score_by_brute_force(spark, order, hot_count, most):
+    """Whatever is broadcast and whatever is asked, the score is that of the formula; with many bits for each entry nothing is falsely found."""
+    rows = [*enumerate(TEXTS), (7, TEXTS[7])]
+    docs = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, score int").repartition(3)
+    out = lm_score.score_documents(docs, F.col("doc_id") % 3 != 2, order=order, hot_count=hot_count, max_filter_bytes=most, bits_per_entry=64)
+    got = sorted((r.doc_id, r.score) for r in out.collect())
+    texts = [t for _, t in rows]
+    want, p, words = model_by_brute_force(texts, [k for k, (i, _) in enumerate(rows) if i % 3 != 2], order)
+    assert [i for i, _ in got] == sorted(i for i, _ in rows)
+    for (i, s), (j, w) in zip(got, sorted((i, want[k]) for k, (i, _) in enumerate(rows)), strict=True):
+        assert i == j and math.isclose(s, w, rel_tol=1e-9, abs_tol=1e-9)
+    for before in ([None], ["w1"], ["w3"], ["w7", "w1"], ["never"]):
+        assert 0 < sum(p(w, before) for w in words) + p("never seen", before) <= 1 + 1e-9
+    assert math.isclose(sum(p(w, []) for w in words) + p("never seen", []), 1)
+
+
+@pytest.mark.parametrize("bits_per_entry", [8, 16])
+def test_filter_counts_and_false_positives(bits_per_entry):
+    rng = np.random.default_rng(4)
+    h = np.unique(rng.integers(0, 1 << 63, 60_000, dtype=np.uint64) * np.uint64(2))
+    level = np.minimum(rng.geometric(0.5, len(h)), 20)
+    bucket, key = lm_score._split(h, 2)
+    shards = [(b, lm_score._bloom(key[bucket == b], level[bucket == b], bits_per_entry)) for b in range(4)]
+    f = lm_score.CountFilter(shards, 2)
+    read = f.levels(h)
+    assert (read >= level).all()  # no false negative at any level
+    rate = (1 - math.exp(-4 / bits_per_entry)) ** 4  # with 4 probes and just so many bits for each entry
+    assert (read > level).mean() < 1.1 * rate
+    absent = f.levels(rng.integers(0, 1 << 63, 100_000, dtype=np.uint64) * np.uint64(2) + np.uint64(1))
+    assert (absent > 0).mean() < 1.1 * rate
 
 
 def test_probability_of_a_frequent_word_is_at_most_1(spark):
@@ -60,8 +128,10 @@ def test_probability_of_a_frequent_word_is_at_most_1(spark):
 
 
 def test_filter_holds_quantised_counts():
-    stands = lm_score.level_counts(1.5)
-    assert [stands[lm_score.levels(__import__("numpy").array([c]), 1.5)[0]] for c in (0, 1, 2, 3)] == [0, 1, 2, 3]
+    low, high = lm_score.level_counts(1.5)
+    counts = np.arange(5000)
+    level = lm_score.levels(counts, 1.5)
+    assert (low[level] <= counts).all() and (counts <= high[level]).all() and (low[level][:4] == high[level][:4]).all()
 
 
 def test_language_on_held_out_documents(spark, sf_dir):
