@@ -5,7 +5,7 @@ when ``100 * |A & B| >= percent * |A | B|``.  With all sets in one global
 order, linked sets share a shingle within their first
 ``n - ceil(percent * n / 100) + 1`` ones (their prefix).
 
-1.  ``_sketch`` counts shingles in a table of fixed size; its levels, rare
+1.  ``_sketcher`` counts shingles in a table of 4 to 32 million slots, by the size of the corpus; its levels, rare
     before common, then by hash, are the global order.  Any order is right; this
     one keeps what many documents share out of the prefixes.
 2.  Documents of equal sets form a class; classes of equal prefix and size form
@@ -16,8 +16,9 @@ order, linked sets share a shingle within their first
     group are paired with the group's first member.  Pairs that pass the size, position and bitmap
     filters (all without loss) are verified on the whole sets, and the links make components.
 4.  What can still add to the components is every pair of members of one list
-    that lies in two components, passes the filters and is untested.  These are expanded
-    and verified without exception, so the components are those of all links.
+    that lies in two components, passes the filters and is untested.  The components of a list are paired first,
+    in blocks where a list has many, by the best that their members could reach; only the members of pairs
+    that are left are expanded.  They are verified without exception, so the components are those of all links.
 
 The position filter: what two sets share, when their first common shingle stands at places i and j, is at most the
 smaller of ``n - i`` and ``m - j``.  The bitmap filter: with one bit for every slot of a hash, flipped by each shingle, two sets differ
@@ -34,6 +35,7 @@ Rows out are rows in.  Other columns of the input are not read.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -50,6 +52,8 @@ from .words import SHINGLE, hash_words, mix64, shingles, slices
 
 _U = np.uint64
 _SLICES = 64
+_LIST_BLOCK = 256
+_SKETCH_BITS, _MOST_SKETCH_BITS, _SLOT_BYTES = 22, 25, 256
 
 
 def shingle_sets(column: pa.Array, size: int) -> Iterator[np.ndarray]:
@@ -85,13 +89,14 @@ def prefix_length(n: int, percent: int) -> int:
 
 def _sketcher(size: int, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << bits, np.uint32)
+        counts = np.zeros(1 << bits, np.uint16)
         for b in batches:
             for part in slices(b, 0):
                 got = [x >> _U(64 - bits) for x in shingle_sets(part.column(0), size)]
                 slot, n = np.unique(np.concatenate(got), return_counts=True)
-                counts[slot.astype(np.int64)] += n.astype(np.uint32)
-        parts = [_pack(x) for x in np.split(counts, _SLICES)]
+                slot = slot.astype(np.int64)
+                counts[slot] = np.minimum(counts[slot] + n, 65535)  # far above what any level tells apart in a task
+        parts = [_pack(x.astype(np.uint32)) for x in np.split(counts, _SLICES)]
         yield pa.RecordBatch.from_arrays([pa.array(range(_SLICES), pa.int32()), pa.array(parts, pa.binary())], names=["slice", "counts"])
 
     return run
@@ -211,18 +216,39 @@ def verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, size: int, p
     return materialize(both.mapInArrow(_verify(size, percent), "a long, b long"), "links")
 
 
+def _root_pairs(left: DataFrame, percent: int) -> DataFrame:
+    """(key, root, root_b): the components of each list, every pair once whose members could pass the filters.
+
+    A list of many components is dealt into blocks; each pair of blocks is a key of its own.
+    """
+    sides = left.groupBy("key", "root").agg(F.max(F.col("n") - F.col("pos")).alias("reach"), F.min("n").alias("least"))
+    blocks = sides.groupBy("key").agg(F.ceil(F.count("*") / _LIST_BLOCK).cast("int").alias("blocks"))
+    dealt = sides.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("root"), F.col("blocks")).cast("int"))
+    first = dealt.select("key", "root", "reach", "least", F.col("block").alias("i"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("j"))
+    second = dealt.select(
+        "key", F.col("root").alias("root_b"), F.col("reach").alias("reach_b"), F.col("least").alias("least_b"), F.explode(F.sequence(F.lit(0), "block")).alias("i"), F.col("block").alias("j")
+    )
+    could = (100 + percent) * F.least("reach", "reach_b") >= percent * (F.col("least") + F.col("least_b"))
+    once = (F.col("i") < F.col("j")) | (F.col("root") < F.col("root_b"))
+    return first.join(second, ["key", "i", "j"]).where(once & could).select("key", "root", "root_b")
+
+
 def near_duplicates(
-    docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", size: int = SHINGLE, percent: int = 75, sketch_bits: int = 22
+    docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", size: int = SHINGLE, percent: int = 75, sketch_bits: int | None = None
 ) -> DataFrame:
     """Rows (id, n_shingles, component_id) for every row of ``docs``; see the module's text."""
     spark = docs.sparkSession
     docs = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
+    if sketch_bits is None:
+        bytes_ = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        sketch_bits = min(max(math.ceil(math.log2(max(bytes_, 1) / _SLOT_BYTES)), _SKETCH_BITS), _MOST_SKETCH_BITS)
     levels = spark.sparkContext.broadcast(frequency_levels(docs, "text", size, sketch_bits))
     schema = T.StructType([T.StructField("id", docs.schema["id"].dataType)] + [T.StructField(c, T.LongType()) for c in ("n", "cls", "grp")] + [T.StructField("bitmap", T.BinaryType()), T.StructField("prefix", T.ArrayType(T.LongType()))])
     described = materialize(docs.mapInArrow(_describe(size, percent, levels, sketch_bits), schema), "described")
     some = described.where("n > 0")
     classes = materialize(some.groupBy("cls").agg(F.min("id").alias("id"), F.min("grp").alias("grp"), F.min("n").alias("n"), F.min("bitmap").alias("bitmap")), "classes")
-    groups = classes.groupBy("grp").agg(F.min("cls").alias("first"))
+    # written, so that the joins below read plain tables and Spark can split their skewed keys
+    groups = materialize(classes.groupBy("grp").agg(F.min("cls").alias("first")), "groups")
 
     entries = some.select("grp", "n", "prefix").dropDuplicates(["grp"]).select("n", "grp", F.posexplode("prefix").alias("pos", "key"))
     order = Window.partitionBy("key").orderBy("pos", "n", "grp")
@@ -259,8 +285,8 @@ def near_duplicates(
     left = materialize(left, "open-lists")
     other = left.select("key", *(F.col(c).alias(f"{c}_b") for c in ("cls", "root", "n", "pos")))
     may_link = _may_link(F.col("n"), F.col("pos"), F.col("n_b"), F.col("pos_b"), percent)
-    rest = left.join(other, "key").where((F.col("cls") < F.col("cls_b")) & (F.col("root") != F.col("root_b")) & may_link)
-    rest = rest.select(F.col("cls").alias("a"), F.col("cls_b").alias("b")).distinct().join(starred, ["a", "b"], "left_anti")
+    rest = materialize(_root_pairs(left, percent), "open-roots").join(left, ["key", "root"]).join(other, ["key", "root_b"]).where(may_link)
+    rest = rest.select(F.least("cls", "cls_b").alias("a"), F.greatest("cls", "cls_b").alias("b")).distinct().join(starred, ["a", "b"], "left_anti")
     rest = materialize(rest, "open-pairs")
     if not rest.isEmpty():
         more = verified(docs, rest, classes, size, percent)

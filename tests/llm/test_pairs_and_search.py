@@ -71,6 +71,18 @@ def test_components_by_brute_force(spark, seed):
     assert got == brute(docs)
 
 
+def test_lists_of_many_components(spark, monkeypatch):
+    """Short texts that share a passage with strangers, and copies beside them: lists are dealt into blocks, and no link is lost."""
+    monkeypatch.setattr(jaccard_join, "_LIST_BLOCK", 3)
+    rng = random.Random(8)
+    passage = [f"p{i}" for i in range(9)]
+    docs = [passage + [f"u{i}a", f"u{i}b"] for i in range(40)] + [passage + [f"u{i}a"] for i in range(20)] + [passage] * 2
+    docs += [edited(rng, [f"z{i}" for i in range(80)], n) + passage for n in (0, 1, 1, 2, 3)]
+    docs = [(i, " ".join(d)) for i, d in enumerate(docs)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), sketch_bits=6).collect()}
+    assert got == brute(docs)
+
+
 def test_real_documents_by_brute_force(spark, sf_dir):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet")).collect()}
