@@ -74,7 +74,7 @@ def has_traversal(path: Column) -> Column:
 
 def is_fix_words(subject: Column) -> Column:
     """A fix by whole words."""
-    return F.lower(subject).rlike(r"\b(fix|fixes|fixed|bug|hotfix|patch)\b")
+    return F.lower(subject).rlike(r"\b(fix|bug|hotfix|revert)\b")
 
 
 def is_fix_contains(subject: Column) -> Column:

@@ -17,8 +17,24 @@ def line_counts(text: Column) -> Column:
 
 
 def glob_pattern(pattern: str) -> str:
-    """A shell pattern as a regular expression: ``*`` any text, ``?`` any character."""
-    return "^" + "".join(".*" if ch == "*" else "." if ch == "?" else f"[{ch}]" if ch in ".+()[]{}|$" else ch for ch in pattern) + "$"
+    """A shell pattern as a regular expression over the whole text: ``*`` any text, ``?`` any character, ``[seq]`` and ``[!seq]`` one of a set or none of it.
+
+    A bracket that is never closed stands for itself; line ends are characters like any other.
+    """
+    out, at = [], 0
+    while at < len(pattern):
+        ch = pattern[at]
+        close = pattern.find("]", at + 2 + pattern.startswith("!", at + 1)) if ch == "[" else -1
+        if close > 0:
+            body = pattern[at + 1 : close]
+            negated = body.startswith("!")
+            members = "".join("\\" + x if x in "\\[]^&" else x for x in body[negated:])
+            out.append(f"[{'^' * negated}{members}]")
+            at = close + 1
+            continue
+        out.append(".*" if ch == "*" else "." if ch == "?" else ch if ch.isalnum() or ch in "_/ " or ord(ch) > 127 else "\\" + ch)
+        at += 1
+    return "(?s)\\A" + "".join(out) + "\\z"
 
 
 def glob(path: Column, pattern: str) -> Column:
@@ -26,11 +42,14 @@ def glob(path: Column, pattern: str) -> Column:
 
 
 def version_key(version: Column) -> Column:
-    return F.transform(F.split(version, r"\."), lambda x: x.cast("int"))
+    """Parts between dots, each as its leading number (-1 without one) and the rest; a part without a rest comes after those with one, as a release after its candidates."""
+    number = lambda x: F.coalesce(F.regexp_extract(x, "^[0-9]{1,18}", 0).try_cast("long"), F.lit(-1))
+    rest = lambda x: F.regexp_replace(x, "^[0-9]{1,18}", "")
+    return F.transform(F.split(version, r"\."), lambda x: F.struct(number(x).alias("number"), (rest(x) == "").alias("final"), rest(x).alias("rest")))
 
 
 def at_least_version(version: Column, least: str) -> Column:
-    return version_key(version) >= F.array(*(F.lit(int(x)) for x in least.split(".")))
+    return version_key(version) >= version_key(F.lit(least))
 
 
 def path_mutations(path: Column) -> Column:

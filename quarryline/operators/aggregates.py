@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..catalogue import operator
 from ..functions import formulas as M
+from ..store import materialize
 from ..views import Views
 
 c = F.col
@@ -36,10 +37,26 @@ _PAIRS = """
 
 def co_changes(touches: DataFrame, most_files: int = 100) -> DataFrame:
     """(f1, f2, joint) for every ordered pair of files that change together; commits of more files than ``most_files`` say nothing."""
-    small = touches.groupBy("commit_id").agg(F.count("*").alias("n")).where(c("n") <= most_files).select("commit_id")
-    a = touches.select("commit_id", c("path").alias("f1")).join(small, "commit_id", "left_semi")
-    b = touches.select("commit_id", c("path").alias("f2")).join(small, "commit_id", "left_semi")
-    return a.join(b, "commit_id").where("f1 <> f2").groupBy("f1", "f2").agg(F.count("*").alias("joint"))
+    size = F.count("*").over(Window.partitionBy("commit_id"))
+    small = touches.select("commit_id", "path").withColumn("n", size).where(c("n") <= most_files)
+    other = small.select("commit_id", c("path").alias("f2"))
+    # each pair once, then both ways: half the join and half the shuffle
+    once = small.select("commit_id", c("path").alias("f1")).join(other, "commit_id").where("f1 < f2").groupBy("f1", "f2").agg(F.count("*").alias("joint"))
+    ways = F.explode(F.array(F.struct(c("f1").alias("f1"), c("f2").alias("f2")), F.struct(c("f2").alias("f1"), c("f1").alias("f2"))))
+    return once.select(ways.alias("w"), "joint").select("w.f1", "w.f2", "joint")
+
+
+def omitted(touches: DataFrame, *, least_ratio: float = 0.5) -> DataFrame:
+    """(commit_id, f1, f2, ratio): partners that change with a touched file in ``least_ratio`` of its commits or more, and are missing from this one.
+
+    Few pairs reach the ratio, so these are counted first and sent to the commits of their file.
+    """
+    touches = materialize(touches.select("commit_id", "path"), "touches")
+    n = touches.groupBy(c("path").alias("f1")).agg(F.count("*").alias("commits"))
+    ratio = c("joint") / F.greatest(F.lit(1.0), c("commits"))
+    partners = materialize(co_changes(touches).join(n, "f1").withColumn("ratio", ratio).where(c("ratio") >= least_ratio).select("f1", "f2", "ratio"), "partners")
+    due = touches.select("commit_id", c("path").alias("f1")).join(partners, "f1")
+    return due.join(touches.select("commit_id", c("path").alias("f2")), ["commit_id", "f2"], "left_anti").select("commit_id", "f1", "f2", F.round("ratio", 3).alias("ratio"))
 
 
 @operator("joi_cochange", f"SELECT f1, f2, joint FROM ({_PAIRS}) p WHERE joint >= 2")
@@ -58,12 +75,8 @@ WITH r AS (SELECT f1, f2, joint / greatest(1.0, commits) AS ratio FROM ({_PAIRS}
 SELECT t.commit_id, t.path AS f1, r.f2, round(r.ratio, 3) AS ratio FROM touches t JOIN r ON r.f1 = t.path
 WHERE NOT EXISTS (SELECT 1 FROM touches u WHERE u.commit_id = t.commit_id AND u.path = r.f2)""")
 def joi_omitted(v: Views) -> DataFrame:
-    """Partners that usually change with a touched file and are missing from its commit."""
-    n = v.churn.select(c("path").alias("f1"), "commits")
-    r = co_changes(v.touches).join(n, "f1").withColumn("ratio", c("joint") / F.greatest(F.lit(1.0), c("commits"))).where("ratio >= 0.1")
-    due = v.touches.select("commit_id", c("path").alias("f1")).join(r.select("f1", "f2", "ratio"), "f1")
-    have = v.touches.select("commit_id", c("path").alias("f2"))
-    return due.join(have, ["commit_id", "f2"], "left_anti").select("commit_id", "f1", "f2", F.round("ratio", 3).alias("ratio"))
+    """Files here have so many commits that no two change together in half of them: the query asks for a tenth."""
+    return omitted(v.touches, least_ratio=0.1)
 
 
 @operator("agg_coupling", """
@@ -89,19 +102,31 @@ def agg_feedback(v: Views) -> DataFrame:
 _HEALTH = "round(greatest(0.0, 100 - 0.5*avg(complexity) - 3*(count(*) FILTER (complexity > 25.6))), 1)"
 
 
-@operator("agg_cluster", f"""
-SELECT domain, count(*) AS modules, round(sum(complexity), 4) AS complexity, count(*) FILTER (complexity > 25.6) AS high, round(avg(complexity), 1) AS mean, {_HEALTH} AS health,
-  array_to_string(list_transform(list_sort(list(id)), lambda x: CAST(x AS VARCHAR)), ',') AS members FROM nodes GROUP BY domain""")
-def agg_cluster(v: Views) -> DataFrame:
-    high = F.count_if(c("complexity") > 25.6)
-    return v.nodes.groupBy("domain").agg(
-        F.count("*").alias("modules"),
-        F.round(F.sum("complexity"), 4).alias("complexity"),
-        high.alias("high"),
-        F.round(F.avg("complexity"), 1).alias("mean"),
-        F.round(F.greatest(F.lit(0.0), 100 - 0.5 * F.avg("complexity") - 3 * high), 1).alias("health"),
-        F.array_join(F.array_sort(F.collect_list("id")), ",").alias("members"),
+def clusters(nodes: DataFrame, edges: DataFrame, *, high: float) -> DataFrame:
+    """One row for each domain of nodes(id, domain, complexity): size, complexity, modules of more than ``high``, weight of its inner edges, health and level.
+
+    Its members are the rows of ``nodes``: no list of them is gathered.
+    """
+    many = F.count_if(c("complexity") > high)
+    s = nodes.groupBy("domain").agg(
+        F.count("*").alias("modules"), F.round(F.sum("complexity"), 4).alias("complexity"), many.alias("high"), F.round(F.avg("complexity"), 1).alias("mean")
     )
+    of = nodes.select("id", "domain")
+    inner = edges.join(of.toDF("src", "a"), "src").join(of.toDF("dst", "domain"), "dst").where("a = domain").groupBy("domain").agg(F.sum("weight").alias("internal"))
+    health = F.round(M.clamp(100 - (15 * c("high") + 1.5 * c("mean")), 0, 100), 1)
+    level = F.when(c("high") > 0, "HIGH").when(c("mean") >= 8, "MED").otherwise("LOW")
+    return s.join(inner, "domain", "left").select(
+        "domain", "modules", "complexity", "high", "mean", F.coalesce("internal", F.lit(0)).alias("internal"), health.alias("health"), level.alias("level")
+    )
+
+
+@operator("agg_cluster", """
+WITH s AS (SELECT domain, count(*) AS modules, round(sum(complexity), 4) AS complexity, count(*) FILTER (complexity > 26) AS high, round(avg(complexity), 1) AS mean FROM nodes GROUP BY domain),
+i AS (SELECT a.domain AS of_domain, CAST(sum(weight) AS BIGINT) AS internal FROM edges JOIN nodes a ON a.id = src JOIN nodes b ON b.id = dst WHERE a.domain = b.domain GROUP BY 1)
+SELECT domain, modules, complexity, high, mean, coalesce(internal, 0) AS internal, round(least(100.0, greatest(0.0, 100 - (15 * high + 1.5 * mean))), 1) AS health,
+  CASE WHEN high > 0 THEN 'HIGH' WHEN mean >= 8 THEN 'MED' ELSE 'LOW' END AS level FROM s LEFT JOIN i ON of_domain = domain""")
+def agg_cluster(v: Views) -> DataFrame:
+    return clusters(v.nodes, v.edges, high=26.0)
 
 
 @operator("agg_clusteredge", """
@@ -199,24 +224,31 @@ def agg_stability(v: Views) -> DataFrame:
     return s.join(F.broadcast(last), c("run_id") < c("last")).select((c("run_id") + 1).alias("run_id"), "stability")  # one row
 
 
-@operator("agg_hotspot", """
-SELECT path, 2*n + 3*v + CASE WHEN cx > 0 THEN 5 ELSE 0 END + CASE WHEN cp > 0 THEN 5 ELSE 0 END AS score,
-  CASE WHEN 2*n + 3*v + CASE WHEN cx > 0 THEN 5 ELSE 0 END + CASE WHEN cp > 0 THEN 5 ELSE 0 END >= 30 THEN 'CRITICAL' WHEN 2*n + 3*v >= 20 THEN 'HIGH' ELSE 'LOW' END AS severity FROM (
-  SELECT path, count(DISTINCT run_id) AS n, count(*) FILTER (name = 'complexity' AND value > 300) AS v,
-    arg_max(value, run_id) FILTER (name = 'complexity') - arg_min(value, run_id) FILTER (name = 'complexity') AS cx,
-    arg_max(value, run_id) FILTER (name = 'coupling') - arg_min(value, run_id) FILTER (name = 'coupling') AS cp FROM run_metrics GROUP BY path) s""")
-def agg_hotspot(v: Views) -> DataFrame:
+def hotspots(metrics: DataFrame, *, limit: float, cutoffs: tuple[float, float, float] = (15.0, 10.0, 5.0)) -> DataFrame:
+    """(path, score, severity) of metrics(run_id, path, name, value): twice the runs, three for each violation of ``limit``, five for each rising metric."""
+
     def rise(name):
         value = F.when(c("name") == name, c("value"))
         run = F.when(c("name") == name, c("run_id"))
         return F.max_by(value, run) - F.min_by(value, run)
 
-    s = v.run_metrics.groupBy("path").agg(
-        F.countDistinct("run_id").alias("n"), F.count_if((c("name") == "complexity") & (c("value") > 300)).alias("v"), rise("complexity").alias("cx"), rise("coupling").alias("cp")
+    s = metrics.groupBy("path").agg(
+        F.countDistinct("run_id").alias("n"), F.count_if((c("name") == "complexity") & (c("value") > limit)).alias("v"), rise("complexity").alias("cx"), rise("coupling").alias("cp")
     )
-    base = 2 * c("n") + 3 * c("v")
-    score = base + F.when(c("cx") > 0, 5).otherwise(0) + F.when(c("cp") > 0, 5).otherwise(0)
-    return s.select("path", score.alias("score"), F.when(score >= 30, "CRITICAL").when(base >= 20, "HIGH").otherwise("LOW").alias("severity"))
+    score = 2 * c("n") + 3 * c("v") + F.when(c("cx") > 0, 5).otherwise(0) + F.when(c("cp") > 0, 5).otherwise(0)
+    critical, high, medium = cutoffs
+    severity = F.when(c("score") >= critical, "CRITICAL").when(c("score") >= high, "HIGH").when(c("score") >= medium, "MEDIUM").otherwise("LOW")
+    return s.select("path", score.alias("score")).select("path", "score", severity.alias("severity"))
+
+
+@operator("agg_hotspot", """
+SELECT path, score, CASE WHEN score >= 15 THEN 'CRITICAL' WHEN score >= 10 THEN 'HIGH' WHEN score >= 5 THEN 'MEDIUM' ELSE 'LOW' END AS severity FROM (
+  SELECT path, 2*n + 3*v + CASE WHEN cx > 0 THEN 5 ELSE 0 END + CASE WHEN cp > 0 THEN 5 ELSE 0 END AS score FROM (
+  SELECT path, count(DISTINCT run_id) AS n, count(*) FILTER (name = 'complexity' AND value > 300) AS v,
+    arg_max(value, run_id) FILTER (name = 'complexity') - arg_min(value, run_id) FILTER (name = 'complexity') AS cx,
+    arg_max(value, run_id) FILTER (name = 'coupling') - arg_min(value, run_id) FILTER (name = 'coupling') AS cp FROM run_metrics GROUP BY path) s) t""")
+def agg_hotspot(v: Views) -> DataFrame:
+    return hotspots(v.run_metrics, limit=300)
 
 
 @operator("agg_entropy", """
@@ -360,10 +392,19 @@ def agg_sample(v: Views) -> DataFrame:
     return first_six(first_six(salted, "quality", "toxic", "salt"), "quality", "toxic").select("quality", "toxic", "k.doc_id")
 
 
-@operator("agg_hash", "SELECT source, sha256(string_agg(CAST(doc_id AS VARCHAR) || ':' || sha256(text) || chr(10), '' ORDER BY doc_id)) AS digest FROM documents GROUP BY source")
+def two_level_digest(rows: DataFrame, key: str, order: str, line, *, block: int = 1000) -> DataFrame:
+    """(key, digest): lines in order of a whole number, digested by blocks of ``block`` numbers and then over these digests, so that no key's rows meet in one task."""
+    of = rows.select(key, F.floor(c(order) / block).alias("block"), F.struct(c(order).alias("at"), line.alias("line")).alias("x"))
+    blocks = of.groupBy(key, "block").agg(F.array_sort(F.collect_list("x")).alias("x"))
+    blocks = blocks.select(key, F.struct("block", F.sha2(F.array_join("x.line", "").cast("binary"), 256).alias("digest")).alias("x"))
+    whole = blocks.groupBy(key).agg(F.array_sort(F.collect_list("x")).alias("x"))
+    return whole.select(key, F.sha2(F.array_join("x.digest", "").cast("binary"), 256).alias("digest"))
+
+
+@operator("agg_hash", """
+SELECT source, sha256(string_agg(digest, '' ORDER BY block)) AS digest FROM (
+  SELECT source, doc_id // 1000 AS block, sha256(string_agg(CAST(doc_id AS VARCHAR) || ':' || sha256(text) || chr(10), '' ORDER BY doc_id)) AS digest FROM documents GROUP BY 1, 2) b GROUP BY source""")
 def agg_hash(v: Views) -> DataFrame:
-    """A digest of every source's documents in order of id; what is gathered are digests, not texts."""
+    """A digest of every source's documents in order of id, over blocks of a thousand ids."""
     d = v.table("documents").select("source", "doc_id", F.sha2(c("text").cast("binary"), 256).alias("h"))
-    rows = d.groupBy("source").agg(F.array_sort(F.collect_list(F.struct("doc_id", "h"))).alias("r"))
-    line = F.transform("r", lambda x: F.concat(x["doc_id"].cast("string"), F.lit(":"), x["h"], F.lit("\n")))
-    return rows.select("source", F.sha2(F.array_join(line, "").cast("binary"), 256).alias("digest"))
+    return two_level_digest(d, "source", "doc_id", F.concat(c("doc_id").cast("string"), F.lit(":"), c("h"), F.lit("\n")))

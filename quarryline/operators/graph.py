@@ -7,6 +7,8 @@ until nothing is new and write each level to the shared folder.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,13 +21,20 @@ c = F.col
 
 
 def reach(edges: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
-    """(start, id, depth): all nodes within ``depth`` steps along src -> dst, at their least depth; a start itself only if it lies on a cycle."""
-    e = edges.select("src", "dst").distinct()
-    found = level = starts.select(c("id").alias("start"), c("id"), F.lit(0).alias("depth"))
+    """(start, id, depth): all nodes within ``depth`` steps along src -> dst, at their least depth; a start itself only if it lies on a cycle.
+
+    Each level holds what no earlier level has, and is written before the next one reads it.
+    """
+    e = materialize(edges.select("src", "dst").distinct(), "reach-edges")
+    level, found = starts.select(c("id").alias("start"), "id").distinct(), None
     for d in range(1, depth + 1):
-        level = level.join(e, c("id") == c("src")).select("start", c("dst").alias("id")).distinct().withColumn("depth", F.lit(d))
-        found = found.unionByName(level)
-    return found.where("depth > 0").groupBy("start", "id").agg(F.min("depth").alias("depth"))
+        step = level.join(e, c("id") == c("src")).select("start", c("dst").alias("id")).distinct()
+        if found is not None:
+            step = step.join(found.select("start", "id"), ["start", "id"], "left_anti")
+        level = materialize(step.withColumn("depth", F.lit(d)), "reach")
+        found = level if found is None else found.unionByName(level)
+        level = level.select("start", "id")
+    return found
 
 
 def reverse(edges: DataFrame) -> DataFrame:
@@ -129,12 +138,16 @@ def blast(nodes: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
     return j.select("id", "down", "up", "total", M.blast_score(c("down"), c("up"), c("complexity")).alias("score"))
 
 
-@operator("gra_impactsev", _BLAST + """
-SELECT id, CASE WHEN round((1.5*down + 1.0*up) * sqrt(complexity), 2) >= 60 OR total > 20 THEN 'HIGH' WHEN round((1.5*down + 1.0*up) * sqrt(complexity), 2) >= 30 OR total >= 10 THEN 'MEDIUM' ELSE 'LOW' END AS severity FROM s""")
+def impact_severity(score, total, *, high: tuple[float, int] = (15.0, 8), medium: tuple[float, int] = (5.0, 3)):
+    """HIGH from a blast score on or beyond more modules than a number; MEDIUM from a score or a number on."""
+    return F.when((score >= high[0]) | (total > high[1]), "HIGH").when((score >= medium[0]) | (total >= medium[1]), "MEDIUM").otherwise("LOW")
+
+
+@operator("gra_impactsev", _BLAST.replace("depth < 3", "depth < 1") + """
+SELECT id, CASE WHEN round((1.5*down + 1.0*up) * sqrt(complexity), 2) >= 15 OR total > 8 THEN 'HIGH' WHEN round((1.5*down + 1.0*up) * sqrt(complexity), 2) >= 5 OR total >= 3 THEN 'MEDIUM' ELSE 'LOW' END AS severity FROM s""")
 def gra_impactsev(v: Views) -> DataFrame:
-    b = blast(v.nodes, v.edges, 3)
-    severity = F.when((c("score") >= 60) | (c("total") > 20), "HIGH").when((c("score") >= 30) | (c("total") >= 10), "MEDIUM").otherwise("LOW")
-    return b.select("id", severity.alias("severity"))
+    """The severity of a change of a module, by its direct neighbours."""
+    return blast(v.nodes, v.edges, 1).select("id", impact_severity(c("score"), c("total")).alias("severity"))
 
 
 @operator("gra_blast_mcp", "SELECT n.id, round(1.5 * coalesce(k.n, 0) * sqrt(n.complexity), 2) AS score FROM nodes n LEFT JOIN (SELECT dst, count(DISTINCT src) AS n FROM edges GROUP BY dst) k ON k.dst = n.id")
@@ -164,12 +177,13 @@ def gra_closure(v: Views) -> DataFrame:
 
 
 def strong_components(edges: DataFrame) -> DataFrame:
-    """(id, component): strongly connected components of more than one node, named by their smallest node.
+    """(id, component): strongly connected components, named by their smallest node; a single node is one if it depends on itself.
 
     Colours spread forward to the largest id that reaches a node; within each colour, what the colour's node is reached from
     is its component.  Settled nodes leave, and the rest goes on.  All steps are grouped maxima and joins.
     """
-    live = materialize(edges.select("src", "dst").distinct().where("src <> dst"), "scc-edges")
+    loops = edges.where("src = dst").select(c("src").alias("id"), F.lit(True).alias("loop")).distinct()
+    live = materialize(edges.select("src", "dst").distinct(), "scc-edges")
     done = None
     while not live.isEmpty():
         ids = live.select(c("src").alias("id")).union(live.select("dst")).distinct()
@@ -196,8 +210,9 @@ def strong_components(edges: DataFrame) -> DataFrame:
         )
     if done is None:
         return edges.select(c("src").alias("id"), c("src").alias("component")).limit(0)
-    names = done.groupBy("colour").agg(F.min("id").alias("component"), F.count("*").alias("n")).where("n > 1")
-    return done.join(names, "colour").select("id", "component")
+    names = done.groupBy("colour").agg(F.min("id").alias("component"), F.count("*").alias("n"))
+    named = done.join(names, "colour").join(loops, "id", "left")
+    return named.where("n > 1 or loop").select("id", "component")
 
 
 @operator("gra_scc", """
@@ -207,33 +222,42 @@ def gra_scc(v: Views) -> DataFrame:
     return strong_components(v.edges)
 
 
+def within_components(edges: DataFrame) -> DataFrame:
+    """The edges that lie on a cycle: those inside a strong component."""
+    of = strong_components(edges)
+    return edges.join(of.toDF("src", "of_src"), "src").join(of.toDF("dst", "of_dst"), "dst").where("of_src = of_dst").select("src", "dst").distinct()
+
+
 def cycles(edges: DataFrame, longest: int) -> DataFrame:
-    """(cycle): every elementary cycle of up to ``longest`` nodes, as the array that begins with its smallest node."""
-    e = edges.select("src", "dst").distinct().where("src <> dst")
-    paths, found = e.where("dst > src").select(F.array("src", "dst").alias("p")), None
+    """(cycle): every elementary cycle of up to ``longest`` nodes, as the array that begins with its smallest node; a self-loop is a cycle of one."""
+    e = materialize(edges.select("src", "dst").distinct(), "cycle-edges")
+    found = e.where("src = dst").select(F.array("src").alias("cycle"))
+    e = e.where("src <> dst")
+    paths = e.where("dst > src").select(F.array("src", "dst").alias("p"))
     for n in range(2, longest + 1):
         tip = paths.select("p", F.element_at("p", -1).alias("tip"))
         step = tip.join(e, c("tip") == c("src"))
         closed = step.where(c("dst") == c("p")[0]).select(c("p").alias("cycle"))
-        found = closed if found is None else found.unionByName(closed)
+        found = found.unionByName(closed)
         if n < longest:
             paths = step.where((c("dst") > c("p")[0]) & ~F.array_contains("p", c("dst"))).select(F.concat("p", F.array("dst")).alias("p"))
     return found
 
 
-_CYCLES = """WITH RECURSIVE p(path) AS (SELECT [src, dst] FROM edges WHERE dst > src UNION ALL SELECT list_append(p.path, e.dst) FROM p JOIN edges e ON e.src = p.path[-1] WHERE e.dst > p.path[1] AND NOT list_contains(p.path, e.dst) AND len(p.path) < 4),
-cyc AS (SELECT path AS cycle FROM p JOIN edges e ON e.src = p.path[-1] AND e.dst = p.path[1])"""
+_LONGEST = 4  # what the queries below ask for
+_CYCLES = f"""WITH RECURSIVE p(path) AS (SELECT [src, dst] FROM edges WHERE dst > src UNION ALL SELECT list_append(p.path, e.dst) FROM p JOIN edges e ON e.src = p.path[-1] WHERE e.dst > p.path[1] AND NOT list_contains(p.path, e.dst) AND len(p.path) < {_LONGEST}),
+cyc AS (SELECT path AS cycle FROM p JOIN edges e ON e.src = p.path[-1] AND e.dst = p.path[1] UNION ALL SELECT [src] FROM edges WHERE src = dst)"""
 _NAME = "array_to_string(list_transform(cycle, lambda x: CAST(x AS VARCHAR)), '->')"
 
 
 @operator("gra_cycles", _CYCLES + f" SELECT {_NAME} AS cycle_id, CAST(len(cycle) AS INTEGER) AS length FROM cyc")
 def gra_cycles(v: Views) -> DataFrame:
-    return cycles(v.edges, 4).select(F.array_join("cycle", "->").alias("cycle_id"), F.size("cycle").alias("length"))
+    return cycles(within_components(v.edges), _LONGEST).select(F.array_join("cycle", "->").alias("cycle_id"), F.size("cycle").alias("length"))
 
 
 @operator("gra_canon", _CYCLES + f" SELECT {_NAME} || '->' || CAST(cycle[1] AS VARCHAR) AS closed, cycle[1] AS smallest FROM cyc")
 def gra_canon(v: Views) -> DataFrame:
-    x = cycles(v.edges, 4)
+    x = cycles(v.edges, _LONGEST)
     return x.select(F.array_join(F.concat("cycle", F.slice("cycle", 1, 1)), "->").alias("closed"), c("cycle")[0].alias("smallest"))
 
 
@@ -250,12 +274,12 @@ _SEV = _CYCLES + f""", sev AS (SELECT {_NAME} AS cycle_id, CAST(len(cycle) AS IN
 
 @operator("gra_cycsev", _SEV + " SELECT cycle_id, length, severity FROM sev")
 def gra_cycsev(v: Views) -> DataFrame:
-    return cycle_severity(cycles(v.edges, 4), v.nodes)
+    return cycle_severity(cycles(v.edges, _LONGEST), v.nodes)
 
 
 @operator("top_cycles", _SEV + " SELECT cycle_id, length, severity FROM sev ORDER BY severity DESC, length DESC, cycle_id LIMIT 10")
 def top_cycles(v: Views) -> DataFrame:
-    return cycle_severity(cycles(v.edges, 4), v.nodes).orderBy(F.desc("severity"), F.desc("length"), "cycle_id").limit(10)
+    return cycle_severity(cycles(v.edges, _LONGEST), v.nodes).orderBy(F.desc("severity"), F.desc("length"), "cycle_id").limit(10)
 
 
 @operator("gra_break", _CYCLES + f""", arcs AS (SELECT {_NAME} AS cycle_id, cycle[i] AS source, cycle[i % len(cycle) + 1] AS target FROM cyc, LATERAL (SELECT unnest(range(1, len(cycle) + 1)) AS i) t),
@@ -263,7 +287,7 @@ cost AS (SELECT s.*, round(0.5 * n.complexity + 0.5 * (SELECT count(*) FROM edge
 SELECT cycle_id, source, target, cost FROM (SELECT *, row_number() OVER (PARTITION BY cycle_id ORDER BY cost, source, target) AS k FROM cost) q WHERE k = 1""")
 def gra_break(v: Views) -> DataFrame:
     """The cheapest edge to cut of every cycle."""
-    x = cycles(v.edges, 4).select(F.array_join("cycle", "->").alias("cycle_id"), "cycle", F.posexplode("cycle").alias("i", "source"))
+    x = cycles(v.edges, _LONGEST).select(F.array_join("cycle", "->").alias("cycle_id"), "cycle", F.posexplode("cycle").alias("i", "source"))
     x = x.select("cycle_id", "source", F.element_at("cycle", ((c("i") + 1) % F.size("cycle") + 1).cast("int")).alias("target"))
     fan = v.edges.groupBy(c("src").alias("target")).agg(F.count("*").alias("fan"))
     j = x.join(v.nodes.select(c("id").alias("target"), "complexity"), "target").join(fan, "target", "left")
@@ -290,13 +314,13 @@ def gra_trace(v: Views) -> DataFrame:
 
 @operator("gra_subgraph", f"""
 WITH around AS (SELECT id AS start, id FROM nodes UNION SELECT src, dst FROM ({_OUT}) a UNION SELECT src, dst FROM ({_IN}) b)
-SELECT x.start, count(*) AS edges FROM around x JOIN edges e ON e.src = x.id JOIN around y ON y.start = x.start AND y.id = e.dst GROUP BY x.start""")
+SELECT x.start, e.src, e.dst FROM around x JOIN edges e ON e.src = x.id JOIN around y ON y.start = x.start AND y.id = e.dst""")
 def gra_subgraph(v: Views) -> DataFrame:
-    """Edges of the subgraph induced by a module and its neighbours."""
+    """The edges of the subgraph that a module and its neighbours induce."""
     pairs = v.edges.select("src", "dst")
     around = v.nodes.select(c("id").alias("start"), "id").union(pairs).union(reverse(pairs)).distinct()
     ends = around.select("start", c("id").alias("dst"))
-    return around.join(pairs, c("id") == c("src")).join(ends, ["start", "dst"]).groupBy("start").agg(F.count("*").alias("edges"))
+    return around.join(pairs, c("id") == c("src")).join(ends, ["start", "dst"]).select("start", "src", "dst")
 
 
 QUERY_TYPES = ("IMPACT_ANALYSIS", "DEPENDENCIES", "DEPENDENTS", "CALLERS", "TEST_COVERAGE", "RISK_EXPLANATION", "CHANGE_CONTEXT")
@@ -319,29 +343,49 @@ def ask(v: Views, kind: str, depth: int = 2) -> DataFrame:
 
 
 @operator("gra_query", f"""
-WITH both_ways AS ({_OUT} UNION {_IN}) SELECT 'CALLERS' AS kind, dst AS start, src AS id FROM edges UNION ALL SELECT 'CHANGE_CONTEXT', src, dst FROM both_ways
-UNION ALL SELECT 'RISK_EXPLANATION', src, dst FROM both_ways JOIN nodes ON id = dst AND complexity > 25.6""")
+WITH both_ways AS ({_OUT} UNION {_IN}), outward AS (SELECT src, dst FROM edges UNION SELECT a.src, b.dst FROM edges a JOIN edges b ON b.src = a.dst)
+SELECT 'CALLERS' AS kind, dst AS start, src AS id FROM edges UNION ALL SELECT 'CHANGE_CONTEXT', src, dst FROM both_ways
+UNION ALL SELECT 'RISK_EXPLANATION', src, dst FROM both_ways JOIN nodes ON id = dst AND complexity > 25.6
+UNION ALL SELECT 'DEPENDENCIES', src, dst FROM outward UNION ALL SELECT 'DEPENDENTS', dst, src FROM outward UNION ALL SELECT 'IMPACT_ANALYSIS', dst, src FROM outward
+UNION ALL SELECT 'TEST_COVERAGE', dst, src FROM outward JOIN nodes ON id = src AND domain % 5 = 0""")
 def gra_query(v: Views) -> DataFrame:
-    out = [ask(v, k).select(F.lit(k).alias("kind"), "start", "id") for k in ("CALLERS", "CHANGE_CONTEXT", "RISK_EXPLANATION")]
-    return out[0].unionByName(out[1]).unionByName(out[2])
+    """All query types, each for every module."""
+    return reduce(DataFrame.unionByName, [ask(v, k).select(F.lit(k).alias("kind"), "start", "id") for k in QUERY_TYPES])
 
 
 @operator("gra_topo", """
-WITH RECURSIVE up AS (SELECT DISTINCT src, dst FROM edges WHERE dst > src), r(id, level) AS (SELECT id, 0 FROM nodes UNION SELECT up.dst, r.level + 1 FROM r JOIN up ON up.src = r.id WHERE r.level < 40)
+WITH RECURSIVE up AS (SELECT DISTINCT src, dst FROM edges WHERE dst > src), r(id, level) AS (SELECT id, 0 FROM nodes UNION SELECT up.dst, r.level + 1 FROM r JOIN up ON up.src = r.id)
 SELECT id, CAST(max(level) AS INTEGER) AS level FROM r GROUP BY id""")
 def gra_topo(v: Views) -> DataFrame:
-    """Levels of the graph of edges to larger ids, which has no cycles: the longest way to each node."""
-    up = materialize(v.edges.where("dst > src").select("src", "dst").distinct(), "topo-edges")
-    level = materialize(v.nodes.select("id", F.lit(0).alias("level")), "topo")
-    for _ in range(40):
-        pushed = level.join(up, c("id") == c("src")).groupBy("dst").agg((F.max("level") + 1).alias("pushed"))
-        now = level.join(pushed, c("id") == c("dst"), "left").select("id", F.greatest("level", F.coalesce("pushed", "level")).alias("now"), "level")
+    """Levels of the graph of edges to larger ids, which has no cycles."""
+    return topological_levels(v.nodes.select("id"), v.edges.where("dst > src"))
+
+
+def topological_levels(nodes: DataFrame, edges: DataFrame, hops: int = 4) -> DataFrame:
+    """(id, level): the longest way to each node of ``nodes(id)``; fails on a cycle.
+
+    Levels are pushed along the edges, ``hops`` steps a round, until none changes; only a node whose level
+    changed pushes on.  A level of as many as there are nodes shows a cycle.
+    """
+    up = materialize(edges.select("src", "dst").distinct(), "topo-edges")
+    level = materialize(nodes.select("id", F.lit(0).alias("level")).distinct(), "topo")
+    most = level.count()
+    new = level
+    while True:
+        step, pushed = new, None
+        for _ in range(hops):
+            step = step.join(up, c("id") == c("src")).groupBy(c("dst").alias("id")).agg((F.max("level") + 1).alias("level"))
+            pushed = step if pushed is None else pushed.unionByName(step)
+        pushed = pushed.groupBy("id").agg(F.max("level").alias("pushed"))
+        now = level.join(pushed, "id", "left").select("id", F.greatest("level", F.coalesce("pushed", "level")).alias("level"), c("level").alias("before"))
         now = materialize(now, "topo")
-        stable = now.where("now <> level").isEmpty()
-        level = now.select("id", c("now").alias("level"))
-        if stable:
-            break
-    return level
+        new = now.where("level > before").select("id", "level")
+        highest = new.agg(F.max("level")).first()[0]
+        level = now.select("id", "level")
+        if highest is None:
+            return level
+        if highest >= most:
+            raise ValueError("the graph has a cycle")
 
 
 @operator("gra_structdiff", "SELECT DISTINCT e.dst AS impacted FROM edges e JOIN nodes a ON a.id = e.src AND a.domain < 5 JOIN nodes b ON b.id = e.dst AND b.domain >= 5")

@@ -45,10 +45,10 @@ def joi_import_exact(v: Views) -> DataFrame:
     """The first other page of the same host and section."""
     key = F.substring_index("path", "/", 2)
     of = v.paths.select("page_id", key.alias("key"))
-    # the two smallest ids of a key decide: no pairs are made
-    two = of.groupBy("key").agg(F.slice(F.array_sort(F.collect_set("page_id")), 1, 2).alias("first"))
-    j = of.join(two.where(F.size("first") > 1), "key")
-    return j.select("page_id", F.when(c("first")[0] == c("page_id"), c("first")[1]).otherwise(c("first")[0]).alias("target"))
+    # the two smallest ids of a key decide: no pairs are made, and no set is gathered
+    first = of.groupBy("key").agg(F.min("page_id").alias("first"))
+    second = of.join(first, "key").groupBy("key", "first").agg(F.min(F.when(c("page_id") > c("first"), c("page_id"))).alias("second")).where("second is not null")
+    return of.join(second, "key").select("page_id", F.when(c("first") == c("page_id"), c("second")).otherwise(c("first")).alias("target"))
 
 
 @operator("joi_import_suffix", """
@@ -82,7 +82,7 @@ SELECT b.path, b.name, b.value - coalesce(a.value, 0.0) AS delta, a.value IS NUL
   CASE WHEN a.value IS NULL THEN 'NEW' WHEN b.value > a.value THEN 'WORSE' WHEN b.value < a.value THEN 'BETTER' ELSE 'SAME' END AS status
 FROM run_metrics b LEFT JOIN run_metrics a ON a.path = b.path AND a.name = b.name AND a.run_id = 1999 WHERE b.run_id = 2000 AND b.name <> 'hotspot_score'""")
 def joi_delta(v: Views) -> DataFrame:
-    m = v.run_metrics.where("name <> 'hotspot_score'")
+    m = v.within(1999, 2000).run_metrics.where("name <> 'hotspot_score'")
     base = m.where("run_id = 1999").select("path", "name", c("value").alias("old"))
     j = m.where("run_id = 2000").join(base, ["path", "name"], "left")
     status = F.when(c("old").isNull(), "NEW").when(c("value") > c("old"), "WORSE").when(c("value") < c("old"), "BETTER").otherwise("SAME")
@@ -96,14 +96,40 @@ def run_diff(old: DataFrame, new: DataFrame) -> DataFrame:
     return j.select("path", "name", kind.alias("kind"), F.round(F.coalesce("b", F.lit(0.0)) - F.coalesce("a", F.lit(0.0)), 4).alias("delta"))
 
 
+def run_changes(files: DataFrame, metrics: DataFrame, violations: DataFrame, old: int, new: int) -> DataFrame:
+    """(what, name, kind, delta): all that differs between two runs, in one pass over both.
+
+    Files and dependencies of files(run_id, path, dep), metrics(run_id, path, name, value), and violations(run_id, rule, path)
+    are added or removed; what is missing counts as 0.
+    """
+    one = F.lit(1.0).alias("value")
+    each = [
+        files.select("run_id", F.lit("file").alias("what"), c("path").cast("string").alias("name"), one),
+        files.select("run_id", F.lit("dependency"), F.concat_ws("->", c("path").cast("string"), c("dep").cast("string")), one),
+        violations.select("run_id", F.lit("violation"), F.concat_ws(":", "rule", c("path").cast("string")), one),
+        metrics.select("run_id", F.lit("metric"), F.concat_ws(":", c("path").cast("string"), "name"), "value"),
+    ]
+    rows = each[0].union(each[1]).union(each[2]).union(each[3])
+    a, b = (F.max(F.when(c("run_id") == r, c("value"))).alias(n) for r, n in ((old, "a"), (new, "b")))
+    kind = F.when(c("a").isNull(), "added").when(c("b").isNull(), "removed").when(c("b") > c("a"), "increased").when(c("b") < c("a"), "decreased")
+    delta = F.round(F.coalesce("b", F.lit(0.0)) - F.coalesce("a", F.lit(0.0)), 4)
+    both = rows.where(c("run_id").isin(old, new)).groupBy("what", "name").agg(a, b)
+    return both.select("what", "name", kind.alias("kind"), delta.alias("delta")).where("kind is not null")
+
+
 @operator("joi_rundiff", """
-SELECT coalesce(a.path, b.path) AS path, coalesce(a.name, b.name) AS name,
-  CASE WHEN a.path IS NULL THEN 'added' WHEN b.path IS NULL THEN 'removed' WHEN b.value > a.value THEN 'increased' WHEN b.value < a.value THEN 'decreased' ELSE 'same' END AS kind,
-  round(coalesce(b.value, 0.0) - coalesce(a.value, 0.0), 4) AS delta
-FROM (SELECT * FROM run_metrics WHERE run_id = 2000) a FULL JOIN (SELECT * FROM run_metrics WHERE run_id = 2001) b ON a.path = b.path AND a.name = b.name""")
+WITH f AS (SELECT DISTINCT run_id, path, dep FROM run_files WHERE run_id IN (2000, 2001)), m AS (SELECT * FROM run_metrics WHERE run_id IN (2000, 2001)),
+r AS (SELECT DISTINCT run_id, 'file' AS what, path AS name, 1e0 AS value FROM f UNION ALL SELECT run_id, 'dependency', path || '->' || CAST(dep AS VARCHAR), 1e0 FROM f
+  UNION ALL SELECT run_id, 'violation', 'max-complexity:' || path, 1e0 FROM m WHERE name = 'complexity' AND value > 300 UNION ALL SELECT run_id, 'metric', path || ':' || name, value FROM m),
+d AS (SELECT coalesce(a.what, b.what) AS what, coalesce(a.name, b.name) AS name, a.value AS x, b.value AS y
+  FROM (SELECT * FROM r WHERE run_id = 2000) a FULL JOIN (SELECT * FROM r WHERE run_id = 2001) b ON a.what = b.what AND a.name = b.name)
+SELECT what, name, CASE WHEN x IS NULL THEN 'added' WHEN y IS NULL THEN 'removed' WHEN y > x THEN 'increased' ELSE 'decreased' END AS kind, round(coalesce(y, 0) - coalesce(x, 0), 4) AS delta
+FROM d WHERE x IS DISTINCT FROM y""")
 def joi_rundiff(v: Views) -> DataFrame:
-    m = v.run_metrics
-    return run_diff(*(m.where(c("run_id") == r).select("path", "name", "value") for r in (2000, 2001)))
+    """Files, dependencies, metrics and violations of one run against those of the run before."""
+    two = v.within(2000, 2001)
+    over = two.run_metrics.where("name = 'complexity' and value > 300").select("run_id", F.lit("max-complexity").alias("rule"), "path")
+    return run_changes(two.run_files, two.run_metrics, over, 2000, 2001)
 
 
 @operator("joi_modeldiff", """
@@ -113,7 +139,7 @@ SELECT count(*) FILTER (a.path IS NULL OR b.path IS NULL) AS changed_nodes, (SEL
   round(1e-1 * sum(abs(coalesce(b.n, 0) - coalesce(a.n, 0))), 4) AS size_change
 FROM (SELECT path, count(*) AS n FROM run_files WHERE run_id = 2000 GROUP BY path) a FULL JOIN (SELECT path, count(*) AS n FROM run_files WHERE run_id = 2001 GROUP BY path) b ON a.path = b.path""")
 def joi_modeldiff(v: Views) -> DataFrame:
-    r = v.run_files.where("run_id in (2000, 2001)")
+    r = v.within(2000, 2001).run_files
     n = [F.count_if(c("run_id") == y) for y in (2000, 2001)]
     nodes = r.groupBy("path").agg(n[0].alias("a"), n[1].alias("b")).agg(
         F.count_if((c("a") == 0) | (c("b") == 0)).alias("changed_nodes"), F.round(0.1 * F.sum(F.abs(c("b") - c("a"))), 4).alias("size_change")
@@ -258,11 +284,9 @@ def joi_lineoverlap(v: Views) -> DataFrame:
 SELECT coalesce(a.path, b.path) AS path, coalesce(a.layer, b.layer) AS block, coalesce(b.n, 0) - coalesce(a.n, 0) AS delta
 FROM (SELECT path, layer, count(*) AS n FROM run_files WHERE run_id = 1995 GROUP BY 1, 2) a FULL JOIN (SELECT path, layer, count(*) AS n FROM run_files WHERE run_id = 1996 GROUP BY 1, 2) b ON a.path = b.path AND a.layer = b.layer""")
 def joi_blockdiff(v: Views) -> DataFrame:
-    def blocks(year, name):
-        return v.run_files.where(c("run_id") == year).groupBy("path", c("layer").alias("block")).agg(F.count("*").alias(name))
-
-    j = blocks(1995, "a").join(blocks(1996, "b"), ["path", "block"], "full_outer")
-    return j.select("path", "block", (F.coalesce("b", F.lit(0)) - F.coalesce("a", F.lit(0))).alias("delta"))
+    # both runs in one pass
+    n = [F.count_if(c("run_id") == year) for year in (1995, 1996)]
+    return v.within(1995, 1996).run_files.groupBy("path", c("layer").alias("block")).agg((n[1] - n[0]).alias("delta"))
 
 
 @operator("joi_testpredict", """

@@ -139,12 +139,12 @@ def flt_archived(v: Views) -> DataFrame:
 
 
 @operator("flt_bugsubject", r"""
-SELECT commit_id, author, regexp_matches(lower(subject), '\b(fix|fixes|fixed|bug|hotfix|patch)\b') AS by_words,
+SELECT commit_id, author, regexp_matches(lower(subject), '\b(fix|bug|hotfix|revert)\b') AS by_words,
   regexp_matches(lower(subject), 'fix|bug|issue|hotfix|patch') AND NOT regexp_matches(lower(subject), 'docs|readme|typo') AS by_content
-FROM (SELECT DISTINCT commit_id, author, CASE author % 5 WHEN 0 THEN 'Fix prefix bug' WHEN 1 THEN 'typo fix' WHEN 2 THEN 'issue 4' WHEN 3 THEN 'debugging' ELSE subject END AS subject FROM touches) t""")
+FROM (SELECT DISTINCT commit_id, author, CASE author % 5 WHEN 0 THEN 'Fix prefix bug' WHEN 1 THEN 'typo fix' WHEN 2 THEN 'Revert issue 4' WHEN 3 THEN 'debugging' ELSE subject END AS subject FROM touches) t""")
 def flt_bugsubject(v: Views) -> DataFrame:
     a = c("author") % 5
-    subject = F.when(a == 0, "Fix prefix bug").when(a == 1, "typo fix").when(a == 2, "issue 4").when(a == 3, "debugging").otherwise(c("subject"))
+    subject = F.when(a == 0, "Fix prefix bug").when(a == 1, "typo fix").when(a == 2, "Revert issue 4").when(a == 3, "debugging").otherwise(c("subject"))
     t = v.touches.select("commit_id", "author", subject.alias("subject")).distinct()
     return t.select("commit_id", "author", K.is_fix_words(c("subject")).alias("by_words"), K.is_fix_contains(c("subject")).alias("by_content"))
 

@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..catalogue import operator
+from ..functions.text import glob
+from ..store import materialize
 from ..views import Views
 from .aggregates import coupling
-from .graph import cycles
+from .graph import _CYCLES, cycles
 
 c = F.col
 
@@ -68,55 +71,120 @@ def rul_dispatch(v: Views) -> DataFrame:
     return evaluate(v.run_metrics, PACK)
 
 
+def statuses(metrics: DataFrame, rules: list[tuple], disabled: frozenset[str] = frozenset()) -> DataFrame:
+    """(run_id, rule, status, violations) of every rule in every run: SKIPPED if disabled, ERROR if no plugin knows its kind, else FAILED or PASSED."""
+    named = [(f"{k[:3]}-{n}", k in PLUGINS) for k, n, _ in rules]
+    every = metrics.select("run_id").distinct().select("run_id", F.explode(F.array(*(F.struct(F.lit(n).alias("rule"), F.lit(ok).alias("known")) for n, ok in named))).alias("r"))
+    live = [r for r in rules if f"{r[0][:3]}-{r[1]}" not in disabled]
+    n = evaluate(metrics, live).groupBy("run_id", "rule").agg(F.count("*").alias("violations"))
+    j = every.select("run_id", "r.rule", "r.known").join(n, ["run_id", "rule"], "left").withColumn("violations", F.coalesce("violations", F.lit(0)))
+    status = F.when(c("rule").isin(*disabled), "SKIPPED").when(~c("known"), "ERROR").when(c("violations") > 0, "FAILED").otherwise("PASSED")
+    return j.select("run_id", "rule", status.alias("status"), "violations")
+
+
 @operator("rul_evalstatus", f"""
-WITH viol AS ({_VIOL}) SELECT r.run_id, k.rule, CASE WHEN count(x.path) > 0 THEN 'FAILED' ELSE 'PASSED' END AS status, count(x.path) AS violations
-FROM snapshots r CROSS JOIN (VALUES ('max-complexity'), ('max-coupling'), ('min-hotspot_score')) k(rule) LEFT JOIN viol x ON x.run_id = r.run_id AND x.rule = k.rule GROUP BY 1, 2""")
+WITH viol AS ({_VIOL}) SELECT r.run_id, k.rule, coalesce(k.fixed, CASE WHEN count(x.path) > 0 THEN 'FAILED' ELSE 'PASSED' END) AS status, count(x.path) AS violations
+FROM (SELECT DISTINCT run_id FROM run_metrics) r CROSS JOIN (VALUES ('max-complexity', NULL), ('max-coupling', NULL), ('min-hotspot_score', 'SKIPPED'), ('unk-complexity', 'ERROR')) k(rule, fixed)
+LEFT JOIN viol x ON x.run_id = r.run_id AND x.rule = k.rule AND k.fixed IS NULL GROUP BY r.run_id, k.rule, k.fixed""")
 def rul_evalstatus(v: Views) -> DataFrame:
-    names = F.array(*(F.lit(f"{k[:3]}-{n}") for k, n, _ in PACK if k in PLUGINS))
-    every = v.snapshots.select("run_id", F.explode(names).alias("rule"))
-    n = evaluate(v.run_metrics, PACK).groupBy("run_id", "rule").agg(F.count("*").alias("violations"))
-    j = every.join(n, ["run_id", "rule"], "left").withColumn("violations", F.coalesce("violations", F.lit(0)))
-    return j.select("run_id", "rule", F.when(c("violations") > 0, "FAILED").otherwise("PASSED").alias("status"), "violations")
+    metrics = materialize(v.run_metrics, "run-metrics")  # read once, asked by every rule
+    return statuses(metrics, PACK, frozenset({"min-hotspot_score"}))
 
 
 @operator("rul_layer", "SELECT DISTINCT run_id, path, layer FROM run_files WHERE layer LIKE 'ECO%' AND dep % 10 = 7")
 def rul_layer(v: Views) -> DataFrame:
-    from ..functions.text import glob
+    """Files of a layer that depend on modules of another: patterns on both ends."""
+    dep = F.concat(F.lit("module/"), c("dep").cast("string"))
+    return v.run_files.where(glob(c("layer"), "ECO*") & glob(dep, "module/*7")).select("run_id", "path", "layer").distinct()
+
+
+#: The policy's default limits: complexity of a module, and modules that depend on it.
+MAX_COMPLEXITY, MAX_COUPLING = 12.0, 8
+_RANK = {"HIGH": 0, "MEDIUM": 1, "LOW": 2}
+
+
+def policy(nodes: DataFrame, edges: DataFrame, rules: list[dict]) -> DataFrame:
+    """(rule, target, severity, rank) of nodes(id, name, complexity) and edges(src, dst), to be sorted by (rank, target).
+
+    A rule has an id, a type, a severity, maybe ``enabled``, and a threshold or the patterns of both ends. Names are matched
+    without regard to case. Rules of unknown types, severities or without what their type needs are refused.
+    """
+    plans = []
+    for r in rules:
+        kind, severity = r.get("type"), r.get("severity", "MEDIUM")
+        if not r.get("id") or severity not in _RANK or kind not in ("MAX_COMPLEXITY", "MAX_COUPLING", "FORBIDDEN_DEPENDENCY"):
+            raise ValueError(f"no valid rule: {r}")
+        if kind == "FORBIDDEN_DEPENDENCY" and not (r.get("source") and r.get("target")):
+            raise ValueError(f"a forbidden dependency needs a source and a target: {r}")
+        if not r.get("enabled", True):
+            continue
+        if kind == "MAX_COMPLEXITY":
+            hit = nodes.where(c("complexity") > r.get("threshold", MAX_COMPLEXITY)).select(c("name").alias("target"))
+        elif kind == "MAX_COUPLING":
+            many = edges.groupBy(c("dst").alias("id")).agg(F.countDistinct("src").alias("ca")).where(c("ca") > r.get("threshold", MAX_COUPLING))
+            hit = nodes.join(many, "id", "left_semi").select(c("name").alias("target"))
+        else:
+            # each end is matched once for each module, not for each edge
+            ends = [nodes.where(c("name").rlike("(?i)" + r[x])).select(c("id").alias(e), c("name").alias(n)) for x, e, n in (("source", "src", "a"), ("target", "dst", "b"))]
+            hit = edges.select("src", "dst").distinct().join(ends[0], "src").join(ends[1], "dst").select(F.concat_ws("->", "a", "b").alias("target"))
+        plans.append(hit.select(F.lit(r["id"]).alias("rule"), "target", F.lit(severity).alias("severity"), F.lit(_RANK[severity]).alias("rank")))
+    none = nodes.select(F.lit("").alias("rule"), c("name").alias("target"), F.lit("").alias("severity"), F.lit(9).alias("rank")).limit(0)
+    return reduce(DataFrame.unionByName, plans) if plans else none
+
+
+_NAMED = "SELECT id, 'r' || CAST(region AS VARCHAR) || '/d' || CAST(domain AS VARCHAR) || '/s' || CAST(id AS VARCHAR) AS name, complexity FROM nodes"
+
+
+@operator("rul_policy", f"""
+WITH n AS ({_NAMED})
+SELECT 'POL-COMPLEXITY' AS rule, name AS target, 'MEDIUM' AS severity, 1 AS rank FROM n WHERE complexity > 26 UNION ALL
+SELECT 'POL-COUPLING', name, 'HIGH', 0 FROM n JOIN (SELECT dst FROM edges GROUP BY dst HAVING count(DISTINCT src) > 8) e ON e.dst = n.id UNION ALL
+SELECT 'POL-LAYERS', a.name || '->' || b.name, 'HIGH', 0 FROM edges JOIN n a ON a.id = src JOIN n b ON b.id = dst WHERE a.name LIKE 'r0/%' AND b.name LIKE 'r1/%'""")
+def rul_policy(v: Views) -> DataFrame:
+    name = F.concat(F.lit("r"), c("region").cast("string"), F.lit("/d"), c("domain").cast("string"), F.lit("/s"), c("id").cast("string"))
+    rules = [
+        {"id": "POL-COMPLEXITY", "type": "MAX_COMPLEXITY", "threshold": 26.0},
+        {"id": "POL-COUPLING", "type": "MAX_COUPLING", "severity": "HIGH"},
+        {"id": "POL-LAYERS", "type": "FORBIDDEN_DEPENDENCY", "source": "^R0/", "target": "^R1/", "severity": "HIGH"},
+        {"id": "POL-OFF", "type": "MAX_COUPLING", "threshold": 0, "enabled": False},
+    ]
+    return policy(v.nodes.select("id", name.alias("name"), "complexity"), v.edges, rules)
 
-    return v.run_files.where(glob(c("layer"), "ECO*") & (c("dep") % 10 == 7)).select("run_id", "path", "layer").distinct()
 
+def antipatterns(
+    modules: DataFrame, edges: DataFrame, *, god_loc: float = 100, god_complexity: float = 14.0, god_coupling: int = 5, envy: int = 4, shotgun: int = 6, severe: int = 10, brain: float = 18.0, longest_cycle: int = 4
+) -> DataFrame:
+    """(id, pattern, severity) of modules(id, loc, complexity, abstract) and their edges; a cycle is told at its smallest module."""
+    k = coupling(modules, edges).join(modules.select("id", "loc", "complexity", "abstract"), "id")
+    god = ((c("loc") >= god_loc) | (c("complexity") >= god_complexity)) & (c("ca") + c("ce") >= god_coupling)
 
-@operator("rul_policy", """
-SELECT 'MAX_COMPLEXITY' AS rule, CAST(id AS VARCHAR) AS target, 'HIGH' AS severity FROM nodes WHERE complexity > 26 UNION ALL
-SELECT 'MAX_COUPLING', CAST(dst AS VARCHAR), 'MEDIUM' FROM edges GROUP BY dst HAVING count(*) > 4 UNION ALL
-SELECT 'FORBIDDEN_DEPENDENCY', CAST(src AS VARCHAR) || '->' || CAST(dst AS VARCHAR), 'HIGH' FROM edges JOIN nodes a ON a.id = src JOIN nodes b ON b.id = dst WHERE a.region = 0 AND b.region = 1""")
-def rul_policy(v: Views) -> DataFrame:
-    region = v.nodes.select("id", "region")
-    cx = v.nodes.where("complexity > 26").select(F.lit("MAX_COMPLEXITY").alias("rule"), c("id").cast("string").alias("target"), F.lit("HIGH").alias("severity"))
-    cp = v.edges.groupBy("dst").agg(F.count("*").alias("n")).where("n > 4").select(F.lit("MAX_COUPLING"), c("dst").cast("string"), F.lit("MEDIUM"))
-    ends = v.edges.join(region.toDF("src", "a"), "src").join(region.toDF("dst", "b"), "dst").where("a = 0 and b = 1")
-    fb = ends.select(F.lit("FORBIDDEN_DEPENDENCY"), F.concat(c("src").cast("string"), F.lit("->"), c("dst").cast("string")), F.lit("HIGH"))
-    return cx.union(cp).union(fb)
+    def found(when, pattern, severity):
+        return F.when(when, F.struct(F.lit(pattern).alias("pattern"), severity.alias("severity")))
+
+    checks = [
+        F.coalesce(found(god, "GOD_OBJECT", F.lit("HIGH")), found(~god & (c("ce") >= envy) & (c("ce") > 2 * c("ca")), "FEATURE_ENVY", F.lit("MEDIUM"))),
+        found(c("ca") >= shotgun, "SHOTGUN_SURGERY", F.when(c("ca") >= severe, "HIGH").otherwise("MEDIUM")),
+        found(c("abstract") & (c("ca") == 0) & (c("ce") == 0), "DEAD_ABSTRACTION", F.lit("LOW")),
+        found(c("complexity") >= brain, "BRAIN_METHOD", F.lit("HIGH")),
+    ]
+    single = k.select("id", F.explode(F.array_compact(F.array(*checks))).alias("x")).select("id", "x.pattern", "x.severity")
+    rings = cycles(edges, longest_cycle).select(c("cycle")[0].alias("id"), F.lit("CIRCULAR_DEPENDENCY").alias("pattern"), F.lit("HIGH").alias("severity")).distinct()
+    return single.unionByName(rings)
 
 
-@operator("det_antipattern", """
-WITH k AS (SELECT n.id, n.loc, n.complexity, coalesce(i.ca, 0) AS ca, coalesce(o.ce, 0) AS ce FROM nodes n
+@operator("det_antipattern", _CYCLES + """,
+k AS (SELECT n.id, n.loc, n.complexity, n.domain % 5 = 0 AS abstract, coalesce(i.ca, 0) AS ca, coalesce(o.ce, 0) AS ce FROM nodes n
   LEFT JOIN (SELECT dst, count(DISTINCT src) AS ca FROM edges GROUP BY dst) i ON i.dst = n.id LEFT JOIN (SELECT src, count(DISTINCT dst) AS ce FROM edges GROUP BY src) o ON o.src = n.id)
-SELECT id, p AS pattern FROM (SELECT id, unnest(list_filter([CASE WHEN complexity > 26 AND ca + ce >= 6 THEN 'GOD_OBJECT' WHEN ce > 2 * ca THEN 'FEATURE_ENVY' END, CASE WHEN ca >= 5 THEN 'SHOTGUN_SURGERY' END,
-  CASE WHEN ca = 0 THEN 'DEAD_ABSTRACTION' END, CASE WHEN complexity > 26.2 THEN 'BRAIN_METHOD' END], lambda x: x IS NOT NULL)) AS p FROM k) q
-UNION ALL SELECT DISTINCT a.src, 'CIRCULAR_DEPENDENCY' FROM edges a JOIN edges b ON b.src = a.dst AND b.dst = a.src WHERE a.src < a.dst""")
+SELECT id, 'GOD_OBJECT' AS pattern, 'HIGH' AS severity FROM k WHERE (loc >= 650 OR complexity >= 26) AND ca + ce >= 5
+UNION ALL SELECT id, 'FEATURE_ENVY', 'MEDIUM' FROM k WHERE NOT ((loc >= 650 OR complexity >= 26) AND ca + ce >= 5) AND ce >= 4 AND ce > 2 * ca
+UNION ALL SELECT id, 'SHOTGUN_SURGERY', CASE WHEN ca >= 10 THEN 'HIGH' ELSE 'MEDIUM' END FROM k WHERE ca >= 6
+UNION ALL SELECT id, 'DEAD_ABSTRACTION', 'LOW' FROM k WHERE abstract AND ca = 0 AND ce = 0
+UNION ALL SELECT id, 'BRAIN_METHOD', 'HIGH' FROM k WHERE complexity >= 26.2
+UNION ALL SELECT DISTINCT cycle[1], 'CIRCULAR_DEPENDENCY', 'HIGH' FROM cyc""")
 def det_antipattern(v: Views) -> DataFrame:
-    k = coupling(v.nodes, v.edges).join(v.nodes.select("id", "loc", "complexity"), "id")
-    god = (c("complexity") > 26) & (c("ca") + c("ce") >= 6)
-    checks = [
-        F.when(god, "GOD_OBJECT").when(c("ce") > 2 * c("ca"), "FEATURE_ENVY"),
-        F.when(c("ca") >= 5, "SHOTGUN_SURGERY"),
-        F.when(c("ca") == 0, "DEAD_ABSTRACTION"),
-        F.when(c("complexity") > 26.2, "BRAIN_METHOD"),
-    ]
-    found = k.select("id", F.explode(F.array_compact(F.array(*checks))).alias("pattern"))
-    rings = cycles(v.edges, 2).select(c("cycle")[0].alias("id"), F.lit("CIRCULAR_DEPENDENCY").alias("pattern")).distinct()
-    return found.unionByName(rings)
+    """Modules here have some 600 lines and a mean quantity of 25 as complexity: the query asks for what stands out of that."""
+    modules = v.nodes.select("id", "loc", "complexity", (c("domain") % 5 == 0).alias("abstract"))
+    return antipatterns(modules, v.edges, god_loc=650, god_complexity=26.0, brain=26.2)
 
 
 @operator("det_assumption", r"""

@@ -208,11 +208,13 @@ def snk_md(v: Views) -> DataFrame:
     return top.select(F.concat(F.lit("| "), c("path").cast("string"), F.lit(" | "), c("package"), F.lit(" |"), F.when(c("complexity") > 28, " !").otherwise("")).alias("line"))
 
 
-@operator("agg_modelhash", "SELECT domain, sha256(string_agg(CAST(id AS VARCHAR) || ':' || CAST(loc AS VARCHAR), ',' ORDER BY id)) AS digest FROM nodes GROUP BY domain")
+@operator("agg_modelhash", """
+SELECT domain, sha256(string_agg(digest, '' ORDER BY block)) AS digest FROM (
+  SELECT domain, id // 1000 AS block, sha256(string_agg(CAST(id AS VARCHAR) || ':' || CAST(loc AS VARCHAR) || ',', '' ORDER BY id)) AS digest FROM nodes GROUP BY 1, 2) b GROUP BY domain""")
 def agg_modelhash(v: Views) -> DataFrame:
-    rows = v.nodes.groupBy("domain").agg(F.array_sort(F.collect_list(F.struct("id", "loc"))).alias("r"))
-    text = F.array_join(F.transform("r", lambda x: F.concat_ws(":", x["id"].cast("string"), x["loc"].cast("string"))), ",")
-    return rows.select("domain", F.sha2(text.cast("binary"), 256).alias("digest"))
+    from ..operators.aggregates import two_level_digest
+
+    return two_level_digest(v.nodes, "domain", "id", F.concat(c("id").cast("string"), F.lit(":"), c("loc").cast("string"), F.lit(",")))
 
 
 @operator("jsn_canon", """SELECT event_id, '{"k":' || CAST(json_extract(props, '$.k') AS VARCHAR) || ',"type":"' || event_type || '"}' AS canonical FROM events""")

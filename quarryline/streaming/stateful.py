@@ -7,8 +7,10 @@ Streams read the folder of a table with an explicit schema and end when all of i
 from __future__ import annotations
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from ..store import new_path
@@ -16,9 +18,13 @@ from ..store import new_path
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
 
-def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events as a stream with event time; watermarks need a timestamp with a zone."""
-    stream = spark.readStream.schema(EVENTS).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+def event_stream(spark: SparkSession, folder: str, *, files: str = "events.parquet", files_a_batch: int | None = None) -> DataFrame:
+    """The events as a stream with event time; watermarks need a timestamp with a zone.
+
+    ``files_a_batch`` bounds the files that a micro-batch takes, where a stream has many.
+    """
+    reader = spark.readStream.schema(EVENTS).option("pathGlobFilter", files)
+    stream = (reader.option("maxFilesPerTrigger", files_a_batch) if files_a_batch else reader).parquet(folder)
     return stream.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
@@ -37,22 +43,40 @@ def sessions(events: DataFrame, gap: str, late: str = "10 minutes") -> DataFrame
 def run_to_table(stream: DataFrame, mode: str = "complete") -> DataFrame:
     """Run a stream over all that there is, into a Parquet table of the shared folder, and read it.
 
-    Every micro-batch replaces (complete) or adds to (append) the table.
+    Every micro-batch overwrites a folder of its own number, so that a batch that is tried again leaves its rows once, and
+    a reader never sees a table half replaced.  The table is all of these (append), or the last one (complete).
     """
     spark = stream.sparkSession
     base = new_path(spark, "stream")
 
-    def sink(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{base}/table")
+    def sink(batch: DataFrame, number: int) -> None:
+        write_batch(batch, f"{base}/table", number)
 
     query = stream.writeStream.outputMode(mode).foreachBatch(sink).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{base}/table")
+    return read_batches(spark, stream, f"{base}/table", last_only=mode == "complete")
+
+
+def write_batch(batch: DataFrame, table: str, number: int) -> None:
+    batch.write.mode("overwrite").parquet(f"{table}/batch={number}")
+
+
+def read_batches(spark: SparkSession, like: DataFrame, table: str, *, last_only: bool) -> DataFrame:
+    """The rows of all batches of a table, or of its last one; none if it has none."""
+    schema = T.StructType([*like.schema.fields, T.StructField("batch", T.LongType())])
+    try:
+        rows = spark.read.schema(schema).parquet(table)
+    except AnalysisException:  # no batch was written
+        return spark.createDataFrame([], like.schema)
+    if last_only:
+        rows = rows.where(F.col("batch") == rows.agg(F.max("batch")).first()[0])
+    return rows.drop("batch")
 
 
 def changes(events: DataFrame) -> DataFrame:
     """(user_id, event_id, change): an entity's state kept between batches; added at first, modified when it differs.
 
+    An entity's state (its last type) stays for as long as it may change, which is for ever here: one short row for each entity.
     The events of an entity within a micro-batch are taken in order of time, then id, so the outcome
     does not hang on their arrival.
     """

@@ -30,7 +30,10 @@ SQL: dict[str, str] = {
   FROM (SELECT l_suppkey AS src, lead(l_suppkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS dst FROM lineitem) s
   WHERE dst IS NOT NULL AND src <> dst GROUP BY src, dst""",
     "edges": """
-  SELECT src, dst, weight FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY weight DESC, dst) AS k FROM links) r WHERE k <= 2""",
+  SELECT src, dst, count(*) AS weight
+  FROM (SELECT l_suppkey AS src, p_size AS size, lead(l_suppkey) OVER w AS dst, lead(p_size) OVER w AS next_size FROM lineitem JOIN part ON p_partkey = l_partkey
+        WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity)) s
+  WHERE dst IS NOT NULL AND size = next_size GROUP BY src, dst""",
     "nodes": """
   SELECT l_suppkey AS id, round(avg(l_quantity), 6) AS complexity, count(*) AS loc, s_nationkey AS domain, min(n_regionkey) AS region
   FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey GROUP BY l_suppkey, s_nationkey""",
@@ -69,6 +72,10 @@ class Views:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
+    def within(self, first: int, last: int) -> Views:
+        """The same views over the runs of ``first`` to ``last`` only; the range of dates reaches the scan of orders."""
+        return _Within(self.spark, self.sf_dir, first, last)
+
     @cached_property
     def touches(self) -> DataFrame:
         """(commit_id, author, ts, subject, path): a commit touches each of its files once."""
@@ -107,9 +114,11 @@ class Views:
 
     @cached_property
     def edges(self) -> DataFrame:
-        """The dependency graph: each module's two heaviest links."""
-        order = Window.partitionBy("src").orderBy(F.desc("weight"), "dst")
-        return self.links.withColumn("k", F.row_number().over(order)).where("k <= 2").drop("k")
+        """The dependency graph, whole and sparse: lines that directly follow each other in a commit and touch files of one size; a module may depend on itself."""
+        lines = self.table("lineitem").join(self.table("part").select("p_partkey", "p_size"), F.col("p_partkey") == F.col("l_partkey"))
+        order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
+        steps = lines.select(F.col("l_suppkey").alias("src"), F.col("p_size").alias("size"), F.lead("l_suppkey").over(order).alias("dst"), F.lead("p_size").over(order).alias("next_size"))
+        return steps.where("dst is not null and size = next_size").groupBy("src", "dst").agg(F.count("*").alias("weight"))
 
     @cached_property
     def nodes(self) -> DataFrame:
@@ -180,3 +189,16 @@ class Views:
     def rated(self) -> DataFrame:
         docs = self.table("documents").select("doc_id", F.length("text").alias("size"), "lang", "source")
         return docs.join(self.table("labels"), "doc_id").select("doc_id", "quality", "toxic", "size", "lang", "source")
+
+
+class _Within(Views):
+    def __init__(self, spark: SparkSession, sf_dir: str, first: int, last: int):
+        super().__init__(spark, sf_dir)
+        self.first, self.last = first, last
+
+    def table(self, name: str) -> DataFrame:
+        whole = super().table(name)
+        if name != "orders":
+            return whole
+        start, end = (F.lit(f"{y}-01-01").cast("timestamp_ntz") for y in (self.first, self.last + 1))
+        return whole.where((F.col("o_orderdate") >= start) & (F.col("o_orderdate") < end))

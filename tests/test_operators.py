@@ -2,6 +2,7 @@
 
 import hashlib
 import hmac
+import os
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -13,6 +14,7 @@ from quarryline.functions import classify, formulas, text
 from quarryline.operators import aggregates, graph, joins, rules, windows
 from quarryline.plans import risk
 from quarryline.sources.gitlog import parse_log
+from quarryline.streaming import stateful
 
 
 def edges(spark, *pairs):
@@ -68,7 +70,7 @@ def test_strong_components_by_brute_force(spark, pairs):
             for i in ids:
                 if a in reach[i]:
                     reach[i].add(b)
-    want = {(i, min(j for j in ids if j in reach[i] and i in reach[j])) for i in ids if any(j != i and j in reach[i] and i in reach[j] for j in ids)}
+    want = {(i, min(j for j in ids if j in reach[i] and i in reach[j])) for i in ids if (i, i) in pairs or any(j != i and j in reach[i] and i in reach[j] for j in ids)}
     got = graph.strong_components(spark.createDataFrame(pairs, "src int, dst int")).collect()
     assert {(r.id, r.component) for r in got} == want
 
@@ -155,3 +157,153 @@ def test_store_shows_committed_runs_only(spark, tmp_path):
 def test_first_match_order(spark):
     df = spark.createDataFrame([("a_b",), ("abcdefg",), ("abc",)], "n string")
     assert [r.p for r in df.select(classify.name_prefix(F.col("n")).alias("p")).collect()] == ["a", "abcd", "abc"]
+
+
+def edge_table(spark, pairs):
+    return spark.createDataFrame(pairs, "src long, dst long")
+
+
+def test_levels_of_a_long_chain(spark):
+    nodes = spark.range(62)
+    got = {r.id: r.level for r in graph.topological_levels(nodes, edge_table(spark, [(i, i + 1) for i in range(60)] + [(0, 60), (3, 50)])).collect()}
+    assert got == {**{i: i for i in range(61)}, 61: 0}
+    with pytest.raises(ValueError, match="cycle"):
+        graph.topological_levels(nodes, edge_table(spark, [(1, 2), (2, 3), (3, 1)]))
+
+
+def test_self_loops_are_components_and_cycles(spark):
+    edges = edge_table(spark, [(1, 1), (1, 2), (2, 3), (3, 2), (4, 5), (7, 7)])
+    assert sorted((r.id, r.component) for r in graph.strong_components(edges).collect()) == [(1, 1), (2, 2), (3, 2), (7, 7)]
+    assert sorted(r.cycle for r in graph.cycles(edges, 3).collect()) == [[1], [2, 3], [7]]
+    assert sorted(map(tuple, graph.within_components(edges).collect())) == [(1, 1), (2, 3), (3, 2), (7, 7)]
+    assert graph.strong_components(edge_table(spark, [(1, 2)])).count() == 0
+
+
+@pytest.mark.parametrize(("longest", "want"), [(1, 0), (2, 1), (3, 2), (5, 3)])
+def test_cycles_up_to_a_length(spark, longest, want):
+    edges = edge_table(spark, [(1, 2), (2, 1), (2, 3), (3, 1), (3, 4), (4, 5), (5, 1)])
+    assert graph.cycles(edges, longest).count() == want
+
+
+def test_reach_keeps_the_least_depth(spark):
+    edges = edge_table(spark, [(1, 2), (2, 3), (1, 3), (3, 1)])
+    got = {(r.start, r.id): r.depth for r in graph.reach(edges, spark.range(1, 2), 5).collect()}
+    assert got == {(1, 2): 1, (1, 3): 1, (1, 1): 2}
+
+
+@pytest.mark.parametrize("pattern", ["x[ab]", "a[b", "a]b", "[!ab]x", "x.y", "a^b", "a\\b", "*.py", "src/?/*", "[a-c]x", "[]]x", "a+b(c)", "[!]x", "a[^b]"])
+def test_glob_is_that_of_the_shell(spark, pattern):
+    from fnmatch import fnmatchcase
+
+    texts = ["xa", "xb", "xc", "a[b", "a]b", "ab", "cx", "ax", "x.y", "xzy", "a^b", "a\\b", "m.py", "m.pyc", "src/a/b/c", "src/ab/c", "bx", "]x", "a+b(c)", "aab(c)", "[!]x", "!x", "line\nend.py", "a^", "ab"]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").where(text.glob(F.col("t"), pattern)).collect()
+    assert {r.t for r in got} == {t for t in texts if fnmatchcase(t, pattern)}
+
+
+def test_versions_of_any_form(spark):
+    order = ["x", "1", "1.2", "1.9", "1.10.alpha", "1.10rc1", "1.10", "1.10.1", "2.0", "12345678901234567890"]
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(order)], "i int, v string").orderBy(F.rand(1))
+    got = [r.v for r in rows.orderBy(text.version_key(F.col("v"))).collect()]
+    assert got[0] == "x" and got.index("1.2") < got.index("1.9") < got.index("1.10rc1") < got.index("1.10") < got.index("2.0")
+    assert {r.v for r in rows.where(text.at_least_version(F.col("v"), "1.10")).collect()} == {"1.10", "1.10.1", "1.10.alpha", "2.0", "12345678901234567890"}
+
+
+def test_fix_words(spark):
+    subjects = {"revert change": True, "Fix it": True, "patch notes": False, "prefix fixture debug": False, "hotfix: x": True, "fixes all": False, "a bug": True}
+    rows = spark.createDataFrame(list(subjects.items()), "s string, want boolean")
+    assert rows.where(classify.is_fix_words(F.col("s")) != F.col("want")).count() == 0
+
+
+def test_antipatterns_by_the_default_limits(spark):
+    modules = spark.createDataFrame([(1, 120, 15.0, False), *((i, 10, 1.0, False) for i in range(2, 9)), (9, 5, 1.0, True), (10, 5, 18.0, False)], "id long, loc long, complexity double, abstract boolean")
+    edges = edge_table(spark, [(1, i) for i in range(2, 8)] + [(8, i) for i in (2, 3, 4, 5)] + [(10, 2), (2, 10)])
+    got = {(r.id, r.pattern, r.severity) for r in rules.antipatterns(modules, edges).collect()}
+    assert got == {(1, "GOD_OBJECT", "HIGH"), (8, "FEATURE_ENVY", "MEDIUM"), (9, "DEAD_ABSTRACTION", "LOW"), (10, "BRAIN_METHOD", "HIGH"), (2, "CIRCULAR_DEPENDENCY", "HIGH")}
+
+
+def test_policy_rules(spark):
+    nodes = spark.createDataFrame([(1, "app/controllers/user.py", 18.0), (2, "app/Repositories/db.py", 2.0), (3, "app/util.py", 1.0)], "id long, name string, complexity double")
+    edges = edge_table(spark, [(1, 2), (2, 3), *((i, 3) for i in range(10, 18))])
+    forbidden = {"id": "f", "type": "FORBIDDEN_DEPENDENCY", "source": "controllers?/", "target": "repositories?/", "severity": "HIGH"}
+    got = rules.policy(nodes, edges, [forbidden, {"id": "x", "type": "MAX_COMPLEXITY"}, {"id": "c", "type": "MAX_COUPLING"}, {"id": "off", "type": "MAX_COUPLING", "threshold": 0, "enabled": False}])
+    assert [(r.rule, r.target) for r in got.orderBy("rank", "target", "rule").collect()] == [("f", "app/controllers/user.py->app/Repositories/db.py"), ("x", "app/controllers/user.py"), ("c", "app/util.py")]
+    assert rules.policy(nodes, edges, []).count() == 0
+    for wrong in ({"id": "x", "type": "NONSENSE"}, {"type": "MAX_COUPLING"}, {"id": "x", "type": "FORBIDDEN_DEPENDENCY", "source": "a"}, {"id": "x", "type": "MAX_COUPLING", "severity": "?"}):
+        with pytest.raises(ValueError):
+            rules.policy(nodes, edges, [wrong])
+
+
+def test_rule_statuses(spark):
+    m = spark.createDataFrame([(1, "p", "complexity", 20.0), (2, "p", "complexity", 3.0)], "run_id int, path string, name string, value double")
+    pack = [("max-metric", "complexity", 15.0), ("min-metric", "complexity", 1.0), ("nonsense", "complexity", 1.0)]
+    got = {(r.run_id, r.rule): (r.status, r.violations) for r in rules.statuses(m, pack, frozenset({"min-complexity"})).collect()}
+    assert got == {(1, "max-complexity"): ("FAILED", 1), (2, "max-complexity"): ("PASSED", 0), **{(i, "min-complexity"): ("SKIPPED", 0) for i in (1, 2)}, **{(i, "non-complexity"): ("ERROR", 0) for i in (1, 2)}}
+
+
+def test_cutoffs_move_with_fixes_and_verdicts(spark):
+    rows = spark.createDataFrame([(0, None), (2, None), (9, None), (0, True), (0, False), (1, False)], "fixes int, accurate boolean")
+    got = [tuple(r) for r in rows.select(*(risk.cutoff(*x, F.col("fixes"), F.col("accurate")) for x in ((90.0, 5.0, 5.0, 75.0, 95.0), (65.0, 3.0, 3.0, 50.0, 80.0)))).collect()]
+    assert got == [(90.0, 65.0), (80.0, 59.0), (75.0, 50.0), (85.0, 62.0), (95.0, 68.0), (90.0, 65.0)]
+
+
+def test_impact_severity(spark):
+    rows = spark.createDataFrame([(15.0, 0), (0.0, 9), (14.9, 8), (5.0, 0), (0.0, 3), (4.9, 2)], "score double, total long")
+    assert [r.s for r in rows.select(graph.impact_severity(F.col("score"), F.col("total")).alias("s")).collect()] == ["HIGH", "HIGH", "MEDIUM", "MEDIUM", "MEDIUM", "LOW"]
+
+
+def test_omitted_partners_by_the_default_ratio(spark):
+    t = spark.createDataFrame([(1, 1), (1, 2), (2, 1), (2, 2), (3, 1), (4, 9)], "commit_id int, path int")
+    assert [tuple(r) for r in aggregates.omitted(t).collect()] == [(3, 1, 2, 0.667)]
+
+
+def test_run_changes(spark):
+    files = spark.createDataFrame([(1, "a.py", "x"), (2, "a.py", "x"), (2, "a.py", "db"), (2, "db.py", "x")], "run_id int, path string, dep string")
+    metrics = spark.createDataFrame([(1, "a.py", "size", 100.0), (2, "a.py", "size", 150.0), (1, "a.py", "n", 1.0), (2, "a.py", "n", 1.0)], "run_id int, path string, name string, value double")
+    bad = spark.createDataFrame([(1, "max-n", "a.py")], "run_id int, rule string, path string")
+    got = {tuple(r) for r in joins.run_changes(files, metrics, bad, 1, 2).collect()}
+    assert got == {("dependency", "a.py->db", "added", 1.0), ("dependency", "db.py->x", "added", 1.0), ("file", "db.py", "added", 1.0), ("violation", "max-n:a.py", "removed", -1.0), ("metric", "a.py:size", "increased", 50.0)}
+
+
+def test_streams_of_several_batches_keep_their_state(spark, sf_dir, tmp_path):
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").orderBy("ts", "event_id").limit(300)
+    rows = events.collect()
+    for i in range(3):  # one file after another, in order of time
+        spark.createDataFrame(rows[i * 100 : i * 100 + 100], events.schema).coalesce(1).write.parquet(f"file://{tmp_path}/in/part{i}")
+        for f in (tmp_path / "in" / f"part{i}").glob("*.parquet"):
+            f.rename(tmp_path / "in" / f"{i}.parquet")
+    stream = stateful.event_stream(spark, f"file://{tmp_path}/in", files="*.parquet", files_a_batch=1)
+    got = {(r.user_id, r.event_id, r.change) for r in stateful.run_to_table(stateful.changes(stream), "append").collect()}
+    last, want = {}, set()
+    for r in rows:
+        if last.get(r.user_id) != r.event_type:
+            want.add((r.user_id, r.event_id, "modified" if r.user_id in last else "added"))
+        last[r.user_id] = r.event_type
+    assert got == want
+    counts = {(str(r.start), r.event_type): r.n for r in stateful.run_to_table(stateful.tumbling(stateful.event_stream(spark, f"file://{tmp_path}/in", files="*.parquet", files_a_batch=1), "1 day")).collect()}
+    assert sum(counts.values()) == 300
+
+
+def test_a_batch_tried_again_counts_once(spark, tmp_path):
+    table = f"file://{tmp_path}/t"
+    for number in (0, 1, 1):
+        stateful.write_batch(spark.range(3), table, number)
+    like = spark.range(1)
+    assert stateful.read_batches(spark, like, table, last_only=False).count() == 6 and stateful.read_batches(spark, like, table, last_only=True).count() == 3
+    assert stateful.read_batches(spark, like, f"{table}-none", last_only=True).count() == 0
+
+
+def test_scratch_deletes_all_but_what_outlives_it(spark):
+    with store.scratch():
+        kept = store.materialize(spark.range(5), "kept", outlives=True)
+        gone = store.materialize(spark.range(5), "gone")
+        assert gone.count() == 5
+        path = gone.inputFiles()[0]
+    assert kept.count() == 5 and not os.path.exists(path.removeprefix("file://"))
+
+
+def test_two_level_digest_does_not_depend_on_partitions(spark):
+    rows = spark.range(2500).select(F.lit("s").alias("k"), "id", F.sha2(F.col("id").cast("string").cast("binary"), 256).alias("h"))
+    got = {aggregates.two_level_digest(rows.repartition(n), "k", "id", F.col("h")).first().digest for n in (1, 5)}
+    lines = [hashlib.sha256(str(i).encode()).hexdigest() for i in range(2500)]
+    blocks = [hashlib.sha256("".join(lines[i : i + 1000]).encode()).hexdigest() for i in (0, 1000, 2000)]
+    assert got == {hashlib.sha256("".join(blocks).encode()).hexdigest()}
