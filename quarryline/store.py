@@ -1,6 +1,6 @@
 """Tables in the shared folder, and run-partitioned history with a manifest.
 
-Iterations cut their lineage by writing to the folder that ``spark.checkpoint.dir`` names, which
+``scratch`` deletes, at its end, the tables that were written within it.  Iterations cut their lineage by writing to the folder that ``spark.checkpoint.dir`` names, which
 all executors share: the result is computed once and outlives any executor.
 """
 
@@ -8,7 +8,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,23 +20,53 @@ READER_VERSION = 1
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder; a local session without one gets a fresh temporary folder, a cluster a folder of its warehouse."""
+    """The shared folder; a local session without one gets a fresh temporary folder, a cluster a folder of its warehouse.
+
+    A cluster with neither a checkpoint folder nor a warehouse beyond the local disk is refused: executors would not see each other's files.
+    """
     base = spark.conf.get(_KEY, None)
     if not base:
-        local = spark.sparkContext.master.startswith("local")
-        base = "file://" + tempfile.mkdtemp(prefix="spark-shared-", dir="/tmp") if local else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
+        if spark.sparkContext.master.startswith("local"):
+            base = "file://" + tempfile.mkdtemp(prefix="spark-shared-", dir="/tmp")
+        else:
+            base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
+            if base.startswith(("file:", "/")):
+                raise ValueError(f"on a cluster, {_KEY} must name a folder that all executors share")
         spark.conf.set(_KEY, base)
     return base.rstrip("/")
 
 
-def new_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that nothing else uses."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+#: The paths that each open scratch has handed out, innermost last.
+_scratches: list[list[str]] = []
+
+
+def new_path(spark: SparkSession, name: str, *, outlives: bool = False) -> str:
+    """A path in the shared folder that nothing else uses; it belongs to the innermost scratch, or to the one around it if it ``outlives`` that."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    owners = _scratches[:-1] if outlives else _scratches
+    if owners:
+        owners[-1].append(path)
+    return path
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Delete what was written inside, but for what outlives it; nothing that is read later may depend on the rest."""
+    made: list[str] = []
+    _scratches.append(made)
+    try:
+        yield
+    finally:
+        _scratches.pop()
+        for path in made:
+            where, base = fs.FileSystem.from_uri(path)
+            if where.get_file_info(base).type != fs.FileType.NotFound:
+                where.delete_dir(base)
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, *, outlives: bool = False) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back: computed once, safe from lost executors."""
-    path = new_path(df.sparkSession, name)
+    path = new_path(df.sparkSession, name, outlives=outlives)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
