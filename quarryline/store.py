@@ -11,7 +11,6 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,7 +49,7 @@ def new_path(spark: SparkSession, name: str, *, outlives: bool = False) -> str:
 
 
 @contextmanager
-def scratch() -> Iterator[None]:
+def scratch(spark: SparkSession) -> Iterator[None]:
     """Delete what was written inside, but for what outlives it; nothing that is read later may depend on the rest."""
     made: list[str] = []
     _scratches.append(made)
@@ -58,10 +57,9 @@ def scratch() -> Iterator[None]:
         yield
     finally:
         _scratches.pop()
-        for path in made:
-            where, base = fs.FileSystem.from_uri(path)
-            if where.get_file_info(base).type != fs.FileType.NotFound:
-                where.delete_dir(base)
+        for path in made:  # through Hadoop's file systems, which wrote them, whatever the scheme
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def materialize(df: DataFrame, name: str, *, outlives: bool = False) -> DataFrame:

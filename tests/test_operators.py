@@ -293,7 +293,7 @@ def test_a_batch_tried_again_counts_once(spark, tmp_path):
 
 
 def test_scratch_deletes_all_but_what_outlives_it(spark):
-    with store.scratch():
+    with store.scratch(spark):
         kept = store.materialize(spark.range(5), "kept", outlives=True)
         gone = store.materialize(spark.range(5), "gone")
         assert gone.count() == 5
