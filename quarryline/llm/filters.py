@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -54,9 +54,9 @@ def may_hold(id_column: str, ids: DataFrame) -> Column:
     """True for every row whose id is in ``ids`` (its first column), and for few others."""
     bitmap = ids_bitmap(ids)
 
-    @F.pandas_udf(T.BooleanType())
-    def probe(slots: pd.Series) -> pd.Series:
-        return pd.Series(held(bitmap.value, slots.to_numpy()))
+    @F.arrow_udf(T.BooleanType())
+    def probe(slots: pa.Array) -> pa.Array:
+        return pa.array(held(bitmap.value, slots.to_numpy()))
 
     return probe(slot(id_column))
 

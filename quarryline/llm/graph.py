@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import materialize
+from .store import materialize, scratch
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -18,6 +18,11 @@ def components(links: DataFrame) -> DataFrame:
     rounds; each round is written to the shared folder, which cuts the lineage.
     No links give an empty table; self links and repeated links change nothing.
     """
+    with scratch(links.sparkSession):
+        return _components(links)
+
+
+def _components(links: DataFrame) -> DataFrame:
     edges = materialize(
         links.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links"
     )
@@ -34,7 +39,8 @@ def components(links: DataFrame) -> DataFrame:
         if now == mark:
             break
         mark = now
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+    roots = edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
+    return materialize(edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots), "components", outlives=True)
 
 
 def _mark(edges: DataFrame) -> tuple:

@@ -47,7 +47,7 @@ from pyspark.sql import types as T
 
 from .filters import held, ids_bitmap, slot
 from .graph import components
-from .store import materialize
+from .store import materialize, scratch
 from .words import SHINGLE, hash_words, mix64, shingles, slices
 
 _U = np.uint64
@@ -236,7 +236,16 @@ def _root_pairs(left: DataFrame, percent: int) -> DataFrame:
 def near_duplicates(
     docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", size: int = SHINGLE, percent: int = 75, sketch_bits: int | None = None
 ) -> DataFrame:
-    """Rows (id, n_shingles, component_id) for every row of ``docs``; see the module's text."""
+    """Rows (id, n_shingles, component_id) for every row of ``docs``; see the module's text.
+
+    The result is a table of the shared folder; what was written on the way to it is deleted.
+    """
+    with scratch(docs.sparkSession):
+        found = _near_duplicates(docs, id_column, text_column, size, percent, sketch_bits)
+        return materialize(found, "near-duplicates", outlives=True)
+
+
+def _near_duplicates(docs: DataFrame, id_column: str, text_column: str, size: int, percent: int, sketch_bits: int | None) -> DataFrame:
     spark = docs.sparkSession
     docs = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
     if sketch_bits is None:
@@ -269,7 +278,7 @@ def near_duplicates(
     )
     starred = materialize(starred.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
     links = verified(docs, starred, classes, size, percent)
-    joined = materialize(components(links), "components")
+    joined = components(links)
 
     # expand what is left: members of one list, in two components, untested
     members = classes.join(joined.withColumnRenamed("node", "cls"), "cls", "left").select("grp", "cls", F.coalesce("root", "cls").alias("root"), "n")
@@ -291,7 +300,7 @@ def near_duplicates(
     if not rest.isEmpty():
         more = verified(docs, rest, classes, size, percent)
         if not more.isEmpty():
-            joined = materialize(components(links.unionByName(more)), "components")
+            joined = components(links.unionByName(more))
 
     named = classes.select("cls", "id").join(joined.withColumnRenamed("node", "cls"), "cls", "left").select("cls", F.coalesce("root", "cls").alias("root"), "id")
     lowest = named.groupBy("root").agg(F.min("id").alias("component_id"))

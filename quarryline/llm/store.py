@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..store import materialize, new_path, shared_dir
+from ..store import materialize, new_path, scratch, shared_dir
 
-__all__ = ["crc32_mod", "materialize", "new_path", "shared_dir"]
+__all__ = ["crc32_mod", "materialize", "new_path", "scratch", "shared_dir"]
 
 
 def crc32_mod(column: str, modulus: int):
