@@ -223,6 +223,17 @@ def str_loc(v: Views) -> DataFrame:
     return v.table("documents").select("doc_id", n.alias("n")).select("doc_id", "n.*")
 
 
+_HIDDEN, _PLAIN = r'"[^"\n]*"|<!--[^>]*-->', r'[^"<]+'
+
+
+@operator("str_mask", rf"""
+SELECT page_id, md5(array_to_string(list_transform(regexp_extract_all(html, '(?:{_HIDDEN})|(?:{_PLAIN})|(?s:.)'), lambda x: CASE WHEN regexp_full_match(x, '{_HIDDEN}') THEN regexp_replace(x, '[^\n]', ' ', 'g') ELSE x END), '')) AS masked, length(html) AS size FROM pages""")
+def str_mask(v: Views) -> DataFrame:
+    """Strings and comments as blanks; lengths and line feeds stay."""
+    hidden = X.masked(c("html"), _HIDDEN, _PLAIN)
+    return v.table("pages").select("page_id", F.md5(hidden.cast("binary")).alias("masked"), F.length(hidden).cast("long").alias("size"))
+
+
 @operator("str_glob", "SELECT page_id, regexp_matches(path, '^.*[.]example[.]com/..?/.*$') AS matches FROM paths")
 def str_glob(v: Views) -> DataFrame:
     return v.paths.select("page_id", (X.glob(c("path"), "*.example.com/??/*") | X.glob(c("path"), "*.example.com/?/*")).alias("matches"))

@@ -80,6 +80,15 @@ def scramble(name: Column, salt: str, kind: str) -> Column:
     return F.concat(F.lit(f"${kind}_"), F.substring(hmac_sha256(name, salt), 1, 8))
 
 
+def masked(text: Column, hidden: str, plain: str) -> Column:
+    """``text`` with all that the pattern ``hidden`` matches as blanks, of the same length and with the same line feeds.
+
+    ``plain`` matches runs in which nothing hidden begins, so that most text is one piece.
+    """
+    pieces = F.regexp_extract_all(text, F.lit(f"(?:{hidden})|(?:{plain})|(?s:.)"), F.lit(0))
+    return F.array_join(F.transform(pieces, lambda x: F.when(x.rlike(f"^(?:{hidden})$"), F.regexp_replace(x, r"[^\n]", " ")).otherwise(x)), "")
+
+
 def script_complexity(text: Column) -> Column:
     """1, and one for each branching keyword and question mark outside string literals and comments."""
     masked = F.regexp_replace(F.regexp_replace(text, '"[^"\\n]*"', '""'), "<!--[^>]*-->", "")

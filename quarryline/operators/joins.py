@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..catalogue import operator
 from ..functions import classify as K
+from ..store import materialize
 from ..views import Views
 
 c = F.col
@@ -59,14 +60,51 @@ def joi_import_suffix(v: Views) -> DataFrame:
     return v.paths.select(c("path").alias("importer"), leaf.alias("leaf")).join(first, "leaf").select("importer", "target")
 
 
+def resolve_calls(calls: DataFrame, definitions: DataFrame, imports: DataFrame) -> DataFrame:
+    """(file, name, target) of the distinct calls(file, name): where definitions(file, name) has what a call means.
+
+    A definition in the caller's own file comes first.  Else it is the first file, by name, that defines the name and that
+    one of the caller's imports(file, import) speaks for: the import is the name, or ends with it; is the file's base name or module,
+    or something inside of it; or holds a base name of more than three letters.  Other calls have no row.
+    """
+    calls, definitions = calls.select("file", "name").distinct(), definitions.select("file", "name").distinct()
+    local = calls.join(definitions, ["file", "name"], "left_semi").select("file", "name", c("file").alias("target"))
+    bare = F.regexp_replace("target", r"\.py$", "")
+    module, base = F.replace(bare, F.lit("/"), F.lit(".")), F.element_at(F.split(bare, "/"), -1)
+    candidates = definitions.select(c("file").alias("target"), "name", module.alias("module"), base.alias("base"))
+    rest = calls.join(local, ["file", "name"], "left_anti").join(candidates, "name")
+    i = c("import")
+    speaks = (
+        (i == c("name")) | F.endswith(i, F.concat(F.lit("."), "name")) | (i == c("base")) | F.startswith(i, F.concat("base", F.lit(".")))
+        | (i == c("module")) | F.startswith(i, F.concat("module", F.lit("."))) | ((F.length("base") > 3) & F.contains(i, c("base")))
+    )
+    found = rest.join(imports.select("file", "import").distinct(), "file").where(speaks).groupBy("file", "name").agg(F.min("target").alias("target"))
+    return local.unionByName(found)
+
+
 @operator("joi_call", """
-SELECT caller, name, argc, CASE WHEN argc BETWEEN min_args AND max_args THEN 'local' WHEN argc < min_args THEN 'short' ELSE 'long' END AS how, n FROM (
-  SELECT caller, c.name, argc, min_args, max_args, count(*) AS n FROM calls c JOIN signatures s ON s.name = c.name GROUP BY 1, 2, 3, 4, 5) x""")
+WITH l AS (SELECT l_orderkey AS k, lower(replace(p_brand, '#', '_')) AS brand, p_type AS type, p_size AS size, lead(lower(replace(p_brand, '#', '_'))) OVER w AS next_brand, lead(p_type) OVER w AS next_type, lead(p_size) OVER w AS next_size
+  FROM lineitem JOIN part ON p_partkey = l_partkey WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity)),
+d AS (SELECT DISTINCT 'lib/' || lower(replace(p_brand, '#', '_')) || '.py' AS file, p_type AS name, 'lib.' || lower(replace(p_brand, '#', '_')) AS module, lower(replace(p_brand, '#', '_')) AS base FROM part WHERE p_size <= 3),
+x AS (SELECT DISTINCT 'lib/' || brand || '.py' AS file, next_type AS name FROM l WHERE next_type IS NOT NULL),
+m AS (SELECT DISTINCT 'lib/' || brand || '.py' AS file, 'lib.' || next_brand AS import FROM l WHERE size = next_size AND size <= 10),
+r AS (SELECT x.file, x.name, min(d.file) AS target FROM x JOIN d ON d.name = x.name JOIN m ON m.file = x.file
+  WHERE (m.import = d.name OR m.import LIKE '%.' || d.name OR m.import = d.base OR starts_with(m.import, d.base || '.') OR m.import = d.module OR starts_with(m.import, d.module || '.') OR (length(d.base) > 3 AND contains(m.import, d.base)))
+  AND NOT EXISTS (SELECT 1 FROM d o WHERE o.file = x.file AND o.name = x.name) GROUP BY 1, 2)
+SELECT file, name, target FROM r UNION ALL SELECT x.file, x.name, x.file FROM x WHERE EXISTS (SELECT 1 FROM d o WHERE o.file = x.file AND o.name = x.name)""")
 def joi_call(v: Views) -> DataFrame:
-    how = F.when(c("argc").between(c("min_args"), c("max_args")), "local").when(c("argc") < c("min_args"), "short").otherwise("long")
-    # count calls before the join: names are few and hot
-    calls = v.calls.groupBy("caller", "name", "argc").agg(F.count("*").alias("n"))
-    return calls.join(v.signatures, "name").select("caller", "name", "argc", how.alias("how"), "n")
+    """Packages are files, part types the names that they define and call; lines of files of one size that follow each other are imports."""
+    file = lambda brand: F.concat(F.lit("lib/"), F.lower(F.replace(brand, F.lit("#"), F.lit("_"))), F.lit(".py"))
+    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
+    parts = v.table("part")
+    lines = v.table("lineitem").join(parts, c("p_partkey") == c("l_partkey"))
+    after = F.lead(F.struct("p_brand", "p_type", "p_size")).over(order)
+    lines = lines.select("p_brand", "p_size", after.alias("after")).where("after is not null").groupBy("p_brand", "p_size", "after").count()
+    lines = materialize(lines.select(file(c("p_brand")).alias("file"), "p_size", "after"), "call-lines")
+    calls = lines.select("file", c("after.p_type").alias("name"))
+    imported = F.concat(F.lit("lib."), F.lower(F.replace("after.p_brand", F.lit("#"), F.lit("_"))))
+    imports = lines.where("p_size = after.p_size and p_size <= 10").select("file", imported.alias("import"))
+    return resolve_calls(calls, parts.where("p_size <= 3").select(file(c("p_brand")).alias("file"), c("p_type").alias("name")), imports)
 
 
 @operator("joi_callers", """

@@ -79,14 +79,25 @@ def prj_prune(v: Views) -> DataFrame:
     return v.paths.where(~K.is_pruned(c("path"))).select("page_id")
 
 
-@operator("prj_intent", """
-SELECT DISTINCT q.item_id, p.page_id FROM (SELECT DISTINCT item_id, lower(w) AS w FROM (SELECT item_id, unnest(string_split(text, ' ')) AS w FROM benchmark) x WHERE length(w) > 5) q
-JOIN (SELECT page_id, lower(w) AS w FROM (SELECT page_id, unnest(regexp_extract_all(path, '[a-z]+')) AS w FROM paths) y) p ON p.w = q.w""")
+def intent_targets(intents: DataFrame, paths: DataFrame, *, least: int = 4) -> DataFrame:
+    """(intent, path): the paths(path, name) whose name holds a word of intents(intent, text), of ``least`` letters or more, anywhere and in any case.
+
+    All substrings of a name are rows, so that it is an equi-join: a name is short, words and names are many.
+    """
+    words = intents.select("intent", F.explode(F.split("text", r"\s+")).alias("w")).where(F.length("w") >= least).select("intent", F.lower("w").alias("w")).distinct()
+    name = paths.where(F.length("name") >= least).select("path", F.lower("name").alias("name"))
+    starts = name.select("path", "name", F.explode(F.sequence(F.lit(1), F.length("name") - least + 1)).alias("at"))
+    pieces = starts.select("path", F.explode(F.transform(F.sequence(F.lit(least), F.length("name") - c("at") + 1), lambda n: F.substr("name", "at", n))).alias("w")).distinct()
+    return words.join(pieces, "w").select("intent", "path").distinct()
+
+
+@operator("prj_intent", r"""
+SELECT DISTINCT q.item_id, p.page_id FROM (SELECT DISTINCT item_id, lower(w) AS w FROM (SELECT item_id, unnest(regexp_split_to_array(text, '\s+')) AS w FROM benchmark) x WHERE length(w) > 3) q
+JOIN paths p ON contains(lower(p.path), q.w)""")
 def prj_intent(v: Views) -> DataFrame:
-    """Items whose words name a part of a path: both sides are exploded, so that it is an equi-join."""
-    words = v.table("benchmark").select("item_id", F.explode(F.split("text", " ")).alias("w")).where(F.length("w") > 5).select("item_id", F.lower("w").alias("w")).distinct()
-    parts = v.paths.select("page_id", F.explode(F.regexp_extract_all("path", F.lit("([a-z]+)"))).alias("w")).distinct()
-    return words.join(parts, "w").select("item_id", "page_id").distinct()
+    """Items as intents: the pages whose path holds one of an item's words."""
+    found = intent_targets(v.table("benchmark").select(c("item_id").alias("intent"), "text"), v.paths.select(c("page_id").alias("path"), c("path").alias("name")))
+    return found.select(c("intent").alias("item_id"), c("path").alias("page_id"))
 
 
 @operator("prj_domain", f"SELECT page_id, {_DOMAIN1} AS domain1, CASE WHEN len(string_split(path, '/')) < 2 THEN '(root)' ELSE array_to_string(string_split(path, '/')[1:-2][1:2], '/') END AS domain2 FROM paths")

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..catalogue import operator
 from ..views import Views
@@ -73,12 +77,39 @@ def stm_patch(v: Views) -> DataFrame:
     return v.table("events").groupBy("user_id").agg(F.max_by("event_type", "event_id").alias("state"), F.count("*").alias("patches"))
 
 
+def rate_limit(requests: DataFrame, *, limit: int = 20, micros: int = 1_000_000) -> DataFrame:
+    """(client, request, n, limited) of requests(client, at, request): a window of ``micros`` begins with a client's first request after the last window, and takes ``limit`` of them.
+
+    A client's requests pass in order of time, then id; what is kept of it meanwhile is one window.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        who, start, n = None, 0, 0
+        for b in batches:
+            counts = []
+            for client, at in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if client != who or at - start >= micros or not n:
+                    who, start, n = client, at, 0
+                n += 1
+                counts.append(n)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(counts, pa.int64())], names=["client", "request", "n"])
+
+    rows = requests.select("client", "at", "request")
+    schema = T.StructType([rows.schema["client"], rows.schema["request"], T.StructField("n", T.LongType())])
+    passed = rows.repartition("client").sortWithinPartitions("client", "at", "request").mapInArrow(run, schema)
+    return passed.withColumn("limited", c("n") > limit)
+
+
 @operator("stm_ratelimit", """
-SELECT user_id, CAST(epoch(date_trunc('hour', ts)) AS BIGINT) AS start, count(*) AS n, count(*) > 2 AS limited FROM events GROUP BY 1, 2""")
+WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+r(user_id, event_id, k, start, n) AS (SELECT user_id, event_id, k, us, 1 FROM e WHERE k = 1 UNION ALL
+  SELECT e.user_id, e.event_id, e.k, CASE WHEN e.us - r.start < 14400000000 THEN r.start ELSE e.us END, CASE WHEN e.us - r.start < 14400000000 THEN r.n + 1 ELSE 1 END FROM r JOIN e ON e.user_id = r.user_id AND e.k = r.k + 1)
+SELECT user_id, event_id, CAST(n AS BIGINT) AS n, n > 2 AS limited FROM r""")
 def stm_ratelimit(v: Views) -> DataFrame:
-    """Requests of a client in each hour; windows are aligned to the clock, not to the first request."""
-    w = F.window(c("ts").cast("timestamp"), "1 hour").alias("w")
-    return v.table("events").groupBy("user_id", w).agg(F.count("*").alias("n")).select("user_id", F.unix_seconds("w.start").alias("start"), "n", (c("n") > 2).alias("limited"))
+    """Users make a few events a day: the query allows two in four hours."""
+    asked = v.table("events").select(c("user_id").alias("client"), _utc(c("ts")).alias("at"), c("event_id").alias("request"))
+    out = rate_limit(asked, limit=2, micros=4 * 3_600_000_000)
+    return out.select(c("client").alias("user_id"), c("request").alias("event_id"), "n", "limited")
 
 
 _ALLOWED = (("signup", "view"), ("view", "click"), ("click", "purchase"), ("view", "view"), ("click", "view"))
@@ -117,9 +148,27 @@ def stm_events(v: Views) -> DataFrame:
     return v.table("events").groupBy("event_type").agg(F.count("*").alias("n"), F.min("event_id").alias("first_id"), F.max("event_id").alias("last_id"))
 
 
-@operator("stm_cache", "SELECT event_type, max(day(ts)) AS newest, count(DISTINCT user_id) AS entries FROM events WHERE day(ts) >= 5 GROUP BY event_type")
+def pruned_cache(saved: DataFrame, runs: DataFrame, *, keep_runs: int = 5) -> DataFrame:
+    """(stage, version, input_hash, output): what each key of saved(stage, version, input_hash, output, created) was saved as last, without what is older than the ``keep_runs``-th newest of runs(run).
+
+    With fewer runs nothing is pruned.
+    """
+    last = saved.groupBy("stage", "version", "input_hash").agg(F.max(F.struct("created", "output")).alias("x"))
+    oldest = runs.select("run").distinct().orderBy(F.desc("run")).limit(keep_runs).agg(F.when(F.count("*") == keep_runs, F.min("run")).alias("oldest"))  # one row
+    fresh = last.join(F.broadcast(oldest)).where(c("oldest").isNull() | (c("x.created") >= c("oldest")))
+    return fresh.select("stage", "version", "input_hash", "x.output")
+
+
+@operator("stm_cache", """
+SELECT event_type AS stage, user_id % 2 AS version, md5(CAST(user_id AS VARCHAR)) AS input_hash, list(event_id ORDER BY ts DESC, event_id DESC)[1] AS output FROM events GROUP BY 1, 2, user_id
+HAVING max(CAST(ts AS DATE)) >= (SELECT min(d) FROM (SELECT DISTINCT CAST(ts AS DATE) AS d FROM events ORDER BY d DESC LIMIT 5) x)""")
 def stm_cache(v: Views) -> DataFrame:
-    return v.table("events").where(F.dayofmonth("ts") >= 5).groupBy("event_type").agg(F.max(F.dayofmonth("ts")).cast("long").alias("newest"), F.countDistinct("user_id").alias("entries"))
+    """Days are runs; a user's event of a type saves the output of that stage for the user."""
+    events = v.table("events")
+    saved = events.select(
+        c("event_type").alias("stage"), (c("user_id") % 2).alias("version"), F.md5(c("user_id").cast("string").cast("binary")).alias("input_hash"), c("event_id").alias("output"), c("ts").alias("created")
+    )
+    return pruned_cache(saved, events.select(F.date_trunc("day", "ts").alias("run")))
 
 
 @operator("agg_transitions", "SELECT state, next_state, count(*) AS weight FROM steps WHERE next_state IS NOT NULL GROUP BY 1, 2")

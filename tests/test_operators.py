@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 
 from quarryline import store
 from quarryline.functions import classify, formulas, text
-from quarryline.operators import aggregates, graph, joins, rules, windows
+from quarryline.operators import aggregates, graph, joins, projections, rules, windows
 from quarryline.plans import risk
 from quarryline.sources.gitlog import parse_log
+from quarryline.streaming import queries as stream_queries
 from quarryline.streaming import stateful
 
 
@@ -307,3 +308,42 @@ def test_two_level_digest_does_not_depend_on_partitions(spark):
     lines = [hashlib.sha256(str(i).encode()).hexdigest() for i in range(2500)]
     blocks = [hashlib.sha256("".join(lines[i : i + 1000]).encode()).hexdigest() for i in (0, 1000, 2000)]
     assert got == {hashlib.sha256("".join(blocks).encode()).hexdigest()}
+
+
+def test_calls_are_resolved_by_import_evidence(spark):
+    definitions = spark.createDataFrame([("a.py", "run"), ("b/run.py", "run"), ("c/tool.py", "run"), ("c/tool.py", "save"), ("d/x.py", "load"), ("e/x.py", "load")], "file string, name string")
+    calls = spark.createDataFrame([("a.py", "run"), ("m.py", "run"), ("m.py", "save"), ("m.py", "load"), ("m.py", "unknown"), ("n.py", "load"), ("n.py", "save")], "file string, name string")
+    imports = spark.createDataFrame([("m.py", "c.tool"), ("n.py", "e.x.load")], "file string, import string")
+    got = {tuple(r) for r in joins.resolve_calls(calls, definitions, imports).collect()}
+    assert got == {("a.py", "run", "a.py"), ("m.py", "run", "c/tool.py"), ("m.py", "save", "c/tool.py"), ("n.py", "load", "d/x.py")}  # the name itself is imported: the first file that has it
+
+
+def test_intents_are_substrings(spark):
+    intents = spark.createDataFrame([(1, "fix the PARSER now"), (2, "a b c"), (3, "arse")], "intent int, text string")
+    paths = spark.createDataFrame([(1, "src/MyParsers.py"), (2, "x"), (3, "now.py")], "path int, name string")
+    assert {tuple(r) for r in projections.intent_targets(intents, paths).collect()} == {(1, 1), (3, 1)}
+
+
+def test_rate_limit_windows_begin_with_a_request(spark):
+    times = {"a": [0, 400, 900, 1000, 1100, 2600], "b": [50]}
+    rows = [(k, t * 1000, i) for k, x in times.items() for i, t in enumerate(x)]
+    got = sorted((r.client, r.request, r.n, r.limited) for r in stream_queries.rate_limit(spark.createDataFrame(rows, "client string, at long, request long").repartition(3), limit=2).collect())
+    assert got == [("a", 0, 1, False), ("a", 1, 2, False), ("a", 2, 3, True), ("a", 3, 1, False), ("a", 4, 2, False), ("a", 5, 1, False), ("b", 0, 1, False)]
+
+
+def test_cache_keeps_the_newest_runs(spark):
+    saved = spark.createDataFrame([("s", 1, "h", "old", 1), ("s", 1, "h", "new", 7), ("s", 1, "i", "gone", 2), ("t", 1, "h", "kept", 3)], "stage string, version int, input_hash string, output string, created int")
+    runs = spark.createDataFrame([(i,) for i in (1, 2, 3, 4, 5, 6, 7)], "run int")
+    assert sorted(r.output for r in stream_queries.pruned_cache(saved, runs).collect()) == ["kept", "new"]
+    assert sorted(r.output for r in stream_queries.pruned_cache(saved, runs.limit(2)).collect()) == ["gone", "kept", "new"]
+
+
+def test_masks_keep_length_and_lines(spark):
+    source = 'a "b\\" c # d\n"x" <!-- two\nlines --> y " z'
+    got = spark.createDataFrame([(source,), (None,), ("",)], "t string").select(text.masked(F.col("t"), r'"[^"\n]*"|<!--[^>]*-->', r'[^"<]+').alias("m")).collect()
+    assert [r.m for r in got] == ['a      c # d\n    ' + " " * 8 + "\n" + " " * 9 + ' y " z', None, ""]
+
+
+def test_feedback_keeps_the_newest_verdict(spark):
+    given = spark.createDataFrame([(1, True, 1), (1, False, 2), (2, True, 5)], "path int, accurate boolean, at int")
+    assert {tuple(r) for r in rules.latest_feedback(given).collect()} == {(1, False), (2, True)}
