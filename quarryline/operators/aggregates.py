@@ -370,10 +370,13 @@ SELECT package, round(covar_pop(rx, ry) / nullif(stddev_pop(rx) * stddev_pop(ry)
     rank() OVER (PARTITION BY package ORDER BY loc) + (count(*) OVER (PARTITION BY package, loc) - 1) / 2.0 AS ry FROM modules) s GROUP BY package""")
 def agg_spearman(v: Views) -> DataFrame:
     """Rank correlation within each package, ties at their mean rank."""
-    def rank(x):
-        return F.rank().over(Window.partitionBy("package").orderBy(x)) + (F.count("*").over(Window.partitionBy("package", x)) - 1) / 2.0
+    from .windows import value_ranks
 
-    return v.modules.select("package", rank("complexity").alias("rx"), rank("loc").alias("ry")).groupBy("package").agg(
+    rows = materialize(v.modules.select("package", "complexity", "loc"), "modules")
+    for x, rank in (("complexity", "rx"), ("loc", "ry")):
+        ranks = value_ranks(rows, "package", x).select("package", x, (c("upto") - (c("n") - 1) / 2.0).alias(rank))
+        rows = rows.join(ranks, ["package", x])
+    return rows.groupBy("package").agg(
         F.round(F.try_divide(F.covar_pop("rx", "ry"), F.stddev_pop("rx") * F.stddev_pop("ry")), 6).alias("rho")  # null where either is constant
     )
 

@@ -8,21 +8,38 @@ from pyspark.sql import functions as F
 from ..catalogue import operator
 from ..functions import formulas as M
 from ..functions.queries import _EFFORT, _IMPACT
+from ..plans.risk import global_rank
+from ..store import materialize
 from ..views import Views
 
 c = F.col
 
 
+def value_ranks(rows: DataFrame, key: str, value: str) -> DataFrame:
+    """(key, value, n, upto, total): how many rows of a key have each value, have it or less, and are there.
+
+    Rows are counted by value before the window, so a key's window holds its different values, not its rows.
+    """
+    counts = rows.groupBy(key, value).agg(F.count("*").alias("n"))
+    whole = Window.partitionBy(key)
+    upto = F.sum("n").over(whole.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    return counts.select(key, value, "n", upto.alias("upto"), F.sum("n").over(whole).alias("total"))
+
+
 @operator("win_pctrank", "SELECT package, path, round(100 * cume_dist() OVER (PARTITION BY package ORDER BY complexity), 6) AS pct FROM modules")
 def win_pctrank(v: Views) -> DataFrame:
     """The share of values up to one's own, in each package."""
-    return v.modules.select("package", "path", F.round(100 * F.cume_dist().over(Window.partitionBy("package").orderBy("complexity")), 6).alias("pct"))
+    rows = materialize(v.modules.select("package", "path", "complexity"), "modules")
+    j = rows.join(value_ranks(rows, "package", "complexity"), ["package", "complexity"])
+    return j.select("package", "path", F.round(100 * (c("upto") / c("total")), 6).alias("pct"))
 
 
 @operator("win_rank", "SELECT package, path, row_number() OVER (PARTITION BY package ORDER BY complexity DESC, coupling DESC, path) AS position FROM modules")
 def win_rank(v: Views) -> DataFrame:
-    order = Window.partitionBy("package").orderBy(F.desc("complexity"), F.desc("coupling"), "path")
-    return v.modules.select("package", "path", F.row_number().over(order).cast("long").alias("position"))
+    """Ranked by ranges over all packages, and counted from the first of each, so that no package is sorted in one task."""
+    ranked = global_rank(v.modules.select("package", "path", "complexity", "coupling"), c("package"), F.desc("complexity"), F.desc("coupling"), c("path"))
+    first = ranked.groupBy("package").agg(F.min("rank").alias("first"))
+    return ranked.join(first, "package").select("package", "path", (c("rank") - c("first") + 1).cast("long").alias("position"))
 
 
 def trends(metrics: DataFrame, runs: DataFrame, depth: int) -> DataFrame:
@@ -47,12 +64,13 @@ SELECT path, name, round(velocity, 4) AS velocity, CASE WHEN velocity > 0.01 THE
 
 @operator("win_trend", _TREND)
 def win_trend(v: Views) -> DataFrame:
-    return trends(v.run_metrics, v.snapshots, 4)
+    metrics = materialize(v.run_metrics, "run-metrics")  # read once, used three times
+    return trends(metrics, metrics, 4)
 
 
 @operator("api_trend", _TREND.replace("SELECT path, name, round", "SELECT path || '/' || name AS metric, round").replace("FROM s\"", "FROM s") + " WHERE velocity > 0.01")
 def api_trend(v: Views) -> DataFrame:
-    t = trends(v.run_metrics, v.snapshots, 4).where("direction = 'rising'")
+    t = win_trend(v).where("direction = 'rising'")
     return t.select(F.concat_ws("/", "path", "name").alias("metric"), "velocity", "direction")
 
 
@@ -78,11 +96,9 @@ def win_drift(v: Views) -> DataFrame:
 
 @operator("win_median", "SELECT package, list_sort(list(complexity))[CAST(floor(count(*) / 2) AS INTEGER) + 1] AS median FROM modules GROUP BY package")
 def win_median(v: Views) -> DataFrame:
-    """The upper median, by rank: no package's values are gathered in one row."""
-    order = Window.partitionBy("package").orderBy("complexity", "path")
-    n = F.count("*").over(Window.partitionBy("package"))
-    ranked = v.modules.select("package", "complexity", F.row_number().over(order).alias("k"), n.alias("n"))
-    return ranked.where(c("k") == F.floor(c("n") / 2) + 1).select("package", c("complexity").alias("median"))
+    """The upper median: the first value that half of a package's files and one more reach."""
+    ranks = value_ranks(v.modules, "package", "complexity").where(c("upto") >= F.floor(c("total") / 2) + 1)
+    return ranks.groupBy("package").agg(F.min("complexity").alias("median"))
 
 
 @operator("win_latest", "SELECT max(run_id) AS run_id, arg_max(modules, run_id) AS modules FROM snapshots")
