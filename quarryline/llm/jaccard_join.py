@@ -217,7 +217,10 @@ def verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, size: int, p
 
 
 def _root_pairs(left: DataFrame, percent: int) -> DataFrame:
-    """(key, root, root_b): the components of each list, every pair once whose members could pass the filters.
+    """(key, root, root_b, reach_b, least_b): the components of each list, every pair once whose members could pass the filters.
+
+    A component's reach is the most
+    that any of its members can share after its place in the list, and ``least`` the smallest of them.
 
     A list of many components is dealt into blocks; each pair of blocks is a key of its own.
     """
@@ -230,7 +233,7 @@ def _root_pairs(left: DataFrame, percent: int) -> DataFrame:
     )
     could = (100 + percent) * F.least("reach", "reach_b") >= percent * (F.col("least") + F.col("least_b"))
     once = (F.col("i") < F.col("j")) | (F.col("root") < F.col("root_b"))
-    return first.join(second, ["key", "i", "j"]).where(once & could).select("key", "root", "root_b")
+    return first.join(second, ["key", "i", "j"]).where(once & could).select("key", "root", "root_b", "reach_b", "least_b")
 
 
 def near_duplicates(
@@ -294,7 +297,10 @@ def _near_duplicates(docs: DataFrame, id_column: str, text_column: str, size: in
     left = materialize(left, "open-lists")
     other = left.select("key", *(F.col(c).alias(f"{c}_b") for c in ("cls", "root", "n", "pos")))
     may_link = _may_link(F.col("n"), F.col("pos"), F.col("n_b"), F.col("pos_b"), percent)
-    rest = materialize(_root_pairs(left, percent), "open-roots").join(left, ["key", "root"]).join(other, ["key", "root_b"]).where(may_link)
+    pairs = materialize(_root_pairs(left, percent), "open-roots")
+    # a member goes on only if it could pass with the best of the other component
+    able = (100 + percent) * F.least(F.col("n") - F.col("pos"), F.col("reach_b")) >= percent * (F.col("n") + F.col("least_b"))
+    rest = pairs.join(left, ["key", "root"]).where(able).join(other, ["key", "root_b"]).where(may_link)
     rest = rest.select(F.least("cls", "cls_b").alias("a"), F.greatest("cls", "cls_b").alias("b")).distinct().join(starred, ["a", "b"], "left_anti")
     rest = materialize(rest, "open-pairs")
     if not rest.isEmpty():
