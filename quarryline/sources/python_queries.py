@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..catalogue import operator
 from ..views import Views
-from . import python_ast as P
+from . import python_text as P
 
 c = F.col
 _S = "CAST({} AS VARCHAR)"
@@ -142,11 +142,20 @@ def det_future(v: Views) -> DataFrame:
     return f.where("signatures > 1")
 
 
-@operator("agg_semhash")
+_CODE = """
+SELECT l_orderkey AS path, string_agg('def f' || CAST(l_partkey AS VARCHAR) || '_' || CAST(l_linenumber AS VARCHAR) || '(a, b=1' || CASE WHEN l_suppkey % 5 = 0 THEN ', c=2' ELSE '' END || '):' || chr(10)
+  || CASE WHEN l_linenumber % 4 >= 1 THEN '    if a > ' || CAST(CAST(l_quantity AS INTEGER) AS VARCHAR) || ' and b:' || chr(10) || '        return g' || CAST(l_suppkey AS VARCHAR) || '(a)' || chr(10) ELSE '' END
+  || CASE WHEN l_linenumber % 4 >= 2 THEN '    for x in range(3):' || chr(10) || '        assert x' || chr(10) ELSE '' END
+  || CASE WHEN l_linenumber % 4 = 3 THEN '    while b:' || chr(10) || '        b = helper.step(b)' || chr(10) ELSE '' END
+  || '    return a if b else ' || CAST(CAST(l_quantity AS INTEGER) AS VARCHAR), chr(10) ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS code FROM lineitem GROUP BY l_orderkey"""
+
+
+@operator("agg_semhash", f"""
+SELECT o_custkey, sha256(string_agg(sha256('import m' || CAST(o_custkey % 100 AS VARCHAR) || chr(10) || 'from pkg.m' || CAST(o_custkey % 7 AS VARCHAR) || ' import h' || chr(10)
+  || CASE WHEN o_custkey % 3 = 0 THEN '__all__ = ["f"]' || chr(10) ELSE '' END || code), chr(10) ORDER BY o_orderkey)) AS digest FROM orders JOIN ({_CODE}) k ON path = o_orderkey GROUP BY o_custkey""")
 def agg_semhash(v: Views) -> DataFrame:
-    """A digest of the syntax trees of each customer's modules; layout and comments do not count."""
-    f = facts(v).where("kind = 'module'").select("path", "digest")
-    of = f.join(v.table("orders").select(c("o_orderkey").alias("path"), "o_custkey"), "path")
+    """A digest of the code of each customer's modules; layout and comments do not count."""
+    of = P.layout_free_digest(py_sources(v)).join(v.table("orders").select(c("o_orderkey").alias("path"), "o_custkey"), "path")
     rows = of.groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct("path", "digest"))).alias("r"))
     return rows.select("o_custkey", F.sha2(F.array_join(F.transform("r", lambda x: x["digest"]), "\n").cast("binary"), 256).alias("digest"))
 
