@@ -30,7 +30,7 @@ Defined results: texts without words have no shingles and link with nothing
 (component: their own id); texts of fewer words than a shingle have one, the
 whole sequence; repeated rows are copies of each other; a null id is ignored
 when the smallest id is taken, and a component of null ids only has a null id.
-Rows out are rows in.  Other columns of the input are not read.
+Rows out are rows in.  Other columns of the input are not read.  An id may be of any type that Spark orders, a struct as well.
 """
 
 from __future__ import annotations

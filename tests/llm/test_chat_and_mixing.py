@@ -179,6 +179,21 @@ def test_pipeline_stage_by_stage(spark, sf_dir, stages):
     assert counts["token_records"] == counts["mixing"]
 
 
+def test_stages_do_not_take_ids_for_documents(spark, sf_dir):
+    """Null ids, ids of several texts, and texts without words: copies and leaks go, all else stays."""
+    item = spark.read.parquet(f"{sf_dir}/benchmark.parquet").where("length(text) > 80").orderBy("item_id").first().text
+    a, b, c = ("one two three four five six seven " * 3, "completely other words are written in this text here", "a third document of its own with nothing shared")
+    rows = [(1, a), (None, a), (None, a), (2, a + "more"), (7, b), (7, c), (7, c), (8, ""), (8, ""), (None, None), (None, "x " + item), (9, "y " + item + " z")]
+    docs = spark.createDataFrame([(i, t, "en", "s") for i, t in rows], "doc_id long, text string, lang string, source string").repartition(3)
+    docs = corpus_pipeline.near_duplicates(spark, docs, sf_dir)
+    left = sorted(((r.doc_id, r.text) for r in docs.collect()), key=repr)
+    once = [(1, a), (7, b), (7, c), (8, ""), (8, ""), (None, None), (9, "y " + item + " z")]
+    assert left == sorted(once, key=repr)
+    again = spark.createDataFrame([(i, t, "en", "s") for i, t in [*once, (None, "x " + item)]], docs.schema)
+    out = corpus_pipeline.decontamination(spark, again, sf_dir)
+    assert out.columns == again.columns and sorted(((r.doc_id, r.text) for r in out.collect()), key=repr) == sorted(once[:-1], key=repr)
+
+
 def test_pipeline_of_nothing(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
