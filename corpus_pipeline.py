@@ -5,13 +5,14 @@ Stages take (spark, docs, sf_dir) and return a DataFrame.  All but the last retu
 
 * language: documents without any letter (null texts as well), and those in which the network finds no
   language at ``MIN_LANGUAGE_SCORE`` or more, go;
-* near_duplicates: of each component of the Jaccard join the document of the smallest id stays; a
-  repeated id stays once, with the first of its texts; documents without an id stay, and so do documents without words;
-* decontamination: documents that hold an item of ``benchmark`` go;
+* near_duplicates: of each component of the Jaccard join the document of the smallest id stays, one without an id only
+  if there is no other; rows that share an id and a text are copies, those that share an id alone are not; documents without words stay, all of them;
+* decontamination: documents that hold an item of ``benchmark`` go, whatever their ids;
 * mixing: each document is repeated as often as the mix to target weights takes it, maybe not at all;
 * token_records: token ids are written as binary records in order of id, and read back.
 
-A stage handles an empty table by returning an empty one.
+Stages that drop documents tell rows apart by id and a 64-bit hash of the text, so that null and repeated ids are no
+special case.  A stage handles an empty table by returning an empty one.
 """
 
 from __future__ import annotations
@@ -34,18 +35,29 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return kept.select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
+def keyed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` with a key that orders rows by id, those without one last, and tells texts of one id apart; and the key's name."""
+    key = filters.unused("row_key", docs)
+    none = F.col("doc_id").isNull()
+    return docs.withColumn(key, F.struct(none.alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.xxhash64("text").alias("text"))), key
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = materialize(jaccard_join.near_duplicates(docs).where("doc_id is not null"), "pipeline-near")
-    by_id = found.groupBy("doc_id").agg(F.count("*").alias("rows"), F.max(F.col("component_id") == F.col("doc_id")).alias("stays"))
-    by_id = materialize(by_id, "pipeline-near-ids")
-    kept = filters.drop_ids(docs, by_id.where("not stays").select("doc_id"))
-    repeated = by_id.where("stays and rows > 1").select("doc_id")
-    return kept if repeated.isEmpty() else filters.keep_one(kept, repeated)
+    rows, key = keyed(docs)
+    found = jaccard_join.near_duplicates(rows, id_column=key)
+    by_key = found.groupBy(key).agg(F.count("*").alias("rows"), F.max(F.col("component_id") == F.col(key)).alias("stays"), F.max("n_shingles").alias("n_shingles"))
+    by_key = materialize(by_key, "pipeline-near-keys")
+    kept = filters.drop_ids(rows, by_key.where("not stays").select(key), id_column=key)
+    repeated = by_key.where("stays and rows > 1 and n_shingles > 0").select(key)
+    kept = kept if repeated.isEmpty() else filters.keep_one(kept, repeated, id_column=key)
+    return kept.select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    leaks = decontaminate.find_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return filters.drop_ids(docs, materialize(leaks.select("doc_id").where("doc_id is not null").distinct(), "pipeline-leaks"))
+    rows, key = keyed(docs)
+    leaks = decontaminate.find_leaks(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_column=key)
+    kept = filters.drop_ids(rows, materialize(leaks.select(key).distinct(), "pipeline-leaks"), id_column=key)
+    return kept.select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
