@@ -259,10 +259,16 @@ def str_attrchain(v: Views) -> DataFrame:
     return v.paths.select("page_id", parts[0].alias("base"), F.array_join(F.slice(parts, F.lit(2), F.size(parts)), ".").alias("attrs"))
 
 
-@operator("str_scramble")
+def _hmac_sql(text: str, key: str) -> str:
+    inner, outer = ("".join(f"{x ^ pad:02x}" for x in key.encode().ljust(64, b"\0")) for pad in (0x36, 0x5C))
+    return f"sha256(unhex('{outer}') || unhex(sha256(unhex('{inner}') || encode({text}))))"
+
+
+@operator("str_scramble", f"""
+SELECT item_id, array_to_string(list_transform(regexp_extract_all(text, '[A-Za-z0-9_]+|[^A-Za-z0-9_]+'), lambda x: CASE WHEN regexp_full_match(x, '[A-Za-z0-9_]{{9,}}') THEN '$SYM_' || left({_hmac_sql("x", "salt")}, 8) ELSE x END), '') AS scrambled FROM benchmark""")
 def str_scramble(v: Views) -> DataFrame:
-    """Keyed tokens for author names; no HMAC in the oracle's SQL, so tests compare with Python's."""
-    return v.table("customer").select("c_custkey", X.scramble(c("c_name"), "salt", "SYM").alias("token"))
+    """Whole words of nine letters or more stand for secret names, and become keyed tokens."""
+    return v.table("benchmark").select("item_id", X.scramble_words(c("text"), lambda w: w.rlike("^[A-Za-z0-9_]{9,}$"), "salt").alias("scrambled"))
 
 
 @operator("str_sigrender", """

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -80,6 +81,12 @@ def scramble(name: Column, salt: str, kind: str) -> Column:
     return F.concat(F.lit(f"${kind}_"), F.substring(hmac_sha256(name, salt), 1, 8))
 
 
+def scramble_words(text: Column, secret: Callable[[Column], Column], salt: str, kind: str = "SYM") -> Column:
+    """``text`` with a token in place of every whole word that ``secret`` holds of; a longer word is never replaced in part."""
+    pieces = F.regexp_extract_all(text, F.lit("[A-Za-z0-9_]+|[^A-Za-z0-9_]+"), F.lit(0))
+    return F.array_join(F.transform(pieces, lambda x: F.when(secret(x), scramble(x, salt, kind)).otherwise(x)), "")
+
+
 def masked(text: Column, hidden: str, plain: str) -> Column:
     """``text`` with all that the pattern ``hidden`` matches as blanks, of the same length and with the same line feeds.
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..catalogue import operator
+from ..functions.queries import _hmac_sql
 from ..views import Views
 from . import python_text as P
 
@@ -124,8 +125,8 @@ def det_bloat(v: Views) -> DataFrame:
     return facts(v).where("kind = 'function' and statements = 1 and n_if + n_for + n_while = 0").select("path", "name")
 
 
-@operator("det_umags", f"SELECT l_orderkey AS path, count(*) FILTER ({_M} >= 2) AS asserts, count(*) FILTER ({_M} = 3) AS loops, 0 AS errors FROM {_LINES} x GROUP BY l_orderkey")
-def det_umags(v: Views) -> DataFrame:
+@operator("det_assertions", f"SELECT l_orderkey AS path, count(*) FILTER ({_M} >= 2) AS asserts, count(*) FILTER ({_M} = 3) AS loops, 0 AS errors FROM {_LINES} x GROUP BY l_orderkey")
+def det_assertions(v: Views) -> DataFrame:
     f = facts(v).groupBy("path").agg(
         F.coalesce(F.sum(F.when(c("kind") == "function", c("n_assert"))), F.lit(0)).alias("asserts"),
         F.coalesce(F.sum(F.when(c("kind") == "function", c("n_while"))), F.lit(0)).alias("loops"),
@@ -279,9 +280,9 @@ def api_rules(v: Views) -> DataFrame:
     return v.run_metrics.groupBy(c("name").alias("metric")).agg(F.min("value").alias("least"), F.max("value").alias("most"))
 
 
-@operator("str_unscramble")
+@operator("str_unscramble", f"SELECT c_custkey, min(c_name) OVER (PARTITION BY left({_hmac_sql('c_name', 'salt')}, 8)) AS name FROM customer")
 def str_unscramble(v: Views) -> DataFrame:
-    """Names scrambled and found again through the inverse table; tests compare."""
+    """Names scrambled and found again through the inverse table; names of one token get the first of them."""
     from ..functions.text import scramble
 
     names = v.table("customer").select("c_custkey", "c_name", scramble(c("c_name"), "salt", "SYM").alias("token"))
