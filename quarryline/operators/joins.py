@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..catalogue import operator
 from ..functions import classify as K
+from ..functions.text import glob
 from ..store import materialize
 from ..views import Views
 
@@ -262,21 +263,40 @@ def joi_testmap(v: Views) -> DataFrame:
     return linked.union(named).distinct()
 
 
+def layer_violations(files: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame:
+    """``files(path, dep, ...)`` with each (rule, source, target) whose shell patterns match both ends; rules are few, so they are conditions of one pass."""
+    hit = F.array_compact(F.array(*(F.when(glob(c("path"), source) & glob(c("dep"), target), rule) for rule, source, target in rules)))
+    return files.withColumn("rule", F.explode(hit))
+
+
 @operator("joi_layer", """
-SELECT run_id, path, layer, dep, count(*) AS n FROM run_files JOIN (VALUES ('ECONOMY', 7), ('SMALL', 3)) r(layer_rule, m) ON layer = layer_rule AND dep % 10 = m GROUP BY 1, 2, 3, 4""")
+SELECT run_id, path, rule, dep, count(*) AS n FROM (SELECT run_id, layer || '/' || path AS path, 'module/' || CAST(dep AS VARCHAR) AS dep FROM run_files) f
+JOIN (VALUES ('economy', 'ECO%', 'module/%7'), ('small', 'SMALL%/Brand#1_', 'module/%3')) r(rule, source, target) ON path LIKE source AND dep LIKE target GROUP BY 1, 2, 3, 4""")
 def joi_layer(v: Views) -> DataFrame:
-    rules = v.spark.createDataFrame([("ECONOMY", 7), ("SMALL", 3)], "layer string, m int")
-    hits = v.run_files.join(F.broadcast(rules), "layer").where("dep % 10 = m")  # rules are a constant
-    return hits.groupBy("run_id", "path", "layer", "dep").agg(F.count("*").alias("n"))
+    files = v.run_files.select("run_id", F.concat_ws("/", "layer", "path").alias("path"), F.concat(F.lit("module/"), c("dep").cast("string")).alias("dep"))
+    hits = layer_violations(files, [("economy", "ECO*", "module/*7"), ("small", "SMALL*/Brand#1?", "module/*3")])
+    return hits.groupBy("run_id", "path", "rule", "dep").agg(F.count("*").alias("n"))
+
+
+def forbidden(edges: DataFrame, names: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame:
+    """(rule, src, dst): the edges(src, dst) whose ends' names(id, name) both match a rule's patterns, without regard to case.
+
+    Names are matched once each, not for every edge.
+    """
+    def matching(at: int, end: str) -> DataFrame:
+        hit = F.array_compact(F.array(*(F.when(c("name").rlike("(?i)" + r[at]), r[0]) for r in rules)))
+        return names.select(c("id").alias(end), hit.alias(f"{end}_rules")).where(F.size(f"{end}_rules") > 0)
+
+    ends = edges.select("src", "dst").distinct().join(matching(1, "src"), "src").join(matching(2, "dst"), "dst")
+    return ends.select(F.explode(F.array_intersect("src_rules", "dst_rules")).alias("rule"), "src", "dst")
 
 
-@operator("joi_forbidden", r"""
-SELECT page_id, r.rule FROM paths p JOIN (VALUES ('no-mobile', '^m\.'), ('no-org', '\.org/'), ('no-short', '/[0-9]{1,2}$')) r(rule, pattern) ON regexp_matches(p.path, r.pattern)""")
+@operator("joi_forbidden", """
+WITH n AS (SELECT id, 'r' || CAST(region AS VARCHAR) || '/d' || CAST(domain AS VARCHAR) || '/s' || CAST(id AS VARCHAR) AS name FROM nodes)
+SELECT rule, src, dst FROM edges JOIN n a ON a.id = src JOIN n b ON b.id = dst JOIN (VALUES ('down', '^r[01]/', '^r[34]/'), ('into', '.', '/d7/')) r(rule, source, target) ON regexp_matches(a.name, source) AND regexp_matches(b.name, target)""")
 def joi_forbidden(v: Views) -> DataFrame:
-    """Rules are patterns: a theta join with a constant of three rows, spelled as an array of conditions."""
-    rules = (("no-mobile", r"^m\."), ("no-org", r"\.org/"), ("no-short", "/[0-9]{1,2}$"))
-    hit = F.array_compact(F.array(*(F.when(c("path").rlike(p), r) for r, p in rules)))
-    return v.paths.select("page_id", F.explode(hit).alias("rule"))
+    name = F.concat(F.lit("r"), c("region").cast("string"), F.lit("/d"), c("domain").cast("string"), F.lit("/s"), c("id").cast("string"))
+    return forbidden(v.edges, v.nodes.select("id", name.alias("name")), [("down", "^R[01]/", "^R[34]/"), ("into", ".", "/D7/")])
 
 
 @operator("joi_typo", """
