@@ -113,7 +113,8 @@ def clusters(nodes: DataFrame, edges: DataFrame, *, high: float) -> DataFrame:
     )
     of = nodes.select("id", "domain")
     inner = edges.join(of.toDF("src", "a"), "src").join(of.toDF("dst", "domain"), "dst").where("a = domain").groupBy("domain").agg(F.sum("weight").alias("internal"))
-    health = F.round(M.clamp(100 - (15 * c("high") + 1.5 * c("mean")), 0, 100), 1)
+    # halves go up, whatever the binary form of the mean's tenths makes of them
+    health = F.round(M.clamp(100 - (15 * c("high") + 1.5 * c("mean")) + 1e-9, 0, 100), 1)
     level = F.when(c("high") > 0, "HIGH").when(c("mean") >= 8, "MED").otherwise("LOW")
     return s.join(inner, "domain", "left").select(
         "domain", "modules", "complexity", "high", "mean", F.coalesce("internal", F.lit(0)).alias("internal"), health.alias("health"), level.alias("level")
@@ -123,7 +124,7 @@ def clusters(nodes: DataFrame, edges: DataFrame, *, high: float) -> DataFrame:
 @operator("agg_cluster", """
 WITH s AS (SELECT domain, count(*) AS modules, round(sum(complexity), 4) AS complexity, count(*) FILTER (complexity > 26) AS high, round(avg(complexity), 1) AS mean FROM nodes GROUP BY domain),
 i AS (SELECT a.domain AS of_domain, CAST(sum(weight) AS BIGINT) AS internal FROM edges JOIN nodes a ON a.id = src JOIN nodes b ON b.id = dst WHERE a.domain = b.domain GROUP BY 1)
-SELECT domain, modules, complexity, high, mean, coalesce(internal, 0) AS internal, round(least(100.0, greatest(0.0, 100 - (15 * high + 1.5 * mean))), 1) AS health,
+SELECT domain, modules, complexity, high, mean, coalesce(internal, 0) AS internal, round(least(100.0, greatest(0.0, 100 - (15 * high + 1.5 * mean) + 1e-9)), 1) AS health,
   CASE WHEN high > 0 THEN 'HIGH' WHEN mean >= 8 THEN 'MED' ELSE 'LOW' END AS level FROM s LEFT JOIN i ON of_domain = domain""")
 def agg_cluster(v: Views) -> DataFrame:
     return clusters(v.nodes, v.edges, high=26.0)
