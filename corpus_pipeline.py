@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from quarryline.llm import decontaminate, filters, jaccard_join, lang_id, mixing, token_records
 from quarryline.llm.queries import tokenizer_path
-from quarryline.llm.store import materialize
+from quarryline.llm.store import materialize, scratch
 
 MIN_LANGUAGE_SCORE = 0.3
 
@@ -83,5 +83,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        with scratch(spark):  # what a stage writes on its way goes when its result is written
+            docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}", outlives=True)
     return STAGES[-1][1](spark, docs, sf_dir)
