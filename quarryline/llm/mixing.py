@@ -30,7 +30,6 @@ their own (equal rows get copies in either order); an empty table gives no rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
