@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, jaccard_join, lang_id, lm_score, mixing, quality, token_records, topk, toxicity
+from . import chat_format, decontaminate, jaccard_join, lang_id, lm_score, mixing, quality, repair, token_records, topk, toxicity, url_filter, whitening
 from .store import crc32_mod
 
 
@@ -118,6 +118,66 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+# The rules of the query, and its words for hosts and paths that no rule knows.
+OP11_RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
+OP11_WORDS = ("bets", "betting", "casino", "escorts", "jackpot", "pills", "porn", "viagra", "warez", "xxx")
+
+
+def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = [url_filter.site_rule(verdict, site) for verdict, site in OP11_RULES] + [url_filter.pattern_rule("block", f"^{w}^") for w in OP11_WORDS]
+    out = url_filter.judge(_table(spark, sf_dir, "pages"), rules)
+    return out.select("page_id", "host", "path", "rule", "verdict", "pattern")
+
+
+OP11_SQL = f"""
+WITH a AS (
+  SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
+), b AS (
+  SELECT page_id, rest, regexp_extract(rest, '^[^/?#]*') AS h FROM a
+), u AS (
+  SELECT row_number() OVER () AS k, page_id, translate(h, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(substr(rest, length(h) + 1), '^[^?#]*') AS path FROM b
+), r(verdict, rule) AS (
+  VALUES {", ".join(f"('{v}', '{s}')" for v, s in OP11_RULES)}
+), w(word) AS (
+  VALUES {", ".join(f"('{x}')" for x in OP11_WORDS)}
+), s AS (
+  SELECT k, arg_max(rule, length(rule)) AS rule, arg_max(verdict, length(rule)) AS verdict
+  FROM u JOIN r ON (host = split_part(rule, '/', 1) OR ends_with(host, '.' || split_part(rule, '/', 1))) AND starts_with(path, substr(rule, strpos(rule, '/')))
+  GROUP BY k
+), p AS (
+  SELECT k, list('^' || word || '^' ORDER BY length(word) DESC, word)[1] AS pattern
+  FROM u JOIN w ON regexp_matches(translate(host || path, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '(^|[^a-z0-9])' || word || '([^a-z0-9]|$)')
+  GROUP BY k
+)
+SELECT page_id, coalesce(host, '') AS host, coalesce(path, '') AS path, rule,
+       coalesce(s.verdict, CASE WHEN pattern IS NOT NULL THEN 'block' END, 'allow') AS verdict, CASE WHEN rule IS NULL THEN pattern END AS pattern
+FROM u LEFT JOIN s USING (k) LEFT JOIN p USING (k)
+"""
+
+
+def damaged(turns: DataFrame) -> DataFrame:
+    """The damage of the twelfth query, by a checksum of conversation and turn."""
+    n = F.crc32(F.concat(F.coalesce(F.col("conv_id").cast("string"), F.lit(" ")), F.lit(":"), F.coalesce(F.col("turn").cast("string"), F.lit(" "))).cast("binary")) % 20
+    role, text = F.coalesce("role", F.lit(" ")), F.coalesce("text", F.lit(" "))
+    rows = turns.select(
+        "conv_id",
+        "turn",
+        F.when(n == 4, "user").otherwise(role).alias("role"),
+        F.when(n == 1, "").when(n == 2, F.regexp_replace(text, "[.!?]", "")).otherwise(text).alias("text"),
+        F.when(n == 3, 2).when(n == 0, 0).otherwise(1).alias("times"),
+    )
+    return rows.where("times > 0").select("conv_id", "turn", "role", "text", F.explode(F.sequence(F.lit(1), "times"))).drop("col")
+
+
+def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return repair.report(repair.repair(damaged(turns), null_text=" "), turns.select("conv_id"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_lm_score": op1_lm_score,
     "op2_top_k": op2_top_k,
@@ -129,5 +189,8 @@ QUERIES = {
     "op8_token_records": op8_token_records,
     "op9_toxicity": op9_toxicity,
     "op10_mixing": op10_mixing,
+    "op11_url_filter": op11_url_filter,
+    "op12_repair": op12_repair,
+    "op13_whitening": op13_whitening,
 }
-SQL: dict[str, str] = {"op2_top_k": OP2_SQL, "op5_chat_format": OP5_SQL}
+SQL: dict[str, str] = {"op2_top_k": OP2_SQL, "op5_chat_format": OP5_SQL, "op11_url_filter": OP11_SQL}
