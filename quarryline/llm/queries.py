@@ -174,6 +174,68 @@ def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.report(repair.repair(damaged(turns), null_text=" "), turns.select("conv_id"))
 
 
+OP12_SQL = r"""
+WITH RECURSIVE named AS (
+  SELECT *, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS name FROM conversations
+), dealt AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         xor(list_reduce(list_prepend(CAST(4294967295 AS UBIGINT), list_transform(range(1, length(name) + 1), lambda i: CAST(ascii(substr(name, i, 1)) AS UBIGINT))),
+                         lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), CAST([0, 0, 0, 0, 0, 0, 0, 0] AS UBIGINT[])), lambda x, i: xor(x >> 1, (x & 1) * CAST(3988292384 AS UBIGINT)))),
+             CAST(4294967295 AS UBIGINT)) % 20 AS n
+  FROM named
+), damaged AS (
+  SELECT conv_id, turn, CASE WHEN n = 4 THEN 'user' ELSE role END AS role, CASE n WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM dealt, unnest(range(CASE n WHEN 3 THEN 2 WHEN 0 THEN 0 ELSE 1 END)) AS t(i)
+), placed AS (
+  SELECT *, dense_rank() OVER (ORDER BY conv_id NULLS FIRST) AS g, row_number() OVER w AS k, count(*) OVER (PARTITION BY conv_id) AS m, substr(role, 1, 1) AS initial, lag(substr(role, 1, 1)) OVER w AS before,
+         row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) AS times
+  FROM damaged WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)
+), rows_ AS (
+  SELECT *, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank' WHEN times > 1 THEN 'duplicate' WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 'truncated' END AS fault
+  FROM placed
+), priced AS (
+  -- costs of keeping, by initial, and of another role; a row that must go can do neither
+  SELECT *, CASE WHEN fault IN ('blank', 'duplicate') THEN 1000000000 WHEN fault = 'truncated' THEN 3 ELSE 0 END AS stay FROM rows_
+), togo(g, k, h) AS (
+  -- costs to go by state: nothing, system, user, assistant
+  SELECT DISTINCT g, m + 1, CAST([0, 6, 3, 0] AS BIGINT[]) FROM priced
+  UNION ALL
+  SELECT g, k, CAST([least(r[1], 3 + r[3], 6 + r[4]), least(r[2], 3 + r[3], 6 + r[4]), least(r[3], 3 + r[4]), least(r[4], 3 + r[3])] AS BIGINT[])
+  FROM (
+    SELECT p.g, p.k, [least(4 + h[1], stay + CASE initial WHEN 's' THEN h[2] WHEN 'u' THEN h[3] ELSE 1000000000 END, 3 + stay + h[3]),
+                      least(4 + h[2], stay + CASE initial WHEN 'u' THEN h[3] ELSE 1000000000 END, 3 + stay + h[3]),
+                      least(4 + h[3], stay + CASE initial WHEN 'a' THEN h[4] ELSE 1000000000 END, 3 + stay + h[4]),
+                      least(4 + h[4], stay + CASE initial WHEN 'u' THEN h[3] ELSE 1000000000 END, 3 + stay + h[3])] AS r
+    FROM togo t JOIN priced p ON p.g = t.g AND p.k = t.k - 1
+  ) x
+), path(g, i, k, state, edit, role, text) AS (
+  SELECT DISTINCT g, CAST(0 AS BIGINT), CAST(1 AS BIGINT), 1, '', '', '' FROM priced
+  UNION ALL
+  SELECT g, i + 1, CASE WHEN letter = 'I' THEN k ELSE k + 1 END, CASE WHEN letter = 'D' THEN state WHEN letter = 'K' AND initial = 's' THEN 2 ELSE after END, letter,
+         CASE WHEN letter IN ('K', 'D') THEN role WHEN after = 3 THEN 'user' ELSE 'assistant' END, CASE WHEN letter = 'I' THEN '' ELSE text END
+  FROM (
+    SELECT f.g, f.i, f.k, f.state, p.initial, p.role, p.text, [3, 3, 4, 3][f.state] AS after,
+           CASE WHEN p.g IS NOT NULL AND t.h[f.state] = 4 + n.h[f.state] THEN 'D'
+                WHEN t.h[f.state] = 3 + t.h[[3, 3, 4, 3][f.state]] THEN 'I'
+                WHEN p.initial = 's' AND f.state = 1 AND t.h[f.state] = p.stay + n.h[2] OR p.initial = ['u', 'u', 'a', 'u'][f.state] AND t.h[f.state] = p.stay + n.h[[3, 3, 4, 3][f.state]] THEN 'K'
+                WHEN p.g IS NOT NULL THEN 'R' END AS letter
+    FROM path f JOIN togo t ON t.g = f.g AND t.k = f.k LEFT JOIN priced p ON p.g = f.g AND p.k = f.k LEFT JOIN togo n ON n.g = f.g AND n.k = f.k + 1
+  ) x WHERE letter IS NOT NULL
+), edited AS (
+  SELECT g, string_agg(edit, '' ORDER BY i) AS audit, string_agg(role || ':' || text, chr(10) ORDER BY i) FILTER (edit <> 'D') AS repaired FROM path WHERE i > 0 GROUP BY g
+), counted AS (
+  SELECT any_value(conv_id) AS conv_id, g, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+         count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (k > 1 AND before || initial NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM priced GROUP BY g
+), told AS (
+  SELECT c.*, t.h[1] AS cost, e.audit, e.repaired FROM counted c JOIN togo t ON t.g = c.g AND t.k = 1 JOIN edited e ON e.g = c.g
+)
+SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(cost, 0) AS cost,
+       coalesce(audit, '') AS audit, sha256(coalesce(repaired, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN told ON told.conv_id IS NOT DISTINCT FROM o.conv_id
+"""
+
+
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(_table(spark, sf_dir, "embeddings"))
 
@@ -193,4 +255,4 @@ QUERIES = {
     "op12_repair": op12_repair,
     "op13_whitening": op13_whitening,
 }
-SQL: dict[str, str] = {"op2_top_k": OP2_SQL, "op5_chat_format": OP5_SQL, "op11_url_filter": OP11_SQL}
+SQL: dict[str, str] = {"op2_top_k": OP2_SQL, "op5_chat_format": OP5_SQL, "op11_url_filter": OP11_SQL, "op12_repair": OP12_SQL}
