@@ -24,6 +24,12 @@ def unused(name: str, *frames: DataFrame) -> str:
     return name
 
 
+def with_text(docs: DataFrame, keep: list[str | Column], text_column: str) -> DataFrame:
+    """The ``keep`` columns, then the text under a name that none of them has."""
+    kept = [F.col(f"`{c}`") if isinstance(c, str) else c for c in keep]
+    return docs.select(*kept, F.col(f"`{text_column}`").alias(unused("text", docs.select(*kept))))
+
+
 def slot(column: str) -> Column:
     """A hash of an id; a bitmap takes its low bits."""
     return F.pmod(F.xxhash64(F.col(f"`{column}`")), F.lit(1 << _TOP))

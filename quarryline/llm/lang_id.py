@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .filters import unused, with_text
 from .sampling import labelled_sample
 from .words import slices, text_bytes
 
@@ -217,10 +218,12 @@ def identify(
     pred_column: str = "lang_pred",
     score_column: str = "score",
 ) -> DataFrame:
-    """The ``keep`` columns (default: all) with the predicted language and its probability, for every row."""
-    rows = docs if keep is None else docs.select(*keep, F.col(text_column).alias("__text"))
+    """The ``keep`` columns (default: all) with the predicted language and its probability, for every row; their names get underscores where they are kept already."""
+    rows = docs if keep is None else with_text(docs, keep, text_column)
     at = docs.columns.index(text_column) if keep is None else len(rows.columns) - 1
     fields = rows.schema.fields if keep is None else rows.schema.fields[:-1]
-    schema = T.StructType([*fields, T.StructField(pred_column, T.StringType()), T.StructField(score_column, T.DoubleType())])
+    kept = docs if keep is None else docs.select(*keep)
+    pred, score = unused(pred_column, kept), unused(score_column, kept)
+    schema = T.StructType([*fields, T.StructField(pred, T.StringType()), T.StructField(score, T.DoubleType())])
     named = T.StructType([T.StructField(f"c{i}", f.dataType) for i, f in enumerate(schema)])
     return rows.mapInArrow(_predict(docs.sparkSession.sparkContext.broadcast(model), at, keep is not None), named).toDF(*schema.names)

@@ -20,10 +20,12 @@ How it is laid out, whatever the size of the corpus:
   frequency (a hot word is one entry for each task);
 * buckets are as many as the corpus needs, so that each stays small, and each
   makes its own shard of the filter, of ``bits_per_entry`` or more for each entry;
-* the filter of the frequent n-grams (``hot_count`` or more; a higher count where that would not
-  fit ``max_filter_bytes``) is broadcast.  An n-gram that it does not show to be frequent is asked where its shard
-  is: texts are put into chunks, each chunk's distinct n-grams travel to their shards, and their levels travel
-  back.  Broadcasting all would need about a byte for each different n-gram, which grows with the corpus;
+* what the filter answers for the frequent n-grams (``hot_count`` or more; a higher count where that would not
+  fit ``max_filter_bytes``) is broadcast: their keys, and the level that their own shard reads for each.  Any other n-gram is asked
+  where its shard is: texts are put into chunks, each chunk's distinct n-grams travel to their shards, and their levels travel
+  back.  Both ways give what the shard reads, false hits included, so scores do not depend on what is broadcast.  Broadcasting the
+  whole filter would need about a byte for each different n-gram, which grows with the corpus;
+* buckets are 2 million at most: beyond some 25 TB of text they grow with it;
 * exact unigram counts, which the base score needs, stay a distributed table.
   Words above a frequency threshold (``hot_words`` entries at most) are
   broadcast; every other token is joined to the table by Spark.
@@ -63,7 +65,9 @@ _ASK_BYTES = 2 << 20
 
 _COUNT_SCHEMA = "bucket int, n int, keys binary, counts binary"
 _ASK_SCHEMA = "bucket int, chunk long, data binary"
-_SHARD_SCHEMA = "bucket int, bits binary, histogram binary, hot_keys binary, hot_levels binary, words binary, word_counts binary, tokens long"
+#: Bytes of a broadcast n-gram: its key and its level.
+_HOT_BYTES = 9
+_SHARD_SCHEMA = "bucket int, bits binary, histogram binary, read binary, hot_keys binary, hot_levels binary, words binary, word_counts binary, tokens long"
 
 
 def levels(counts: np.ndarray, base: float) -> np.ndarray:
@@ -182,7 +186,7 @@ def _bloom(key: np.ndarray, level: np.ndarray, bits_per_entry: int) -> bytes:
 
 
 def _shard(order: int, base: float, bits: int, bits_per_entry: int, hot_level: int):
-    """Makes a bucket's shard of the filter; keeps its frequent n-grams, and the exact counts of its words."""
+    """Makes a bucket's shard of the filter; keeps what it reads for its frequent n-grams, and the exact counts of its words."""
 
     def run(table: pa.Table) -> pa.Table:
         got: dict[int, list] = {}
@@ -193,13 +197,16 @@ def _shard(order: int, base: float, bits: int, bits_per_entry: int, hot_level: i
         folded = [(_split(words, bits)[1], word_counts), *(_fold(got[n]) if n in got else none for n in range(2, order + 1))]
         level_of = [levels(c, base) for _, c in folded]
         key, level = np.concatenate([k for k, _ in folded]), np.concatenate(level_of)
-        hot = level >= hot_level
+        field = _bloom(key, level, bits_per_entry)
+        key = np.unique(key[level >= hot_level])
+        read = CountFilter([(0, field)], 0).levels_of_key(key)
         values = {
             "bucket": table.column("bucket")[0].as_py(),
-            "bits": _bloom(key, level, bits_per_entry),
+            "bits": field,
+            "read": np.bincount(read, minlength=_LEVELS).astype(np.int64).tobytes(),
             "histogram": np.stack([np.bincount(x, minlength=_LEVELS) for x in level_of]).astype(np.int64).tobytes(),
-            "hot_keys": _pack(key[hot].astype(np.uint32)),
-            "hot_levels": level[hot].astype(np.uint8).tobytes(),
+            "hot_keys": _pack(key.astype(np.uint32)),
+            "hot_levels": read.astype(np.uint8).tobytes(),
             "words": _pack(words),
             "word_counts": word_counts.tobytes(),
             "tokens": int(word_counts.sum()),
@@ -210,20 +217,39 @@ def _shard(order: int, base: float, bits: int, bits_per_entry: int, hot_level: i
     return run
 
 
-def _hot_shards(hot_level: int, bits_per_entry: int):
-    """The part of each bucket's filter that holds its n-grams of ``hot_level`` or more."""
+def _hot_parts(hot_level: int, bits: int):
+    """Bucket and key as one number, and the level, of the n-grams that their shards read at ``hot_level`` or more; a row for each batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fields = []
-            for keys, level in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                key, level = _unpack(keys, 4), np.frombuffer(level, np.uint8).astype(np.int64)
-                fields.append(_bloom(key[level >= hot_level], level[level >= hot_level], bits_per_entry))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fields, pa.binary())], names=["bucket", "bits"])
+            if b.num_rows:
+                level = [np.frombuffer(x, np.uint8) for x in b.column(2).to_pylist()]
+                names = [_unpack(keys, 4) | _U(bucket << 32) for bucket, keys in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
+                level, names = np.concatenate(level), np.concatenate(names)
+                hot = level >= hot_level
+                yield pa.RecordBatch.from_arrays([pa.array([names[hot].tobytes()], pa.binary()), pa.array([level[hot].tobytes()], pa.binary())], names=["names", "levels"])
 
     return run
 
 
+class HotLevels:
+    """What the shards read for the frequent n-grams."""
+
+    def __init__(self, names: np.ndarray, level: np.ndarray, bits: int):
+        by = np.argsort(names)
+        self.bits, self.names, self.level = bits, names[by], level[by]
+
+    def levels(self, h: np.ndarray) -> np.ndarray:
+        """The levels of n-grams; 0 for those that are to be asked."""
+        out = np.zeros(len(h), np.uint8)
+        if len(self.names):
+            name = h >> _U(32 - self.bits)
+            at = np.minimum(np.searchsorted(self.names, name), len(self.names) - 1)
+            hit = self.names[at] == name
+            out[hit] = self.level[at[hit]]
+        return out
+
+
 def _words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for words, counts in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
@@ -268,12 +294,12 @@ class CountFilter:
 
 
 class ChunkGrams:
-    """A chunk's tokens, its distinct n-grams, and which of these the broadcast filter leaves to be asked.
+    """A chunk's tokens, its distinct n-grams, and which of these the broadcast levels leave to be asked.
 
     The same texts give the same n-grams in the same order, so that the answers need no keys.
     """
 
-    def __init__(self, texts: pa.Array, order: int, hot: CountFilter, hot_level: int):
+    def __init__(self, texts: pa.Array, order: int, hot: HotLevels):
         w = hash_words(texts)
         self.docs = len(w.bounds) - 1
         self.tokens = np.insert(w.hashes, w.bounds[1:], END)
@@ -282,7 +308,7 @@ class ChunkGrams:
         self.codes, self.distinct = zip(*(pd.factorize(self.tokens if n == 1 else combine(whole, n)) for n in range(1, order + 1)), strict=True)
         every = np.concatenate(self.distinct)
         self.level = hot.levels(every)
-        self.ask = np.flatnonzero(self.level < hot_level)
+        self.ask = np.flatnonzero(self.level == 0)
         bucket, key = _split(every[self.ask], hot.bits)
         by = np.argsort(bucket.astype(np.uint16 if hot.bits <= 16 else np.uint32), kind="stable")
         self.ask, self.bucket, self.key = self.ask[by], bucket[by], key[by].astype(np.uint32)
@@ -320,14 +346,14 @@ def _unchunk(data: bytes) -> pa.RecordBatch:
     return pa.ipc.open_stream(data).read_next_batch()
 
 
-def _asker(order: int, hot, hot_level: int):
+def _asker(order: int, hot):
     """What each chunk asks, one row for each bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 part = _unchunk(data.as_py())
-                asked = list(ChunkGrams(part.column(part.num_columns - 1), order, hot.value, hot_level).questions())
+                asked = list(ChunkGrams(part.column(part.num_columns - 1), order, hot.value).questions())
                 if asked:
                     bucket, keys = zip(*asked, strict=True)
                     arrays = [pa.array(bucket, pa.int32()), pa.array([chunk] * len(bucket), pa.int64()), pa.array(keys, pa.binary())]
@@ -368,7 +394,7 @@ def _answerer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _answer(f, asked)
 
 
-def _scorer(hot, hot_level: int, words, model: Model):
+def _scorer(hot, words, model: Model):
     """Scores chunks; a chunk comes before its answers, and these in order of their buckets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -377,7 +403,7 @@ def _scorer(hot, hot_level: int, words, model: Model):
         def done() -> Iterator[pa.RecordBatch]:
             if chunk is not None:
                 part = _unchunk(chunk)
-                grams = ChunkGrams(part.column(part.num_columns - 1), model.order, hot.value, hot_level)
+                grams = ChunkGrams(part.column(part.num_columns - 1), model.order, hot.value)
                 yield _scores(part, grams, np.frombuffer(b"".join(level), np.uint8), *words.value, model)
 
         for batch in batches:
@@ -489,21 +515,22 @@ def score_documents(
         counted.groupBy("bucket").applyInArrow(_shard(order, quantisation, bits, bits_per_entry, hot_level), _SHARD_SCHEMA), "lm-shards"
     )
 
-    histogram = np.zeros((order, _LEVELS), np.int64)
+    histogram, read = np.zeros((order, _LEVELS), np.int64), np.zeros(_LEVELS, np.int64)
     tokens = 0
-    for r in shards.select("histogram", "tokens").toLocalIterator():
+    for r in shards.select("histogram", "read", "tokens").toLocalIterator():
         histogram += np.frombuffer(bytes(r.histogram), np.int64).reshape(order, _LEVELS)
+        read += np.frombuffer(bytes(r.read), np.int64)
         tokens += r.tokens
     vocabulary = int(histogram[0].sum())
     growth = [successor_growth(histogram[n - 2], int(histogram[n - 1].sum()), high) for n in range(2, order + 1)]
     model = Model(order, quantisation, growth, tokens, vocabulary, float((histogram[0] * low[:_LEVELS]).sum()))
 
-    # the frequent part of the filter; a shard's bits are less than twice what its entries need, and 8 bytes at least
-    entries = np.cumsum((histogram.sum(axis=0) * np.arange(_LEVELS))[::-1])[::-1]
-    while hot_level < _LEVELS - 1 and entries[hot_level] * bits_per_entry // 4 + (8 << bits) > max_filter_bytes:
+    frequent = np.cumsum(read[::-1])[::-1]  # by the level read
+    while hot_level < _LEVELS - 1 and frequent[hot_level] * _HOT_BYTES > max_filter_bytes:
         hot_level += 1
-    hot_bits = shards.select("bucket", "hot_keys", "hot_levels").mapInArrow(_hot_shards(hot_level, bits_per_entry), "bucket int, bits binary")
-    hot = spark.sparkContext.broadcast(CountFilter([(r.bucket, bytes(r.bits)) for r in hot_bits.collect()], bits))
+    parts = shards.select("bucket", "hot_keys", "hot_levels").mapInArrow(_hot_parts(hot_level, bits), "names binary, levels binary").collect()
+    names, known = (np.frombuffer(b"".join(bytes(r[i]) for r in parts), kind) for i, kind in enumerate((np.uint64, np.uint8)))
+    hot = spark.sparkContext.broadcast(HotLevels(names, known, bits))
 
     above = np.cumsum(histogram[0][::-1])[::-1]
     first_hot = int(np.argmax(above <= hot_words))
@@ -520,11 +547,11 @@ def score_documents(
         + [T.StructField("base_score", T.DoubleType()), T.StructField("score", T.DoubleType()), T.StructField("cold", T.ArrayType(T.LongType()))]
     )
     chunks = materialize(rows.mapInArrow(_chunker(chunk_bytes), "data binary").withColumn("chunk", F.monotonically_increasing_id()), "lm-chunks")
-    asked = chunks.select("chunk", "data").mapInArrow(_asker(order, hot, hot_level), _ASK_SCHEMA)
+    asked = chunks.select("chunk", "data").mapInArrow(_asker(order, hot), _ASK_SCHEMA)
     asked = shards.select("bucket", F.lit(-1).cast("long").alias("chunk"), F.col("bits").alias("data")).unionByName(asked)
     answers = asked.repartition("bucket").sortWithinPartitions("bucket", "chunk").mapInArrow(_answerer, _ASK_SCHEMA)
     both = chunks.select(F.lit(-1).alias("bucket"), "chunk", "data").unionByName(answers)
-    scored = both.repartition("chunk").sortWithinPartitions("chunk", "bucket").mapInArrow(_scorer(hot, hot_level, hot_exact, model), schema)
+    scored = both.repartition("chunk").sortWithinPartitions("chunk", "bucket").mapInArrow(_scorer(hot, hot_exact, model), schema)
     scored = materialize(scored.withColumn("row", F.monotonically_increasing_id()), "lm-scored")
     total = F.lit(float(tokens + vocabulary + 1))
     cold = (

@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import logistic
+from .filters import unused, with_text
 from .sampling import labelled_sample, labelled_texts, prior_shift
 from .words import slices, text_bytes
 
@@ -104,16 +105,17 @@ def _run(model, score: bool):
             for part in slices(b, b.num_columns - 1):
                 f = packed.features(*text_bytes(part.column(part.num_columns - 1)))
                 result = pa.array(m.score(f)) if score else pa.ListArray.from_arrays(np.arange(0, f.size + 1, f.shape[1], dtype=np.int32), f.reshape(-1))
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], result], names=[*part.schema.names[:-1], "result"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], result], names=[f"c{i}" for i in range(part.num_columns)])
 
     return run
 
 
-def _apply(rows: DataFrame, model: QualityModel, score: bool) -> DataFrame:
-    """All columns but the last, the text, and ``result``: the score, or the list of features."""
+def _apply(rows: DataFrame, model: QualityModel, score: bool, name: str = "result") -> DataFrame:
+    """All columns but the last, the text, and ``name``: the score, or the list of features."""
     kind = T.DoubleType() if score else T.ArrayType(T.DoubleType())
-    schema = T.StructType([*rows.schema.fields[:-1], T.StructField("result", kind)])
-    return rows.mapInArrow(_run(rows.sparkSession.sparkContext.broadcast(model), score), schema)
+    schema = T.StructType([*rows.schema.fields[:-1], T.StructField(name, kind)])
+    by_place = T.StructType([T.StructField(f"c{i}", f.dataType) for i, f in enumerate(schema)])
+    return rows.mapInArrow(_run(rows.sparkSession.sparkContext.broadcast(model), score), by_place).toDF(*schema.names)
 
 
 def train(docs: DataFrame, labels: DataFrame, *, label_column: str = "quality", id_column: str = "doc_id", text_column: str = "text", per_label: int = 2500) -> QualityModel:
@@ -133,6 +135,7 @@ def train(docs: DataFrame, labels: DataFrame, *, label_column: str = "quality",
     return model
 
 
-def score(docs: DataFrame, model: QualityModel, *, text_column: str = "text", keep: list[str | Column]) -> DataFrame:
-    """The ``keep`` columns and ``score``, the probability of label 1, for every row."""
-    return _apply(docs.select(*keep, F.col(text_column).alias("__text")), model, score=True).withColumnRenamed("result", "score")
+def score(docs: DataFrame, model: QualityModel, *, text_column: str = "text", keep: list[str | Column], score_column: str = "score") -> DataFrame:
+    """The ``keep`` columns and the probability of label 1, for every row; ``score_column`` gets underscores at its end where it is kept already."""
+    rows = with_text(docs, keep, text_column)
+    return _apply(rows, model, score=True, name=unused(score_column, docs.select(*keep)))

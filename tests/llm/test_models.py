@@ -226,3 +226,43 @@ def test_restoring_words():
     assert "idiot" in toxicity.readings("!diot", m) and {"the", "moron"} <= set(toxicity.readings("themoron", m, spelled=True))
     got = list(toxicity.documents_words(pa.array(["you s t u p i d thing", None, ""]), lambda w: toxicity.restore(w, m)))
     assert [n for n, _, _ in got] == [8, 0, 0] and "stupid" in got[0][1]
+
+
+def test_scores_do_not_depend_on_what_is_broadcast(spark, sf_dir):
+    """At the default bits, false hits and all."""
+    docs = documents(spark, sf_dir)
+    sizes = (64, 100_000, 64 << 20)
+    runs = [{r.doc_id: r.score for r in lm_score.score_documents(docs, crc32_mod("doc_id", 7) != 2, max_filter_bytes=most).collect()} for most in sizes]
+    assert runs[0] == runs[1] == runs[2] and len(runs[0]) == docs.count()
+
+
+def test_kept_columns_may_have_any_name(spark):
+    names = ["doc_id", "text", "result", "score", "__text", "c0", "c1", "text_", "lang_pred"]
+    rows = [(i, ("good plain words. " if i % 2 else "shout !!! vile stuff ") * (3 + i % 5), "r", 1.5, None, "a", "b", "t", "p") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, result string, score double, __text string, c0 string, c1 string, text_ string, lang_pred string")
+    labels = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality"), (1 - F.col("doc_id") % 2).cast("int").alias("toxic"))
+    good, bad = quality.train(docs, labels), toxicity.train(docs, labels)
+    net = lang_id.train(docs, id_column="doc_id", text_column="text", lang_column="c0")
+    for out, more in ((quality.score(docs, good, keep=names), ["score_"]), (toxicity.score(docs, bad, keep=names), ["score_"]), (lang_id.identify(docs, net, keep=names), ["lang_pred_", "score_"])):
+        assert out.columns == names + more
+        assert {tuple(r)[: len(names)] for r in out.collect()} == set(rows)
+    assert quality.score(docs, good, keep=["doc_id", "result"]).columns == ["doc_id", "result", "score"]
+    whole = lang_id.identify(docs, net)
+    assert whole.columns == names + ["lang_pred_", "score_"] and whole.count() == 60
+
+
+def test_words_in_pieces_and_with_accents(spark):
+    plain = "the people of this quiet town are kind and read many books every day said nothing about that other thing over there".split()
+    toxic = ["idiot", "moron", "scumbag"]
+    rows = [(i, " ".join(plain[(i * 7 + j * 3) % len(plain)] for j in range(30)) + (f" {toxic[i % 3]} " * 2 if i % 4 == 0 else " ")) for i in range(240)]
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i, _ in rows], "doc_id long, toxic int")
+    model = toxicity.train(spark.createDataFrame(rows, "doc_id long, text string"), labels)
+    assert set(toxic) <= set(model.lexicon)
+    clean = "the people of this quiet town"
+    written = ["id iot", "i diot", "mo ron", "scum bag", "sc um bag", "ïdïot", "ï d ï o t", "Id iot!", "m0 ron", "mörón", "ID10T"]
+    other = ["an idea", "I do it", "mo. ron", "id, iot", "people of", "a b c d", "ob jects", "été"]
+    texts = [f"{clean} {x} {clean}" for x in [*written, *other]] + ["id " * 50_000 + "iot", "x y " * 100_000, "scum " * 100_000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.score for r in toxicity.score(docs, model, keep=["doc_id"]).collect()}
+    assert not [(x, got[i]) for i, x in enumerate(written) if got[i] <= 0.5]
+    assert not [(x, got[len(written) + i]) for i, x in enumerate(other) if got[len(written) + i] >= 0.2]
