@@ -10,6 +10,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,14 +36,14 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-#: The paths that each open scratch has handed out, innermost last.
-_scratches: list[list[str]] = []
+#: The paths that each open scratch has handed out, innermost last; every thread has its own, so that queries may run at once.
+_scratches: ContextVar[tuple[list[str], ...]] = ContextVar("scratches", default=())
 
 
 def new_path(spark: SparkSession, name: str, *, outlives: bool = False) -> str:
     """A path in the shared folder that nothing else uses; it belongs to the innermost scratch, or to the one around it if it ``outlives`` that."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    owners = _scratches[:-1] if outlives else _scratches
+    owners = _scratches.get()[:-1] if outlives else _scratches.get()
     if owners:
         owners[-1].append(path)
     return path
@@ -52,11 +53,11 @@ def new_path(spark: SparkSession, name: str, *, outlives: bool = False) -> str:
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Delete what was written inside, but for what outlives it; nothing that is read later may depend on the rest."""
     made: list[str] = []
-    _scratches.append(made)
+    token = _scratches.set((*_scratches.get(), made))
     try:
         yield
     finally:
-        _scratches.pop()
+        _scratches.reset(token)
         for path in made:  # through Hadoop's file systems, which wrote them, whatever the scheme
             at = spark._jvm.org.apache.hadoop.fs.Path(path)
             at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
