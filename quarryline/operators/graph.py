@@ -392,3 +392,53 @@ def topological_levels(nodes: DataFrame, edges: DataFrame, hops: int = 4) -> Dat
 def gra_structdiff(v: Views) -> DataFrame:
     touched = v.nodes.where("domain < 5").select(c("id").alias("src"))
     return v.edges.join(touched, "src", "left_semi").join(touched.withColumnRenamed("src", "dst"), "dst", "left_anti").select(c("dst").alias("impacted")).distinct()
+
+
+def ancestors(runs: DataFrame, depth: int) -> DataFrame:
+    """(run_id, depth, ancestor) of runs(run_id, previous_run_id), up to ``depth`` back, by pointer doubling: log2(depth) joins, whatever the history's shape.
+
+    Histories may branch (several runs with one previous run).  A previous run that is no run ends a history, as null does.
+    """
+    known = runs.select("run_id").distinct()
+    links = runs.select("run_id", c("previous_run_id").alias("ancestor")).distinct().join(known.select(c("run_id").alias("ancestor")), "ancestor", "left_semi")
+    found, covered = materialize(links.select("run_id", F.lit(1).alias("depth"), "ancestor"), "ancestors"), 1
+    while covered < depth:
+        jump = found.where(c("depth") == covered).select("run_id", c("ancestor").alias("via"))
+        more = jump.join(found.select(c("run_id").alias("via"), "depth", "ancestor"), "via").select("run_id", (c("depth") + covered).alias("depth"), "ancestor")
+        found = materialize(found.unionByName(more.where(c("depth") <= depth)), "ancestors")
+        covered *= 2
+    return found
+
+
+def reaching_starts(edges: DataFrame, starts: DataFrame) -> DataFrame:
+    """(id, block, bits): which starts(start, id) lead to each node along edges(src, dst), or are the node itself; a start s is bit s % 64 of block s // 64.
+
+    Instead of a row for each start and node there is one for 64 starts: a round sends on what is new in a node's bits, and adds it up by ``or``.
+    """
+    e = materialize(edges.select("src", "dst").distinct(), "starts-edges")
+    block, bit = F.floor(c("start") / 64).cast("long"), F.call_function("shiftleft", F.lit(1).cast("long"), (c("start") % 64).cast("int"))
+    held = materialize(starts.where("start is not null and id is not null").groupBy("id", block.alias("block")).agg(F.bit_or(bit).alias("bits")), "starts")
+    new = held
+    while not new.isEmpty():
+        sent = new.join(e, c("id") == c("src")).groupBy(c("dst").alias("id"), "block").agg(F.bit_or("bits").alias("sent"))
+        merged = held.join(sent, ["id", "block"], "full").select("id", "block", F.coalesce("bits", F.lit(0)).cast("long").alias("old"), F.coalesce("sent", F.lit(0)).cast("long").alias("sent"))
+        step = materialize(merged.select("id", "block", c("old").bitwiseOR(c("sent")).alias("bits"), c("sent").bitwiseAND(F.bitwise_not("old")).alias("new")), "starts")
+        held, new = step.select("id", "block", "bits"), step.where("new <> 0").select("id", "block", c("new").alias("bits"))
+    return held
+
+
+def starts_of(held: DataFrame) -> DataFrame:
+    """(id, start) of the bits of ``reaching_starts``."""
+    at = F.filter(F.sequence(F.lit(0), F.lit(63)), lambda i: F.call_function("shiftright", c("bits"), i).bitwiseAND(F.lit(1).cast("long")) != 0)
+    return held.select("id", "block", F.explode(at).alias("i")).select("id", (c("block") * 64 + c("i")).alias("start"))
+
+
+def predicted_tests(calls: DataFrame, changed: DataFrame, tests: DataFrame) -> DataFrame:
+    """(change, test): the tests(test) that call something affected by change sets changed(change, id): what was changed, and whatever calls it, near or far.
+
+    ``calls(src, dst)``: src calls dst.  Change sets are followed together, 64 to a row.
+    """
+    affected = reaching_starts(reverse(calls), changed.select(c("change").alias("start"), "id"))
+    calling = calls.join(tests.select(c("test").alias("src")), "src", "left_semi").select("src", "dst").distinct()
+    met = calling.join(affected, c("dst") == c("id")).groupBy(c("src").alias("id"), "block").agg(F.bit_or("bits").alias("bits"))
+    return starts_of(met).select(c("start").alias("change"), c("id").alias("test"))

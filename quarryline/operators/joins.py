@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..catalogue import operator
@@ -28,37 +28,123 @@ def longest_prefix(imports: DataFrame, modules: DataFrame, *, separator: str = "
     return best.where("importer <> target").select("importer", "target").distinct()
 
 
-@operator("joi_import", """
-SELECT DISTINCT importer, target FROM (
-  SELECT importer, name, arg_max(module, n) AS target FROM (
-    SELECT p.path AS importer, p.path AS name, d AS n, array_to_string(string_split(p.path, '/')[1:d], '/') AS module
-    FROM paths p, LATERAL (SELECT unnest(range(1, len(string_split(p.path, '/')) + 1)) AS d) t) e
-  WHERE module IN (SELECT DISTINCT array_to_string(string_split(path, '/')[1:2], '/') FROM paths UNION SELECT split_part(path, '/', 1) FROM paths)
-  GROUP BY importer, name) b WHERE importer <> target""")
+def first_suffix(names: DataFrame, modules: DataFrame, *, separator: str = ".") -> DataFrame:
+    """(name, rank, target) of the distinct names(name): the first of modules(module, rank, target) that is the name or ends with it after a separator.
+
+    Each module is listed under all its suffixes, the first under each being kept, so that the search is an equi-join.
+    """
+    parts = F.split("module", re.escape(separator))
+    each = modules.select("rank", "target", parts.alias("p"), F.explode(F.sequence(F.lit(1), F.size(parts))).alias("i"))
+    each = each.select("rank", "target", F.array_join(F.slice("p", c("i"), F.size("p")), separator).alias("name"))
+    listed = each.groupBy("name").agg(F.min(F.struct("rank", "target")).alias("first"))
+    return names.select("name").distinct().join(listed, "name").select("name", "first.rank", "first.target")
+
+
+def first_within(names: DataFrame, paths: DataFrame, *, gram: int = 4) -> DataFrame:
+    """(name, rank, target) of the distinct names(name): the first of paths(path, rank, target) that the name is anywhere in.
+
+    A path is listed under its substrings of ``gram`` letters, a name looks under the one of its own that the fewest paths have (shorter
+    names under themselves), and what it finds is verified.
+    """
+    def grams(name: str, most: Column) -> Column:
+        each = F.transform(F.sequence(F.lit(1), F.greatest(F.length(name) - most + 1, F.lit(1))), lambda i: F.substr(c(name), i, most))
+        return F.array_distinct(each)
+
+    asked = names.select("name").where("name <> ''").distinct().withColumn("gram", F.explode(grams("name", F.least(F.length("name"), F.lit(gram)))))
+    sizes = range(1, gram + 1)
+    listed = paths.select("path", "rank", "target", F.explode(F.array_distinct(F.concat(*(grams("path", F.lit(n)) for n in sizes)))).alias("gram"))
+    wanted = asked.select("gram").distinct()
+    counted = materialize(listed.join(wanted, "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("n")), "gram-counts")
+    rarest = asked.join(counted, "gram", "left").groupBy("name").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("g")).where("g.n > 0").select("name", "g.gram")
+    found = listed.join(rarest, "gram").where(F.contains("path", c("name")))
+    return found.groupBy("name").agg(F.min(F.struct("rank", "target")).alias("first")).select("name", "first.rank", "first.target")
+
+
+def resolve_imports(imports: DataFrame, files: DataFrame, *, inside: bool = True) -> DataFrame:
+    """(importer, name, target) of imports(importer, name), dotted, among files(path, rank): paths with .py or without, in scan order ``rank``.
+
+    The longest dotted prefix of a name that is a file's module is its target.  Where there is none, or it is the importer itself, it is the
+    first file whose module is the name, ends with it after a dot or, if ``inside``, whose path holds the name with slashes; and nothing if that is the importer.
+    """
+    module = F.replace(F.regexp_replace("path", r"\.py$", ""), F.lit("/"), F.lit("."))
+    modules = materialize(files.select("path", "rank", module.alias("module")), "import-modules")
+    names = imports.select("importer", "name").distinct()
+    at = modules.groupBy("module").agg(F.min_by("path", "rank").alias("target"))
+    parts = F.split("name", r"\.")
+    each = names.select("name").distinct().select("name", parts.alias("p"), F.explode(F.sequence(F.lit(1), F.size(parts))).alias("n"))
+    each = each.select("name", "n", F.array_join(F.slice("p", F.lit(1), c("n")), ".").alias("module"))
+    longest = each.join(at, "module").groupBy("name").agg(F.max_by("target", "n").alias("target"))
+    known = names.join(longest, "name", "left")
+    done = known.where(c("target").isNotNull() & (c("target") != c("importer")))
+    rest = known.where(c("target").isNull() | (c("target") == c("importer"))).select("importer", "name")
+    found = first_suffix(rest, modules.select("module", "rank", c("path").alias("target")))
+    if inside:
+        asked = rest.select(F.replace("name", F.lit("."), F.lit("/")).alias("slashed"), "name").distinct()
+        within = first_within(asked.select(c("slashed").alias("name")), modules.select("path", "rank", c("path").alias("target")))
+        within = asked.join(within.withColumnRenamed("name", "slashed"), "slashed").select("name", "rank", "target")
+        found = found.unionByName(within).groupBy("name").agg(F.min(F.struct("rank", "target")).alias("first")).select("name", "first.target")
+    fallback = rest.join(found.select("name", "target"), "name").where(c("target") != c("importer"))
+    return done.select("importer", "name", "target").unionByName(fallback.select("importer", "name", "target"))
+
+
+#: Parts are source files: lib/<brand>/<words of the name>.py, in order of their keys; a part imports what the next line of an order has, by the last two, three or all parts of its module.
+PART_FILES = """
+  SELECT 'lib/' || lower(replace(p_brand, '#', '_')) || '/' || replace(p_name, ' ', '/') || '.py' AS path, min(p_partkey) AS rank FROM part GROUP BY 1"""
+PART_IMPORTS = """
+  SELECT DISTINCT importer, CASE size % 4 WHEN 0 THEN 'lib.' || brand || '.' || replace(next_name, ' ', '.') WHEN 1 THEN 'lib.' || brand || '.' || replace(next_name, ' ', '.') || '.run' WHEN 2 THEN replace(next_name, ' ', '.') ELSE substr(replace(next_name, ' ', '.'), 3) END AS name
+  FROM (SELECT 'lib/' || lower(replace(p_brand, '#', '_')) || '/' || replace(p_name, ' ', '/') || '.py' AS importer, p_size AS size, lower(replace(lead(p_brand) OVER w, '#', '_')) AS brand, lead(p_name) OVER w AS next_name
+        FROM lineitem JOIN part ON p_partkey = l_partkey WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity)) s WHERE next_name IS NOT NULL"""
+
+
+def part_files(v: Views) -> DataFrame:
+    return v.table("part").groupBy(_part_path("p_brand", "p_name").alias("path")).agg(F.min("p_partkey").alias("rank"))
+
+
+def _part_path(brand: str, name: str) -> Column:
+    return F.concat(F.lit("lib/"), F.lower(F.replace(brand, F.lit("#"), F.lit("_"))), F.lit("/"), F.replace(name, F.lit(" "), F.lit("/")), F.lit(".py"))
+
+
+def part_imports(v: Views) -> DataFrame:
+    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
+    lines = v.table("lineitem").join(v.table("part").select("p_partkey", "p_brand", "p_name", "p_size"), c("p_partkey") == c("l_partkey"))
+    after = F.lead(F.struct("p_brand", "p_name")).over(order)
+    lines = lines.select(_part_path("p_brand", "p_name").alias("importer"), c("p_size").alias("size"), after.alias("after")).where("after is not null")
+    dotted = F.replace("after.p_name", F.lit(" "), F.lit("."))
+    whole = F.concat(F.lit("lib."), F.lower(F.replace("after.p_brand", F.lit("#"), F.lit("_"))), F.lit("."), dotted)
+    kind = c("size") % 4
+    name = F.when(kind == 0, whole).when(kind == 1, F.concat(whole, F.lit(".run"))).when(kind == 2, dotted).otherwise(F.substr(dotted, F.lit(3)))
+    return lines.select("importer", name.alias("name")).distinct()
+
+
+_IMPORT_SQL = """
+WITH f AS (SELECT path, rank, replace(regexp_replace(path, '\\.py$', ''), '/', '.') AS module FROM (%s) x), i AS (%s),
+p AS (SELECT DISTINCT i.name, list(f.path ORDER BY len(string_split(f.module, '.')) DESC, f.rank)[1] AS target FROM (SELECT DISTINCT name FROM i) i JOIN f ON i.name = f.module OR starts_with(i.name, f.module || '.') GROUP BY i.name),
+b AS (SELECT i.name, arg_min(f.path, f.rank) AS target FROM (SELECT DISTINCT name FROM i) i JOIN f ON f.module = i.name OR ends_with(f.module, '.' || i.name)%s GROUP BY i.name)
+SELECT i.importer, i.name, CASE WHEN p.target <> i.importer THEN p.target ELSE b.target END AS target FROM i LEFT JOIN p USING (name) LEFT JOIN b USING (name) WHERE CASE WHEN p.target <> i.importer THEN p.target ELSE b.target END <> i.importer"""
+
+
+@operator("joi_import", _IMPORT_SQL % (PART_FILES, PART_IMPORTS, " OR contains(f.path, replace(i.name, '.', '/'))"))
 def joi_import(v: Views) -> DataFrame:
-    parts = F.split("path", "/")
-    modules = v.paths.select(F.array_join(F.slice(parts, 1, 2), "/").alias("module")).union(v.paths.select(parts[0])).distinct()
-    return longest_prefix(v.paths.select(c("path").alias("importer"), c("path").alias("name")), modules)
+    """Imports by the longest prefix that is a module, then by the first file in scan order that ends with the name or holds it."""
+    return resolve_imports(part_imports(v), part_files(v))
 
 
-@operator("joi_import_exact", """
-SELECT p.page_id, min(q.page_id) AS target FROM paths p JOIN paths q ON split_part(q.path, '/', 2) = split_part(p.path, '/', 2) AND split_part(q.path, '/', 1) = split_part(p.path, '/', 1) AND q.page_id <> p.page_id GROUP BY p.page_id""")
+@operator("joi_import_exact", _IMPORT_SQL % (PART_FILES, PART_IMPORTS, ""))
 def joi_import_exact(v: Views) -> DataFrame:
-    """The first other page of the same host and section."""
-    key = F.substring_index("path", "/", 2)
-    of = v.paths.select("page_id", key.alias("key"))
-    # the two smallest ids of a key decide: no pairs are made, and no set is gathered
-    first = of.groupBy("key").agg(F.min("page_id").alias("first"))
-    second = of.join(first, "key").groupBy("key", "first").agg(F.min(F.when(c("page_id") > c("first"), c("page_id"))).alias("second")).where("second is not null")
-    return of.join(second, "key").select("page_id", F.when(c("first") == c("page_id"), c("second")).otherwise(c("first")).alias("target"))
+    """The same without names that stand anywhere in a path."""
+    return resolve_imports(part_imports(v), part_files(v), inside=False)
 
 
 @operator("joi_import_suffix", """
-SELECT path AS importer, (SELECT min(p2) FROM (SELECT DISTINCT path AS p2, string_split(path, '/')[-1] AS leaf FROM paths) q WHERE q.leaf = string_split(paths.path, '/')[-1]) AS target FROM paths""")
+WITH f AS (SELECT path, row_number() OVER (ORDER BY path) AS rank, replace(regexp_replace(path, '\\.py$', ''), '/', '.') AS module FROM (%s) x), i AS (%s)
+SELECT i.importer, i.name, b.target FROM i JOIN (SELECT n.name, arg_min(f.path, f.rank) AS target FROM (SELECT DISTINCT name FROM i) n JOIN f ON f.module = n.name OR ends_with(f.module, '.' || n.name) GROUP BY n.name) b USING (name)""" % (PART_FILES, PART_IMPORTS))
 def joi_import_suffix(v: Views) -> DataFrame:
-    leaf = K.base_name(c("path"))
-    first = v.paths.groupBy(leaf.alias("leaf")).agg(F.min("path").alias("target"))
-    return v.paths.select(c("path").alias("importer"), leaf.alias("leaf")).join(first, "leaf").select("importer", "target")
+    """The first module by path that a name ends with; names begin at dots."""
+    files = part_files(v)
+    module = F.replace(F.regexp_replace("path", r"\.py$", ""), F.lit("/"), F.lit("."))
+    names = materialize(part_imports(v), "imports")
+    found = first_suffix(names, files.select(module.alias("module"), c("path").alias("rank"), c("path").alias("target")))
+    return names.join(found, "name").select("importer", "name", "target")
 
 
 def resolve_calls(calls: DataFrame, definitions: DataFrame, imports: DataFrame) -> DataFrame:
@@ -299,18 +385,58 @@ def joi_forbidden(v: Views) -> DataFrame:
     return forbidden(v.edges, v.nodes.select("id", name.alias("name")), [("down", "^R[01]/", "^R[34]/"), ("into", ".", "/D7/")])
 
 
+#: Beyond so many letters a word is keyed by its pieces, whose number does not grow with it.
+_DELETABLE = 32
+
+
+def _neighbourhood(word: Column, edits: int) -> Column:
+    """A word without up to ``edits`` of its letters, all ways: two words within so many edits have one of these in common."""
+    def shorter(w: Column) -> Column:
+        return F.when(F.length(w) > 0, F.transform(F.sequence(F.lit(1), F.length(w)), lambda i: F.concat(F.substr(w, F.lit(1), i - 1), F.substr(w, i + 1)))).otherwise(F.array(F.lit("")))
+
+    every = F.array(word)
+    for _ in range(edits):
+        every = F.array_distinct(F.concat(every, F.flatten(F.transform(every, shorter))))
+    return every
+
+
+def _pieces(word: Column, length: Column, edits: int, shifts: range) -> Column:
+    """A word of ``length`` letters in edits + 1 pieces of even length; ``shifts`` moves where they are looked for."""
+    n = edits + 1
+    out = []
+    for i in range(n):
+        start, size = F.floor(length * i / n).cast("int"), (F.floor(length * (i + 1) / n) - F.floor(length * i / n)).cast("int")
+        out += [F.concat_ws(":", length.cast("string"), F.lit(str(i)), F.substr(word, start + 1 + s, size)) for s in shifts]
+    return F.array(*out)
+
+
+def within_edits(words: DataFrame, known: DataFrame, *, edits: int = 2) -> DataFrame:
+    """(w, v, distance) of words(w) and other known(v) that are at most ``edits`` apart; none is missed, and no two are compared that share no key.
+
+    Words of up to 32 letters are keyed by what is left of them without some letters.  Longer ones have at least one of their edits + 1 pieces in common with any
+    neighbour, moved by as many places; both kinds of keys are made where lengths are near that limit.
+    """
+    def keyed(df: DataFrame, name: str, long_keys: Column) -> DataFrame:
+        short = F.when(F.length(name) <= _DELETABLE + edits, F.transform(_neighbourhood(c(name), edits), lambda x: F.xxhash64(x, F.lit("short")))).otherwise(F.array().cast("array<bigint>"))
+        long = F.when(F.length(name) > _DELETABLE - edits, F.transform(long_keys, lambda x: F.xxhash64(x, F.lit("long")))).otherwise(F.array().cast("array<bigint>"))
+        return df.select(name).distinct().withColumn("key", F.explode(F.array_distinct(F.concat(short, long))))
+
+    asked = F.flatten(F.array(*(_pieces(c("w"), F.length("w") + d, edits, range(-edits, edits + 1)) for d in range(-edits, edits + 1))))
+    pairs = keyed(words, "w", asked).join(keyed(known, "v", _pieces(c("v"), F.length("v"), edits, range(1))), "key").where("w <> v").select("w", "v").distinct()
+    return pairs.withColumn("distance", F.levenshtein("w", "v", edits)).where("distance >= 0")
+
+
 @operator("joi_typo", """
+WITH w AS (SELECT * FROM (SELECT DISTINCT item_id, unnest(string_split(text, ' ')) AS w FROM benchmark) a WHERE regexp_full_match(w, '[!-~]+'))
 SELECT item_id, w, arg_min(v, CAST(d AS VARCHAR) || v) AS fix, min(d) AS distance FROM (
-  SELECT q.item_id, q.w, k.v, levenshtein(q.w, k.v) AS d FROM (SELECT * FROM (SELECT DISTINCT item_id, unnest(string_split(text, ' ')) AS w FROM benchmark) a WHERE regexp_full_match(w, '[!-~]+')) q
-  JOIN (SELECT * FROM (SELECT DISTINCT unnest(string_split(text, ' ')) AS v FROM benchmark) b WHERE regexp_full_match(v, '[!-~]+')) k ON substr(k.v, 1, 3) = substr(q.w, 1, 3) AND abs(length(k.v) - length(q.w)) <= 1 AND k.v <> q.w) s
-WHERE d <= 2 GROUP BY item_id, w""")
+  SELECT q.item_id, q.w, k.v, levenshtein(q.w, k.v) AS d FROM w q JOIN (SELECT DISTINCT w AS v FROM w) k ON abs(length(k.v) - length(q.w)) <= 2 AND k.v <> q.w) s
+WHERE d <= 2 AND 4 * d <= greatest(length(w), length(v)) GROUP BY item_id, w""")
 def joi_typo(v: Views) -> DataFrame:
-    """The nearest other known word among those in ASCII; words are blocked by their first three letters."""
+    """The nearest other known word of those in ASCII, at most two edits and a quarter of the letters away."""
     words = v.table("benchmark").select("item_id", F.explode(F.split("text", " ")).alias("w")).where(c("w").rlike("^[!-~]+$")).distinct()
-    known = words.select(c("w").alias("v")).distinct().withColumn("k", F.substring("v", 1, 3))
-    j = words.withColumn("k", F.substring("w", 1, 3)).join(known, "k").where((F.abs(F.length("v") - F.length("w")) <= 1) & (c("v") != c("w")))
-    d = j.withColumn("d", F.levenshtein("w", "v")).where("d <= 2")
-    return d.groupBy("item_id", "w").agg(F.min_by("v", F.struct("d", "v")).alias("fix"), F.min("d").cast("long").alias("distance"))
+    near = within_edits(words.select("w"), words.select(c("w").alias("v"))).where(4 * c("distance") <= F.greatest(F.length("w"), F.length("v")))
+    best = near.groupBy("w").agg(F.min_by("v", F.struct("distance", "v")).alias("fix"), F.min("distance").cast("long").alias("distance"))
+    return words.join(best, "w").select("item_id", "w", "fix", "distance")
 
 
 @operator("joi_regression", r"""
@@ -329,13 +455,16 @@ def joi_regression(v: Views) -> DataFrame:
 
 
 @operator("joi_lineoverlap", """
-SELECT a.l_orderkey, a.l_linenumber, a.l_partkey FROM lineitem a WHERE EXISTS (
-  SELECT 1 FROM lineitem b WHERE b.l_orderkey = a.l_orderkey AND b.l_partkey <> a.l_partkey AND b.l_linenumber BETWEEN a.l_linenumber AND a.l_linenumber + 1)""")
+WITH r AS (SELECT user_id AS key, epoch_us(ts) // 1000000 AS start, epoch_us(ts) // 1000000 + CAST(floor(value * value) AS BIGINT) AS fin, event_id AS id FROM events WHERE event_type = 'view'),
+p AS (SELECT DISTINCT user_id AS key, epoch_us(ts) // 1000000 AS at FROM events WHERE event_type = 'purchase')
+SELECT key AS user_id, id AS event_id FROM r WHERE EXISTS (SELECT 1 FROM p WHERE p.key = r.key AND p.at BETWEEN r.start AND r.fin)""")
 def joi_lineoverlap(v: Views) -> DataFrame:
-    """Ranges of lines that hold another file's line: a range join within each commit, as a semi join."""
-    a = v.table("lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
-    b = a.select(c("l_orderkey").alias("k"), c("l_linenumber").alias("at"), c("l_partkey").alias("other"))
-    return a.join(b, (c("l_orderkey") == c("k")) & (c("other") != c("l_partkey")) & c("at").between(c("l_linenumber"), c("l_linenumber") + 1), "left_semi")
+    """Functions, of any length, that hold a changed line: here ranges of views that hold a purchase."""
+    from .intervals import touched
+    from .windows import class_ranges
+
+    changed = v.table("events").where("event_type = 'purchase'").select(c("user_id").alias("key"), F.unix_seconds(c("ts").cast("timestamp")).alias("at"))
+    return touched(class_ranges(v, "view"), changed).select(c("key").alias("user_id"), c("id").alias("event_id"))
 
 
 @operator("joi_blockdiff", """
@@ -347,9 +476,28 @@ def joi_blockdiff(v: Views) -> DataFrame:
     return v.within(1995, 1996).run_files.groupBy("path", c("layer").alias("block")).agg((n[1] - n[0]).alias("delta"))
 
 
-@operator("joi_testpredict", """
-SELECT DISTINCT t.user_id, s.state FROM (SELECT DISTINCT user_id, next_state FROM steps WHERE next_state IS NOT NULL AND state = 'signup') t JOIN (SELECT DISTINCT state, next_state FROM steps) s ON s.next_state = t.next_state""")
+def part_calls(v: Views) -> DataFrame:
+    """(src, dst) of parts: one calls the other where their lines follow each other in an order and they are of one size."""
+    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
+    lines = v.table("lineitem").join(v.table("part").select("p_partkey", "p_size"), c("p_partkey") == c("l_partkey"))
+    steps = lines.select(c("l_partkey").alias("src"), c("p_size").alias("size"), F.lead("l_partkey").over(order).alias("dst"), F.lead("p_size").over(order).alias("next_size"))
+    return steps.where("dst is not null and size = next_size").select("src", "dst").distinct()
+
+
+PART_CALLS = """
+  SELECT DISTINCT src, dst FROM (SELECT l_partkey AS src, p_size AS size, lead(l_partkey) OVER w AS dst, lead(p_size) OVER w AS next_size FROM lineitem JOIN part ON p_partkey = l_partkey
+    WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity)) s WHERE dst IS NOT NULL AND size = next_size"""
+
+
+@operator("joi_testpredict", f"""
+WITH RECURSIVE called AS ({PART_CALLS}),
+affected(change, id) AS (SELECT DISTINCT CAST(substr(p_brand, 7) AS BIGINT), p_partkey FROM part UNION SELECT a.change, k.src FROM affected a JOIN called k ON k.dst = a.id)
+SELECT DISTINCT 'Brand#' || CAST(change AS VARCHAR) AS change, k.src AS test FROM affected a JOIN called k ON k.dst = a.id JOIN part ON p_partkey = k.src AND p_type = 'PROMO'""")
 def joi_testpredict(v: Views) -> DataFrame:
-    start = v.steps.where("state = 'signup' and next_state is not null").select("user_id", "next_state").distinct()
-    reach = v.steps.select("state", "next_state").distinct()
-    return start.join(reach, "next_state").select("user_id", "state").distinct()
+    """Brands are change sets, promoted parts tests: those that call what a change affects, through however many callers."""
+    from .graph import predicted_tests
+
+    part = v.table("part")
+    number = F.substring("p_brand", 7, 10).cast("long")
+    out = predicted_tests(part_calls(v), part.select(number.alias("change"), c("p_partkey").alias("id")), part.where("p_type = 'PROMO'").select(c("p_partkey").alias("test")))
+    return out.select(F.concat(F.lit("Brand#"), c("change").cast("string")).alias("change"), "test")

@@ -113,15 +113,23 @@ def win_offset(v: Views) -> DataFrame:
     return v.run_metrics.where("name = 'complexity'").join(F.broadcast(fifth), c("run_id") >= c("oldest")).select("path", "run_id", "value")  # one row
 
 
-@operator("win_nested", """
-SELECT user_id, event_id, first_value(event_id) OVER (PARTITION BY user_id, s ORDER BY ts, event_id) AS outer_id FROM (
-  SELECT *, sum(CASE WHEN event_type = 'signup' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS s FROM events) e""")
+_RANGES = "SELECT user_id AS key, epoch_us(ts) // 1000000 AS start, epoch_us(ts) // 1000000 + CAST(floor(value * value) AS BIGINT) AS fin, event_id AS id FROM events WHERE event_type = 'signup'"
+
+
+def class_ranges(v: Views, kind: str) -> DataFrame:
+    """Events of a type open ranges of seconds, from a point to more than a day."""
+    start = F.unix_seconds(c("ts").cast("timestamp"))
+    return v.table("events").where(c("event_type") == kind).select(c("user_id").alias("key"), start.alias("start"), (start + F.floor(c("value") * c("value"))).alias("end"), c("event_id").alias("id"))
+
+
+@operator("win_nested", f"""
+SELECT e.user_id, e.event_id, list(r.id ORDER BY r.start, r.fin, r.id)[1] AS outer_id FROM events e JOIN ({_RANGES}) r ON r.key = e.user_id AND epoch_us(e.ts) // 1000000 BETWEEN r.start AND r.fin GROUP BY 1, 2""")
 def win_nested(v: Views) -> DataFrame:
-    """The event that opened the range which each event lies in."""
-    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    opened = F.sum(F.when(c("event_type") == "signup", 1).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    e = v.table("events").withColumn("s", opened)
-    return e.select("user_id", "event_id", F.first("event_id").over(Window.partitionBy("user_id", "s").orderBy("ts", "event_id")).alias("outer_id"))
+    """The first range that each event lies in: ranges of any width, found by bins."""
+    from .intervals import enclosing
+
+    points = v.table("events").select(c("user_id").alias("key"), F.unix_seconds(c("ts").cast("timestamp")).alias("at"), c("user_id"), "event_id")
+    return points.join(enclosing(points, class_ranges(v, "signup")), ["key", "at"]).select("user_id", "event_id", c("id").alias("outer_id"))
 
 
 @operator("top_hotspot", f"SELECT path, round({_IMPACT}, 4) AS impact FROM modules ORDER BY round({_IMPACT}, 4) DESC, path LIMIT 10")

@@ -234,11 +234,20 @@ def jsn_canon(v: Views) -> DataFrame:
 
 
 @operator("win_lineage", """
-WITH RECURSIVE r(run_id, depth) AS (SELECT max(run_id), 0 FROM snapshots UNION ALL SELECT s.run_id, r.depth + 1 FROM r JOIN snapshots s ON s.run_id = r.run_id - 1 WHERE r.depth < 3) SELECT run_id, CAST(depth AS INTEGER) AS depth FROM r""")
+WITH RECURSIVE o AS (SELECT o_orderkey AS run_id, o_custkey AS who, o_orderdate AS ts, date_trunc('month', o_orderdate) AS month FROM orders),
+m AS (SELECT who, month, arg_max(run_id, struct_pack(ts, run_id)) AS last FROM o GROUP BY 1, 2),
+q AS (SELECT who, month, lag(last) OVER (PARTITION BY who ORDER BY month) AS previous FROM m),
+h AS (SELECT o.run_id, q.previous FROM o JOIN q ON q.who = o.who AND q.month = o.month),
+r(run_id, depth, ancestor) AS (SELECT run_id, 1, previous FROM h WHERE previous IS NOT NULL UNION ALL SELECT r.run_id, r.depth + 1, h.previous FROM r JOIN h ON h.run_id = r.ancestor WHERE h.previous IS NOT NULL AND r.depth < 5)
+SELECT run_id, depth, ancestor FROM r""")
 def win_lineage(v: Views) -> DataFrame:
-    """The newest run and those before it, three back: previous runs by ``lag``, since the chain is linear."""
-    order = Window.orderBy(F.desc("run_id"))  # one row for each run
-    return v.snapshots.select("run_id", (F.row_number().over(order) - 1).alias("depth")).where("depth <= 3")
+    """Five runs back along previous runs.  Orders are runs: those of a customer's month follow the last one of that customer's month before, so that histories branch."""
+    from ..operators.graph import ancestors
+
+    o = v.table("orders").select(c("o_orderkey").alias("run_id"), c("o_custkey").alias("who"), c("o_orderdate").alias("ts"), F.trunc("o_orderdate", "month").alias("month"))
+    last = o.groupBy("who", "month").agg(F.max_by("run_id", F.struct("ts", "run_id")).alias("last"))
+    before = last.select("who", "month", F.lag("last").over(Window.partitionBy("who").orderBy("month")).alias("previous_run_id"))
+    return ancestors(o.join(before, ["who", "month"]).select("run_id", "previous_run_id"), 5)
 
 
 @operator("mat_action", """

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from ..catalogue import operator
 from ..views import Views
-from . import stateful
+from . import incremental, stateful
 
 c = F.col
 _MICROS = "epoch_us(ts)"
@@ -21,10 +21,17 @@ def _utc(ts):
     return F.unix_micros(ts.cast("timestamp"))
 
 
+def _ended(v: Views, wait: str) -> DataFrame:
+    """The events, and a last one without a type ``wait`` after them all, which closes the windows that are still open."""
+    events = v.table("events").select("event_id", "user_id", "event_type", "value", c("ts").cast("timestamp").alias("ts"))
+    end = events.agg((F.max("ts") + F.expr(f"interval {wait}")).alias("ts")).where("ts is not null")
+    return incremental.staged([events.unionByName(end, allowMissingColumns=True)])
+
+
 @operator("stm_tumbling", "SELECT CAST(epoch(date_trunc('day', ts)) AS BIGINT) AS start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2")
 def stm_tumbling(v: Views) -> DataFrame:
-    """Daily counts by type, as a stream over event time."""
-    out = stateful.run_to_table(stateful.tumbling(stateful.event_stream(v.spark, v.sf_dir), "1 day"))
+    """Daily counts by type, as a stream over event time: a day is put out once, when the watermark has passed it, and its state goes."""
+    out = stateful.run_to_table(stateful.tumbling(_ended(v, "3 days"), "1 day"), "append")
     return out.select(F.unix_seconds("start").alias("start"), "event_type", "n", F.round("total", 2).alias("total"))
 
 
@@ -34,27 +41,55 @@ SELECT user_id, min(us) // 1000000 AS start, count(*) AS n FROM (
     SELECT user_id, event_id, epoch_us(ts) AS us, lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM events) a) b GROUP BY user_id, s""")
 def stm_loop(v: Views) -> DataFrame:
     """Debouncing: a user's events are taken together until two hours pass without one."""
-    out = stateful.run_to_table(stateful.sessions(stateful.event_stream(v.spark, v.sf_dir), "2 hours"), "complete")
+    out = stateful.run_to_table(stateful.sessions(_ended(v, "1 day"), "2 hours"), "append")
     return out.select("user_id", F.unix_seconds("start").alias("start"), "n")
 
 
 _CHANGES = """
-SELECT user_id, event_id, CASE WHEN state IS DISTINCT FROM p THEN CASE WHEN p IS NULL THEN 'added' ELSE 'modified' END END AS change FROM (
-  SELECT user_id, event_id, event_type AS state, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM events) s WHERE state IS DISTINCT FROM p"""
+WITH s AS (SELECT CAST(user_id AS VARCHAR) AS path, CAST(epoch(date_trunc('day', ts)) AS BIGINT) AS scan, arg_max(event_type, event_id) AS fingerprint FROM events GROUP BY 1, 2),
+n AS (SELECT *, lag(scan) OVER w AS before, lag(fingerprint) OVER w AS old, lead(scan) OVER w AS after, max(scan) OVER () AS newest FROM s WINDOW w AS (PARTITION BY path ORDER BY scan))
+SELECT path, scan, 'added' AS change FROM n WHERE before IS NULL OR before < scan - 86400
+UNION ALL SELECT path, scan, 'modified' FROM n WHERE before = scan - 86400 AND old <> fingerprint
+UNION ALL SELECT path, scan + 86400, 'deleted' FROM n WHERE (after IS NULL OR after > scan + 86400) AND scan < newest"""
+
+_DAY = 86400
+
+
+def _observations(v: Views) -> DataFrame:
+    """Days are full scans; a user with an event on a day is a file that the scan sees, with the type of its last event as content."""
+    return v.table("events").select(c("user_id").cast("string").alias("path"), F.unix_seconds(F.date_trunc("day", c("ts").cast("timestamp"))).alias("scan"), c("event_id").alias("seq"), c("event_type").alias("fingerprint"))
 
 
 @operator("stm_changes_stream", _CHANGES)
 def stm_changes_stream(v: Views) -> DataFrame:
-    """Changes of entities, with their last state kept by the stream."""
-    return stateful.run_to_table(stateful.changes(stateful.event_stream(v.spark, v.sf_dir)), "append")
+    """Files added, modified and deleted from scan to scan, as a stream of three micro-batches: state by path, and timers that end it."""
+    seen = _observations(v)
+    middle = seen.agg(F.min("scan").alias("a"), F.max("scan").alias("z")).first()
+    if middle.a is None:
+        return v.spark.createDataFrame([], "path string, scan long, change string")
+    third = (middle.z - middle.a) // (3 * _DAY) * _DAY
+    cuts = [middle.a + third, middle.a + 2 * third]
+    done = v.spark.range(1).select(F.lit(incremental.COMPLETE).alias("path"), F.lit(middle.z + _DAY // 2 + 1).alias("scan"), F.lit(0).cast("long").alias("seq"), F.lit("").alias("fingerprint"))
+    parts = [seen.where(c("scan") <= cuts[0]), seen.where((c("scan") > cuts[0]) & (c("scan") <= cuts[1])), seen.where(c("scan") > cuts[1]).unionByName(done)]
+    return stateful.run_to_table(incremental.snapshot_changes(incremental.staged(parts), period=_DAY, late="12 hours"), "append")
 
 
 @operator("stm_changes", _CHANGES)
 def stm_changes(v: Views) -> DataFrame:
-    """The batch twin of the change stream: an entity's state is added, then modified when it differs; a touch is no change."""
-    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    e = v.table("events").withColumn("p", F.lag("event_type").over(order))
-    return e.where(~c("event_type").eqNullSafe(c("p"))).select("user_id", "event_id", F.when(c("p").isNull(), "added").otherwise("modified").alias("change"))
+    """The batch twin of the change stream: a path's neighbouring scans by lag and lead."""
+    s = _observations(v).groupBy("path", "scan").agg(F.max_by("fingerprint", "seq").alias("fingerprint"))
+    w = Window.partitionBy("path").orderBy("scan")
+    s = s.select("*", F.lag("scan").over(w).alias("before"), F.lag("fingerprint").over(w).alias("old"), F.lead("scan").over(w).alias("after"))
+    newest = _observations(v).agg(F.max("scan").alias("newest"))
+    s = s.join(F.broadcast(newest))  # one row
+    found = F.array_compact(
+        F.array(
+            F.when(c("before").isNull() | (c("before") < c("scan") - _DAY), F.struct("scan", F.lit("added").alias("change"))),
+            F.when((c("before") == c("scan") - _DAY) & (c("old") != c("fingerprint")), F.struct("scan", F.lit("modified").alias("change"))),
+            F.when((c("after").isNull() | (c("after") > c("scan") + _DAY)) & (c("scan") < c("newest")), F.struct((c("scan") + _DAY).alias("scan"), F.lit("deleted").alias("change"))),
+        )
+    )
+    return s.select("path", F.explode(found).alias("x")).select("path", "x.scan", "x.change")
 
 
 @operator("stm_mtime", """
@@ -71,10 +106,28 @@ def stm_mtime(v: Views) -> DataFrame:
 
 
 @operator("stm_patch", """
-SELECT user_id, arg_max(event_type, event_id) AS state, count(*) AS patches FROM events GROUP BY user_id""")
+WITH base AS (SELECT user_id AS path, 1.0 + count(*) AS complexity, CAST(count(DISTINCT event_type) AS DOUBLE) AS coupling, CAST(sum(length(props)) AS BIGINT) AS loc FROM events WHERE day(ts) < 8 GROUP BY user_id),
+p AS (SELECT user_id AS path, event_id AS seq, CASE event_type WHEN 'purchase' THEN 'deleted' WHEN 'error' THEN 'broken' ELSE 'parsed' END AS kind, 1 + floor(value / 10) AS complexity, CAST(length(props) AS BIGINT) AS loc FROM events WHERE day(ts) >= 8),
+l AS (SELECT path, coalesce(max(seq) FILTER (kind = 'deleted'), -1) AS gone, coalesce(max(seq) FILTER (kind = 'parsed'), -1) AS good, coalesce(max(seq) FILTER (kind = 'broken'), -1) AS bad,
+  arg_max(complexity, seq) FILTER (kind = 'parsed') AS complexity, arg_max(loc, seq) FILTER (kind = 'parsed') AS loc FROM p GROUP BY path),
+j AS (SELECT coalesce(l.path, b.path) AS path, l.path IS NOT NULL AS dirty, good > gone AS fresh, bad > gone AND bad > good AS broken, gone >= 0 AS was_deleted, l.complexity AS c1, l.loc AS l1, b.complexity AS c0, b.loc AS l0, b.coupling AS k0
+  FROM l FULL JOIN base b ON b.path = l.path),
+r AS (SELECT path, coalesce(broken, false) AS syntax_error, CASE WHEN fresh THEN l1 WHEN NOT coalesce(was_deleted, false) THEN l0 END AS loc, CASE WHEN fresh THEN c1 WHEN NOT coalesce(was_deleted, false) THEN c0 END AS complexity,
+  CASE WHEN fresh THEN CASE WHEN was_deleted THEN 0.0 ELSE coalesce(k0, 0.0) END WHEN NOT coalesce(was_deleted, false) THEN k0 END AS coupling FROM j WHERE NOT dirty OR fresh OR broken)
+SELECT CAST(path AS VARCHAR) AS path, loc, complexity, coupling, round(complexity * 0.5 + coupling * 1.5, 2) AS impact,
+  CASE WHEN complexity * 0.5 + coupling * 1.5 >= 10 THEN 'HIGH' WHEN complexity * 0.5 + coupling * 1.5 >= 5 THEN 'MEDIUM' WHEN complexity IS NOT NULL THEN 'LOW' END AS level, syntax_error FROM r""")
 def stm_patch(v: Views) -> DataFrame:
-    """The current state of every entity after all its patches."""
-    return v.table("events").groupBy("user_id").agg(F.max_by("event_type", "event_id").alias("state"), F.count("*").alias("patches"))
+    """The first week's events are an analysis, those of later days patches: purchases delete a file, errors are files that don't parse; four micro-batches merge them."""
+    events = v.table("events").withColumn("path", c("user_id").cast("string")).withColumn("day", F.dayofmonth("ts"))
+    coupling = F.countDistinct("event_type").cast("double")
+    base = events.where("day < 8").groupBy("path").agg(F.sum(F.length("props")).alias("loc"), (F.lit(1.0) + F.count("*")).alias("complexity"), coupling.alias("coupling"))
+    impact = F.round(c("complexity") * 0.5 + c("coupling") * 1.5, 2)
+    level = F.when(impact >= 10, "HIGH").when(impact >= 5, "MEDIUM").otherwise("LOW")
+    base = base.select("*", impact.alias("impact"), level.alias("level"), F.lit(False).alias("syntax_error"))
+    kind = F.when(c("event_type") == "purchase", "deleted").when(c("event_type") == "error", "broken").otherwise("parsed")
+    patches = events.where("day >= 8").select("path", c("event_id").alias("seq"), kind.alias("kind"), (1.0 + F.floor(c("value") / 10)).alias("complexity"), F.length("props").cast("long").alias("loc"), "day")
+    parts = [patches.where(c("day").between(a, b)).drop("day") for a, b in ((8, 13), (14, 19), (20, 25), (26, 31))]
+    return incremental.run_patches(incremental.staged(parts), incremental.PatchedTable(base))
 
 
 def rate_limit(requests: DataFrame, *, limit: int = 20, micros: int = 1_000_000) -> DataFrame:
@@ -143,9 +196,18 @@ def stm_poll(v: Views) -> DataFrame:
     return e.select("user_id", "event_id", F.row_number().over(Window.partitionBy("user_id", "s").orderBy("ts", "event_id")).cast("long").alias("polls"))
 
 
-@operator("stm_events", "SELECT event_type, count(*) AS n, min(event_id) AS first_id, max(event_id) AS last_id FROM events GROUP BY event_type")
+@operator("stm_events", """
+SELECT 'run-' || CAST(event_id AS VARCHAR) AS correlation, event_type AS type, CASE WHEN event_type = 'error' THEN 'ERROR' WHEN value >= 100 THEN 'COMPLETED' ELSE 'STARTED' END AS action, user_id AS target, CAST(epoch_us(ts) // 1000000 AS BIGINT) AS at FROM events""")
 def stm_events(v: Views) -> DataFrame:
-    return v.table("events").groupBy("event_type").agg(F.count("*").alias("n"), F.min("event_id").alias("first_id"), F.max("event_id").alias("last_id"))
+    """An append-only log fed twice with part of the events: what comes again, soon or late, adds nothing."""
+    action = F.when(c("event_type") == "error", "ERROR").when(c("value") >= 100, "COMPLETED").otherwise("STARTED")
+    entries = v.table("events").select(
+        F.concat(F.lit("run-"), c("event_id").cast("string")).alias("correlation"), c("event_type").alias("type"), action.alias("action"), c("user_id").alias("target"), c("ts").cast("timestamp").alias("at"), F.dayofmonth("ts").alias("day")
+    )
+    first, then = entries.where("day <= 15").drop("day"), entries.where("day > 15").drop("day")
+    again = [entries.where("day in (2, 15)").drop("day"), entries.where("day between 28 and 31").drop("day")]
+    log = incremental.append_log(incremental.staged([first, then.unionByName(again[0]), again[1]]))
+    return stateful.run_to_table(log, "append").withColumn("at", F.unix_seconds("at"))
 
 
 def pruned_cache(saved: DataFrame, runs: DataFrame, *, keep_runs: int = 5) -> DataFrame:

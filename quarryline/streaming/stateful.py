@@ -6,12 +6,10 @@ Streams read the folder of a table with an explicit schema and end when all of i
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupStateTimeout
 
 from ..store import new_path
 
@@ -71,25 +69,3 @@ def read_batches(spark: SparkSession, like: DataFrame, table: str, *, last_only:
     if last_only:
         rows = rows.where(F.col("batch") == rows.agg(F.max("batch")).first()[0])
     return rows.drop("batch")
-
-
-def changes(events: DataFrame) -> DataFrame:
-    """(user_id, event_id, change): an entity's state kept between batches; added at first, modified when it differs.
-
-    An entity's state (its last type) stays for as long as it may change, which is for ever here: one short row for each entity.
-    The events of an entity within a micro-batch are taken in order of time, then id, so the outcome
-    does not hang on their arrival.
-    """
-
-    def step(key, batches, state):
-        last = state.get[0] if state.exists else None
-        rows = sorted((r for b in batches for r in zip(b["ts"], b["event_id"], b["event_type"], strict=True)), key=lambda r: r[:2])
-        out = []
-        for _, event, kind in rows:
-            if kind != last:
-                out.append((key[0], event, "added" if last is None else "modified"))
-            last = kind
-        state.update((last,))
-        yield pd.DataFrame(out, columns=["user_id", "event_id", "change"])
-
-    return events.groupBy("user_id").applyInPandasWithState(step, "user_id long, event_id long, change string", "last string", "append", GroupStateTimeout.NoTimeout)
