@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 # Names that classify.
 LANGUAGES = {".py": "python", ".js": "javascript", ".jsx": "javascript", ".ts": "typescript", ".tsx": "typescript", ".go": "go"}
 EXCLUDED = ("node_modules", ".git", "venv", "dist", "build", "__pycache__")
+SOURCE_ROOTS = ("src", "lib", "app", "pkg", "packages")
 SEVERITY_LEVEL = {"HIGH": "error", "CRITICAL": "error", "MEDIUM": "warning", "LOW": "note"}
 
 
@@ -31,13 +32,6 @@ def module_name(path: Column) -> Column:
     return F.replace(F.regexp_replace(path, r"\.py$", ""), F.lit("/"), F.lit("."))
 
 
-def domain(path: Column, depth: int = 1) -> Column:
-    """The first ``depth`` directories of a path, ``(root)`` for a bare file."""
-    parts = F.split(path, "/")
-    dirs = F.slice(parts, 1, F.size(parts) - 1)
-    return F.when(F.size(parts) < 2, "(root)").otherwise(F.array_join(F.slice(dirs, 1, depth), "/"))
-
-
 def name_prefix(name: Column) -> Column:
     """What stands before the first ``_`` or ``-``, else the first four letters of a long name, else all of it."""
     return (

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -365,21 +367,58 @@ def agg_agreement(v: Views) -> DataFrame:
     return v.rated.groupBy("lang").agg(F.round(F.avg(((c("size") > 1500) == (c("quality") == 1)).cast("double")), 6).alias("agreement"))
 
 
+def _log_gamma(x):
+    """The logarithm of the gamma function for x > 0: Stirling's series eight further on, brought back by the recurrence."""
+    z = x + 8
+    series = 1 / (12 * z) - 1 / (360 * z**3) + 1 / (1260 * z**5) - 1 / (1680 * z**7)
+    back = sum((F.log(x + i) for i in range(1, 8)), F.log(x))
+    return (z - 0.5) * F.log(z) - z + 0.5 * math.log(2 * math.pi) + series - back
+
+
+def t_test_p_value(t, df, *, steps: int = 2000):
+    """The two-sided p-value of Student's t: its density from 0 to abs(t), integrated by Simpson's rule as an aggregate over a sequence."""
+    h = F.abs(t) / steps
+    density = lambda i: F.pow(1 + F.pow(i * h, 2) / df, -(df + 1) / 2)
+    total = F.aggregate(F.sequence(F.lit(1), F.lit(steps - 1)), F.lit(0.0), lambda a, i: a + F.when(i % 2 == 1, 4.0).otherwise(2.0) * density(i))
+    area = (total + density(F.lit(0)) + density(F.lit(steps))) * h / 3
+    scale = F.exp(_log_gamma((df + 1) / 2) - _log_gamma(df / 2)) / F.sqrt(df * math.pi)
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - 2 * scale * area))
+
+
+def spearman(rows: DataFrame, key: str, x: str, y: str) -> DataFrame:
+    """(key, rho, p_value): rank correlation of two columns within each key, ties at their mean rank; null where either is constant.
+
+    Rows are counted by their pair of values first; both ranks are windows over those counts, so that nothing is joined.
+    """
+    pairs = rows.where(c(x).isNotNull() & c(y).isNotNull()).groupBy(key, x, y).agg(F.count("*").alias("n"))
+
+    def rank(value):
+        below = F.sum("n").over(Window.partitionBy(key).orderBy(value).rangeBetween(Window.unboundedPreceding, 0))
+        return below - (F.sum("n").over(Window.partitionBy(key, value)) - 1) / 2.0
+
+    g = pairs.withColumn("rx", rank(x)).withColumn("ry", rank(y)).withColumn("w", c("n").cast("double"))
+    # ranks of n rows have the mean (n + 1) / 2 whatever the ties
+    dx, dy = c("rx") - (c("total") + 1) / 2, c("ry") - (c("total") + 1) / 2
+    g = g.withColumn("total", F.sum("w").over(Window.partitionBy(key)))
+    m = g.groupBy(key).agg(F.max("total").alias("n"), F.sum(c("w") * dx * dy).alias("xy"), F.sum(c("w") * dx * dx).alias("xx"), F.sum(c("w") * dy * dy).alias("yy"))
+    rho = F.try_divide(c("xy"), F.sqrt(c("xx") * c("yy")))
+    m = m.select(key, "n", rho.alias("rho"))
+    df = c("n") - 2
+    t = c("rho") * F.sqrt(df / (1 - c("rho") * c("rho")))
+    p = F.when(c("rho").isNull(), None).when(df <= 0, F.when(F.abs("rho") >= 1 - 1e-12, 0.0).otherwise(1.0)).when(F.abs("rho") >= 1 - 1e-12, 0.0).otherwise(t_test_p_value(t, df))
+    return m.select(key, "rho", p.alias("p_value"))
+
+
 @operator("agg_spearman", """
-SELECT package, round(covar_pop(rx, ry) / nullif(stddev_pop(rx) * stddev_pop(ry), 0), 6) AS rho FROM (
-  SELECT package, rank() OVER (PARTITION BY package ORDER BY complexity) + (count(*) OVER (PARTITION BY package, complexity) - 1) / 2.0 AS rx,
-    rank() OVER (PARTITION BY package ORDER BY loc) + (count(*) OVER (PARTITION BY package, loc) - 1) / 2.0 AS ry FROM modules) s GROUP BY package""")
+WITH r AS (SELECT package, rank() OVER (PARTITION BY package ORDER BY complexity) + (count(*) OVER (PARTITION BY package, complexity) - 1) / 2.0 AS rx,
+    rank() OVER (PARTITION BY package ORDER BY loc) + (count(*) OVER (PARTITION BY package, loc) - 1) / 2.0 AS ry FROM modules),
+s AS (SELECT package, count(*) AS n, covar_pop(rx, ry) / nullif(stddev_pop(rx) * stddev_pop(ry), 0) AS rho FROM r GROUP BY package),
+t AS (SELECT *, n - 2 AS df, abs(rho) * sqrt((n - 2) / (1 - rho * rho)) AS t FROM s WHERE n > 2 AND abs(rho) < 1 - 1e-12),
+p AS (SELECT package, exp(lgamma((df + 1) / 2.0) - lgamma(df / 2.0)) / sqrt(df * pi()) * t / 10000 / 2 * (1 + (1 + t * t / df) ** (-(df + 1) / 2.0) + list_sum(list_transform(range(1, 10000), lambda i: 2 * (1 + (i * t / 10000) ** 2 / df) ** (-(df + 1) / 2.0)))) AS area FROM t)
+SELECT s.package, round(rho, 6) AS rho, round(CASE WHEN rho IS NULL THEN NULL WHEN abs(rho) >= 1 - 1e-12 THEN 0.0 WHEN n <= 2 THEN 1.0 ELSE greatest(0.0, least(1.0, 1 - 2 * area)) END, 5) AS p_value FROM s LEFT JOIN p ON p.package = s.package""")
 def agg_spearman(v: Views) -> DataFrame:
-    """Rank correlation within each package, ties at their mean rank."""
-    from .windows import value_ranks
-
-    rows = materialize(v.modules.select("package", "complexity", "loc"), "modules")
-    for x, rank in (("complexity", "rx"), ("loc", "ry")):
-        ranks = value_ranks(rows, "package", x).select("package", x, (c("upto") - (c("n") - 1) / 2.0).alias(rank))
-        rows = rows.join(ranks, ["package", x])
-    return rows.groupBy("package").agg(
-        F.round(F.try_divide(F.covar_pop("rx", "ry"), F.stddev_pop("rx") * F.stddev_pop("ry")), 6).alias("rho")  # null where either is constant
-    )
+    """Rank correlation of complexity and size within each package, with the p-value of its t test."""
+    return spearman(v.modules, "package", "complexity", "loc").select("package", F.round("rho", 6).alias("rho"), F.round("p_value", 5).alias("p_value"))
 
 
 @operator("agg_sample", """

@@ -10,7 +10,6 @@ from ..functions import classify as K
 from ..views import Views
 
 c = F.col
-_DOMAIN1 = "CASE WHEN len(string_split(path, '/')) < 2 THEN '(root)' ELSE string_split(path, '/')[1] END"
 
 
 @operator("prj_normpath", r"""
@@ -100,9 +99,43 @@ def prj_intent(v: Views) -> DataFrame:
     return found.select(c("intent").alias("item_id"), c("path").alias("page_id"))
 
 
-@operator("prj_domain", f"SELECT page_id, {_DOMAIN1} AS domain1, CASE WHEN len(string_split(path, '/')) < 2 THEN '(root)' ELSE array_to_string(string_split(path, '/')[1:-2][1:2], '/') END AS domain2 FROM paths")
+def domains(files: DataFrame, *depths: int) -> DataFrame:
+    """``files(path)`` with domain1, domain2 ... for each depth: directories of a path without what says nothing of its domain.
+
+    That is a source root such as ``src`` with two segments or more below it, or else the top directory that all paths share, if none lies beside it: one aggregate
+    over first segments finds it.  A file right there is ``(root)``.
+    """
+    parts = F.filter(F.split(K.normalize_path(c("path")), "/"), lambda s: s != "")
+    p = files.withColumn("parts", parts)
+    top = F.get("parts", F.lit(0))
+    shared = p.agg(F.when((F.min(F.size("parts")) > 1) & (F.min(top) == F.max(top)), F.min(top)).alias("shared"))  # one row
+    p = p.join(F.broadcast(shared))
+    wrapped = F.lower(top).isin(*K.SOURCE_ROOTS) & (F.size("parts") > 2)
+    rest = F.when(wrapped | ((top == c("shared")) & (F.size("parts") > 1)), F.slice("parts", F.lit(2), F.greatest(F.size("parts") - 1, F.lit(0)))).otherwise(c("parts"))
+    p = p.withColumn("parts", rest)
+
+    def at(depth: int):
+        return F.when(F.size("parts") <= 1, "(root)").otherwise(F.array_join(F.slice("parts", F.lit(1), F.least(F.lit(depth), F.size("parts") - 1)), "/"))
+
+    return p.select(*files.columns, *(at(d).alias(f"domain{d}") for d in depths))
+
+
+_SITES = "SELECT 'site' AS kind, 'site/' || path AS path FROM paths"
+_SOURCES = "SELECT DISTINCT 'source' AS kind, 'Lib/' || lower(replace(p_brand, '#', '_')) || '/' || replace(p_name, ' ', '/') || '.py' AS path FROM part UNION ALL SELECT DISTINCT 'source', lower(replace(p_brand, '#', '_')) || '.py' FROM part"
+
+
+@operator("prj_domain", f"""
+WITH s AS (SELECT kind, path, list_filter(string_split(path, '/'), lambda x: x <> '') AS p FROM ({_SITES} UNION ALL {_SOURCES}) x),
+k AS (SELECT kind, CASE WHEN min(len(p)) > 1 AND min(p[1]) = max(p[1]) THEN min(p[1]) END AS shared FROM s GROUP BY kind),
+r AS (SELECT s.kind, path, CASE WHEN lower(p[1]) IN ('src', 'lib', 'app', 'pkg', 'packages') AND len(p) > 2 OR p[1] = shared AND len(p) > 1 THEN p[2:] ELSE p END AS p FROM s JOIN k ON k.kind = s.kind)
+SELECT kind, path, CASE WHEN len(p) <= 1 THEN '(root)' ELSE p[1] END AS domain1, CASE WHEN len(p) <= 1 THEN '(root)' ELSE array_to_string(p[1:least(2, len(p) - 1)], '/') END AS domain2 FROM r""")
 def prj_domain(v: Views) -> DataFrame:
-    return v.paths.select("page_id", K.domain(c("path"), 1).alias("domain1"), K.domain(c("path"), 2).alias("domain2"))
+    """Pages below one directory, and source files of which some lie in the root."""
+    sites = v.paths.select(F.lit("site").alias("kind"), F.concat(F.lit("site/"), "path").alias("path"))
+    brand = F.lower(F.replace("p_brand", F.lit("#"), F.lit("_")))
+    inner = F.concat(F.lit("Lib/"), brand, F.lit("/"), F.replace("p_name", F.lit(" "), F.lit("/")), F.lit(".py"))
+    sources = v.table("part").select(F.explode(F.array(inner, F.concat(brand, F.lit(".py")))).alias("path")).distinct().select(F.lit("source").alias("kind"), "path")
+    return domains(sites, 1, 2).unionByName(domains(sources, 1, 2))
 
 
 @operator("prj_prefix", """

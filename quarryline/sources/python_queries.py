@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..catalogue import operator
 from ..functions.queries import _hmac_sql
+from ..store import materialize
 from ..views import Views
 from . import python_text as P
 
@@ -188,16 +189,31 @@ def src_covxml(v: Views) -> DataFrame:
     return v.churn.select("path", (F.xpath_double(xml, F.lit("/class/@line-rate")) * 100).alias("pct"))
 
 
-@operator("snk_persist", "SELECT run_id, count(*) AS rows FROM run_metrics WHERE run_id <= 1996 GROUP BY run_id")
+_RUNS = (1995, 1996, 1997)
+
+
+@operator("snk_persist", """
+WITH f AS (SELECT year(o_orderdate) AS run, l_partkey AS path, CAST(sum(l_quantity) AS BIGINT) AS size, CAST(count(DISTINCT l_orderkey) AS DOUBLE) AS commits, list_sort(list(DISTINCT l_suppkey)) AS deps
+  FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE year(o_orderdate) BETWEEN 1995 AND 1997 GROUP BY 1, 2),
+h AS (SELECT coalesce(n.run, o.run + 1) AS run, coalesce(n.path, o.path) AS path, n.size, n.commits, CASE WHEN o.path IS NULL THEN 'added' WHEN n.path IS NULL THEN 'removed' WHEN n.size <> o.size OR n.commits <> o.commits OR n.deps <> o.deps THEN 'modified' END AS action
+  FROM f n FULL JOIN f o ON o.path = n.path AND o.run = n.run - 1)
+SELECT run, CAST(path AS VARCHAR) AS path, action, size, commits > 6 AS violates FROM h WHERE run BETWEEN 1996 AND 1997 AND action IS NOT NULL""")
 def snk_persist(v: Views) -> DataFrame:
-    """Two runs appended and committed, and one that is not: readers see the two."""
-    from .. import store
-
-    folder = store.new_path(v.spark, "history")
-    for run in (1995, 1996):
-        store.append_run(v.run_metrics.where(c("run_id") == run).drop("run_id"), folder, run)
-    v.run_metrics.where("run_id = 1997").write.mode("append").partitionBy("run_id").parquet(f"{folder}/rows")
-    return store.read_runs(v.spark, folder).groupBy("run_id").agg(F.count("*").alias("rows"))
+    """Three runs persisted, the newest two kept: what became of every file, and whether it breaks a rule."""
+    from .history import RunHistory
+
+    history = RunHistory(v.spark, keep=2)
+    for run in _RUNS:
+        lines = v.within(run, run).table("orders").join(v.table("lineitem"), c("o_orderkey") == c("l_orderkey"))
+        lines = materialize(lines.select(c("l_partkey").cast("string").alias("path"), "l_quantity", "l_orderkey", c("l_suppkey").cast("string").alias("target")), "run-lines")
+        files = lines.groupBy("path").agg(F.sum("l_quantity").cast("long").alias("size"), F.countDistinct("l_orderkey").cast("double").alias("value"))
+        metrics = files.select("path", F.lit("commits").alias("name"), "value")
+        history.persist(run, files.select("path", "size"), metrics, lines.select("path", "target"), [("max-commits", "commits", 6.0), ("max-lines", "lines", 0.0)])
+    ids = history.read("ids").select("path", "file_id")
+    broken = history.read("violations").select("run", "file_id", F.lit(True).alias("breaks"))
+    sizes = history.read("files").select("run", "file_id", "size")
+    found = history.read("entity_history").join(sizes, ["run", "file_id"], "left").join(broken, ["run", "file_id"], "left").join(ids, "file_id")
+    return found.select("run", "path", "action", "size", F.when(c("size").isNotNull(), c("breaks").isNotNull()).alias("violates"))
 
 
 @operator("snk_context", "SELECT package, count(*) AS files, CAST(sum(fixes) AS BIGINT) AS fixes FROM modules GROUP BY package")
