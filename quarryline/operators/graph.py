@@ -14,31 +14,70 @@ from pyspark.sql import functions as F
 
 from ..catalogue import operator
 from ..functions import formulas as M
-from ..store import materialize
+from ..store import materialize, numbered
 from ..views import Views
 
 c = F.col
 
 
-def reach(edges: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
-    """(start, id, depth): all nodes within ``depth`` steps along src -> dst, at their least depth; a start itself only if it lies on a cycle.
+def mark_numbers(marks: DataFrame) -> DataFrame:
+    """(mark, no): the distinct ids of marks(id), numbered from 0."""
+    return materialize(numbered(marks.select(c("id").alias("mark")).distinct(), "no", 0), "marks")
+
 
-    Each level holds what no earlier level has, and is written before the next one reads it.
+def marked(edges: DataFrame, numbers: DataFrame, depth: int) -> list[DataFrame]:
+    """Where the marks of numbers(mark, no) get to along src -> dst within ``depth`` steps: a frame (id, block, bits) for each step.
+
+    Mark number n is bit n % 64 of block n // 64: a node has a row for 64 marks, not for each.  A step's bits are those marks that no earlier step brought; each
+    step is written before the next one reads it.  A mark comes back to its own node only around a cycle.
     """
-    e = materialize(edges.select("src", "dst").distinct(), "reach-edges")
-    level, found = starts.select(c("id").alias("start"), "id").distinct(), None
-    for d in range(1, depth + 1):
-        step = level.join(e, c("id") == c("src")).select("start", c("dst").alias("id")).distinct()
-        if found is not None:
-            step = step.join(found.select("start", "id"), ["start", "id"], "left_anti")
-        level = materialize(step.withColumn("depth", F.lit(d)), "reach")
-        found = level if found is None else found.unionByName(level)
-        level = level.select("start", "id")
-    return found
+    e = written(edges)
+    new = numbers.select(c("mark").alias("id"), F.floor(c("no") / 64).alias("block"), _bit(c("no")).alias("bits"))
+    held, levels = None, []
+    for _ in range(depth):
+        sent = new.join(e, c("id") == c("src")).groupBy(c("dst").alias("id"), "block").agg(F.bit_or("bits").alias("sent"))
+        if held is None:
+            step = sent.select("id", "block", c("sent").alias("bits"), c("sent").alias("new"))
+        else:
+            both = held.join(sent, ["id", "block"], "full").select("id", "block", *(F.coalesce(x, F.lit(0)).cast("long").alias(x) for x in ("bits", "sent")))
+            step = both.select("id", "block", c("bits").bitwiseOR(c("sent")).alias("bits"), c("sent").bitwiseAND(F.bitwise_not("bits")).alias("new"))
+        step = materialize(step, "marked")
+        held, new = step.select("id", "block", "bits"), step.where("new <> 0").select("id", "block", c("new").alias("bits"))
+        levels.append(new)
+    return levels
+
+
+def _bit(number):
+    return F.call_function("shiftleft", F.lit(1).cast("long"), (number % 64).cast("int"))
+
+
+def _bit_numbers(held: DataFrame, *keep: str) -> DataFrame:
+    """``keep`` and ``no``: a row for each bit of held(..., block, bits)."""
+    at = F.filter(F.sequence(F.lit(0), F.lit(63)), lambda i: F.call_function("shiftright", c("bits"), i).bitwiseAND(F.lit(1).cast("long")) != 0)
+    return held.select(*keep, "block", F.explode(at).alias("i")).select(*keep, (c("block") * 64 + c("i")).alias("no"))
+
+
+def reach(edges: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
+    """(start, id, depth): all nodes within ``depth`` steps along src -> dst, at their least depth; a start itself only if it lies on a cycle."""
+    numbers = mark_numbers(starts)
+    levels = marked(edges, numbers, depth)
+    each = [_bit_numbers(new, "id").withColumn("depth", F.lit(d)) for d, new in enumerate(levels, 1)]
+    return reduce(DataFrame.unionByName, each).join(numbers, "no").select(c("mark").alias("start"), "id", "depth")
+
+
+def written(edges: DataFrame) -> DataFrame:
+    """The distinct edges(src, dst), in the shared folder: what is asked again and again is made once."""
+    if getattr(edges, "_written", False):
+        return edges
+    out = materialize(edges.select("src", "dst").distinct(), "edges")
+    out._written = True
+    return out
 
 
 def reverse(edges: DataFrame) -> DataFrame:
-    return edges.select(c("dst").alias("src"), c("src").alias("dst"))
+    out = edges.select(c("dst").alias("src"), c("src").alias("dst"))
+    out._written = getattr(edges, "_written", False)
+    return out
 
 
 def _reach_sql(edges: str, depth: int, starts: str = "SELECT id AS start, id, 0 AS depth FROM nodes") -> str:
@@ -102,7 +141,7 @@ def shortest_paths(edges: DataFrame, starts: DataFrame, depth: int) -> DataFrame
     for d in range(1, depth + 1):
         more = level.join(e, c("id") == c("src")).select("start", c("dst").alias("id"), F.lit(d).alias("hops"), F.concat("path", F.array("dst")).alias("path"))
         more = more.groupBy("start", "id", "hops").agg(F.min("path").alias("path"))
-        level = more.join(found.select("start", "id"), ["start", "id"], "left_anti")
+        level = materialize(more.join(found.select("start", "id"), ["start", "id"], "left_anti"), "paths")
         found = found.unionByName(level)
     return found.where("hops > 0")
 
@@ -129,12 +168,20 @@ def gra_blast(v: Views) -> DataFrame:
 
 
 def blast(nodes: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
-    down = reach(edges, nodes, depth).where("start <> id").select("start", "id", F.lit(1).alias("d"), F.lit(0).alias("u"))
-    up = reach(reverse(edges), nodes, depth).where("start <> id").select("start", "id", F.lit(0).alias("d"), F.lit(1).alias("u"))
-    each = down.unionByName(up).groupBy("start", "id").agg(F.max("d").alias("d"), F.max("u").alias("u"))
-    n = each.groupBy(c("start").alias("id")).agg(F.sum("d").alias("down"), F.sum("u").alias("up"), F.count("*").alias("total"))
+    """(id, down, up, total, score): how many other modules each reaches, is reached from, or either; sets are bits, and counted where they lie."""
+    edges, numbers = written(edges), mark_numbers(nodes)
+
+    def sets(e: DataFrame, name: str) -> DataFrame:
+        return reduce(DataFrame.unionByName, marked(e, numbers, depth)).groupBy("id", "block").agg(F.bit_or("bits").alias(name))
+
+    # the nodes that x reaches are the marks that come to x against the edges
+    both = sets(reverse(edges), "d").join(sets(edges, "u"), ["id", "block"], "full").join(numbers.withColumnRenamed("mark", "id"), "id")
+    others = F.when(F.floor(c("no") / 64) == c("block"), F.bitwise_not(_bit(c("no")))).otherwise(F.lit(-1).cast("long"))
+    down, up = (F.coalesce(x, F.lit(0)).cast("long").bitwiseAND(others) for x in ("d", "u"))
+    counts = {"down": down, "up": up, "total": down.bitwiseOR(up)}
+    n = both.groupBy("id").agg(*(F.sum(F.bit_count(x)).alias(name) for name, x in counts.items()))
     j = nodes.select("id", "complexity").join(n, "id", "left")
-    j = j.select("id", "complexity", *(F.coalesce(x, F.lit(0)).alias(x) for x in ("down", "up", "total")))
+    j = j.select("id", "complexity", *(F.coalesce(x, F.lit(0)).alias(x) for x in counts))
     return j.select("id", "down", "up", "total", M.blast_score(c("down"), c("up"), c("complexity")).alias("score"))
 
 
@@ -158,7 +205,7 @@ def gra_blast_mcp(v: Views) -> DataFrame:
 
 def closure(edges: DataFrame, starts: DataFrame, hops: int = 3) -> DataFrame:
     """(id): everything reachable from ``starts(id)``, themselves included; each round goes ``hops`` steps on from what was new."""
-    e = materialize(edges.select("src", "dst").distinct(), "closure-edges")
+    e = written(edges)
     seen = level = materialize(starts.select("id").distinct(), "closure")
     while not level.isEmpty():
         step, found = level, None
@@ -176,15 +223,40 @@ def gra_closure(v: Views) -> DataFrame:
     return closure(reverse(v.edges), v.nodes.where("domain = 3"))
 
 
+def trimmed(edges: DataFrame) -> DataFrame:
+    """edges(src, dst) without those that can lie on no cycle for want of an edge before or behind them, again and again."""
+    live = written(edges)
+    n = live.count()
+    while n:
+        both = live.select(c("src").alias("id")).distinct().join(live.select(c("dst").alias("id")).distinct(), "id", "left_semi")
+        less = live.join(both.select(c("id").alias("src")), "src", "left_semi").join(both.select(c("id").alias("dst")), "dst", "left_semi")
+        less = written(less.select("src", "dst"))
+        before, n, live = n, less.count(), less
+        if n == before:
+            break
+    return live
+
+
+def _without(live: DataFrame, ids: DataFrame) -> DataFrame:
+    return live.join(ids.select(c("id").alias("src")), "src", "left_anti").join(ids.select(c("id").alias("dst")), "dst", "left_anti").select("src", "dst")
+
+
 def strong_components(edges: DataFrame) -> DataFrame:
     """(id, component): strongly connected components, named by their smallest node; a single node is one if it depends on itself.
 
-    Colours spread forward to the largest id that reaches a node; within each colour, what the colour's node is reached from
+    What can lie on no cycle is trimmed.  The component of the node with the most edges both ways, often the largest, is what it reaches and is reached from.  Of the rest
+    colours spread forward to the largest id that reaches a node; within each colour, what the colour's node is reached from
     is its component.  Settled nodes leave, and the rest goes on.  All steps are grouped maxima and joins.
     """
-    loops = edges.where("src = dst").select(c("src").alias("id"), F.lit(True).alias("loop")).distinct()
-    live = materialize(edges.select("src", "dst").distinct(), "scc-edges")
+    edges = written(edges)
+    live = trimmed(edges)
     done = None
+    if not live.isEmpty():
+        degrees = live.groupBy(c("src").alias("id")).agg(F.count("*").alias("o")).join(live.groupBy(c("dst").alias("id")).agg(F.count("*").alias("i")), "id")
+        hub = materialize(degrees.orderBy(F.desc(F.least("o", "i")), "id").limit(1).select("id"), "scc-hub")
+        ring = closure(live, hub).join(closure(reverse(live), hub), "id", "left_semi")
+        done = materialize(ring.join(hub.select(c("id").alias("colour"))).select("id", "colour"), "scc-members")  # one row
+        live = trimmed(_without(live, done))
     while not live.isEmpty():
         ids = live.select(c("src").alias("id")).union(live.select("dst")).distinct()
         colour = materialize(ids.select("id", c("id").alias("colour")), "scc-colour")
@@ -204,15 +276,13 @@ def strong_components(edges: DataFrame) -> DataFrame:
             level = materialize(step.join(seen, ["id", "colour"], "left_anti"), "scc-members")
             seen = seen.unionByName(level)
         seen = materialize(seen, "scc-members")
-        done = seen if done is None else done.unionByName(seen)
-        live = materialize(
-            live.join(seen.select(c("id").alias("src")), "src", "left_anti").join(seen.select(c("id").alias("dst")), "dst", "left_anti").select("src", "dst"), "scc-edges"
-        )
+        done = done.unionByName(seen)
+        live = trimmed(_without(live, seen))
     if done is None:
         return edges.select(c("src").alias("id"), c("src").alias("component")).limit(0)
     names = done.groupBy("colour").agg(F.min("id").alias("component"), F.count("*").alias("n"))
-    named = done.join(names, "colour").join(loops, "id", "left")
-    return named.where("n > 1 or loop").select("id", "component")
+    loops = edges.where("src = dst").select(c("src").alias("id"), F.lit(True).alias("loop")).distinct()
+    return done.join(names, "colour").join(loops, "id", "left").where("n > 1 or loop").select("id", "component")
 
 
 @operator("gra_scc", """
@@ -224,13 +294,17 @@ def gra_scc(v: Views) -> DataFrame:
 
 def within_components(edges: DataFrame) -> DataFrame:
     """The edges that lie on a cycle: those inside a strong component."""
+    edges = written(edges)
     of = strong_components(edges)
     return edges.join(of.toDF("src", "of_src"), "src").join(of.toDF("dst", "of_dst"), "dst").where("of_src = of_dst").select("src", "dst").distinct()
 
 
 def cycles(edges: DataFrame, longest: int) -> DataFrame:
-    """(cycle): every elementary cycle of up to ``longest`` nodes, as the array that begins with its smallest node; a self-loop is a cycle of one."""
-    e = materialize(edges.select("src", "dst").distinct(), "cycle-edges")
+    """(cycle): every elementary cycle of up to ``longest`` nodes, as the array that begins with its smallest node; a self-loop is a cycle of one.
+
+    Paths are followed within strong components only; those of each length are written before they go on.
+    """
+    e = written(within_components(edges))
     found = e.where("src = dst").select(F.array("src").alias("cycle"))
     e = e.where("src <> dst")
     paths = e.where("dst > src").select(F.array("src", "dst").alias("p"))
@@ -241,6 +315,7 @@ def cycles(edges: DataFrame, longest: int) -> DataFrame:
         found = found.unionByName(closed)
         if n < longest:
             paths = step.where((c("dst") > c("p")[0]) & ~F.array_contains("p", c("dst"))).select(F.concat("p", F.array("dst")).alias("p"))
+            paths = materialize(paths, "cycle-paths")
     return found
 
 
@@ -252,7 +327,7 @@ _NAME = "array_to_string(list_transform(cycle, lambda x: CAST(x AS VARCHAR)), '-
 
 @operator("gra_cycles", _CYCLES + f" SELECT {_NAME} AS cycle_id, CAST(len(cycle) AS INTEGER) AS length FROM cyc")
 def gra_cycles(v: Views) -> DataFrame:
-    return cycles(within_components(v.edges), _LONGEST).select(F.array_join("cycle", "->").alias("cycle_id"), F.size("cycle").alias("length"))
+    return cycles(v.edges, _LONGEST).select(F.array_join("cycle", "->").alias("cycle_id"), F.size("cycle").alias("length"))
 
 
 @operator("gra_canon", _CYCLES + f" SELECT {_NAME} || '->' || CAST(cycle[1] AS VARCHAR) AS closed, cycle[1] AS smallest FROM cyc")
@@ -415,8 +490,8 @@ def reaching_starts(edges: DataFrame, starts: DataFrame) -> DataFrame:
 
     Instead of a row for each start and node there is one for 64 starts: a round sends on what is new in a node's bits, and adds it up by ``or``.
     """
-    e = materialize(edges.select("src", "dst").distinct(), "starts-edges")
-    block, bit = F.floor(c("start") / 64).cast("long"), F.call_function("shiftleft", F.lit(1).cast("long"), (c("start") % 64).cast("int"))
+    e = written(edges)
+    block, bit = F.floor(c("start") / 64).cast("long"), _bit(c("start"))
     held = materialize(starts.where("start is not null and id is not null").groupBy("id", block.alias("block")).agg(F.bit_or(bit).alias("bits")), "starts")
     new = held
     while not new.isEmpty():
@@ -429,8 +504,7 @@ def reaching_starts(edges: DataFrame, starts: DataFrame) -> DataFrame:
 
 def starts_of(held: DataFrame) -> DataFrame:
     """(id, start) of the bits of ``reaching_starts``."""
-    at = F.filter(F.sequence(F.lit(0), F.lit(63)), lambda i: F.call_function("shiftright", c("bits"), i).bitwiseAND(F.lit(1).cast("long")) != 0)
-    return held.select("id", "block", F.explode(at).alias("i")).select("id", (c("block") * 64 + c("i")).alias("start"))
+    return _bit_numbers(held, "id").withColumnRenamed("no", "start")
 
 
 def predicted_tests(calls: DataFrame, changed: DataFrame, tests: DataFrame) -> DataFrame:

@@ -17,15 +17,25 @@ from ..views import Views
 c = F.col
 
 
-def global_rank(rows: DataFrame, *order, name: str = "rank") -> DataFrame:
-    """``rows`` with their 1-based position in ``order``, by range partitions."""
+def global_rank(rows: DataFrame, *order, name: str = "rank", first_of: str | None = None) -> DataFrame:
+    """``rows`` with their 1-based position in ``order``, by range partitions; and, as ``first``, the position of the first row with the same ``first_of``, which leads the order.
+
+    Only values at the ends of a partition may go on in the next, so two rows for each partition tell where these began.
+    """
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = materialize(rows.repartitionByRange(n, *order).withColumn("__part", F.spark_partition_id()), "ranges")
     size = dealt.groupBy("__part").agg(F.count("*").alias("__n"))
     before = F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
     offset = size.select("__part", F.coalesce(before, F.lit(0)).alias("__before"))  # one row for each partition
     within = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
-    return dealt.withColumn("__k", within).join(F.broadcast(offset), "__part").withColumn(name, c("__k") + c("__before")).drop("__part", "__k", "__before")
+    placed = dealt.withColumn("__k", within).join(F.broadcast(offset), "__part").withColumn(name, c("__k") + c("__before")).drop("__k", "__before")
+    if first_of is None:
+        return placed.drop("__part")
+    placed = placed.withColumn("__first", F.min(name).over(Window.partitionBy("__part", first_of)))
+    ends = placed.groupBy("__part").agg(*(f(F.struct(name, first_of, "__first")).alias(k) for k, f in (("a", F.min), ("z", F.max))))
+    ends = ends.select(F.explode(F.array("a", "z")).alias("e")).groupBy(c(f"e.{first_of}").alias("__value")).agg(F.min("e.__first").alias("__began"))
+    placed = placed.join(F.broadcast(ends), c(first_of).eqNullSafe(c("__value")), "left")
+    return placed.withColumn("first", F.least("__first", "__began")).drop("__part", "__first", "__value", "__began")
 
 
 def cutoff(start: float, by_fix: float, shift: float, low: float, high: float, fixes, accurate):
@@ -46,11 +56,10 @@ def risk_tiers(modules: DataFrame) -> DataFrame:
     """(path, impact, position, pct, tier) of modules(path, complexity, impact), and fixes and accurate (the last verdict on the file, or null) if there are such columns."""
     more = [F.col(x) if x in modules.columns else none.alias(x) for x, none in (("fixes", F.lit(0)), ("accurate", F.lit(None).cast("boolean")))]
     rows = modules.select("path", "complexity", F.round("impact", 4).alias("impact"), *more)
-    ranked = global_rank(rows, F.desc("impact"), F.desc("complexity"), c("path"), name="position")
+    ranked = global_rank(rows, F.desc("impact"), F.desc("complexity"), c("path"), name="position", first_of="impact")
     # the percentile counts all files of at most this impact: those from the first of equals on
-    first = ranked.groupBy("impact").agg(F.min("position").alias("first"))
     total = ranked.agg(F.count("*").alias("n"))
-    j = ranked.join(first, "impact").join(F.broadcast(total))  # one row
+    j = ranked.join(F.broadcast(total))  # one row
     pct = 100.0 * (c("n") - c("first") + 1) / c("n")
     return j.select("path", "impact", "position", F.round(pct, 6).alias("pct"), tier(c("impact"), pct, c("position"), c("n"), c("fixes"), c("accurate")).alias("tier"))
 

@@ -9,10 +9,10 @@ Files keep their ids from run to run: known paths bring theirs, new ones are num
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..store import materialize, new_path
+from ..store import new_path, numbered
 
 c = F.col
 TABLES = {
@@ -27,15 +27,6 @@ TABLES = {
 _COMMITS = "run long, previous long, files long"
 
 
-def numbered(rows: DataFrame, name: str, first: int) -> DataFrame:
-    """``rows`` numbered from ``first`` without gaps and without a sort: by partition, each behind those before it."""
-    placed = materialize(rows.withColumn("mid", F.monotonically_increasing_id()), "numbered")
-    part, at = F.call_function("shiftright", c("mid"), F.lit(33)), c("mid").bitwiseAND(F.lit((1 << 33) - 1))
-    sizes = placed.groupBy(part.alias("part")).agg(F.count("*").alias("n"))  # one row for each task that wrote
-    offsets = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - c("n")).alias("offset"))
-    return placed.withColumn("part", part).join(F.broadcast(offsets), "part").select(*rows.columns, (F.lit(first) + c("offset") + at).alias(name))
-
-
 class RunHistory:
     def __init__(self, spark: SparkSession, *, keep: int = 5, folder: str | None = None):
         self.spark, self.keep = spark, keep

@@ -12,7 +12,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _KEY = "spark.checkpoint.dir"
@@ -70,6 +70,15 @@ def materialize(df: DataFrame, name: str, *, outlives: bool = False) -> DataFram
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def numbered(rows: DataFrame, name: str, first: int) -> DataFrame:
+    """``rows`` numbered from ``first`` without gaps and without a sort: by partition, each behind those before it."""
+    placed = materialize(rows.withColumn("mid", F.monotonically_increasing_id()), "numbered")
+    part, at = F.call_function("shiftright", F.col("mid"), F.lit(33)), F.col("mid").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = placed.groupBy(part.alias("part")).agg(F.count("*").alias("n"))  # one row for each task that wrote
+    offsets = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("offset"))
+    return placed.withColumn("part", part).join(F.broadcast(offsets), "part").select(*rows.columns, (F.lit(first) + F.col("offset") + at).alias(name))
+
+
 def append_run(df: DataFrame, folder: str, run_id: int) -> None:
     """Append a run's rows under ``folder``; the manifest row, written last, is what makes the run visible."""
     df.withColumn("run_id", F.lit(run_id)).write.mode("append").partitionBy("run_id").parquet(f"{folder}/rows")

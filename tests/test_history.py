@@ -5,6 +5,7 @@ import random
 
 import pytest
 
+from quarryline import store
 from quarryline.operators import aggregates, projections
 from quarryline.sources import history
 
@@ -69,9 +70,9 @@ def test_a_run_that_fails_leaves_nothing_visible(spark, monkeypatch):
 
 def test_numbers_have_no_gaps(spark):
     df = spark.range(1000).repartition(7)
-    got = history.numbered(df, "no", 5)
+    got = store.numbered(df, "no", 5)
     assert sorted(r.no for r in got.collect()) == list(range(5, 1005)) and got.columns == ["id", "no"]
-    assert history.numbered(df.limit(0), "no", 1).count() == 0
+    assert store.numbered(df.limit(0), "no", 1).count() == 0
 
 
 def ranks(v):
