@@ -81,13 +81,15 @@ def prj_prune(v: Views) -> DataFrame:
 def intent_targets(intents: DataFrame, paths: DataFrame, *, least: int = 4) -> DataFrame:
     """(intent, path): the paths(path, name) whose name holds a word of intents(intent, text), of ``least`` letters or more, anywhere and in any case.
 
-    All substrings of a name are rows, so that it is an equi-join: a name is short, words and names are many.
+    Words are listed under their first ``least`` letters, names under all their stretches of that many, and what meets is verified: a name of n letters is n rows at most.
     """
     words = intents.select("intent", F.explode(F.split("text", r"\s+")).alias("w")).where(F.length("w") >= least).select("intent", F.lower("w").alias("w")).distinct()
+    asked = words.select("w", F.substring("w", 1, least).alias("gram")).distinct()
     name = paths.where(F.length("name") >= least).select("path", F.lower("name").alias("name"))
-    starts = name.select("path", "name", F.explode(F.sequence(F.lit(1), F.length("name") - least + 1)).alias("at"))
-    pieces = starts.select("path", F.explode(F.transform(F.sequence(F.lit(least), F.length("name") - c("at") + 1), lambda n: F.substr("name", "at", n))).alias("w")).distinct()
-    return words.join(pieces, "w").select("intent", "path").distinct()
+    starts = F.sequence(F.lit(1), F.length("name") - least + 1)
+    grams = name.select("path", "name", F.explode(F.array_distinct(F.transform(starts, lambda at: F.substr("name", at, F.lit(least))))).alias("gram"))
+    found = grams.join(asked, "gram").where(F.contains("name", c("w"))).select("w", "path").distinct()
+    return words.join(found, "w").select("intent", "path").distinct()
 
 
 @operator("prj_intent", r"""
