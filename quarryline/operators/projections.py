@@ -203,15 +203,20 @@ def flt_scale(v: Views) -> DataFrame:
 # set operations
 
 
-@operator("set_diff", "SELECT DISTINCT path FROM run_files WHERE run_id = 1996 AND dep < 5 EXCEPT SELECT DISTINCT path FROM run_files WHERE run_id = 1995 AND dep < 5")
+def _in_two_runs(v: Views, first: int, second: int) -> DataFrame:
+    """(path, dep, a, b): the dependencies of two runs that follow each other, and which of the two has each; one pass over those runs."""
+    in_run = [F.max(c("run_id") == run).alias(name) for run, name in ((first, "a"), (second, "b"))]
+    return v.within(first, second).run_files.groupBy("path", "dep").agg(*in_run)
+
+
+@operator("set_diff", "SELECT path, dep FROM run_files WHERE run_id = 1996 EXCEPT SELECT path, dep FROM run_files WHERE run_id = 1995")
 def set_diff(v: Views) -> DataFrame:
-    some = v.run_files.where("dep < 5")
-    return some.where("run_id = 1996").select("path").subtract(some.where("run_id = 1995").select("path"))
+    return _in_two_runs(v, 1995, 1996).where("b and not a").select("path", "dep")
 
 
 @operator("set_intersect", "SELECT path, dep FROM run_files WHERE run_id = 1996 INTERSECT SELECT path, dep FROM run_files WHERE run_id = 1997")
 def set_intersect(v: Views) -> DataFrame:
-    return v.run_files.where("run_id = 1996").select("path", "dep").intersect(v.run_files.where("run_id = 1997").select("path", "dep"))
+    return _in_two_runs(v, 1996, 1997).where("a and b").select("path", "dep")
 
 
 @operator("set_union", "SELECT src AS id FROM edges UNION SELECT dst FROM edges")
@@ -246,8 +251,12 @@ SELECT dir, CASE WHEN list_contains(l, '825') THEN 'first' WHEN list_contains(l,
 FROM (SELECT array_to_string(string_split(path, '/')[1:-2], '/') AS dir, list_distinct(list(string_split(path, '/')[-1])) AS l FROM paths GROUP BY 1) s""")
 def src_monorepo(v: Views) -> DataFrame:
     parts = F.split("path", "/")
-    dirs = v.paths.groupBy(F.array_join(F.slice(parts, F.lit(1), F.size(parts) - 1), "/").alias("dir")).agg(F.collect_set(K.base_name(c("path"))).alias("l"))
-    rules = [(F.array_contains("l", "825"), "first"), (F.array_contains("l", "25"), "second"), (F.size("l") >= 2, "many")]
+    leaf = K.base_name(c("path"))
+    # flags of each directory, not the list of its files
+    dirs = v.paths.groupBy(F.array_join(F.slice(parts, F.lit(1), F.size(parts) - 1), "/").alias("dir")).agg(
+        F.max(leaf == "825").alias("first"), F.max(leaf == "25").alias("second"), (F.min(leaf) != F.max(leaf)).alias("many")
+    )
+    rules = [(c(x), x) for x in ("first", "second", "many")]
     return dirs.select("dir", K.first_match(rules, "one").alias("manifest"))
 
 
