@@ -20,9 +20,9 @@ def src_store(v: Views) -> DataFrame:
     return v.spark.read.parquet(folder).where("run_id = 1999").select(c("run_id").cast("int"), "path", "name", "value")
 
 
-@operator("src_jsgraph", r"""
+@operator("src_pagelinks", r"""
 SELECT page_id, unnest(list_distinct(regexp_extract_all(html, 'href="/([^"]+)"', 1))) AS target FROM pages""")
-def src_jsgraph(v: Views) -> DataFrame:
+def src_pagelinks(v: Views) -> DataFrame:
     """Edges from pages to what they refer to."""
     return v.table("pages").select("page_id", F.explode(F.array_distinct(F.regexp_extract_all("html", F.lit('href="/([^"]+)"'), F.lit(1)))).alias("target"))
 
