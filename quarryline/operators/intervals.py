@@ -27,7 +27,7 @@ def binned(ranges: DataFrame) -> DataFrame:
     return w.withColumn("bin", F.explode(F.sequence(_bin(c("start"), c("width")), _bin(c("end"), c("width")))))
 
 
-def _probes(points: DataFrame, ranges: DataFrame) -> DataFrame:
+def probes(points: DataFrame, ranges: DataFrame) -> DataFrame:
     """points(key, at, ...) with a row for each width of a range of their key."""
     widths = ranges.where(c("start") <= c("end")).select("key", _width(c("start"), c("end")).alias("width")).distinct()
     return points.join(widths, "key").withColumn("bin", _bin(c("at"), c("width")))
@@ -39,7 +39,7 @@ def touched(ranges: DataFrame, points: DataFrame) -> DataFrame:
     A bin's least and greatest point say all: a range covers the bins within it, the end of its first and the beginning of its last one.  So however many points
     there are, a range meets three rows.
     """
-    ends = _probes(points.select("key", "at"), ranges).groupBy("key", "width", "bin").agg(F.min("at").alias("least"), F.max("at").alias("most"))
+    ends = probes(points.select("key", "at"), ranges).groupBy("key", "width", "bin").agg(F.min("at").alias("least"), F.max("at").alias("most"))
     met = binned(ranges).join(ends, ["key", "width", "bin"])
     first, last = c("bin") == _bin(c("start"), c("width")), c("bin") == _bin(c("end"), c("width"))
     inside = F.when(first & last, True).when(first, c("most") >= c("start")).when(last, c("least") <= c("end")).otherwise(True)
@@ -58,7 +58,7 @@ def enclosing(points: DataFrame, ranges: DataFrame) -> DataFrame:
     open_ = b.where(~c("ends_here")).groupBy("key", "width", "bin").agg(
         F.min(F.when(~begins | aligned, first)).alias("whole"), F.min(F.when(begins & ~aligned, first)).alias("begun")
     )
-    p = _probes(points.select("key", "at").distinct(), ranges)
+    p = probes(points.select("key", "at").distinct(), ranges)
     over = p.join(open_, ["key", "width", "bin"]).select("key", "at", F.least("whole", F.when(c("begun.start") <= c("at"), c("begun"))).alias("first"))
     closing = b.where("ends_here").select("key", "width", "bin", first.alias("first")).distinct()
     ended = p.join(closing, ["key", "width", "bin"]).where(c("at") <= c("first.end")).select("key", "at", "first")

@@ -2,11 +2,11 @@
 
 A file's text is masked (strings and comments become blanks of the same length) and exploded into lines; windows
 over a file's lines carry the depth of brackets, so that continued lines start no statement.  A definition's
-block ends before the next statement that is indented no deeper.  Counts of a block are grouped sums over its
-lines.  Source text is read, never run.
+block ends before the next statement that is indented no deeper: each statement that comes back by some columns says so
+under each of them, and a definition takes the next one under its own.  Counts of a block are grouped sums over its
+lines, which meet the blocks by bins.  Source text is read, never run.
 
-What this takes for granted: signatures are on one line; a boolean expression is counted for each kind of connective
-in a line; files of unbalanced brackets are errors and have no other facts; files beyond MAX_BYTES have none at all.
+What this takes for granted: a boolean expression is counted for each kind of connective in a line; files of unbalanced brackets are errors and have no other facts; files beyond MAX_BYTES have none at all.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..operators import intervals
 from ..store import materialize
 
 c = F.col
@@ -31,7 +32,10 @@ _COUNTED = ("if", "for", "while", "excepthandler", "with", "assert", "ifexp", "b
 
 
 def source_lines(sources: DataFrame) -> DataFrame:
-    """(path, no, code, indent, starts, ends_at, ...counts, calls) of every line; ``starts`` where a statement begins, ``ends_at`` is the depth of brackets after it."""
+    """(path, no, statement, code, indent, starts, ends_at, ...counts, calls) of every line.
+
+    ``starts`` where a statement begins, ``statement`` is the number of the one that a line belongs to, ``ends_at`` the depth of brackets after it.
+    """
     fit = sources.where(F.coalesce(F.octet_length("text"), F.lit(0)) <= MAX_BYTES).select("path", F.coalesce("text", F.lit("")).alias("text"))
     joined = F.regexp_replace(X.masked(c("text"), f"{_STRING}|{_COMMENT}", _PLAIN), r"\\\n", "  ")
     lines = fit.select("path", F.posexplode(F.split(joined, "\n")).alias("no", "line"))
@@ -50,7 +54,7 @@ def source_lines(sources: DataFrame) -> DataFrame:
     }
     called = F.regexp_extract_all(F.regexp_replace("code", r"^(async\s+)?(def|class)\s+\w+", ""), F.lit(r"([A-Za-z_]\w*)\s*\("), F.lit(1))
     return lines.select(
-        "path", "no", "code", "indent", starts.alias("starts"), (c("depth") + c("change")).alias("ends_at"),
+        "path", "no", F.sum(starts.cast("int")).over(before.rowsBetween(Window.unboundedPreceding, 0)).alias("statement"), "code", "indent", starts.alias("starts"), (c("depth") + c("change")).alias("ends_at"),
         *(counts[k].cast("int").alias(f"n_{k}") for k in _COUNTED), count(r"\b(and|or)\b").cast("int").alias("boolean_operands"),
         F.filter(called, lambda x: ~x.isin(*_WORDS)).alias("calls"),
     )
@@ -66,26 +70,64 @@ def _plain(rows: DataFrame, kind: str, name: Column) -> DataFrame:
     return rows.select("path", F.lit(kind).alias("kind"), name.alias("name"), F.lit(0).alias("args"), (c("no") + 1).alias("lineno"), F.lit(0).alias("statements"), *none, F.array().cast("array<string>").alias("calls"))
 
 
-def _blocks(lines: DataFrame, keyword: str, kind: str) -> DataFrame:
-    """Facts of the definitions that begin with a keyword, over all lines of their blocks."""
-    head = c("starts") & c("code").rlike(rf"^(async\s+)?{keyword}\s+\w+")
-    inner = F.regexp_extract("code", rf"^(?:async\s+)?{keyword}\s+\w+\s*\(([^)]*)\)", 1)
-    args = F.size(F.filter(F.split(inner, ","), lambda x: ~F.trim(x).rlike(r"^(\*.*|/|)$")))
-    after = F.regexp_extract("code", rf"^(?:async\s+)?{keyword}\s+\w+[^:]*(?:\([^)]*\))?[^:]*:\s*(\S.*)$", 1)
-    heads = lines.where(head).select(
-        "path", c("no").alias("first"), c("indent").alias("depth"), F.regexp_extract("code", rf"^(?:async\s+)?{keyword}\s+(\w+)", 1).alias("name"), args.alias("args"), (after != "").cast("int").alias("inline")
-    )
-    statements = lines.where("starts").select(c("path").alias("of"), c("no").alias("at"), "indent")
-    below = heads.join(statements, (c("path") == c("of")) & (c("at") > c("first")), "left")
-    ends = below.groupBy("path", "first", "depth", "name", "args", "inline").agg(
-        F.coalesce(F.min(F.when(c("indent") <= c("depth"), c("at"))), F.lit((1 << 31) - 1)).alias("end"), F.min_by("indent", "at").alias("body")
-    )
-    own = lines.withColumnRenamed("path", "of")
-    inside = ends.join(own, (c("path") == c("of")) & (c("no") >= c("first")) & (c("no") < c("end")))
-    direct = c("starts") & (c("no") > c("first")) & (c("indent") == c("body")) & ~c("code").rlike(r"^(elif|else|except|finally|case)\b")
-    found = inside.groupBy("path", "first", "name", "args", "inline").agg(F.count_if(direct).cast("int").alias("direct"), *_summed())
+_HEAD = r"^(?:async\s+)?(def|class)\s+(\w+)"
+
+
+def signature(text: Column, of_class: Column) -> Column:
+    """(args, inline) of the text after a definition's name: its parameters or bases, and whether a statement follows the colon on its line.
+
+    Commas within inner brackets and between a lambda's parameters separate nothing; stars, ``/`` and a class's keywords are no arguments.
+    """
+    tokens = F.regexp_extract_all(text, F.lit(r"[()\[\]{},:]|[^()\[\]{},:]+"), F.lit(0))
+    start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("args"), F.lit("").alias("said"), F.lit(False).alias("listed"), F.lit(False).alias("shut"), F.lit(False).alias("over"), F.lit(False).alias("inline"))
+
+    def step(a: Column, x: Column) -> Column:
+        opens, closes, over = x.isin("(", "[", "{"), x.isin(")", "]", "}"), a["over"]
+        outer = (a["depth"] == 1) & a["listed"] & ~a["shut"]
+        ends = outer & (closes | ((x == ",") & ~a["said"].rlike(r"\blambda\b[^:]*$")))
+        said = F.trim(a["said"])
+        counts = ends & ~said.rlike(r"^(\*.*|/|)$") & ~(of_class & said.rlike(r"^\w+\s*=(?!=)"))
+        return F.struct(
+            (a["depth"] + opens.cast("int") - closes.cast("int")).alias("depth"),
+            (a["args"] + counts.cast("int")).alias("args"),
+            F.when(ends, "").when(outer & ~opens, F.concat(a["said"], x)).when(outer, F.concat(a["said"], F.lit("()"))).otherwise(a["said"]).alias("said"),
+            (a["listed"] | ((a["depth"] == 0) & (x == "("))).alias("listed"),
+            (a["shut"] | (outer & closes)).alias("shut"),
+            (over | ((a["depth"] == 0) & (x == ":"))).alias("over"),
+            (a["inline"] | (over & (F.trim(x) != ""))).alias("inline"),
+        )
+
+    return F.aggregate(tokens, start, step, lambda a: F.struct(a["args"].alias("args"), a["inline"].cast("int").alias("inline")))
+
+
+def block_ranges(lines: DataFrame) -> DataFrame:
+    """(path, kind, name, args, inline, first, end, body) of every definition; ``end`` is the first line after its block, ``body`` the indent of its first statement."""
+    order = Window.partitionBy("path").orderBy("no")
+    statements = lines.where("starts").select("path", "no", "statement", "indent", "code", F.lag("indent").over(order).alias("above"), F.lead("indent").over(order).alias("body"))
+    heads = statements.where(c("code").rlike(_HEAD))
+    back = statements.where("indent <= above").select("path", "no", F.explode(F.sequence("indent", "above")).alias("depth"), F.lit(True).alias("closes"))
+    both = back.unionByName(heads.select("path", "no", c("indent").alias("depth"), "statement", "body", F.lit(False).alias("closes")), allowMissingColumns=True)
+    # from the last line up; a definition comes before what its own line closes
+    below = Window.partitionBy("path", "depth").orderBy(F.desc("no"), "closes").rowsBetween(Window.unboundedPreceding, -1)
+    ends = both.withColumn("end", F.last(F.when(c("closes"), c("no")), ignorenulls=True).over(below)).where("not closes")
+    said = lines.join(heads.select("path", "statement"), ["path", "statement"], "left_semi").where("code <> ''")
+    said = said.groupBy("path", "statement").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("no", "code"))), lambda x: x["code"]), " ").alias("said"))
+    last = lines.groupBy("path").agg((F.max("no") + 1).alias("after"))
+    found = ends.join(said, ["path", "statement"]).join(last, "path")
+    is_class = F.regexp_extract("said", _HEAD, 1) == "class"
+    found = found.withColumn("s", signature(F.regexp_replace("said", _HEAD, ""), is_class))
+    return found.select("path", F.when(is_class, "class").otherwise("function").alias("kind"), F.regexp_extract("said", _HEAD, 2).alias("name"), "s.args", "s.inline", c("no").alias("first"), F.coalesce("end", "after").alias("end"), "body")
+
+
+def _blocks(lines: DataFrame) -> DataFrame:
+    """Facts of the definitions over all lines of their blocks."""
+    ranges = materialize(block_ranges(lines).withColumnRenamed("path", "key").withColumn("start", c("first")).withColumn("end", c("end") - 1), "source-blocks")
+    own = intervals.probes(lines.select(c("path").alias("key"), c("no").alias("at"), "code", "indent", "starts", *(f"n_{k}" for k in _COUNTED), "boolean_operands", "calls"), ranges)
+    inside = intervals.binned(ranges).join(own, ["key", "width", "bin"]).where("at between start and end").withColumnRenamed("key", "path")
+    direct = c("starts") & (c("at") > c("first")) & (c("indent") == c("body")) & ~c("code").rlike(r"^(elif|else|except|finally|case)\b")
+    found = inside.groupBy("path", "kind", "first", "name", "args", "inline").agg(F.count_if(direct).cast("int").alias("direct"), *_summed())
     counts = [x for x in found.columns if x.startswith("n_")]
-    return found.select("path", F.lit(kind).alias("kind"), "name", "args", (c("first") + 1).alias("lineno"), (c("direct") + c("inline")).alias("statements"), *counts, "boolean_operands", "calls")
+    return found.select("path", "kind", "name", "args", (c("first") + 1).alias("lineno"), (c("direct") + c("inline")).alias("statements"), *counts, "boolean_operands", "calls")
 
 
 def python_facts(sources: DataFrame) -> DataFrame:
@@ -105,7 +147,7 @@ def python_facts(sources: DataFrame) -> DataFrame:
     plain = plain.select("path", "no", F.trim(F.regexp_replace("name", r"\s+as\s+\w+", "")).alias("name"))
     members = good.where(c("starts") & c("code").rlike(r"^from\s.*\simport\b")).select("path", "no", F.regexp_extract("code", r"^from\s+\.*(\S*)\s+import", 1).alias("name"))
     exports = good.where(top & c("code").rlike(r"^__all__\s*(:[^=]+)?\+?="))
-    parts = [module, _plain(plain.union(members), "import", c("name")), _blocks(good, "def", "function"), _blocks(good, "class", "class"), _plain(exports, "exports", F.lit("__all__")), _plain(wrong, "error", F.lit(""))]
+    parts = [module, _plain(plain.union(members), "import", c("name")), _blocks(good), _plain(exports, "exports", F.lit("__all__")), _plain(wrong, "error", F.lit(""))]
     return reduce(DataFrame.unionByName, parts)
 
 

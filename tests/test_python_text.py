@@ -76,6 +76,36 @@ def one_liner(x): return x
     3: "",
     4: None,
     5: "x = 'unclosed bracket ('\ny = {'a': [1, 2]}\n\n\nclass Empty:\n    pass\n",
+    7: """def spread(
+    a: Dict[str, int],
+    b=(1, 2),  # two, three
+    *rest: Tuple[int, ...],
+    c: Callable[[int, str], bool] = lambda x, y: x,
+    d={"k": [1, 2]},
+    **more,
+) -> Dict[str, int]:
+    if a:
+        return b
+
+
+class Wide(
+    Base[int, str],
+    Other,
+    metaclass=Meta,
+):
+    def short(self) -> Tuple[int, int]: return self
+
+    def deep(self, f=lambda: (1, 2), /):
+        class Inner: kind = 1
+        def again(): pass
+        for x in f():
+            def last(q): return q
+        return x
+
+
+async def typed(a: "x, y" = ",", *, key=None): return [a, key]
+x = 1
+""",
     6: "def f(a):\r\n    if a:\r\n        return g(a)\r\n    return h.i(a)\r\n",
 }
 
@@ -94,7 +124,7 @@ def expected(text):
 
     for x in ast.walk(tree):
         if isinstance(x, (ast.FunctionDef, ast.AsyncFunctionDef)):
-            out.add(("function", x.name, len(x.args.args) + len(x.args.kwonlyargs), len(x.body), x.lineno, tuple(count(x, 0).items())))
+            out.add(("function", x.name, len(x.args.posonlyargs) + len(x.args.args) + len(x.args.kwonlyargs), len(x.body), x.lineno, tuple(count(x, 0).items())))
         elif isinstance(x, ast.ClassDef):
             out.add(("class", x.name, len(x.bases), len(x.body), x.lineno, tuple(count(x, 0).items())))
         elif isinstance(x, ast.Import):
@@ -117,7 +147,7 @@ def found(spark):
     return out
 
 
-@pytest.mark.parametrize("path", [5, 6, 3, 4])
+@pytest.mark.parametrize("path", [5, 6, 3, 4, 7])
 def test_facts_equal_the_parser(found, path):
     assert found[path] == expected(SOURCES[path])
 
@@ -150,3 +180,12 @@ def test_digest_ignores_layout_and_comments(spark):
     rows = [(1, a), (2, "x = 1\ndef f():\n    return   'a # b'  # two\n"), (3, a.replace("a #", "b #")), (4, a.replace("x = 1", "x = 2"))]
     got = {r.path: r.digest for r in P.layout_free_digest(spark.createDataFrame(rows, "path long, text string")).collect()}
     assert got[1] == got[2] and len(set(got.values())) == 3
+
+
+def test_blocks_of_a_long_file(spark):
+    source = "".join(f"def f{i}(a):\n  if a:\n    def g{i}(): return a\n  return {i}\n" for i in range(6_000)) + "class Last:\n" + "".join(f"  def m{i}(self): pass\n" for i in range(3_000))
+    rows = P.python_facts(spark.createDataFrame([(1, source)], "path long, text string")).where("kind in ('function', 'class')").select("kind", "name", "args", "lineno", "statements", "n_if").collect()
+    assert len(rows) == 15_001
+    by_name = {r["name"]: tuple(r) for r in rows}
+    assert by_name["f5999"] == ("function", "f5999", 1, 4 * 5999 + 1, 2, 1) and by_name["g17"] == ("function", "g17", 0, 4 * 17 + 3, 1, 0)
+    assert by_name["Last"] == ("class", "Last", 0, 24_001, 3_000, 0) and by_name["m2999"][4] == 1
