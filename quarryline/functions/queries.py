@@ -311,9 +311,9 @@ def cpx_jsproxy(v: Views) -> DataFrame:
     return v.table("pages").select("page_id", X.script_complexity(c("html")).alias("complexity"))
 
 
-@operator("src_polyglot", r"""
+@operator("src_pagetags", r"""
 SELECT page_id, list_sort(list_distinct(regexp_extract_all(html, 'href="([^"]+)"', 1))) AS imports, len(regexp_extract_all(html, '<[a-zA-Z][^>]*>')) AS definitions FROM pages""")
-def src_polyglot(v: Views) -> DataFrame:
+def src_pagetags(v: Views) -> DataFrame:
     return v.table("pages").select(
         "page_id",
         F.array_sort(F.array_distinct(F.regexp_extract_all("html", F.lit('href="([^"]+)"'), F.lit(1)))).alias("imports"),

@@ -31,13 +31,18 @@ _STARTS = {"if": r"^(if|elif)\b", "for": r"^(async\s+)?for\b", "while": r"^while
 _COUNTED = ("if", "for", "while", "excepthandler", "with", "assert", "ifexp", "boolop", "comprehension", "match_case")
 
 
+def masked_source(text: Column) -> Column:
+    """``text`` with strings and comments as blanks."""
+    return X.masked(text, f"{_STRING}|{_COMMENT}", _PLAIN)
+
+
 def source_lines(sources: DataFrame) -> DataFrame:
     """(path, no, statement, code, indent, starts, ends_at, ...counts, calls) of every line.
 
     ``starts`` where a statement begins, ``statement`` is the number of the one that a line belongs to, ``ends_at`` the depth of brackets after it.
     """
     fit = sources.where(F.coalesce(F.octet_length("text"), F.lit(0)) <= MAX_BYTES).select("path", F.coalesce("text", F.lit("")).alias("text"))
-    joined = F.regexp_replace(X.masked(c("text"), f"{_STRING}|{_COMMENT}", _PLAIN), r"\\\n", "  ")
+    joined = F.regexp_replace(masked_source(c("text")), r"\\\n", "  ")
     lines = fit.select("path", F.posexplode(F.split(joined, "\n")).alias("no", "line"))
     before = Window.partitionBy("path").orderBy("no").rowsBetween(Window.unboundedPreceding, -1)
     change = F.regexp_count("line", F.lit(r"[(\[{]")) - F.regexp_count("line", F.lit(r"[)\]}]"))

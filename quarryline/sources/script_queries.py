@@ -1,5 +1,6 @@
 """Queries over script source that Spark writes from the tables: a part is a file, the lines of orders say what it imports.
 
+A supplier is a Go file of its nation's package, with the libraries and functions that its lines ask for.
 A line imports the part of its order's next line, in one of seven forms by its number, under one of five kinds of specifier by its supplier.
 """
 
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from ..catalogue import operator
 from ..store import materialize
 from ..views import Views
+from . import polyglot
 from . import script_text as S
 
 c = F.col
@@ -81,3 +83,36 @@ FROM {_FILES} a LEFT JOIN {_ASKS} l ON a.p_partkey = l_partkey GROUP BY a.path,
 def src_scripts(v: Views) -> DataFrame:
     """Lines, branches and functions of every file; words in comments and strings are no branches."""
     return S.script_facts(script_sources(v)).select("path", "language", "loc", "complexity", F.array_join("functions", ",").alias("functions"))
+
+
+def go_sources(v: Views) -> DataFrame:
+    """(path, text) of every supplier."""
+    line, key, package = c("l_linenumber").cast("string"), c("s_suppkey").cast("string"), F.concat(F.lit("n"), c("s_nationkey").cast("string"))
+    # at most twenty libraries and a function for each line number, whatever the number of lines
+    asked = v.table("lineitem").groupBy("l_suppkey").agg(
+        F.array_sort(F.collect_set(F.concat(F.lit('\t"lib/p'), (c("l_partkey") % 20).cast("string"), F.lit('"\n')))).alias("libs"),
+        F.array_sort(F.collect_set(F.concat(F.lit("Run"), line, F.lit("(a int) int {\n\tif a > "), line, F.lit(" && a < 9 { return 1 }\n\treturn 0\n}\n")))).alias("runs"),
+    )
+    rows = v.table("supplier").join(asked, c("s_suppkey") == c("l_suppkey"), "left")
+    none = F.array().cast("array<string>")
+    runs = F.transform(F.coalesce("runs", none), lambda x: F.concat(F.lit("func (s *S"), key, F.lit(") "), x))
+    text = F.concat(
+        F.lit("package "), package, F.lit("\n\nimport (\n"), F.array_join(F.coalesce("libs", none), ""), F.lit(")\n\ntype S"), key, F.lit(" struct {}\n"), F.array_join(runs, "")
+    )
+    return rows.select(F.concat(F.lit("go/"), package, F.lit("/s"), key, F.lit(".go")).alias("path"), text.alias("text"))
+
+
+@operator("src_polyglot", f"""
+SELECT a.path, CASE WHEN a.p_partkey % 6 IN (1, 3) THEN 'typescript' ELSE 'javascript' END AS language, CAST(coalesce(sum(CASE l_linenumber WHEN 2 THEN 4 WHEN 6 THEN 2 ELSE 1 END) FILTER (nxt IS NOT NULL), 0) AS BIGINT) AS loc,
+  CAST(1 + coalesce(sum(CASE l_linenumber WHEN 6 THEN 5 WHEN 7 THEN 1 ELSE 0 END) FILTER (nxt IS NOT NULL), 0) AS BIGINT) AS complexity,
+  count(DISTINCT CASE l_suppkey % 5 WHEN 0 THEN 'lib' || CAST(nxt % 10 AS VARCHAR) ELSE CAST(l_suppkey % 5 AS VARCHAR) || ':' || CAST(nxt AS VARCHAR) END) FILTER (nxt IS NOT NULL) AS imports,
+  CASE WHEN count(*) FILTER (l_linenumber = 7 AND nxt IS NOT NULL) > 0 THEN 'late' ELSE '' END AS functions, NULL AS package
+FROM {_FILES} a LEFT JOIN {_ASKS} l ON a.p_partkey = l_partkey GROUP BY a.path, a.p_partkey
+UNION ALL SELECT 'go/n' || CAST(s_nationkey AS VARCHAR) || '/s' || CAST(s_suppkey AS VARCHAR) || '.go', 'go', 6 + count(DISTINCT l_partkey % 20) + 4 * count(DISTINCT l_linenumber), 1 + 2 * count(DISTINCT l_linenumber), count(DISTINCT l_partkey % 20),
+  coalesce(array_to_string(list_sort(list(DISTINCT 'Run' || CAST(l_linenumber AS VARCHAR)) FILTER (l_linenumber IS NOT NULL)), ','), ''), 'n' || CAST(s_nationkey AS VARCHAR)
+FROM supplier LEFT JOIN lineitem ON l_suppkey = s_suppkey GROUP BY s_suppkey, s_nationkey""")
+def src_polyglot(v: Views) -> DataFrame:
+    """One record for each file of three languages, by patterns over the text as it stands: here comments and strings count."""
+    sources = materialize(script_sources(v).unionByName(go_sources(v)), "polyglot-sources")  # read once for each language
+    facts = polyglot.polyglot_facts(sources)
+    return facts.select("path", "language", "loc", "complexity", F.size("imports").cast("long").alias("imports"), F.array_join("functions", ",").alias("functions"), "package")

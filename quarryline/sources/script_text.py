@@ -34,7 +34,7 @@ _COMMENT = r"//[^\r\n]*|/\*(?s:.*?)\*/"
 # possessive groups: Java matches them in a loop, whatever the length of a string
 _STRING = "|".join(rf"{q}(?:[^{q}\\]|\\[^\n])*+{q}" for q in "\"'`")
 _PLAIN = "[^/\"'`]+"
-_LINE_END = "\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
+LINE_END = "\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
 
 
 def without_comments(text: Column) -> Column:
@@ -63,7 +63,7 @@ def script_facts(sources: DataFrame) -> DataFrame:
     language = K.first_match([(F.endswith(path, F.lit(ext)), name) for ext, name in SCRIPT_LANGUAGES.items()], "")
     files = sources.select("path", language.alias("language"), without_comments(F.coalesce("text", F.lit(""))).alias("code")).where("language <> ''")
     files = files.withColumn("bare", without_strings(c("code")))
-    filled = F.filter(F.split("code", _LINE_END), lambda x: x.rlike(r"(?U)[^\s\x1c-\x1f]"))
+    filled = F.filter(F.split("code", LINE_END), lambda x: x.rlike(r"(?U)[^\s\x1c-\x1f]"))
     branches = F.regexp_count("bare", F.lit(BRANCH)) + F.regexp_count("bare", F.lit(TERNARY))
     listed = lambda *patterns: F.array_sort(F.array_distinct(F.concat(*(_all(c("code"), p) for p in patterns))))
     return files.select(

@@ -5,6 +5,7 @@ import random
 
 import pytest
 
+from quarryline.sources import polyglot
 from quarryline.sources import script_text as S
 
 PROBED = [".js", ".ts", ".jsx", ".tsx", ".mjs", ".cjs"]
@@ -114,3 +115,35 @@ def test_tested_files(spark):
     paths = ["src/a.js", "lib/a.js", "src/a.test.js", "tests/b.ts", "b.ts", "x/C.spec.ts", "y/c.ts", "lone.test.js", "test/only.js", None]
     got = {tuple(r) for r in S.tested_files(spark.createDataFrame([(p,) for p in paths + paths[:2]], "path string")).collect()}
     assert got == {("src/a.test.js", "lib/a.js"), ("tests/b.ts", "b.ts"), ("x/C.spec.ts", "y/c.ts")}
+
+
+POLYGLOT = {
+    "a.py": "import os, sys as system\nfrom .near import x\nfrom a.b import (\n  c,\n)\n# import no\nclass K:\n  async def m(self):\n    with a and b: pass\n",
+    "broken.py": "from a.b import (\nimport os\nfrom " + "long." * 60 + "z import no\nasync def f(:\nclass K\nif x && y: assert z\n",
+    "m.TS": "import type { a } from 'x';\nexport * from \"./y\"\nrequire('z')\nif (a && b) {} else if (c ?? d) {}\nconst f = async (a) => a, g = 1; function h() {}\nclass C {}\n// if\nconst t = a ? b : c;",
+    "w\\s.go": 'package tools\n\nimport (\n\t"fmt"\n\tx "net/http"\n)\nimport y "os"\n\ntype S[T any] struct {}\ntype R interface {}\nfunc (s *S[T]) Run(a int) int {\n  go f()\n  defer g()\n  if a > 0 || b { return 1 }\n}\nfunc Top[T any](x T) {}\n',
+    "nopackage.go": "func main() {\x00}\n",
+    "blank.go": " \n\t\n",
+    "note.txt": "if for while\r\nimport x",
+    "null.js": None,
+}
+
+
+def test_polyglot(spark):
+    rows = polyglot.polyglot_facts(spark.createDataFrame(list(POLYGLOT.items()), "path string, text string")).collect()
+    got = {r.path: (r.language, r.loc, r.complexity, r.imports, r.functions, r.classes, r.package) for r in rows}
+    assert len(rows) == len(got) == len(POLYGLOT)
+    assert got == {
+        "a.py": ("python", 9, 3, [".near", "a.b", "os", "sys"], ["m"], ["K"], None),
+        "broken.py": ("python", 6, 4, ["a.b", "long." * 60 + "z", "os"], ["f"], ["K"], None),
+        "m.TS": ("typescript", 8, 1 + 3 + 1 + 1 + 1 + 1, ["./y", "x", "z"], ["f", "h"], ["C"], None),
+        "w/s.go": ("go", 16, 1 + 1 + 1 + 1 + 1, ["fmt", "net/http", "os"], ["Run", "Top"], ["R", "S"], "tools"),
+        "nopackage.go": ("go", 1, 1, [], ["main"], [], "main"),
+        "blank.go": ("go", 2, 1, [], [], [], None),
+        "note.txt": ("unknown", 2, 1, [], [], [], None),
+        "null.js": ("javascript", 0, 1, [], [], [], None),
+    }
+
+
+def test_polyglot_of_nothing(spark):
+    assert polyglot.polyglot_facts(spark.createDataFrame([], "path string, text string")).count() == 0
