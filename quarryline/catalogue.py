@@ -16,7 +16,7 @@ from . import views
 
 _QUERIES: dict[str, Callable[[views.Views], DataFrame]] = {}
 _SQL: dict[str, str] = {}
-_MODULES = ("operators.projections", "operators.joins", "operators.aggregates", "operators.windows", "operators.graph", "operators.rules", "functions.queries", "sources.queries", "sources.python_queries", "sources.script_queries", "streaming.queries", "plans.risk")
+_MODULES = ("operators.projections", "operators.joins", "operators.aggregates", "operators.windows", "operators.graph", "operators.rules", "operators.selection", "functions.queries", "sources.queries", "sources.python_queries", "sources.script_queries", "streaming.queries", "plans.risk")
 
 
 def operator(name: str, sql: str | None = None):
