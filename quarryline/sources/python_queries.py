@@ -12,6 +12,7 @@ from ..catalogue import operator
 from ..functions.queries import _hmac_sql
 from ..store import materialize
 from ..views import Views
+from . import python_checks
 from . import python_text as P
 
 c = F.col
@@ -313,3 +314,39 @@ def str_unscramble(v: Views) -> DataFrame:
     names = v.table("customer").select("c_custkey", "c_name", scramble(c("c_name"), "salt", "SYM").alias("token"))
     inverse = names.groupBy("token").agg(F.min("c_name").alias("name"))
     return names.select("c_custkey", "token").join(inverse, "token").select("c_custkey", "name")
+
+
+# Each line of an order is a piece of its file, in one of seven forms: text, its lines, the rule that it breaks and where.
+_FORMS = (
+    ("def f(p):\n    return open(p)\n", 2, "MissingFileEncoding", 1),
+    ('def g(p):\n    return open(p, "rb"), p.split(",")\n', 2, None, 0),
+    ('def h(p, x):\n    return p + "/" + x\n', 2, "HardcodedPathSeparators", 1),
+    ("def i(p):\n    try:\n        return p\n    except KeyError:\n        pass\n", 5, "SilentErrorHandling", 3),
+    ("def j(p):\n    # open(p)\n    pass\n", 3, "FunctionStub", 0),
+    ('def k(p):\n    return f"{p}/x", "open(p)"\n', 2, "HardcodedPathSeparators", 1),
+    ("class C(ABC):\n    def m(self):\n        pass\n", 3, None, 0),
+)
+
+
+def checked_sources(v: Views) -> DataFrame:
+    """(path, text): the file of every order that has lines; the files of some customers are never finished."""
+    code = F.element_at(F.array(*(F.lit(text) for text, *_ in _FORMS)), (c("l_linenumber") - 1) % 7 + 1)
+    piece = F.struct("l_linenumber", code.alias("code"))
+    lines = v.table("lineitem").select(c("l_orderkey").alias("path"), piece.alias("x")).groupBy("path").agg(F.array_sort(F.collect_list("x")).alias("x"))
+    orders = v.table("orders").select(c("o_orderkey").alias("path"), F.when(c("o_custkey") % 11 == 0, "x = (\n").otherwise("").alias("rest"))
+    return orders.join(lines, "path").select("path", F.concat(F.array_join(F.transform("x", lambda x: x["code"]), ""), "rest").alias("text"))
+
+
+def _pick_sql(at: int) -> str:
+    values = ("NULL" if f[at] is None else f"'{f[at]}'" if isinstance(f[at], str) else str(f[at]) for f in _FORMS)
+    return f"[{', '.join(values)}][(l_linenumber - 1) % 7 + 1]"
+
+
+@operator("det_umags", f"""
+SELECT l_orderkey AS path, CAST(1 + above + off AS INTEGER) AS line, rule FROM (
+  SELECT l_orderkey, {_pick_sql(2)} AS rule, {_pick_sql(3)} AS off, coalesce(sum({_pick_sql(1)}) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS above
+  FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE o_custkey % 11 <> 0) s WHERE rule IS NOT NULL
+UNION ALL SELECT DISTINCT o_orderkey, 0, 'SyntaxError' FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_custkey % 11 = 0""")
+def det_umags(v: Views) -> DataFrame:
+    """All findings of the five checks, with their lines."""
+    return python_checks.source_checks(materialize(checked_sources(v), "checked-sources"))

@@ -105,20 +105,28 @@ def signature(text: Column, of_class: Column) -> Column:
     return F.aggregate(tokens, start, step, lambda a: F.struct(a["args"].alias("args"), a["inline"].cast("int").alias("inline")))
 
 
-def block_ranges(lines: DataFrame) -> DataFrame:
-    """(path, kind, name, args, inline, first, end, body) of every definition; ``end`` is the first line after its block, ``body`` the indent of its first statement."""
+def block_ends(lines: DataFrame, head: str) -> DataFrame:
+    """(path, no, statement, indent, body, end, after, said) of every statement whose first line matches ``head``.
+
+    ``end`` is the first line after its block, null for the file's last ones, ``body`` the indent of the next statement, ``after`` the number of the file's lines, ``said`` its text over all its lines.
+    """
     order = Window.partitionBy("path").orderBy("no")
     statements = lines.where("starts").select("path", "no", "statement", "indent", "code", F.lag("indent").over(order).alias("above"), F.lead("indent").over(order).alias("body"))
-    heads = statements.where(c("code").rlike(_HEAD))
-    back = statements.where("indent <= above").select("path", "no", F.explode(F.sequence("indent", "above")).alias("depth"), F.lit(True).alias("closes"))
-    both = back.unionByName(heads.select("path", "no", c("indent").alias("depth"), "statement", "body", F.lit(False).alias("closes")), allowMissingColumns=True)
-    # from the last line up; a definition comes before what its own line closes
-    below = Window.partitionBy("path", "depth").orderBy(F.desc("no"), "closes").rowsBetween(Window.unboundedPreceding, -1)
-    ends = both.withColumn("end", F.last(F.when(c("closes"), c("no")), ignorenulls=True).over(below)).where("not closes")
+    heads = statements.where(c("code").rlike(head))
+    back = statements.where("indent <= above").select("path", "no", F.explode(F.sequence("indent", "above")).alias("indent"), F.lit(True).alias("closes"))
+    both = back.unionByName(heads.select("path", "no", "indent", "statement", "body", F.lit(False).alias("closes")), allowMissingColumns=True)
+    # from the last line up; a statement comes before what its own line closes
+    below = Window.partitionBy("path", "indent").orderBy(F.desc("no"), "closes").rowsBetween(Window.unboundedPreceding, -1)
+    ends = both.withColumn("end", F.last(F.when(c("closes"), c("no")), ignorenulls=True).over(below)).where("not closes").drop("closes")
     said = lines.join(heads.select("path", "statement"), ["path", "statement"], "left_semi").where("code <> ''")
     said = said.groupBy("path", "statement").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("no", "code"))), lambda x: x["code"]), " ").alias("said"))
     last = lines.groupBy("path").agg((F.max("no") + 1).alias("after"))
-    found = ends.join(said, ["path", "statement"]).join(last, "path")
+    return ends.join(said, ["path", "statement"]).join(last, "path")
+
+
+def block_ranges(lines: DataFrame) -> DataFrame:
+    """(path, kind, name, args, inline, first, end, body) of every definition; ``end`` is the first line after its block, ``body`` the indent of its first statement."""
+    found = block_ends(lines, _HEAD)
     is_class = F.regexp_extract("said", _HEAD, 1) == "class"
     found = found.withColumn("s", signature(F.regexp_replace("said", _HEAD, ""), is_class))
     return found.select("path", F.when(is_class, "class").otherwise("function").alias("kind"), F.regexp_extract("said", _HEAD, 2).alias("name"), "s.args", "s.inline", c("no").alias("first"), F.coalesce("end", "after").alias("end"), "body")
