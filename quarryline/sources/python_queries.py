@@ -342,11 +342,11 @@ def _pick_sql(at: int) -> str:
     return f"[{', '.join(values)}][(l_linenumber - 1) % 7 + 1]"
 
 
-@operator("det_umags", f"""
+@operator("det_source_checks", f"""
 SELECT l_orderkey AS path, CAST(1 + above + off AS INTEGER) AS line, rule FROM (
   SELECT l_orderkey, {_pick_sql(2)} AS rule, {_pick_sql(3)} AS off, coalesce(sum({_pick_sql(1)}) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS above
   FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE o_custkey % 11 <> 0) s WHERE rule IS NOT NULL
 UNION ALL SELECT DISTINCT o_orderkey, 0, 'SyntaxError' FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_custkey % 11 = 0""")
-def det_umags(v: Views) -> DataFrame:
+def det_source_checks(v: Views) -> DataFrame:
     """All findings of the five checks, with their lines."""
     return python_checks.source_checks(materialize(checked_sources(v), "checked-sources"))
