@@ -12,6 +12,7 @@ from ..catalogue import operator
 from ..functions.queries import _hmac_sql
 from ..store import materialize
 from ..views import Views
+from . import failure_space as failures
 from . import python_checks
 from . import python_text as P
 
@@ -350,3 +351,45 @@ UNION ALL SELECT DISTINCT o_orderkey, 0, 'SyntaxError' FROM orders JOIN lineitem
 def det_source_checks(v: Views) -> DataFrame:
     """All findings of the five checks, with their lines."""
     return python_checks.source_checks(materialize(checked_sources(v), "checked-sources"))
+
+
+_TRIED = "SELECT DISTINCT l_partkey AS k FROM lineitem WHERE l_linenumber % 6 IN (1, 2, 3)"
+
+
+def tested_sources(v: Views) -> DataFrame:
+    """(path, text): every part is a file of one function, every order a test file whose lines call the functions of their parts in six ways."""
+    part, text = c("p_partkey").cast("string"), lambda *parts: F.concat(*(F.lit(x) if isinstance(x, str) else x for x in parts))
+    bodies = ("    assert a\n    return a\n", "    if a is None:\n        raise ValueError('a')\n    return a\n", "    if a:\n        return b\n    return a\n", "    a = 1\n" * 5 + "    raise ValueError(a)\n", "    return f'{a}'\n")
+    body = F.element_at(F.array(*(F.lit(x) for x in bodies)), (c("p_size") % 5 + 1).cast("int"))
+    path = text("pkg/", F.replace("p_brand", F.lit("#"), F.lit("")), "/m", part, ".py")
+    files = v.table("part").select(path.alias("path"), text("def f", part, "(a, b=1):\n", body).alias("text"))
+    name, way = text("f", c("l_partkey").cast("string")), c("l_linenumber") % 6
+    ways = {0: text("    ", name, "(1, b='x')\n"), 1: text("    ", name, "(None)\n"), 2: text("    with self.assertRaises(ValueError):\n        ", name, "(2)\n"), 3: text("    ", name, "(1, b={})\n"), 4: text("    # ", name, "(None)\n"), 5: text("    g(", name, "(3), [])\n")}
+    code = F.lit("")
+    for n, said in ways.items():
+        code = F.when(way == n, said).otherwise(code)
+    lines = v.table("lineitem").select("l_orderkey", F.struct("l_linenumber", "l_partkey", code.alias("code")).alias("x")).groupBy("l_orderkey").agg(F.array_sort(F.collect_list("x")).alias("x"))
+    tests = lines.select(text("tests/test_", c("l_orderkey").cast("string"), ".py").alias("path"), text("def test(self):\n", F.array_join(F.transform("x", lambda x: x["code"]), ""), "    pass\n").alias("text"))
+    return files.unionByName(tests)
+
+
+@operator("det_residual", f"""
+SELECT replace(p_brand, '#', '') AS package, count(*) AS functions, count(*) FILTER (NOT tested) AS untested, count(*) FILTER (NOT guarded AND NOT tried) AS unguarded,
+  count(*) FILTER (NOT tested) + count(*) FILTER (NOT guarded AND NOT tried) AS residual
+FROM (SELECT p_brand, p_size % 5 IN (0, 1) AS guarded, p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_linenumber % 6 <> 4) AS tested, p_partkey IN ({_TRIED}) AS tried FROM part) s GROUP BY 1""")
+def det_residual(v: Views) -> DataFrame:
+    """Functions of every package that no test calls, and those whose odd cases nothing tries."""
+    found = failures.failure_space(materialize(tested_sources(v), "tested-sources"))
+    sums = [F.count_if("untested").alias("untested"), F.count_if("unguarded").alias("unguarded"), F.sum("residual").alias("residual")]
+    return found.groupBy(F.split("path", "/")[1].alias("package")).agg(F.count("*").alias("functions"), *sums)
+
+
+@operator("det_uncovered", f"""
+SELECT 'f' || CAST(p_partkey AS VARCHAR) AS name, NOT p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_linenumber % 6 <> 4) AS untested, NOT (p_size % 5 IN (0, 1) OR p_partkey IN ({_TRIED})) AS unguarded
+FROM part WHERE p_partkey % 3 = 0""")
+def det_uncovered(v: Views) -> DataFrame:
+    """The same of single functions, of those alone whose second line has changed: of every third part."""
+    sources = materialize(tested_sources(v), "tested-sources")
+    number = F.regexp_extract("path", r"^pkg/.*/m(\d+)\.py$", 1)
+    changed = sources.where((number != "") & (number.try_cast("long") % 3 == 0)).select("path", F.lit(2).alias("line"))
+    return failures.failure_space(sources, changed).select("name", "untested", "unguarded")
