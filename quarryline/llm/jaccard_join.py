@@ -7,17 +7,19 @@ order, linked sets share a shingle within their first
 
 1.  ``_sketcher`` counts shingles in a table of 4 to 32 million slots, by the size of the corpus; its levels, rare
     before common, then by hash, are the global order.  Any order is right; this
-    one keeps what many documents share out of the prefixes.
+    one keeps what many documents share out of the prefixes.  What all slots have in common is taken off first, so that
+    shingles are told apart however full the table is.
 2.  Documents of equal sets form a class; classes of equal prefix and size form
     a group, and only one copy of a group's prefix goes into the join.
 3.  In the list of a prefix shingle, in order of its place in each prefix, each group is paired with
     the first and with the one before it, never all with all: the first has the fewest rarer
-    shingles, so it is what edited copies were made from.  The members of a
+    shingles, so it is what edited copies were made from.  A shingle of a high level has its list cut into parts, each a task's
+    own; the first of each part is paired with the first of all.  The members of a
     group are paired with the group's first member.  Pairs that pass the size, position and bitmap
     filters (all without loss) are verified on the whole sets, and the links make components.
 4.  What can still add to the components is every pair of members of one list
     that lies in two components, passes the filters and is untested.  The components of a list are paired first,
-    in blocks where a list has many, by the best that their members could reach; only the members of pairs
+    in blocks where a list has many and within bands of sizes that can link, by the best that their members could reach; only the members of pairs
     that are left are expanded.  They are verified without exception, so the components are those of all links.
 
 The position filter: what two sets share, when their first common shingle stands at places i and j, is at most the
@@ -53,6 +55,7 @@ from .words import SHINGLE, hash_words, mix64, shingles, slices
 _U = np.uint64
 _SLICES = 64
 _LIST_BLOCK = 256
+_LIST_BITS = 20
 _SKETCH_BITS, _MOST_SKETCH_BITS, _SLOT_BYTES = 22, 25, 256
 
 
@@ -127,28 +130,33 @@ def frequency_levels(docs: DataFrame, text_column: str, size: int, bits: int) ->
     counts = np.zeros((_SLICES, (1 << bits) // _SLICES), np.int64)
     for r in rows:
         counts[r["slice"]] = _unpack(bytes(r["counts"]))
-    return np.minimum(255, np.log2(counts.reshape(-1) + 1) * 8).astype(np.uint8)
+    return np.minimum(255, np.log2(counts.reshape(-1) - counts.min() + 1) * 8).astype(np.uint8)
 
 
-def _describe(size: int, percent: int, levels, bits: int):
-    """(id, n, class, group, bitmap, prefix) of each text."""
+def _describe(size: int, percent: int, levels, bits: int, list_bits: int):
+    """(id, n, class, group, bitmap, prefix, depth) of each text; a prefix shingle's list is cut into 2 ** depth parts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level = levels.value
         for b in batches:
             for part in slices(b, 1):
-                n, sig, grp, bitmap, prefix = [], [], [], [], []
+                n, sig, grp, bitmap, prefix, depth = [], [], [], [], [], []
                 for u in shingle_sets(part.column(1), size):
                     n.append(len(u))
                     sig.append(signature(u))
                     bitmap.append(parity_bitmap(u))
-                    first = u[np.argsort(level[(u >> _U(64 - bits)).astype(np.int64)], kind="stable")[: prefix_length(len(u), percent)]] if len(u) else u
+                    high = level[(u >> _U(64 - bits)).astype(np.int64)]
+                    at = np.argsort(high, kind="stable")[: prefix_length(len(u), percent)] if len(u) else np.zeros(0, np.int64)
+                    first = u[at]
                     prefix.append(first >> _U(24))
+                    depth.append(np.maximum((high[at].astype(np.int32) + 7) // 8 - list_bits, 0))
                     grp.append(signature(first, len(u) + 1))
-                lists = pa.ListArray.from_arrays(np.cumsum([0, *map(len, prefix)]).astype(np.int32), np.concatenate([*prefix, np.zeros(0, np.uint64)]).astype(np.int64))
+                ends = np.cumsum([0, *map(len, prefix)]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(ends, np.concatenate([*prefix, np.zeros(0, np.uint64)]).astype(np.int64))
+                depths = pa.ListArray.from_arrays(ends, np.concatenate([*depth, np.zeros(0, np.int32)]).astype(np.int8))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(n, pa.int64()), pa.array(sig, pa.int64()), pa.array(grp, pa.int64()), pa.array(bitmap, pa.binary()), lists],
-                    names=["id", "n", "cls", "grp", "bitmap", "prefix"],
+                    [part.column(0), pa.array(n, pa.int64()), pa.array(sig, pa.int64()), pa.array(grp, pa.int64()), pa.array(bitmap, pa.binary()), lists, depths],
+                    names=["id", "n", "cls", "grp", "bitmap", "prefix", "depth"],
                 )
 
     return run
@@ -216,61 +224,79 @@ def verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, size: int, p
     return materialize(both.mapInArrow(_verify(size, percent), "a long, b long"), "links")
 
 
+def _band(n: Column, percent: int) -> Column:
+    """A set's band of sizes; sets that link are of one band or of neighbouring ones."""
+    return n if percent == 100 else F.floor(F.log(n.cast("double")) / math.log(100 / percent) + 1e-9)
+
+
 def _root_pairs(left: DataFrame, percent: int) -> DataFrame:
-    """(key, root, root_b, reach_b, least_b): the components of each list, every pair once whose members could pass the filters.
+    """(key, root, band, root_b, band_b, reach_b, least_b): the components of each list by bands of sizes, every pair once whose members could pass the filters.
 
     A component's reach is the most
-    that any of its members can share after its place in the list, and ``least`` the smallest of them.
+    that any of its members of a band can share after its place in the list, and ``least`` the smallest of them.
 
-    A list of many components is dealt into blocks; each pair of blocks is a key of its own.
+    A band of many components is dealt into blocks; each pair of blocks, of one band or of it and the next, is a key of its own.
     """
-    sides = left.groupBy("key", "root").agg(F.max(F.col("n") - F.col("pos")).alias("reach"), F.min("n").alias("least"))
-    blocks = sides.groupBy("key").agg(F.ceil(F.count("*") / _LIST_BLOCK).cast("int").alias("blocks"))
-    dealt = sides.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("root"), F.col("blocks")).cast("int"))
-    first = dealt.select("key", "root", "reach", "least", F.col("block").alias("i"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("j"))
-    second = dealt.select(
-        "key", F.col("root").alias("root_b"), F.col("reach").alias("reach_b"), F.col("least").alias("least_b"), F.explode(F.sequence(F.lit(0), "block")).alias("i"), F.col("block").alias("j")
+    sides = left.groupBy("key", "band", "root").agg(F.max(F.col("n") - F.col("pos")).alias("reach"), F.min("n").alias("least"))
+    counts = sides.groupBy("key", "band").agg(F.ceil(F.count("*") / _LIST_BLOCK).cast("int").alias("blocks"))
+    near = Window.partitionBy("key").orderBy("band")  # one row a band
+    beside = lambda at, step: F.coalesce(F.when(at("band").over(near) == F.col("band") + step, at("blocks").over(near)), F.lit(0))
+    blocks = counts.select("key", "band", "blocks", beside(F.lag, -1).alias("below"), beside(F.lead, 1).alias("above"))
+    dealt = sides.join(blocks, ["key", "band"]).withColumn("block", F.pmod(F.xxhash64("root"), F.col("blocks")).cast("int"))
+    me, other = ["key", "root", "reach", "least"], ["key", F.col("root").alias("root_b"), F.col("reach").alias("reach_b"), F.col("least").alias("least_b")]
+    step = lambda n: F.lit(n).alias("step")
+    first = dealt.select(*me, "band", step(0), F.col("block").alias("i"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("j")).unionByName(
+        dealt.where("above > 0").select(*me, "band", step(1), F.col("block").alias("i"), F.explode(F.sequence(F.lit(0), F.col("above") - 1)).alias("j"))
+    )
+    second = dealt.select(*other, "band", step(0), F.explode(F.sequence(F.lit(0), "block")).alias("i"), F.col("block").alias("j")).unionByName(
+        dealt.where("below > 0").select(*other, (F.col("band") - 1).alias("band"), step(1), F.explode(F.sequence(F.lit(0), F.col("below") - 1)).alias("i"), F.col("block").alias("j"))
     )
     could = (100 + percent) * F.least("reach", "reach_b") >= percent * (F.col("least") + F.col("least_b"))
-    once = (F.col("i") < F.col("j")) | (F.col("root") < F.col("root_b"))
-    return first.join(second, ["key", "i", "j"]).where(once & could).select("key", "root", "root_b", "reach_b", "least_b")
+    once = F.when(F.col("step") == 1, F.col("root") != F.col("root_b")).otherwise((F.col("i") < F.col("j")) | (F.col("root") < F.col("root_b")))
+    met = first.join(second, ["key", "band", "step", "i", "j"]).where(once & could)
+    return met.select("key", "root", "band", "root_b", (F.col("band") + F.col("step")).alias("band_b"), "reach_b", "least_b")
 
 
 def near_duplicates(
-    docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", size: int = SHINGLE, percent: int = 75, sketch_bits: int | None = None
+    docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", size: int = SHINGLE, percent: int = 75, sketch_bits: int | None = None, list_bits: int = _LIST_BITS
 ) -> DataFrame:
     """Rows (id, n_shingles, component_id) for every row of ``docs``; see the module's text.
 
+    The list of a shingle in more than some 2 ** ``list_bits`` documents is cut into parts of about that size.
     The result is a table of the shared folder; what was written on the way to it is deleted.
     """
     with scratch(docs.sparkSession):
-        found = _near_duplicates(docs, id_column, text_column, size, percent, sketch_bits)
+        found = _near_duplicates(docs, id_column, text_column, size, percent, sketch_bits, list_bits)
         return materialize(found, "near-duplicates", outlives=True)
 
 
-def _near_duplicates(docs: DataFrame, id_column: str, text_column: str, size: int, percent: int, sketch_bits: int | None) -> DataFrame:
+def _near_duplicates(docs: DataFrame, id_column: str, text_column: str, size: int, percent: int, sketch_bits: int | None, list_bits: int) -> DataFrame:
     spark = docs.sparkSession
     docs = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
     if sketch_bits is None:
         bytes_ = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
         sketch_bits = min(max(math.ceil(math.log2(max(bytes_, 1) / _SLOT_BYTES)), _SKETCH_BITS), _MOST_SKETCH_BITS)
     levels = spark.sparkContext.broadcast(frequency_levels(docs, "text", size, sketch_bits))
-    schema = T.StructType([T.StructField("id", docs.schema["id"].dataType)] + [T.StructField(c, T.LongType()) for c in ("n", "cls", "grp")] + [T.StructField("bitmap", T.BinaryType()), T.StructField("prefix", T.ArrayType(T.LongType()))])
-    described = materialize(docs.mapInArrow(_describe(size, percent, levels, sketch_bits), schema), "described")
+    schema = T.StructType([T.StructField("id", docs.schema["id"].dataType)] + [T.StructField(c, T.LongType()) for c in ("n", "cls", "grp")] + [T.StructField("bitmap", T.BinaryType()), T.StructField("prefix", T.ArrayType(T.LongType())), T.StructField("depth", T.ArrayType(T.ByteType()))])
+    described = materialize(docs.mapInArrow(_describe(size, percent, levels, sketch_bits, list_bits), schema), "described")
     some = described.where("n > 0")
     classes = materialize(some.groupBy("cls").agg(F.min("id").alias("id"), F.min("grp").alias("grp"), F.min("n").alias("n"), F.min("bitmap").alias("bitmap")), "classes")
     # written, so that the joins below read plain tables and Spark can split their skewed keys
     groups = materialize(classes.groupBy("grp").agg(F.min("cls").alias("first")), "groups")
 
-    entries = some.select("grp", "n", "prefix").dropDuplicates(["grp"]).select("n", "grp", F.posexplode("prefix").alias("pos", "key"))
-    order = Window.partitionBy("key").orderBy("pos", "n", "grp")
+    entries = some.select("grp", "n", "prefix", "depth").dropDuplicates(["grp"]).select("n", "grp", F.posexplode(F.arrays_zip("prefix", "depth")).alias("pos", "x"))
+    part = F.pmod(F.xxhash64("grp"), F.call_function("shiftleft", F.lit(1).cast("long"), F.col("x.depth").cast("int")))
+    entries = entries.select("n", "grp", "pos", F.col("x.prefix").alias("key"), (F.col("x.depth") > 0).alias("cut"), part.alias("part"))
+    order = Window.partitionBy("key", "part").orderBy("pos", "n", "grp")
     whole = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     me = F.struct("n", "grp", "pos")
-    lists = entries.select("key", "n", "grp", "pos", F.lag(me).over(order).alias("before"), F.lead("grp").over(order).alias("after"), F.first(me).over(whole).alias("hub"))
-    lists = materialize(lists.where("before is not null or after is not null"), "lists").drop("after")
+    lists = entries.select("key", "n", "grp", "pos", "cut", F.lag(me).over(order).alias("before"), F.lead("grp").over(order).alias("after"), F.first(me).over(whole).alias("hub"))
+    lists = materialize(lists.where("before is not null or after is not null or cut"), "lists").drop("after")
 
     # filter the group pairs, then stand for each group by its first member
-    hubs = lists.where("before is not null").select("n", "grp", "pos", F.explode(F.array("hub", "before")).alias("with"))
+    first = F.first("hub").over(Window.partitionBy("key").orderBy("pos", "n", "grp").rowsBetween(Window.unboundedPreceding, Window.currentRow))  # one row a part
+    firsts = lists.where("before is null and cut").withColumn("with", first).where("with.grp != grp").select("n", "grp", "pos", "with")
+    hubs = lists.where("before is not null").select("n", "grp", "pos", F.explode(F.array("hub", "before")).alias("with")).unionByName(firsts)
     group_pairs = hubs.where(_may_link(F.col("n"), F.col("pos"), F.col("with.n"), F.col("with.pos"), percent)).select("grp", F.col("with.grp").alias("with")).distinct()
     starred = (
         group_pairs.join(groups, "grp")
@@ -294,13 +320,13 @@ def _near_duplicates(docs: DataFrame, id_column: str, text_column: str, size: in
     left = listed.join(open_lists, "key").select("key", "cls", "root", "n", "pos").unionByName(
         members.join(alone, "grp").select(F.col("grp").alias("key"), "cls", "root", "n", F.lit(0).alias("pos"))
     )
-    left = materialize(left, "open-lists")
-    other = left.select("key", *(F.col(c).alias(f"{c}_b") for c in ("cls", "root", "n", "pos")))
+    left = materialize(left.withColumn("band", _band(F.col("n"), percent)), "open-lists")
+    other = left.select("key", *(F.col(c).alias(f"{c}_b") for c in ("cls", "root", "n", "pos", "band")))
     may_link = _may_link(F.col("n"), F.col("pos"), F.col("n_b"), F.col("pos_b"), percent)
     pairs = materialize(_root_pairs(left, percent), "open-roots")
     # a member goes on only if it could pass with the best of the other component
     able = (100 + percent) * F.least(F.col("n") - F.col("pos"), F.col("reach_b")) >= percent * (F.col("n") + F.col("least_b"))
-    rest = pairs.join(left, ["key", "root"]).where(able).join(other, ["key", "root_b"]).where(may_link)
+    rest = pairs.join(left, ["key", "root", "band"]).where(able).join(other, ["key", "root_b", "band_b"]).where(may_link)
     rest = rest.select(F.least("cls", "cls_b").alias("a"), F.greatest("cls", "cls_b").alias("b")).distinct().join(starred, ["a", "b"], "left_anti")
     rest = materialize(rest, "open-pairs")
     if not rest.isEmpty():

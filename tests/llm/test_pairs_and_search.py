@@ -62,16 +62,17 @@ def corpus(seed):
     return [(i, " ".join(d)) for i, d in enumerate(docs)] + [(len(docs), None)]
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_components_by_brute_force(spark, seed):
+@pytest.mark.parametrize("seed, list_bits", [(1, 20), (2, 1)])
+def test_components_by_brute_force(spark, seed, list_bits):
     docs = corpus(seed)
     random.Random(seed).shuffle(docs)
     df = spark.createDataFrame([(i, t, 1, 2) for i, t in docs], "doc_id long, text string, n int, cls int").repartition(5)
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.near_duplicates(df, sketch_bits=10).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.near_duplicates(df, sketch_bits=10, list_bits=list_bits).collect()}
     assert got == brute(docs)
 
 
-def test_lists_of_many_components(spark, monkeypatch):
+@pytest.mark.parametrize("list_bits, percent", [(20, 75), (2, 75), (3, 50), (20, 100)])
+def test_lists_of_many_components(spark, monkeypatch, list_bits, percent):
     """Short texts that share a passage with strangers, and copies beside them: lists are dealt into blocks, and no link is lost."""
     monkeypatch.setattr(jaccard_join, "_LIST_BLOCK", 3)
     rng = random.Random(8)
@@ -79,8 +80,8 @@ def test_lists_of_many_components(spark, monkeypatch):
     docs = [passage + [f"u{i}a", f"u{i}b"] for i in range(40)] + [passage + [f"u{i}a"] for i in range(20)] + [passage] * 2
     docs += [edited(rng, [f"z{i}" for i in range(80)], n) + passage for n in (0, 1, 1, 2, 3)]
     docs = [(i, " ".join(d)) for i, d in enumerate(docs)]
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), sketch_bits=6).collect()}
-    assert got == brute(docs)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), sketch_bits=6, list_bits=list_bits, percent=percent).collect()}
+    assert got == brute(docs, percent)
 
 
 def test_real_documents_by_brute_force(spark, sf_dir):
