@@ -81,7 +81,7 @@ def _by_patterns(files: DataFrame, kind: str, more: Column | None = None, packag
 
 def _python(files: DataFrame) -> DataFrame:
     """Sound files by their statements, others by patterns."""
-    facts = P.python_facts(files.select("path", "text")).where("kind in ('module', 'error')").select("path", "kind", P.complexity("mccabe").cast("long").alias("complexity"))
+    facts = P.python_facts(files.select("path", "text"), "module", "error").select("path", "kind", P.complexity("mccabe").cast("long").alias("complexity"))
     read = files.join(facts, "path", "left")
     sound = read.where("kind = 'module'").withColumn("code", F.regexp_replace(P.masked_source(c("text")), r"\\\n", "  "))
     plain = F.flatten(F.transform(_all(c("code"), r"(?md)^\s*import\s+([^\n;]+)"), lambda x: F.transform(F.split(x, ","), lambda y: F.trim(F.regexp_replace(y, r"\s+as\s+\w+", "")))))

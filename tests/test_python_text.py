@@ -189,3 +189,13 @@ def test_blocks_of_a_long_file(spark):
     by_name = {r["name"]: tuple(r) for r in rows}
     assert by_name["f5999"] == ("function", "f5999", 1, 4 * 5999 + 1, 2, 1) and by_name["g17"] == ("function", "g17", 0, 4 * 17 + 3, 1, 0)
     assert by_name["Last"] == ("class", "Last", 0, 24_001, 3_000, 0) and by_name["m2999"][4] == 1
+
+
+def test_facts_of_files_are_not_shuffled(spark):
+    source = "def f(a):\n    return g(\n        a and b,\n        [x\n         for x in a])\n"
+    facts = P.python_facts(spark.createDataFrame([(1, source), (2, "x = 1\n")], "path long, text string"))
+    assert "Exchange" not in facts._jdf.queryExecution().executedPlan().toString()
+    row = facts.where("kind = 'function'").first()
+    assert (row.statements, row.n_for, row.n_comprehension, row.n_boolop, row.calls) == (1, 0, 1, 1, ["g"])
+    only = P.python_facts(spark.createDataFrame([(1, source)], "path long, text string"), "module").collect()
+    assert [r.kind for r in only] == ["module"]
