@@ -78,3 +78,9 @@ def test_long_text_and_nothing(spark):
     rows = C.source_checks(spark.createDataFrame([(1, text)], "path long, text string")).groupBy("rule").count().collect()
     assert {tuple(r) for r in rows} == {("FunctionStub", 3_000), ("MissingFileEncoding", 1)}
     assert C.source_checks(spark.createDataFrame([], "path long, text string")).count() == 0
+
+
+def test_checks_neither_shuffle_nor_broadcast(spark):
+    # tables of files pack well, so that joins of them were planned as broadcasts through the driver
+    rows = C.source_checks(spark.createDataFrame([(1, GOOD_AND_BAD)], "path long, text string"))
+    assert "Exchange" not in rows._jdf.queryExecution().executedPlan().toString()
