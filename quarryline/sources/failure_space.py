@@ -1,7 +1,7 @@
 """What tests leave out: functions that no test calls, and those of which neither a guard nor a test tries the odd cases.
 
-Test files are cut into tokens. A token's bracket is the last one opened one level further out, which a window over a file's
-tokens of one level finds, so that every call knows its own arguments, however calls are nested. Facts of calls are grouped by name before they meet functions.
+Test files are cut into tokens, each within its row. A token's bracket is the last one opened one level further out, so that every call knows its own arguments, however calls are
+nested. Facts of calls are grouped by name before they meet functions.
 
 What this takes for granted: what ``python_text`` does; an argument within brackets of its own (``f((None))``) is not looked at; a bare string is no statement; functions are told apart by
 path and name, and tested by name alone.
@@ -9,11 +9,13 @@ path and name, and tested by name alone.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import intervals
-from ..store import materialize
 from . import python_text as P
 from .script_text import joined_path
 
@@ -25,8 +27,11 @@ TEST_FOLDERS, TEST_NAMES = ("tests", "scratch"), r"(test|fuzz|run)[^/]*\.py$"
 EXPECTS = r"\b(assertRaises|assertRaisesRegex|fails)\s*\("
 FIRST_STATEMENTS = 5
 _GUARD = r"^(assert|raise)\b|^if\b.*(\b(None|isinstance|not|in|is)\b|[<>]|[=!]=)"
-_TOKEN = rf"{P._STRING}|{P._COMMENT}|\w+|(?s:.)"
-_EMPTY = r"""^(?:[uUrR]{0,2})(?:""|''|\"{6}|'{6})$"""
+# what is not a blank: strings, comments, words and other characters, but for the ends of continued lines
+_TOKENS = re.compile(rf"{P._STRING}|{P._COMMENT}|\w+|[^\s\\]", re.ASCII)
+_NAME = re.compile(r"[A-Za-z_]\w*\Z", re.ASCII)
+_EMPTY = frozenset(('""', "''", '"' * 6, "'" * 6))
+_WORDS = frozenset(P._WORDS)
 
 
 def guarded_functions(sources: DataFrame, changed_lines: DataFrame | None = None) -> DataFrame:
@@ -37,62 +42,65 @@ def guarded_functions(sources: DataFrame, changed_lines: DataFrame | None = None
     """
     norm = F.lower(F.replace("path", F.lit("\\"), F.lit("/")))
     own = sources.where(F.endswith(c("path"), F.lit(".py")) & ~norm.rlike(NO_TARGET))
-    lines = materialize(P.source_lines(own), "target-lines")
-    ranges = P.block_ranges(lines).where((c("kind") == "function") & ~c("name").rlike("^__.*__$"))
-    ranges = ranges.select(c("path").alias("key"), "name", "inline", "body", "first", c("first").alias("start"), (c("end") - 1).alias("end"))
-    ranges = materialize(ranges, "target-functions")
+    text = c("text")
+    b = P.masked_blocks(own, r"(?:async\s+)?def\s").where("no >= 0").withColumns({"said": P.first_statement(text), "code": P.first_line(text)})
+    b = b.withColumn("name", F.regexp_extract("said", P._HEAD, 2)).where(c("code").rlike(P._HEAD) & ~c("name").rlike("^__.*__$"))
+    later = F.split(F.regexp_replace("text", r"^[^\n]*\n?", ""), "\n")
+    own_level = lambda x: (F.length(x) - F.length(F.ltrim(x)) == c("body")) & ~P.first_line(x).rlike(r"^((elif|else|except|finally)\b|$)")
+    early = F.slice(F.filter(later, own_level), 1, FIRST_STATEMENTS)
+    found = F.exists(early, lambda x: F.regexp_replace(P.first_statement(x), r":[^:\])}]*$", ":").rlike(_GUARD))
+    inline = P.signature(F.regexp_replace("said", P._HEAD, ""), F.lit(False))["inline"] > 0
+    one_line = inline & F.regexp_extract("code", r"\)[^()]*?:\s*(.*)$", 1).rlike(_GUARD)
+    # blank lines behind a block are none of it
+    filled = c("no") + F.regexp_count(F.rtrim(text, F.lit(" \r\n")), F.lit(r"[\r\n]"))
+    out = b.select("path", "name", c("no").alias("first"), filled.alias("filled"), (F.coalesce(found, F.lit(False)) | one_line).alias("guarded"))
     if changed_lines is not None:
-        marks = changed_lines.select(c("path").alias("key"), (c("line") - 1).alias("at")).dropna().distinct()
-        # blank lines behind a block are none of it
-        filled = F.last(F.when(c("code") != "", c("no")), ignorenulls=True).over(Window.partitionBy("path").orderBy("no"))
-        ends = lines.select(c("path").alias("key"), c("no").alias("end"), filled.alias("filled"))
-        spans = materialize(ranges.join(ends, ["key", "end"]).select("key", "first", "start", c("filled").alias("end")), "target-spans")
-        touched = intervals.binned(spans).join(intervals.probes(marks, spans), ["key", "width", "bin"]).where("at between start and end")
-        ranges = materialize(ranges.join(touched.select("key", "first").distinct(), ["key", "first"], "left_semi"), "changed-functions")
-    heads = lines.where("starts").select("path", "statement", "no", "indent")
-    text = lines.where("code <> ''").groupBy("path", "statement").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("no", "code"))), lambda x: x["code"]), " ").alias("said"))
-    statements = heads.join(text, ["path", "statement"]).select(c("path").alias("key"), c("no").alias("at"), "indent", c("said"))
-    inside = intervals.binned(ranges).join(intervals.probes(statements, ranges), ["key", "width", "bin"]).where("at > start and at <= end and indent = body")
-    inside = inside.where(~c("said").rlike(r"^(elif|else|except|finally)\b"))
-    order = Window.partitionBy("key", "first").orderBy("at")
-    early = inside.withColumn("n", F.row_number().over(order)).where(c("n") <= FIRST_STATEMENTS).groupBy("key", "first").agg(F.bool_or(F.regexp_replace("said", r":[^:\])}]*$", ":").rlike(_GUARD)).alias("found"))
-    inline = ranges.join(lines.select(c("path").alias("key"), c("no").alias("first"), "code"), ["key", "first"])
-    out = inline.join(early, ["key", "first"], "left")
-    one_line = (c("inline") > 0) & F.regexp_extract("code", r"\)[^()]*?:\s*(.*)$", 1).rlike(_GUARD)
-    return out.groupBy(c("key").alias("path"), "name").agg(F.max("first").cast("int").alias("first"), F.max_by(F.coalesce("found", F.lit(False)) | one_line, "first").alias("guarded")).select("path", "name", (c("first") + 1).alias("line"), "guarded")
+        # both are as large as the files: packed tables must not be taken for small and broadcast
+        marks = changed_lines.select("path", (c("line") - 1).alias("at")).dropna().groupBy("path").agg(F.collect_set("at").alias("marks")).hint("merge")
+        out = out.join(marks, "path").where(F.exists("marks", lambda x: x.between(c("first"), c("filled"))))
+    return out.groupBy("path", "name").agg(F.max("first").cast("int").alias("first"), F.max_by("guarded", "first").alias("guarded")).select("path", "name", (c("first") + 1).alias("line"), "guarded")
+
+
+def _call_facts(text: str, found: dict[str, bool]) -> None:
+    """Add the names that ``text`` calls to ``found``, and whether an argument of a call is None or empty: one that its bracket, the last one opened a level further out, holds alone."""
+    tokens = [x for x in _TOKENS.findall(text) if x[0] != "#"]
+    tokens += ["", ""]
+    callee: dict[int, str | None] = {}  # of the last bracket of each level
+    depth, before2, before = 0, "", ""
+    for i, x in enumerate(tokens[:-2]):
+        after = tokens[i + 1]
+        if before in ("(", ",", "=") and (((x == "None" or x in _EMPTY) and after in (",", ")")) or ((x + after) in ("[]", "{}") and tokens[i + 2] in (",", ")"))):
+            name = callee.get(depth)
+            if name:
+                found[name] = True
+        if x in ("(", "[", "{"):
+            depth += 1
+            name = before if x == "(" and before2 not in ("def", "class") and _NAME.match(before) and before not in _WORDS else None
+            callee[depth] = name
+            if name:
+                found.setdefault(name, False)
+        elif x in (")", "]", "}"):
+            depth -= 1
+        before2, before = before, x
+
+
+def _calls(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        found: dict[str, bool] = {}
+        for text in b.column(0):
+            _call_facts(text.as_py(), found)
+        yield pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.string()), pa.array(found.values(), pa.bool_())], names=["name", "tried"])
 
 
 def tried_calls(tests: DataFrame) -> DataFrame:
     """(name, tried) of every name that tests(path, text) call; ``tried`` if one call passes None, an empty string, list or dict, or expects an error."""
     fit = tests.where(F.octet_length("text") <= P.MAX_BYTES)
-    each = fit.select("path", F.posexplode(F.regexp_extract_all("text", F.lit(_TOKEN), F.lit(0))).alias("at", "token"))
-    whole = Window.partitionBy("path").orderBy("at")
-    past = whole.rowsBetween(Window.unboundedPreceding, -1)
-    feeds = F.length("token") - F.length(F.replace("token", F.lit("\n"), F.lit("")))
-    each = each.withColumn("line", F.coalesce(F.sum(feeds).over(past), F.lit(0))).where(~c("token").rlike(r"^(\s+|\\|#.*)$"))
-    t = c("token")
-    opens, closes = t.isin("(", "[", "{"), t.isin(")", "]", "}")
-    near = {f"{'before' if n < 0 else 'after'}{abs(n)}": F.lag("token", -n).over(whole) if n < 0 else F.lead("token", n).over(whole) for n in (-2, -1, 1, 2)}
-    each = each.select("path", "at", "line", "token", F.coalesce(F.sum(opens.cast("int") - closes.cast("int")).over(past), F.lit(0)).alias("depth"), *(x.alias(name) for name, x in near.items()))
-    is_call = (t == "(") & c("before1").rlike(r"^[A-Za-z_]\w*$") & ~F.coalesce(c("before2"), F.lit("")).isin("def", "class") & ~c("before1").isin(*P._WORDS)
-    callee = F.struct("at", "line", F.when(is_call, c("before1")).alias("name"))
-    first, keyword = c("before1").isin("(", ","), (c("before1") == "=")
-    alone = c("after1").isin(",", ")")
-    pair = ((t == "[") & (c("after1") == "]")) | ((t == "{") & (c("after1") == "}"))
-    odd = (first | keyword) & (((t == "None") | t.rlike(_EMPTY)) & alone | (pair & c("after2").isin(",", ")")))
-    openers = each.where(opens).select("path", (c("depth") + 1).alias("level"), "at", callee.alias("callee"), F.lit(False).alias("odd"))
-    probes = each.where(odd).select("path", c("depth").alias("level"), "at", F.lit(None).cast(openers.schema["callee"].dataType).alias("callee"), F.lit(True).alias("odd"))
-    within = Window.partitionBy("path", "level").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
-    both = openers.unionByName(probes).withColumn("of", F.last("callee", ignorenulls=True).over(within))
-    calls = materialize(both.select("path", F.when(c("odd"), c("of")).otherwise(c("callee")).alias("x"), "odd").where("x.name is not null").select("path", "x.line", "x.name", "odd"), "test-calls")
-    plain = calls.groupBy("name").agg(F.bool_or("odd").alias("tried"))
-
-    lines = materialize(P.source_lines(tests), "test-lines")
-    blocks = P.block_ends(lines, r"^with\b").where(c("said").rlike(EXPECTS))
-    blocks = materialize(blocks.select(c("path").alias("key"), c("no").alias("start"), (F.coalesce("end", "after") - 1).alias("end")), "error-blocks")
-    at = calls.select(c("path").alias("key"), c("line").alias("at"), "name").distinct()
-    expected = intervals.binned(blocks).join(intervals.probes(at, blocks), ["key", "width", "bin"]).where("at between start and end").select("name", F.lit(True).alias("tried")).distinct()
-    return plain.unionByName(expected).groupBy("name").agg(F.bool_or("tried").alias("tried"))
+    calls = fit.select("text").mapInArrow(_calls, "name string, tried boolean")
+    text = c("text")
+    blocks = P.masked_blocks(tests, r"with\b").where("no >= 0").where(P.first_line(text).rlike(r"^with\b") & P.first_statement(text).rlike(EXPECTS))
+    names = F.regexp_extract_all(F.regexp_replace("text", r"\b(?:def|class)\s+\w+", ""), F.lit(r"\b([A-Za-z_]\w*)\s*\("), F.lit(1))
+    expected = blocks.select(F.explode(F.array_except(names, F.lit(P._WORDS))).alias("name"), F.lit(True).alias("tried"))
+    return calls.unionByName(expected).groupBy("name").agg(F.bool_or("tried").alias("tried"))
 
 
 def failure_space(sources: DataFrame, changed_lines: DataFrame | None = None) -> DataFrame:
@@ -105,5 +113,5 @@ def failure_space(sources: DataFrame, changed_lines: DataFrame | None = None) ->
     functions = guarded_functions(known, changed_lines)
     norm = F.lower(joined_path(F.lit(""), F.replace("path", F.lit("\\"), F.lit("/"))))
     called = tried_calls(known.where(F.split(norm, "/")[0].isin(*TEST_FOLDERS) & norm.rlike(TEST_NAMES)))
-    out = functions.join(called, "name", "left").withColumns({"untested": c("tried").isNull(), "unguarded": ~c("guarded") & ~F.coalesce("tried", F.lit(False))})
+    out = functions.join(called.hint("merge"), "name", "left").withColumns({"untested": c("tried").isNull(), "unguarded": ~c("guarded") & ~F.coalesce("tried", F.lit(False))})
     return out.select("path", "name", "line", "untested", "unguarded", (c("untested").cast("int") + c("unguarded").cast("int")).alias("residual"))

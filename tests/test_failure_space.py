@@ -92,3 +92,14 @@ def test_empty(spark):
     assert S.failure_space(none).collect() == []
     alone = spark.createDataFrame([("a.py", "def f(x):\n    return x\n")], "path string, text string")
     assert [tuple(x) for x in S.failure_space(alone).collect()] == [("a.py", "f", 1, True, True, 2)]
+
+
+def test_joins_are_not_planned_as_broadcasts(spark):
+    # files pack well in a table, so that Spark took large ones for small and sent them through the driver
+    from quarryline.sources import failure_space as S
+
+    files = spark.createDataFrame([("pkg/a.py", "def f(a):\n    return a\n"), ("tests/test_a.py", "def test():\n    f(None)\n")], "path string, text string")
+    marks = spark.createDataFrame([("pkg/a.py", 2)], "path string, line int")
+    out = S.failure_space(files, marks)
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+    assert [tuple(r) for r in out.collect()] == [("pkg/a.py", "f", 1, False, False, 0)]
