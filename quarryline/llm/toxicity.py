@@ -13,9 +13,8 @@ Restored words are scored by a lexicon: log odds of a word, or of its beginning,
 labelled toxic and others.  A document's hits (their sum, number, density and the largest) give a calibrated
 probability by logistic regression; for the fit a labelled document's own count is left out of its words' odds.
 
-The letter model, lexicon and calibration are fitted on the driver from a bounded sample (``per_label``
-documents of each label, and of these the ``letter_words`` most frequent plain words for the letter model); the
-lexicon keeps at most ``lexicon_size`` entries.  Scoring reads whole texts.  A task restores every distinct word once for each batch.
+The letter model, lexicon and calibration learn from all labelled documents: letter trigrams and the documents that hold each key are counted by grouping, and
+each Newton step of the calibration adds up the tasks' gradients.  The driver holds the trigrams of letters and the lexicon, which keeps at most ``lexicon_size`` entries.  Scoring reads whole texts.  A task restores every distinct word once for each batch.
 
 Defined results: null and empty texts, and texts without words, have no hits, and get the score of that; labels of one kind
 only, or none, give every text the smoothed rate of label 1; a document labelled twice counts twice; repeated rows score alike; no other columns are read.
@@ -37,7 +36,8 @@ from pyspark.sql import types as T
 
 from . import logistic
 from .filters import unused, with_text
-from .sampling import labelled_sample, labelled_texts, prior_shift
+from .sampling import labelled_texts
+from .store import materialize
 from .words import hash_words, slices, text_bytes
 
 # Letters that marks and digits stand for in leetspeak.
@@ -63,21 +63,22 @@ _FLOOR, _BY_CHANCE = 2.0, 20
 class LetterModel:
     """Trigram model of letters; words run from two blanks to one."""
 
-    def __init__(self, words: Counter, size: int = 64):
+    def __init__(self, words: Counter, size: int = 64, trigrams: dict[str, int] | None = None):
+        """From counts of words, or of the ``trigrams`` of padded words."""
+        if trigrams is None:
+            trigrams = Counter()
+            for w, n in words.items():
+                for i in range(len(w) + 1):
+                    trigrams[f"  {w} "[i : i + 3]] += n
         letters = Counter()
-        for w, n in words.items():
-            for c in w:
-                letters[c] += n
+        for t, n in trigrams.items():
+            letters[t[2]] += n
         self.letters = [c for c, _ in sorted(letters.items(), key=lambda x: (-x[1], x[0])) if _LETTER.match(c)][: size - 2]
         self.index = {c: i + 2 for i, c in enumerate(self.letters)}  # 0: blank, 1: any other character
         n = len(self.letters) + 2
         tri = np.zeros((n, n, n))
-        for w, k in words.items():
-            a = b = 0
-            for c in [*w, ""]:
-                i = self.index.get(c, 1) if c else 0
-                tri[a, b, i] += k
-                a, b = b, i
+        for t, k in trigrams.items():
+            tri[tuple(0 if c == " " else self.index.get(c, 1) for c in t)] += k
         bi = tri.sum(axis=0)
         uni = bi.sum(axis=0) + 0.5
         p1 = uni / uni.sum()
@@ -299,6 +300,7 @@ class ToxicityModel:
     def __init__(self, letters: LetterModel):
         self.letters = letters
         self.lexicon: dict[str, float] = {}
+        self.learned = (0, 0)  # documents of label 0 and 1
         self.mean, self.spread, self.weights = np.zeros(4), np.ones(4), np.zeros(5)
 
     def weight(self, word: str, spelled: bool = False) -> float:
@@ -360,84 +362,79 @@ def _sample_words(letters):
     return run
 
 
-def train(
-    docs: DataFrame,
-    labels: DataFrame,
-    *,
-    label_column: str = "toxic",
-    id_column: str = "doc_id",
-    text_column: str = "text",
-    per_label: int = 2000,
-    lexicon_size: int = 20_000,
-    letter_words: int = 50_000,
-) -> ToxicityModel:
-    """Letter model, lexicon and calibration from labelled documents; see the module's text for the bounds."""
+def _keys(word: Column) -> Column:
+    """``features`` of a column's word."""
+    return F.filter(F.array(word, *(F.when(F.length(word) > k, F.concat(F.substring(word, 1, k), F.lit("-"))) for k in _BEGINNINGS)), lambda k: k.isNotNull() & (word != ""))
+
+
+def train(docs: DataFrame, labels: DataFrame, *, label_column: str = "toxic", id_column: str = "doc_id", text_column: str = "text", lexicon_size: int = 20_000) -> ToxicityModel:
+    """Letter model, lexicon and calibration from all labelled documents."""
     marked = labels.where(F.col(label_column).isin(0, 1)).select(F.col(id_column).alias("id"), F.col(label_column).cast("int").alias("label"))
-    rows = labelled_texts(docs, labelled_sample(marked, "label", "id", per_label), id_column, text_column)
+    rows = labelled_texts(docs, marked, id_column, text_column)
     sc = docs.sparkSession.sparkContext
     schema = T.StructType([rows.schema["id"], rows.schema["label"], T.StructField("n", T.LongType()), T.StructField("words", T.ArrayType(T.StringType())), T.StructField("counts", T.ArrayType(T.LongType()))])
     plain = rows.mapInArrow(_sample_words(sc.broadcast(None)), schema)
     # the letter model learns from what needs no restoring
-    seen = plain.select(F.explode("words").alias("w"), "id").where("w rlike '^[^\\\\W\\\\d_]{2,30}$' and not w rlike '(.)\\\\1\\\\1'")
-    common = seen.groupBy("w").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "w").limit(letter_words).collect()
-    model = ToxicityModel(LetterModel(Counter({r.w: r.n for r in common})))
-    got = rows.mapInArrow(_sample_words(sc.broadcast(model.letters)), schema).orderBy("id", "label").toArrow()
-    y = _fit(model, got, lexicon_size)
-    model.weights[-1] += prior_shift(marked, "label", y.astype(int).tolist())
+    seen = plain.select(F.explode("words").alias("w")).where("w rlike '^[^\\\\W\\\\d_]{2,30}$' and not w rlike '(.)\\\\1\\\\1'").groupBy("w").agg(F.count("*").alias("n"))
+    padded = F.concat(F.lit("  "), F.col("w"), F.lit(" "))
+    triples = seen.select("n", F.explode(F.transform(F.sequence(F.lit(1), F.length("w") + 1), lambda i: F.substring(padded, i, F.lit(3)))).alias("t"))
+    trigrams = {r.t: r.n for r in triples.groupBy("t").agg(F.sum("n").alias("n")).collect()}  # of plain letters
+    model = ToxicityModel(LetterModel(Counter(), trigrams=trigrams))
+    restored = materialize(rows.mapInArrow(_sample_words(sc.broadcast(model.letters)), schema), "restored-words")
+    left_out = _list(model, restored, lexicon_size)
+    x = materialize(restored.mapInArrow(_left_out_features(sc.broadcast(left_out)), "y double, x0 double, x1 double, x2 double, x3 double"), "toxic-features")
+    model.mean, model.spread, model.weights = logistic.fit_rows(x)
     return model
 
 
-def _fit(model: ToxicityModel, got: pa.Table, lexicon_size: int) -> np.ndarray:
-    """Set a model's lexicon and calibration from (label, n, words, counts) of the sample; returns the labels."""
-    y, n_words = got.column("label").to_numpy().astype(float), got.column("n").to_numpy()
-    words, counts = got.column("words").combine_chunks(), got.column("counts").combine_chunks()
-    per_doc = np.diff(words.offsets.to_numpy()) if len(words) else np.zeros(0, np.int64)
-    doc = np.repeat(np.arange(len(y)), per_doc)
-    coded = words.flatten().dictionary_encode()
-    word, counts = coded.indices.to_numpy(), counts.flatten().to_numpy()
-
-    # lexicon keys of every different word, and the documents of either label that hold each key
-    names: dict[str, int] = {}
-    of_word = [[names.setdefault(k, len(names)) for k in features(w)] for w in coded.dictionary.to_pylist()]
-    keys = np.full((len(of_word), 1 + len(_BEGINNINGS)), -1)
-    for i, some in enumerate(of_word):
-        keys[i, : len(some)] = some
-    each = keys[word] if len(keys) else np.zeros((0, 1), np.int64)
-    pair = np.unique((doc[:, None] * len(names) + each)[each >= 0])
-    held = [np.bincount(pair % len(names) if names else pair, weights=(y[pair // max(len(names), 1)] == k), minlength=len(names)) for k in (0, 1)]
-
-    totals = [float((y == k).sum()) for k in (0, 1)]
-    share = math.log((totals[1] + 1) / (sum(totals) + 2))
-    tested = math.log((1 + len(names)) / _BY_CHANCE)
+def odds(p: np.ndarray, q: np.ndarray, totals: tuple[int, int], keys: int) -> np.ndarray:
+    """Log odds that a toxic rather than another document holds each of ``keys`` keys, which ``p`` and ``q`` of the ``totals`` (others, toxic) hold.
+
+    0 where chance could do as well: where more than _BY_CHANCE of all tested keys are
+    expected to have as large a share of toxic documents by chance.
+    """
+    p, q = np.maximum(p, 0).astype(float), np.maximum(q, 0).astype(float)
     lgamma = np.frompyfunc(math.lgamma, 1, 1)
+    chance = (lgamma(p + q + 1) - lgamma(p + 1) - lgamma(q + 1)).astype(float) + p * math.log((totals[1] + 1) / (sum(totals) + 2))
+    v = np.log((p + 0.3) / (totals[1] + 1)) - np.log((q + 0.7) / (totals[0] + 1))
+    return np.where((p >= 2) & (chance <= -math.log((1 + keys) / _BY_CHANCE)) & (v >= _FLOOR), v, 0.0)
 
-    def odds(p: np.ndarray, q: np.ndarray) -> np.ndarray:
-        """Log odds that a toxic rather than another document holds each key.
 
-        0 where chance could do as well: where more than _BY_CHANCE of all tested keys are
-        expected to have as large a share of toxic documents by chance.
-        """
-        p, q = np.maximum(p, 0), np.maximum(q, 0)
-        chance = (lgamma(p + q + 1) - lgamma(p + 1) - lgamma(q + 1)).astype(float) + p * share
-        v = np.log((p + 0.3) / (totals[1] + 1)) - np.log((q + 0.7) / (totals[0] + 1))
-        return np.where((p >= 2) & (chance <= -tested) & (v >= _FLOOR), v, 0.0)
-
-    whole = odds(held[1], held[0])
-    list_names = list(names)
-    able = sorted(np.flatnonzero(whole).tolist(), key=lambda k: (-whole[k] * math.log1p(held[1][k]), list_names[k]))[:lexicon_size]
-    model.lexicon = {list_names[k]: float(whole[k]) for k in able}
-    listed = np.zeros(len(names) + 1, bool)
-    listed[able] = True
-    # words' weights as seen by a document of either label that is left out itself
-    left_out = []
-    for k in (0, 1):
-        w = np.append(odds(held[1] - k, held[0] - (1 - k)), 0.0) * listed
-        left_out.append(w[keys].max(axis=1) if len(keys) else np.zeros(0))
-    bounds = np.concatenate([[0], np.cumsum(per_doc)])
-    x = np.array([hit_features(int(n_words[d]), left_out[int(y[d])][word[a:z]], counts[a:z]) for d, (a, z) in enumerate(zip(bounds[:-1], bounds[1:], strict=True))]).reshape(-1, 4)
-    model.mean, model.spread = logistic.standardize(x)
-    model.weights = logistic.fit((x - model.mean) / model.spread, y)
-    return y
+def _list(model: ToxicityModel, restored: DataFrame, size: int) -> dict[str, tuple[float, float]]:
+    """Set a model's lexicon from (label, words) of all labelled documents; returns each entry's weight as a document of label 0 or 1 sees it that is left out itself."""
+    counted = {r.label: r["count"] for r in restored.groupBy("label").count().collect()}
+    totals = model.learned = (counted.get(0, 0), counted.get(1, 0))
+    each = restored.select("label", F.explode(F.array_distinct(F.flatten(F.transform("words", _keys)))).alias("key"))
+    held = materialize(each.groupBy("key").agg(F.sum("label").alias("p"), F.sum(1 - F.col("label")).alias("q")), "toxic-keys")
+    keys = held.count()
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            p, q = b.column(1).to_numpy(), b.column(2).to_numpy()
+            w = odds(p, q, totals, keys)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(w), pa.array(w * np.log1p(p))], names=["key", "p", "q", "w", "rank"])
+
+    able = held.where("p >= 2").mapInArrow(weigh, "key string, p long, q long, w double, rank double").where("w <> 0").orderBy(F.desc("rank"), "key").limit(size).collect()
+    model.lexicon = {r.key: r.w for r in able}
+    p, q = np.array([r.p for r in able], float), np.array([r.q for r in able], float)
+    others, toxic = odds(p, q - 1, totals, keys), odds(p - 1, q, totals, keys)
+    return {r.key: (float(a), float(b)) for r, a, b in zip(able, others, toxic, strict=True)}
+
+
+def _left_out_features(lexicon):
+    """(label, hit features) of labelled documents, whose own count is left out of their words' weights."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        w = lexicon.value
+        for b in batches:
+            out = []
+            for label, n, words, counts in zip(*(b.column(i).to_pylist() for i in range(1, 5)), strict=True):
+                weights = np.array([max((w[k][label] for k in features(x) if k in w), default=0.0) for x in words], float)
+                out.append((float(label), *hit_features(n, weights, np.array(counts, np.int64))))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(v, pa.float64()) for v in zip(*out, strict=True)], names=["y", "x0", "x1", "x2", "x3"])
+
+    return run
 
 
 def score(docs: DataFrame, model: ToxicityModel, *, text_column: str = "text", keep: list[str | Column], score_column: str = "score") -> DataFrame:

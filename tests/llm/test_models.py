@@ -266,3 +266,10 @@ def test_words_in_pieces_and_with_accents(spark):
     got = {r.doc_id: r.score for r in toxicity.score(docs, model, keep=["doc_id"]).collect()}
     assert not [(x, got[i]) for i, x in enumerate(written) if got[i] <= 0.5]
     assert not [(x, got[len(written) + i]) for i, x in enumerate(other) if got[len(written) + i] >= 0.2]
+
+
+def test_toxicity_learns_from_all_labelled_documents(spark):
+    rows = [(i, f"fine words number {'ab'[i % 2]} here" if i % 100 else "you grobnik here") for i in range(5_000)]
+    labels = spark.createDataFrame([(i, int(i % 100 == 0)) for i in range(5_000)], "doc_id long, toxic int")
+    model = toxicity.train(spark.createDataFrame(rows, "doc_id long, text string"), labels)
+    assert model.learned == (4_950, 50) and model.lexicon["grobnik"] > 2 and "here" not in model.lexicon
