@@ -50,6 +50,7 @@ _MARKS = "-._~'`^​·"
 _ENDS = "\"'“”‘’«»()[]{}<>.,;:?!…|*_~&%#=\\/-"
 _TRAIL = "&%#*$@!+"
 _RUN = re.compile(r"(.)\1\1")
+_PLAIN = re.compile(r"[A-Za-z]{2,30}\Z")
 _LETTER = re.compile(r"[^\W\d_]")
 _NOISE = re.compile("[" + re.escape("".join(LEET) + _ANY + _MARKS) + "]")
 # channel costs, as log probabilities
@@ -350,7 +351,7 @@ def _sample_words(letters):
         for b in batches:
             for part in slices(b, 2):
                 n, words, counts = [], [], []
-                for k, w, c in documents_words(part.column(2), lambda x: restore(x, m) if m else x.lower()):
+                for k, w, c in documents_words(part.column(2), lambda x: restore(x, m)):
                     n.append(k)
                     words.append(w)
                     counts.append(c.tolist())
@@ -362,9 +363,26 @@ def _sample_words(letters):
     return run
 
 
-def _keys(word: Column) -> Column:
-    """``features`` of a column's word."""
-    return F.filter(F.array(word, *(F.when(F.length(word) > k, F.concat(F.substring(word, 1, k), F.lit("-"))) for k in _BEGINNINGS)), lambda k: k.isNotNull() & (word != ""))
+def _plain_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(w, n): the words of labelled texts that need no restoring, and how many of a batch's texts hold them."""
+    for b in batches:
+        for part in slices(b, 2):
+            n: Counter = Counter()
+            for _, words, _ in documents_words(part.column(2), str.lower):
+                n.update(words)
+            plain = [w for w in n if _PLAIN.match(w) and not _RUN.search(w)]
+            yield pa.RecordBatch.from_arrays([pa.array(plain, pa.string()), pa.array([n[w] for w in plain], pa.int64())], names=["w", "n"])
+
+
+def _key_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, p, q): the keys of restored words, and how many of a batch's texts of label 1 and 0 hold them."""
+    for b in batches:
+        held: tuple[Counter, Counter] = (Counter(), Counter())
+        of: dict[str, list[str]] = {}
+        for label, words in zip(b.column(1).to_pylist(), b.column(3).to_pylist(), strict=True):
+            held[label].update({k for w in words for k in (of.get(w) or of.setdefault(w, features(w)))})
+        keys = list(held[0].keys() | held[1].keys())
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), *(pa.array([h[k] for k in keys], pa.int64()) for h in held[::-1])], names=["key", "p", "q"])
 
 
 def train(docs: DataFrame, labels: DataFrame, *, label_column: str = "toxic", id_column: str = "doc_id", text_column: str = "text", lexicon_size: int = 20_000) -> ToxicityModel:
@@ -373,9 +391,8 @@ def train(docs: DataFrame, labels: DataFrame, *, label_column: str = "toxic", id
     rows = labelled_texts(docs, marked, id_column, text_column)
     sc = docs.sparkSession.sparkContext
     schema = T.StructType([rows.schema["id"], rows.schema["label"], T.StructField("n", T.LongType()), T.StructField("words", T.ArrayType(T.StringType())), T.StructField("counts", T.ArrayType(T.LongType()))])
-    plain = rows.mapInArrow(_sample_words(sc.broadcast(None)), schema)
     # the letter model learns from what needs no restoring
-    seen = plain.select(F.explode("words").alias("w")).where("w rlike '^[^\\\\W\\\\d_]{2,30}$' and not w rlike '(.)\\\\1\\\\1'").groupBy("w").agg(F.count("*").alias("n"))
+    seen = rows.mapInArrow(_plain_words, "w string, n long").groupBy("w").agg(F.sum("n").alias("n"))
     padded = F.concat(F.lit("  "), F.col("w"), F.lit(" "))
     triples = seen.select("n", F.explode(F.transform(F.sequence(F.lit(1), F.length("w") + 1), lambda i: F.substring(padded, i, F.lit(3)))).alias("t"))
     trigrams = {r.t: r.n for r in triples.groupBy("t").agg(F.sum("n").alias("n")).collect()}  # of plain letters
@@ -404,8 +421,8 @@ def _list(model: ToxicityModel, restored: DataFrame, size: int) -> dict[str, tup
     """Set a model's lexicon from (label, words) of all labelled documents; returns each entry's weight as a document of label 0 or 1 sees it that is left out itself."""
     counted = {r.label: r["count"] for r in restored.groupBy("label").count().collect()}
     totals = model.learned = (counted.get(0, 0), counted.get(1, 0))
-    each = restored.select("label", F.explode(F.array_distinct(F.flatten(F.transform("words", _keys)))).alias("key"))
-    held = materialize(each.groupBy("key").agg(F.sum("label").alias("p"), F.sum(1 - F.col("label")).alias("q")), "toxic-keys")
+    held = restored.mapInArrow(_key_counts, "key string, p long, q long").groupBy("key").agg(F.sum("p").alias("p"), F.sum("q").alias("q"))
+    held = materialize(held, "toxic-keys")
     keys = held.count()
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
