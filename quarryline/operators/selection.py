@@ -106,22 +106,33 @@ def forbidden_targets(text: Column) -> Column:
     return F.array_distinct(F.filter(found, lambda x: (F.length(x) >= 3) & ~x.isin(*NO_TARGETS)))
 
 
-def boundary_hits(constraints: DataFrame, files: DataFrame) -> DataFrame:
+def boundary_hits(constraints: DataFrame, files: DataFrame, *, few: int = 64) -> DataFrame:
     """(key, path, target): the files(key, path) that constraints(key, text) of their key forbid, each once.
 
     A target fits a path that it is or that ends with it after a slash; with a slash in it, one that holds it; without, one that has
-    it as a part, as a part's beginning before a dot, or within its last part.  All of these hold the target, so a path is listed under its pieces of three letters,
-    a target under its first three, and what meets is verified.
+    it as a part, as a part's beginning before a dot, or within its last part.  The targets of a key go as one list to each of its files.  Of keys with more than ``few`` targets
+    a path is listed under its pieces of three letters, a target under its first three, since all fits hold the target; what meets is verified.
     """
-    targets = constraints.select("key", F.explode(forbidden_targets(c("text"))).alias("target")).distinct().withColumn("gram", F.substring("target", 1, 3))
+    targets = constraints.select("key", F.explode(forbidden_targets(c("text"))).alias("target")).distinct()
+    targets = materialize(targets.where("key is not null").withColumn("n", F.count("*").over(Window.partitionBy("key"))), "targets")
     norm = F.regexp_replace(F.lower(F.replace("path", F.lit("\\"), F.lit("/"))), "^[./ ]+|[./ ]+$", "")
-    f = files.select("key", "path", norm.alias("norm")).dropna().distinct().where("length(norm) >= 3")
+    f = files.select("key", "path").dropna().distinct()
+
+    def hit(t: Column) -> Column:
+        p = c("norm")
+        parts = F.split(p, "/")
+        single = F.array_contains(parts, t) | F.exists(parts, lambda x: F.startswith(x, F.concat(t, F.lit(".")))) | F.contains(K.base_name(p), t)
+        return (p == t) | F.endswith(p, F.concat(F.lit("/"), t)) | F.when(F.contains(t, F.lit("/")), F.contains(p, t)).otherwise(single)
+
+    lists = targets.where(c("n") <= few).groupBy("key").agg(F.collect_list("target").alias("targets"))
+    near = f.join(lists, "key").withColumn("norm", norm)
+    found = near.select("key", "path", F.explode(F.filter("targets", hit)).alias("target"))
+    many = targets.where(c("n") > few).select("key", "target", F.substring("target", 1, 3).alias("gram"))
+    if many.isEmpty():
+        return found
+    f = f.join(many.select("key").distinct(), "key", "left_semi").withColumn("norm", norm).where("length(norm) >= 3")
     grams = f.select("key", "path", "norm", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("norm") - 2), lambda i: F.substr(c("norm"), i, F.lit(3))))).alias("gram"))
-    t, p = c("target"), c("norm")
-    parts = F.split(p, "/")
-    single = F.array_contains(parts, t) | F.exists(parts, lambda x: F.startswith(x, F.concat(t, F.lit(".")))) | F.contains(K.base_name(p), t)
-    hit = (p == t) | F.endswith(p, F.concat(F.lit("/"), t)) | F.when(F.contains(t, F.lit("/")), F.contains(p, t)).otherwise(single)
-    return grams.join(targets, ["key", "gram"]).where(hit).select("key", "path", "target")
+    return found.unionByName(grams.join(many, ["key", "gram"]).where(hit(c("target"))).select("key", "path", "target"))
 
 
 # -- queries
@@ -194,5 +205,5 @@ def prj_boundaries(v: Views) -> DataFrame:
         .when(c("o_orderkey") % 3 == 1, F.concat(F.lit("Forbidden: Brand"), brand, F.lit("/m"), m, F.lit(", and any other.")))
         .otherwise(F.concat(F.lit("Prefer small changes to src/Brand"), brand))
     )
-    files = v.table("lineitem").select(c("l_orderkey").alias("key"), c("l_partkey").alias("part")).distinct().join(script_files(v), "part")
+    files = v.table("lineitem").select(c("l_orderkey").alias("key"), c("l_partkey").alias("part")).join(script_files(v), "part")
     return boundary_hits(v.table("orders").select(c("o_orderkey").alias("key"), text.alias("text")), files.select("key", "path"))

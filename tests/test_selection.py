@@ -104,6 +104,21 @@ def test_boundaries(spark):
     assert got
 
 
+def test_boundaries_of_few_and_many_targets(spark):
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("abc") for _ in range(r.randint(1, 5)))
+    constraints = [(k, " ".join(f"never touch {word()}{r.choice(['', '/' + word()])}," for _ in range(r.randint(0, 9)))) for k in range(12)]
+    files = [(k, "/".join(word() for _ in range(r.randint(1, 4)))) for k in range(12) for _ in range(20)]
+    a, b = spark.createDataFrame(constraints, "key long, text string"), spark.createDataFrame(files, "key long, path string")
+    want = wanted_hits(constraints, files)
+    assert want
+    for few in (0, 4, 64):
+        got = [tuple(x) for x in S.boundary_hits(a, b, few=few).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+    # paths are not cut into pieces where all targets are few
+    assert "gram" not in S.boundary_hits(a, b)._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_nothing_selected(spark):
     none = spark.createDataFrame([], "key long, path string, text string, name string")
     assert S.boundary_hits(none, none).count() == S.affected_tests(none, none, none).count() == 0
