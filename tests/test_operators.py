@@ -339,3 +339,12 @@ def test_masks_keep_length_and_lines(spark):
 def test_feedback_keeps_the_newest_verdict(spark):
     given = spark.createDataFrame([(1, True, 1), (1, False, 2), (2, True, 5)], "path int, accurate boolean, at int")
     assert {tuple(r) for r in rules.latest_feedback(given).collect()} == {(1, False), (2, True)}
+
+
+def test_marks_are_numbered_in_order(spark):
+    """What lies in one part of a graph shares rows of 64 marks: as many rows as each part has blocks, however many parts there are."""
+    size, parts = 64, 20
+    numbers = graph.mark_numbers(spark.range(size * parts).repartition(7))
+    assert [r.no for r in numbers.orderBy("mark").collect()] == list(range(size * parts))
+    edges = spark.range(size * parts).selectExpr("id AS src", f"id - id % {size} + (id + 1) % {size} AS dst")
+    assert [level.count() for level in graph.marked(edges, numbers, 2)] == [size * parts] * 2
