@@ -343,10 +343,27 @@ def joi_contract(v: Views) -> DataFrame:
 @operator("joi_testmap", """
 SELECT DISTINCT e.src AS tested, t.id AS test FROM edges e JOIN nodes t ON t.id = e.dst AND t.domain % 5 = 0 UNION SELECT n.id, m.id FROM nodes n JOIN nodes m ON m.domain = n.domain AND m.id <> n.id AND m.domain % 5 = 0""")
 def joi_testmap(v: Views) -> DataFrame:
-    tests = v.nodes.where(c("domain") % 5 == 0).select(c("id").alias("test"), "domain")
-    linked = v.edges.join(tests, c("dst") == c("test")).select(c("src").alias("tested"), "test")
-    named = v.nodes.select(c("id").alias("tested"), "domain").join(tests, "domain").where("tested <> test").select("tested", "test")
-    return linked.union(named).distinct()
+    return tests_of(v.edges, v.nodes.select("id", "domain"), c("domain") % 5 == 0)
+
+
+def tests_of(edges: DataFrame, nodes: DataFrame, is_test: Column, *, shares: int = 64) -> DataFrame:
+    """(tested, test): the tests among nodes(id, domain) that a node depends on by edges(src, dst), and those of its domain; itself only if it depends on itself.
+
+    Pairs of a domain are as many as their number asks for: a domain is cut into ``shares`` of its nodes, each of which meets its tests by itself, and no pair is
+    made twice, so that none is held to be told from others.
+    """
+    # a node has one domain; of one that is listed in several, a pair counts in the least that both have
+    nodes = nodes.where("domain is not null").groupBy("id").agg(F.array_sort(F.collect_set(F.struct("domain", is_test.alias("is_test")))).alias("d"))
+    nodes = materialize(nodes.where("id is not null"), "test-nodes")
+    tests = nodes.select(c("id").alias("test"), F.transform(F.filter("d", lambda x: x["is_test"]), lambda x: x["domain"]).alias("of")).where(F.size("of") > 0)
+    tested = nodes.select(c("id").alias("tested"), F.transform("d", lambda x: x["domain"]).alias("domains"))
+    left = tested.withColumn("domain", F.explode("domains")).withColumn("share", F.pmod(F.xxhash64("tested"), F.lit(shares)))
+    right = tests.withColumn("domain", F.explode("of")).withColumn("share", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shares - 1).cast("long"))))
+    least = (F.size("domains") == 1) | (F.array_min(F.array_intersect("domains", "of")) == c("domain"))
+    named = left.join(right, ["domain", "share"]).where((c("tested") != c("test")) & least).select("tested", "test")
+    linked = edges.select(c("src").alias("tested"), c("dst").alias("test")).distinct().join(tests, "test").join(tested, "tested", "left")
+    apart = (c("tested") == c("test")) | ~F.coalesce(F.arrays_overlap("domains", "of"), F.lit(False))
+    return linked.where(apart).select("tested", "test").unionByName(named)
 
 
 def layer_violations(files: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame:

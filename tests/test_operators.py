@@ -348,3 +348,14 @@ def test_marks_are_numbered_in_order(spark):
     assert [r.no for r in numbers.orderBy("mark").collect()] == list(range(size * parts))
     edges = spark.range(size * parts).selectExpr("id AS src", f"id - id % {size} + (id + 1) % {size} AS dst")
     assert [level.count() for level in graph.marked(edges, numbers, 2)] == [size * parts] * 2
+
+
+def test_tests_of_a_domain(spark):
+    nodes = [(1, 0), (2, 0), (3, 0), (4, 1), (5, 1), (6, 5), (6, 0), (7, 5), (7, 0), (8, 5), (9, None), (1, 0)]
+    edges = [(1, 1), (1, 2), (4, 1), (4, 4), (99, 3), (4, 1), (5, 6), (9, 7), (6, 7), (8, 99)]
+    tests = {i for i, d in nodes if d is not None and d % 5 == 0}
+    want = {(a, b) for a, b in edges if b in tests} | {(a, b) for a, x in nodes for b, y in nodes if a != b and x is not None and x == y and y % 5 == 0}
+    e, n = spark.createDataFrame(edges, "src long, dst long"), spark.createDataFrame(nodes, "id long, domain int")
+    for shares in (1, 3):
+        got = [tuple(r) for r in joins.tests_of(e, n, F.col("domain") % 5 == 0, shares=shares).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
