@@ -37,26 +37,48 @@ _PAIRS = """
   WHERE a.commit_id IN (SELECT commit_id FROM touches GROUP BY commit_id HAVING count(*) <= 100) GROUP BY a.path, b.path"""
 
 
-def co_changes(touches: DataFrame, most_files: int = 100) -> DataFrame:
+def _written(touches: DataFrame) -> DataFrame:
+    if getattr(touches, "_written", False):
+        return touches
+    out = materialize(touches.select("commit_id", "path"), "touches")
+    out._written = True
+    return out
+
+
+def _shares(touches: DataFrame, share_rows: int) -> int:
+    """Parts of at most about ``share_rows`` rows, whatever the size of the table: what a task sorts and counts does not grow with it."""
+    return max(int(touches.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-touches.count() // share_rows))
+
+
+def co_changes(touches: DataFrame, most_files: int = 100, *, share_rows: int = 500_000) -> DataFrame:
     """(f1, f2, joint) for every ordered pair of files that change together; commits of more files than ``most_files`` say nothing."""
+    touches = _written(touches)
+    shares = _shares(touches, share_rows)
     size = F.count("*").over(Window.partitionBy("commit_id"))
-    small = touches.select("commit_id", "path").withColumn("n", size).where(c("n") <= most_files)
+    small = touches.select("commit_id", "path").repartition(shares, "commit_id").withColumn("n", size).where(c("n") <= most_files)
     other = small.select("commit_id", c("path").alias("f2"))
     # each pair once, then both ways: half the join and half the shuffle
-    once = small.select("commit_id", c("path").alias("f1")).join(other, "commit_id").where("f1 < f2").groupBy("f1", "f2").agg(F.count("*").alias("joint"))
+    pairs = small.select("commit_id", c("path").alias("f1")).join(other, "commit_id").where("f1 < f2").select("f1", "f2")
+    once = pairs.repartition(shares, "f1", "f2").groupBy("f1", "f2").agg(F.count("*").alias("joint"))
     ways = F.explode(F.array(F.struct(c("f1").alias("f1"), c("f2").alias("f2")), F.struct(c("f2").alias("f1"), c("f1").alias("f2"))))
     return once.select(ways.alias("w"), "joint").select("w.f1", "w.f2", "joint")
 
 
+def co_change_ratios(touches: DataFrame, *, share_rows: int = 500_000) -> DataFrame:
+    """(f1, f2, ratio): co-changes over the commits of ``f1``."""
+    touches = _written(touches)
+    n = touches.groupBy(c("path").alias("f1")).agg(F.count("*").alias("commits"))
+    pairs = co_changes(touches, share_rows=share_rows).repartition(_shares(touches, share_rows), "f1")
+    return pairs.join(n, "f1").select("f1", "f2", (c("joint") / F.greatest(F.lit(1.0), c("commits"))).alias("ratio"))
+
+
 def omitted(touches: DataFrame, *, least_ratio: float = 0.5) -> DataFrame:
     """(commit_id, f1, f2, ratio): partners that change with a touched file in ``least_ratio`` of its commits or more, and are missing from this one.
 
     Few pairs reach the ratio, so these are counted first and sent to the commits of their file.
     """
-    touches = materialize(touches.select("commit_id", "path"), "touches")
-    n = touches.groupBy(c("path").alias("f1")).agg(F.count("*").alias("commits"))
-    ratio = c("joint") / F.greatest(F.lit(1.0), c("commits"))
-    partners = materialize(co_changes(touches).join(n, "f1").withColumn("ratio", ratio).where(c("ratio") >= least_ratio).select("f1", "f2", "ratio"), "partners")
+    touches = _written(touches)
+    partners = materialize(co_change_ratios(touches).where(c("ratio") >= least_ratio), "partners")
     due = touches.select("commit_id", c("path").alias("f1")).join(partners, "f1")
     return due.join(touches.select("commit_id", c("path").alias("f2")), ["commit_id", "f2"], "left_anti").select("commit_id", "f1", "f2", F.round("ratio", 3).alias("ratio"))
 
@@ -68,8 +90,7 @@ def joi_cochange(v: Views) -> DataFrame:
 
 @operator("agg_cochange", f"SELECT f1, f2, round(joint / greatest(1.0, commits), 3) AS ratio FROM ({_PAIRS}) p JOIN churn ON churn.path = p.f1")
 def agg_cochange(v: Views) -> DataFrame:
-    n = v.churn.select(c("path").alias("f1"), "commits")
-    return co_changes(v.touches).join(n, "f1").select("f1", "f2", F.round(c("joint") / F.greatest(F.lit(1.0), c("commits")), 3).alias("ratio"))
+    return co_change_ratios(v.touches).select("f1", "f2", F.round("ratio", 3).alias("ratio"))
 
 
 @operator("joi_omitted", f"""

@@ -359,3 +359,14 @@ def test_tests_of_a_domain(spark):
     for shares in (1, 3):
         got = [tuple(r) for r in joins.tests_of(e, n, F.col("domain") % 5 == 0, shares=shares).collect()]
         assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_co_changes_in_parts_of_bounded_size(spark):
+    """Parts grow in number with the table, and what they find does not hang on them."""
+    t = spark.range(600).selectExpr("id % 60 AS commit_id", "id * id % 7 + id DIV 60 AS path").distinct()
+    few = sorted(map(tuple, aggregates.co_changes(t).collect()))
+    many = aggregates.co_changes(t, share_rows=10)
+    assert few and sorted(map(tuple, many.collect())) == few
+    assert many.rdd.getNumPartitions() >= t.count() // 10
+    assert aggregates.co_change_ratios(t, share_rows=10).rdd.getNumPartitions() >= t.count() // 10
+    assert aggregates.co_changes(t.where("false")).count() == 0
