@@ -25,7 +25,7 @@ def _ended(v: Views, wait: str) -> DataFrame:
     """The events, and a last one without a type ``wait`` after them all, which closes the windows that are still open."""
     events = v.table("events").select("event_id", "user_id", "event_type", "value", c("ts").cast("timestamp").alias("ts"))
     end = events.agg((F.max("ts") + F.expr(f"interval {wait}")).alias("ts")).where("ts is not null")
-    return incremental.staged([events.unionByName(end, allowMissingColumns=True)])
+    return incremental.staged_by_time(events.unionByName(end, allowMissingColumns=True))
 
 
 @operator("stm_tumbling", "SELECT CAST(epoch(date_trunc('day', ts)) AS BIGINT) AS start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2")

@@ -111,3 +111,21 @@ def test_a_log_takes_nothing_twice(spark):
     got = stateful.run_to_table(incremental.append_log(incremental.staged(batches)), "append")
     assert got.schema.simpleString() == f"struct<{schema.replace(' ', ':').replace(',:', ',')}>"
     assert sorted(r.correlation for r in got.collect()) == ["a", "b", "c", "d", "e", "f"]
+
+
+def test_sessions_of_bounded_batches(spark):
+    """Events out of order in their table come in order of time, in batches of a bounded number, none of them late, each once."""
+    rows = [(i, i % 7, (i * 7919) % 3000 * 60) for i in range(3000)]
+    events = spark.createDataFrame(rows, "event_id long, user_id long, s long").selectExpr("event_id", "user_id", "timestamp_seconds(s) AS ts").repartition(5)
+    end = spark.createDataFrame([(10**7,)], "s long").selectExpr("timestamp_seconds(s) AS ts")
+    stream = incremental.staged_by_time(events.unionByName(end, allowMissingColumns=True), rows_a_batch=400)
+    got = stateful.run_to_table(stateful.sessions(stream, "5 minutes"), "append")
+    want = []
+    for user in range(7):
+        times = sorted(s for _, u, s in rows if u == user)
+        for s in times:
+            if want and want[-1][0] == user and s - want[-1][2] < 300:
+                want[-1][2:] = [s, want[-1][3] + 1]
+            else:
+                want.append([user, s, s, 1])
+    assert sorted(tuple(r) for r in got.select("user_id", F.unix_seconds("start"), "n").collect()) == sorted((u, a, n) for u, a, _, n in want)
