@@ -68,7 +68,7 @@ def resolve_imports(imports: DataFrame, files: DataFrame, *, inside: bool = True
     """
     module = F.replace(F.regexp_replace("path", r"\.py$", ""), F.lit("/"), F.lit("."))
     modules = materialize(files.select("path", "rank", module.alias("module")), "import-modules")
-    names = imports.select("importer", "name").distinct()
+    names = materialize(imports.select("importer", "name").distinct(), "import-names")  # made once: it is asked six times
     at = modules.groupBy("module").agg(F.min_by("path", "rank").alias("target"))
     parts = F.split("name", r"\.")
     each = names.select("name").distinct().select("name", parts.alias("p"), F.explode(F.sequence(F.lit(1), F.size(parts))).alias("n"))
@@ -106,12 +106,16 @@ def _part_path(brand: str, name: str) -> Column:
 
 def part_imports(v: Views) -> DataFrame:
     order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
-    lines = v.table("lineitem").join(v.table("part").select("p_partkey", "p_brand", "p_name", "p_size"), c("p_partkey") == c("l_partkey"))
-    after = F.lead(F.struct("p_brand", "p_name")).over(order)
-    lines = lines.select(_part_path("p_brand", "p_name").alias("importer"), c("p_size").alias("size"), after.alias("after")).where("after is not null")
-    dotted = F.replace("after.p_name", F.lit(" "), F.lit("."))
-    whole = F.concat(F.lit("lib."), F.lower(F.replace("after.p_brand", F.lit("#"), F.lit("_"))), F.lit("."), dotted)
-    kind = c("size") % 4
+    # lines carry a number for each path, so that no text is sorted or shuffled with them
+    parts = v.table("part").select("p_partkey", "p_brand", "p_name", (c("p_size") % 4).alias("kind"), F.min("p_partkey").over(Window.partitionBy("p_brand", "p_name")).alias("file"))
+    parts = materialize(parts, "part-files")
+    lines = v.table("lineitem").join(parts.select("p_partkey", "file", "kind"), c("p_partkey") == c("l_partkey"))
+    lines = lines.select("file", "kind", F.lead("file").over(order).alias("next")).where("next is not null").distinct()
+    named = parts.select("file", "p_brand", "p_name").distinct()
+    lines = lines.join(named.select("file", _part_path("p_brand", "p_name").alias("importer")), "file").join(named.withColumnRenamed("file", "next"), "next")
+    dotted = F.replace("p_name", F.lit(" "), F.lit("."))
+    whole = F.concat(F.lit("lib."), F.lower(F.replace("p_brand", F.lit("#"), F.lit("_"))), F.lit("."), dotted)
+    kind = c("kind")
     name = F.when(kind == 0, whole).when(kind == 1, F.concat(whole, F.lit(".run"))).when(kind == 2, dotted).otherwise(F.substr(dotted, F.lit(3)))
     return lines.select("importer", name.alias("name")).distinct()
 

@@ -141,3 +141,17 @@ def test_tests_that_changes_reach(spark):
     frame = spark.createDataFrame
     got = graph.predicted_tests(frame(sorted(calls), "src long, dst long"), frame(sorted(changed), "change long, id long"), frame([(t,) for t in tests], "test long"))
     assert {tuple(r) for r in got.collect()} == want and got.count() == len(want) > 3
+
+
+def test_imports_are_made_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def seen(name):
+        made.add(1)
+        return name
+
+    names = [("a.py", "b"), ("a.py", "x.c"), ("b.py", "c.d"), ("c.py", "q")]
+    imports = spark.createDataFrame(names, "importer string, name string").select("importer", F.udf(seen)("name").alias("name"))
+    files = spark.createDataFrame([("a.py", 1), ("b.py", 2), ("x/c.py", 3)], "path string, rank long")
+    assert sorted(map(tuple, joins.resolve_imports(imports, files).collect())) == [("a.py", "b", "b.py"), ("a.py", "x.c", "x/c.py")]
+    assert made.value == len(names)
