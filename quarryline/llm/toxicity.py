@@ -27,6 +27,7 @@ import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +38,7 @@ from pyspark.sql import types as T
 from . import logistic
 from .filters import unused, with_text
 from .sampling import labelled_texts
-from .store import materialize
+from .store import materialize, scratch
 from .words import hash_words, slices, text_bytes
 
 # Letters that marks and digits stand for in leetspeak.
@@ -58,6 +59,7 @@ _SWAP, _DROP, _SHORTEN, _WILD, _SPLIT, _JOIN = -1.0, -2.0, -0.5, -1.5, -0.5, -1.
 #: The most letters of a piece of a word, and the most pieces.
 _PIECE, _PIECES = 5, 3
 _BEGINNINGS = (5, 6, 7)
+_HEAD = 4  # of a key, and of every word that has it
 _FLOOR, _BY_CHANCE = 2.0, 20
 
 
@@ -169,8 +171,15 @@ def bare(word: str) -> str:
     return w.strip(_ENDS)
 
 
+def _stands(word: str) -> bool:
+    """Whether a written word is ASCII letters alone without a run of three, and so its own only reading."""
+    return word.isascii() and word.isalpha() and not _RUN.search(word.lower())
+
+
 def restore(word: str, model: LetterModel) -> str:
     """The plain word behind a written one, in lower case and without outer punctuation."""
+    if _stands(word):
+        return word.lower()
     return _decoded(bare(word), model)
 
 
@@ -218,6 +227,9 @@ class Joiner:
         """What a short written word may be a piece of: its letters, and whether a listed word begins or ends with them."""
         if len(word) > _PIECE + 3:
             return "", False, False
+        if word.isascii() and word.isalpha():
+            w = word.lower()
+            return w, w in self.starts, w in self.ends
         b = bare(word)
         w = unaccented(b)
         if _NOISE.search(w) and _LETTER.search(w):  # too short to tell what could be left out
@@ -307,8 +319,18 @@ class ToxicityModel:
     def weight(self, word: str, spelled: bool = False) -> float:
         """The largest log odds of the keys of a written word's readings, 0 if none is in the lexicon."""
         lexicon = self.lexicon
+        if not spelled and _stands(word):
+            w = word.lower()
+            if w[:_HEAD] not in self.heads:
+                return 0.0
+            return max((lexicon.get(k, 0.0) for k in features(w)), default=0.0)
         return max((lexicon.get(k, 0.0) for w in readings(word, self.letters, spelled) for k in features(w)), default=0.0)
 
+    @cached_property
+    def heads(self) -> set[str]:
+        """How the lexicon's keys begin; for scoring, when the lexicon is whole."""
+        return {k[:_HEAD] for k in self.lexicon}
+
     def joiner(self) -> Joiner:
         return Joiner([k for k in self.lexicon if not k.endswith("-")], self.letters)
 
@@ -388,8 +410,18 @@ def _key_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(docs: DataFrame, labels: DataFrame, *, label_column: str = "toxic", id_column: str = "doc_id", text_column: str = "text", lexicon_size: int = 20_000) -> ToxicityModel:
     """Letter model, lexicon and calibration from all labelled documents."""
     marked = labels.where(F.col(label_column).isin(0, 1)).select(F.col(id_column).alias("id"), F.col(label_column).cast("int").alias("label"))
-    rows = labelled_texts(docs, marked, id_column, text_column)
+    with scratch(docs.sparkSession):  # the texts go when their words are restored
+        model, restored = _restored(labelled_texts(docs, marked, id_column, text_column))
     sc = docs.sparkSession.sparkContext
+    left_out = _list(model, restored, lexicon_size)
+    x = materialize(restored.mapInArrow(_left_out_features(sc.broadcast(left_out)), "y double, x0 double, x1 double, x2 double, x3 double"), "toxic-features")
+    model.mean, model.spread, model.weights = logistic.fit_rows(x)
+    return model
+
+
+def _restored(rows: DataFrame) -> tuple[ToxicityModel, DataFrame]:
+    """The letter model of rows(id, label, text), and (id, label, n, words, counts) of their restored words, which outlives the scratch around it."""
+    sc = rows.sparkSession.sparkContext
     schema = T.StructType([rows.schema["id"], rows.schema["label"], T.StructField("n", T.LongType()), T.StructField("words", T.ArrayType(T.StringType())), T.StructField("counts", T.ArrayType(T.LongType()))])
     # the letter model learns from what needs no restoring
     seen = rows.mapInArrow(_plain_words, "w string, n long").groupBy("w").agg(F.sum("n").alias("n"))
@@ -397,11 +429,7 @@ def train(docs: DataFrame, labels: DataFrame, *, label_column: str = "toxic", id
     triples = seen.select("n", F.explode(F.transform(F.sequence(F.lit(1), F.length("w") + 1), lambda i: F.substring(padded, i, F.lit(3)))).alias("t"))
     trigrams = {r.t: r.n for r in triples.groupBy("t").agg(F.sum("n").alias("n")).collect()}  # of plain letters
     model = ToxicityModel(LetterModel(Counter(), trigrams=trigrams))
-    restored = materialize(rows.mapInArrow(_sample_words(sc.broadcast(model.letters)), schema), "restored-words")
-    left_out = _list(model, restored, lexicon_size)
-    x = materialize(restored.mapInArrow(_left_out_features(sc.broadcast(left_out)), "y double, x0 double, x1 double, x2 double, x3 double"), "toxic-features")
-    model.mean, model.spread, model.weights = logistic.fit_rows(x)
-    return model
+    return model, materialize(rows.mapInArrow(_sample_words(sc.broadcast(model.letters)), schema), "restored-words", outlives=True)
 
 
 def odds(p: np.ndarray, q: np.ndarray, totals: tuple[int, int], keys: int) -> np.ndarray:

@@ -273,3 +273,17 @@ def test_toxicity_learns_from_all_labelled_documents(spark):
     labels = spark.createDataFrame([(i, int(i % 100 == 0)) for i in range(5_000)], "doc_id long, toxic int")
     model = toxicity.train(spark.createDataFrame(rows, "doc_id long, text string"), labels)
     assert model.learned == (4_950, 50) and model.lexicon["grobnik"] > 2 and "here" not in model.lexicon
+
+
+def test_plain_words_are_read_without_a_lattice(monkeypatch):
+    """Words of letters alone are not taken apart, and weigh what their only reading weighs."""
+    model = toxicity.ToxicityModel(toxicity.LetterModel(Counter({"idiot": 3, "banana": 2, "scum": 2})))
+    model.lexicon = {"idiot": 2.5, "banan-": 3.0, "ab": 2.0, "scum": 2.1}
+    words = ["idiot", "IDIOT", "idiots", "banana", "bananas", "Bananarama", "ab", "abc", "scu", "scum", "x", "zzz", "baaanana"]
+    want = [max((model.lexicon.get(k, 0.0) for r in toxicity.readings(w, model.letters) for k in toxicity.features(r)), default=0.0) for w in words]
+    assert [model.weight(w) for w in words] == want and want[0] == 2.5 and want[3] == 3.0
+    joiner = model.joiner()
+    assert [joiner.piece(w) for w in ("id", "iot", "Sc", "um", "zzz")] == [("id", True, False), ("iot", False, True), ("sc", True, False), ("um", False, True), ("zzz", False, False)]
+    asked = []
+    monkeypatch.setattr(toxicity, "bare", lambda w: asked.append(w) or w)
+    assert toxicity.restore("Banana", model.letters) == "banana" and model.weight("idiot") == 2.5 and joiner.piece("iot")[2] and not asked
