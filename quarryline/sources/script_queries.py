@@ -6,7 +6,7 @@ A line imports the part of its order's next line, in one of seven forms by its n
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..catalogue import operator
@@ -23,13 +23,15 @@ _FILES = """(SELECT p_partkey, replace(p_brand, '#', '') AS brand, 'src/' || rep
 _ASKS = "(SELECT l_partkey, l_suppkey, l_linenumber, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS nxt FROM lineitem)"
 
 
+def _path(part: Column, brand: Column) -> Column:
+    ext = F.element_at(F.array(*(F.lit(x) for x in _EXTENSIONS)), (part % 6 + 1).cast("int"))
+    return F.concat(F.lit("src/"), brand, F.lit("/m"), part.cast("string"), F.when(part % 4 == 0, "/index").otherwise(""), ext)
+
+
 def script_files(v: Views) -> DataFrame:
     """(part, brand, path) of every part."""
-    part = c("p_partkey")
-    brand, stem = F.replace("p_brand", F.lit("#"), F.lit("")), F.concat(F.lit("/m"), part.cast("string"))
-    ext = F.element_at(F.array(*(F.lit(x) for x in _EXTENSIONS)), (part % 6 + 1).cast("int"))
-    path = F.concat(F.lit("src/"), brand, stem, F.when(part % 4 == 0, "/index").otherwise(""), ext)
-    return v.table("part").select(part.alias("part"), brand.alias("brand"), path.alias("path"))
+    files = v.table("part").select(c("p_partkey").alias("part"), F.replace("p_brand", F.lit("#"), F.lit("")).alias("brand"))
+    return files.withColumn("path", _path(c("part"), c("brand")))
 
 
 def script_sources(v: Views) -> DataFrame:
@@ -37,30 +39,26 @@ def script_sources(v: Views) -> DataFrame:
     files = materialize(script_files(v), "script-files")
     order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity")  # the few lines of one order
     asks = v.table("lineitem").select(c("l_partkey").alias("part"), c("l_suppkey").alias("supp"), c("l_linenumber").alias("form"), F.lead("l_partkey").over(order).alias("next")).dropna()
-    named = files.select(c("part").alias("next"), c("brand").alias("b"), c("path").alias("p"))
-    up, module = F.when(c("part") % 4 == 0, "../../").otherwise("../"), F.concat("b", F.lit("/m"), c("next").cast("string"))
-    kinds = [
-        F.concat(F.lit("lib"), (c("next") % 10).cast("string")),
-        F.concat(up, module),
-        F.concat(up, F.regexp_replace("p", "^src/", "./")),
-        F.concat(F.lit("../"), up, module),
-        F.concat(F.lit("./"), up, c("b"), F.lit("/gone"), c("next").cast("string")),
-    ]
-    spec = F.element_at(F.array(*kinds), (c("supp") % 5 + 1).cast("int"))
-    said = lambda before, after: F.concat(F.lit(before), spec, F.lit(after))
+    # lines go to their parts before their code is written
+    lines = asks.join(files.select(c("part").alias("next"), c("brand").alias("b")), "next").repartition("part")
+    up, key = F.when(c("part") % 4 == 0, "../../").otherwise("../"), c("next").cast("string")
+    kind = c("supp") % 5
+    spec = F.when(kind == 0, F.concat(F.lit("lib"), (c("next") % 10).cast("string")))
+    spec = spec.when(kind == 1, F.concat(up, "b", F.lit("/m"), key)).when(kind == 2, F.concat(up, F.lit("."), F.substring(_path(c("next"), c("b")), 4, 1 << 20)))
+    spec = spec.when(kind == 3, F.concat(F.lit("../"), up, "b", F.lit("/m"), key)).when(kind == 4, F.concat(F.lit("./"), up, "b", F.lit("/gone"), key))
     forms = {
-        1: said('import a, { b as c } from "', '";\n'),
-        2: said("import {\n  x,\n  y,\n} from '", "';\n"),
-        3: said('const z = require( "', '" );\n'),
-        4: said("export * from '", "';\n"),
-        5: said('// import q from "', '"\n'),
-        6: said('/* const r = require("', '")\n if */ if (a ?? b) { f("for (;;) // x", a ? b : c); }\n'),
+        1: ('import a, { b as c } from "', '";\n'),
+        2: ("import {\n  x,\n  y,\n} from '", "';\n"),
+        3: ('const z = require( "', '" );\n'),
+        4: ("export * from '", "';\n"),
+        5: ('// import q from "', '"\n'),
+        6: ('/* const r = require("', '")\n if */ if (a ?? b) { f("for (;;) // x", a ? b : c); }\n'),
     }
-    code = said("const late = async (k) => import('", "'); // while\n")
-    for n, text in forms.items():
-        code = F.when(c("form") == n, text).otherwise(code)
-    lines = asks.join(named, "next").select("part", F.struct("form", "next", "supp", code.alias("code")).alias("x"))
-    texts = lines.groupBy("part").agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["code"]), "").alias("text"))
+    before, after = F.lit("const late = async (k) => import('"), F.lit("'); // while\n")
+    for n, (first, last) in forms.items():
+        before, after = F.when(c("form") == n, first).otherwise(before), F.when(c("form") == n, last).otherwise(after)
+    lines = lines.select("part", F.struct("form", "next", "supp", F.concat(before, spec, after).alias("code")).alias("x"))
+    texts = lines.groupBy("part").agg(F.array_join(F.sort_array(F.collect_list("x"))["code"], "").alias("text"))
     return files.join(texts, "part", "left").select("path", "text")
 
 
@@ -71,9 +69,9 @@ SELECT DISTINCT a.path, CASE l_suppkey % 5 WHEN 0 THEN 'lib' || CAST(nxt % 10 AS
 FROM {_ASKS} l JOIN {_FILES} a ON a.p_partkey = l_partkey JOIN {_FILES} b ON b.p_partkey = nxt WHERE l_linenumber NOT IN (5, 6)""")
 def src_jsgraph(v: Views) -> DataFrame:
     """Edges between files by all forms of import; what comments import is none, specifiers without a file are kept as they are."""
-    sources = materialize(script_sources(v), "script-sources")
-    imports = S.script_facts(sources).select("path", F.explode("specifiers").alias("specifier"))
-    return S.resolve_specifiers(imports, sources).select("path", "target", "found").distinct()
+    # explode alone would ask first whether there is any, and read every text twice for that
+    imports = S.script_facts(script_sources(v)).select("path", F.explode_outer("specifiers").alias("specifier"))
+    return S.resolved(imports, script_files(v)).select("path", "target", "found").distinct()
 
 
 @operator("src_scripts", f"""
@@ -87,12 +85,12 @@ def src_scripts(v: Views) -> DataFrame:
 
 def go_sources(v: Views) -> DataFrame:
     """(path, text) of every supplier."""
-    line, key, package = c("l_linenumber").cast("string"), c("s_suppkey").cast("string"), F.concat(F.lit("n"), c("s_nationkey").cast("string"))
+    key, package = c("s_suppkey").cast("string"), F.concat(F.lit("n"), c("s_nationkey").cast("string"))
     # at most twenty libraries and a function for each line number, whatever the number of lines
-    asked = v.table("lineitem").groupBy("l_suppkey").agg(
-        F.array_sort(F.collect_set(F.concat(F.lit('\t"lib/p'), (c("l_partkey") % 20).cast("string"), F.lit('"\n')))).alias("libs"),
-        F.array_sort(F.collect_set(F.concat(F.lit("Run"), line, F.lit("(a int) int {\n\tif a > "), line, F.lit(" && a < 9 { return 1 }\n\treturn 0\n}\n")))).alias("runs"),
-    )
+    asked = v.table("lineitem").groupBy("l_suppkey").agg(F.collect_set(c("l_partkey") % 20).alias("libs"), F.collect_set("l_linenumber").alias("runs"))
+    lib = lambda x: F.concat(F.lit('\t"lib/p'), x.cast("string"), F.lit('"\n'))
+    run = lambda x: F.concat(F.lit("Run"), x.cast("string"), F.lit("(a int) int {\n\tif a > "), x.cast("string"), F.lit(" && a < 9 { return 1 }\n\treturn 0\n}\n"))
+    asked = asked.select("l_suppkey", F.sort_array(F.transform("libs", lib)).alias("libs"), F.sort_array(F.transform("runs", run)).alias("runs"))
     rows = v.table("supplier").join(asked, c("s_suppkey") == c("l_suppkey"), "left")
     none = F.array().cast("array<string>")
     runs = F.transform(F.coalesce("runs", none), lambda x: F.concat(F.lit("func (s *S"), key, F.lit(") "), x))

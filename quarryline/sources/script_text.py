@@ -34,6 +34,7 @@ _COMMENT = r"//[^\r\n]*|/\*(?s:.*?)\*/"
 # possessive groups: Java matches them in a loop, whatever the length of a string
 _STRING = "|".join(rf"{q}(?:[^{q}\\]|\\[^\n])*+{q}" for q in "\"'`")
 _PLAIN = "[^/\"'`]+"
+_DOTTED = r"(?:^|/)\.{0,2}(?:/|\z)"  # an empty part of a path, or one of dots
 LINE_END = "\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
 
 
@@ -65,54 +66,86 @@ def script_facts(sources: DataFrame) -> DataFrame:
     files = files.withColumn("bare", without_strings(c("code")))
     filled = F.filter(F.split("code", LINE_END), lambda x: x.rlike(r"(?U)[^\s\x1c-\x1f]"))
     branches = F.regexp_count("bare", F.lit(BRANCH)) + F.regexp_count("bare", F.lit(TERNARY))
-    listed = lambda *patterns: F.array_sort(F.array_distinct(F.concat(*(_all(c("code"), p) for p in patterns))))
+    listed = lambda *patterns: F.sort_array(F.array_distinct(F.concat(*(_all(c("code"), p) for p in patterns))))
     return files.select(
         "path", "language", is_script_test(c("path")).alias("is_test"), F.size(filled).cast("long").alias("loc"), (1 + branches).cast("long").alias("complexity"),
         listed(IMPORT, EXPORT, REQUIRE).alias("specifiers"), listed(CLASS).alias("classes"), listed(FUNCTION, ARROW).alias("functions"),
     )
 
 
-def joined_path(folder: Column, relative: Column) -> Column:
-    """``relative`` seen from ``folder``, without ``.`` and with each ``..`` taken back as far as there is something before it."""
+def _walked(folder: Column, relative: Column) -> Column:
     parts = F.filter(F.concat(F.split(folder, "/"), F.split(relative, "/")), lambda x: ~x.isin("", "."))
     back = lambda before, x: (x == "..") & (F.coalesce(F.try_element_at(before, F.lit(-1)), F.lit("..")) != "..")
     kept = F.aggregate(parts, F.array().cast("array<string>"), lambda before, x: F.when(back(before, x), F.slice(before, F.lit(1), F.size(before) - 1)).otherwise(F.concat(before, F.array(x))))
     return F.when(F.size(kept) == 0, ".").otherwise(F.array_join(kept, "/"))
 
 
-def _forms(path: str) -> Column:
-    """A path as it stands, then with each extension: what a specifier may leave out."""
-    return F.array(c(path), *(F.concat(path, F.lit(ext)) for ext in PROBED))
+def joined_path(folder: Column, relative: Column) -> Column:
+    """``relative`` seen from ``folder``, without ``.`` and with each ``..`` taken back as far as there is something before it.
 
+    Where all dots stand first, they are counted and cut off ``folder``; only other paths are walked part by part.
+    """
+    dots = F.regexp_extract(relative, r"^(?:\.\.?/)*+", 0)
+    rest = F.substring(relative, F.length(dots) + 1, F.length(relative))
+    ups = F.length(dots) - F.length(F.replace(dots, F.lit(".."), F.lit(".")))
+    depth = F.when(folder == "", 0).otherwise(F.length(folder) - F.length(F.replace(folder, F.lit("/"), F.lit(""))) + 1)
+    before = F.when(ups < depth, F.concat(F.call_function("substring_index", folder, F.lit("/"), depth - ups), F.lit("/"))).otherwise(F.repeat(F.lit("../"), ups - depth))
+    plain = ((folder == "") | ~folder.rlike(_DOTTED)) & ~rest.rlike(_DOTTED)
+    return F.when(plain, F.concat(before, rest)).otherwise(_walked(folder, relative))
 
-def resolve_specifiers(imports: DataFrame, files: DataFrame) -> DataFrame:
-    """(path, specifier, target, found) of the distinct imports(path, specifier) among files(path).
+
+def folder_of(path: Column) -> Column:
+    """All before the last slash, nothing where there is none."""
+    return F.substring(path, F.lit(1), F.length(path) - F.length(F.substring_index(path, "/", -1)) - 1)
+
+
+def _keys(file: Column) -> Column:
+    """What a specifier's path may be, for it to mean ``file``: rank 0 the file itself, then without its extension, then the folder whose index it is."""
+    keys = [F.struct(F.lit(0).alias("rank"), file.alias("at"))]
+    for n, ext in enumerate(PROBED):
+        for rank, end in ((n + 1, ext), (n + 1 + len(PROBED), f"/index{ext}")):
+            keys.append(F.struct(F.lit(rank).alias("rank"), F.when(F.endswith(file, F.lit(end)), _without(file, end)).alias("at")))
+    return F.filter(F.array(*keys), lambda x: x["at"].isNotNull())
+
+
+def _without(text: Column, end: str) -> Column:
+    return F.substring(text, F.lit(1), F.length(text) - len(end))
+
+
+def resolved(imports: DataFrame, files: DataFrame) -> DataFrame:
+    """(path, specifier, target, found) of every row of imports(path, specifier) among files(path).
 
     A specifier that begins with a dot is a path from its file's folder: the file of that path, else with an extension, else the index file in the
     folder of that name, in the order of ``PROBED``; else the least path that ends with it, with an extension or without.  ``found`` tells whether
     there is any; where there is none the target is the path itself.  Other specifiers are their own targets.  Nulls are no specifiers.
 
-    Each path asked for becomes thirteen rows, each file one row for each of its endings that is asked for.
+    Files, not specifiers, are taken apart: each becomes one row for each form that leaves something out, and, where paths asked for are no such form,
+    one for each of its endings, with and without extension, that is as long as one of them.
     """
     spec = F.trim("specifier")
-    folder = F.regexp_replace("path", "/?[^/]*$", "")
-    asks = imports.select("path", "specifier").dropna().distinct()
-    asks = asks.withColumn("at", F.when(F.startswith(spec, F.lit(".")), F.replace(joined_path(folder, spec), F.lit("\\"), F.lit("/"))))
+    asks = imports.select("path", "specifier").dropna()
+    asks = asks.withColumn("at", F.when(F.startswith(spec, F.lit(".")), F.replace(joined_path(folder_of(c("path")), spec), F.lit("\\"), F.lit("/"))))
     asks = materialize(asks, "script-imports")
     files = files.select(c("path").alias("file")).dropna().distinct()
-    wanted = asks.select("at").dropna().distinct()
-    index = F.array(*(F.concat("at", F.lit(f"/index{ext}")) for ext in PROBED))
-    probes = wanted.select("at", F.posexplode(F.concat(_forms("at"), index)).alias("rank", "file"))
-    exact = materialize(probes.join(files, "file").groupBy("at").agg(F.min_by("file", "rank").alias("target")), "script-targets")
-    tails = wanted.join(exact, "at", "left_anti").select("at", F.explode(_forms("at")).alias("tail")).distinct()
-    tails = tails.select("at", "tail", F.xxhash64("tail").alias("hash"), F.length("tail").alias("size"))
-    endings = files.select("file", F.explode(F.sequence(F.lit(1), F.length("file"))).alias("size")).where("length(file) > 0")
-    endings = endings.select("file", "size", F.xxhash64(F.right("file", c("size"))).alias("hash"))
-    ended = endings.join(tails, ["hash", "size"]).where(F.endswith("file", c("tail"))).groupBy("at").agg(F.min("file").alias("target"))
-    known = asks.join(exact.unionByName(ended), "at", "left")
+    keys = files.select("file", F.explode(_keys(c("file"))).alias("k")).select("file", "k.rank", "k.at")
+    exact = keys.groupBy("at").agg(F.min_by("file", "rank").alias("target"))
+    wanted = materialize(asks.select("at").dropna().distinct().join(exact, "at", "left"), "script-targets")
+    tails = wanted.where("target is null").select("at", F.xxhash64("at").alias("hash"), F.length("at").alias("size"))
+    sizes = tails.select("size").distinct()  # at most as many as the longest path has letters
+    stem = K.first_match([(F.endswith("file", F.lit(ext)), _without(c("file"), ext)) for ext in PROBED], F.lit(None).cast("string"))
+    bases = files.select("file", F.explode(F.array("file", stem)).alias("base")).where("length(base) > 0")
+    endings = bases.select("file", "base", F.explode(F.sequence(F.lit(1), F.length("base"))).alias("size")).join(F.broadcast(sizes), "size")
+    endings = endings.select("file", "size", F.right("base", c("size")).alias("ending")).select("file", "size", "ending", F.xxhash64("ending").alias("hash"))
+    ended = endings.join(tails, ["hash", "size"]).where("ending = at").groupBy("at").agg(F.min("file").alias("target"))
+    known = asks.join(wanted.where("target is not null").unionByName(ended), "at", "left")
     return known.select("path", "specifier", F.coalesce("target", "at", spec).alias("target"), c("target").isNotNull().alias("found"))
 
 
+def resolve_specifiers(imports: DataFrame, files: DataFrame) -> DataFrame:
+    """What ``resolved`` says of the distinct imports."""
+    return resolved(imports, files).distinct()
+
+
 def tested_files(files: DataFrame) -> DataFrame:
     """(test, target) of files(path): a test and the least path of another file of its name without ``.test`` or ``.spec``; tests without such a file have no row."""
     named = files.select("path", F.lower(K.base_name(c("path"))).alias("name")).dropna()

@@ -2,11 +2,15 @@
 
 import posixpath
 import random
+import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from quarryline.sources import polyglot
+from quarryline.sources import script_queries as Q
 from quarryline.sources import script_text as S
+from quarryline.views import Views
 
 PROBED = [".js", ".ts", ".jsx", ".tsx", ".mjs", ".cjs"]
 SOURCES = {
@@ -147,3 +151,26 @@ def test_polyglot(spark):
 
 def test_polyglot_of_nothing(spark):
     assert polyglot.polyglot_facts(spark.createDataFrame([], "path string, text string")).count() == 0
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_imports_are_read_from_each_text_once(spark, sf_dir, monkeypatch):
+    written = {}
+    write = S.materialize
+    monkeypatch.setattr(S, "materialize", lambda df, name: written.setdefault(name, plan_of(df)) and write(df, name))
+    Q.src_jsgraph(Views(spark, sf_dir))
+    assert written["script-imports"].count(S.REQUIRE) == 1
+
+
+def test_paths_whose_dots_stand_first_and_others(spark):
+    rng = random.Random(3)
+    parts = ["..", ".", "a", "b.c", "...", "", ".a", "a.."]
+    rows = [("/".join(rng.choice(parts[:4]) for _ in range(rng.randint(0, 3))), rng.choice(["", "./", "../", "../../", "../" * 4]) + "/".join(rng.choice(parts) for _ in range(rng.randint(0, 4)))) for _ in range(600)]
+    got = spark.createDataFrame(rows, "f string, r string").select("f", "r", S.joined_path(F.col("f"), F.col("r")).alias("p"), S.folder_of(F.col("r")).alias("d")).collect()
+    for x in got:
+        # no path is absolute
+        assert x.p == posixpath.normpath(posixpath.join(".", *(y for y in f"{x.f}/{x.r}".split("/") if y))), x
+        assert x.d == re.sub(r"/?[^/]*\Z", "", x.r, count=1), x
