@@ -45,19 +45,24 @@ _NAMES = {
     },
 }
 _BRANCHES = {
-    "script": (r"\bif\b", r"\belse\s+if\b", r"\bfor\b", r"\bwhile\b", r"\bcatch\b", r"\bcase\b", "&&", r"\|\|", r"\?\?", r"(?<![?.:\w])\?(?![?.:\w])"),
-    "go": (r"\bif\b", r"\bfor\b", r"\bcase\b", r"\bselect\b", r"\bdefer\b", r"\bgo\b", "&&", r"\|\|"),
+    # what excludes each other is looked for at once, where its first letter stands
+    "script": (r"(?=[ifwc&|?])(?:\b(?:if|for|while|catch|case)\b|&&|\|\||\?\?|(?<![?.:\w])\?(?![?.:\w]))", r"\belse\s+if\b"),
+    "go": (r"(?=[ifcsdg&|])(?:\b(?:if|for|case|select|defer|go)\b|&&|\|\|)",),
     "broken": (r"\b(?:if|elif|for|while|except|with|assert|case)\b|&&|\|\|",),
 }
 _IMPORT = r"(?U)(from\s+[a-zA-Z0-9_.]+\s+import|import\s+[a-zA-Z0-9_.]+)"
 _GO_BLOCK, _QUOTED = r"(?s)import\s*\((.*?)\)", r"""["']([^"']+)["']"""
+_END = LINE_END.split("|")[1]
+_OTHER_END = _END.replace("\n", "")
 _PACKAGE = r"(?md)^\s*package\s+([a-zA-Z0-9_]+)"
 
 
 def line_count(text: Column) -> Column:
     """Lines by any line end; what follows the last one counts if there is something."""
-    lines = F.split(text, LINE_END)
-    return (F.size(lines) - (F.try_element_at(lines, F.lit(-1)) == "").cast("int")).cast("long")
+    feeds = F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))  # most texts have no other ends
+    ends = F.when(text.rlike(_OTHER_END), F.regexp_count(text, F.lit(LINE_END))).otherwise(feeds)
+    ended = (text == "") | F.right(text, F.lit(1)).rlike(_END)
+    return (ends + 1 - ended.cast("int")).cast("long")
 
 
 def _all(text: Column, pattern: str) -> Column:
@@ -66,7 +71,7 @@ def _all(text: Column, pattern: str) -> Column:
 
 def _names(kind: str, what: str, text: Column, more: Column | None = None) -> Column:
     found = [_all(text, p) for p in _NAMES[kind][what]] + ([] if more is None else [more])
-    return F.array_sort(F.array_distinct(F.filter(F.concat(*found), lambda x: x != "")))
+    return F.sort_array(F.array_distinct(F.filter(F.concat(*found), lambda x: x != "")))
 
 
 def _branches(kind: str, text: Column) -> Column:

@@ -174,3 +174,19 @@ def test_paths_whose_dots_stand_first_and_others(spark):
         # no path is absolute
         assert x.p == posixpath.normpath(posixpath.join(".", *(y for y in f"{x.f}/{x.r}".split("/") if y))), x
         assert x.d == re.sub(r"/?[^/]*\Z", "", x.r, count=1), x
+
+
+def test_branches_and_lines_are_counted_in_few_passes(spark):
+    assert len(polyglot._BRANCHES["script"]) == 2 and len(polyglot._BRANCHES["go"]) == 1
+    apart = {
+        "script": (r"\bif\b", r"\belse\s+if\b", r"\bfor\b", r"\bwhile\b", r"\bcatch\b", r"\bcase\b", "&&", r"\|\|", r"\?\?", r"(?<![?.:\w])\?(?![?.:\w])"),
+        "go": (r"\bif\b", r"\bfor\b", r"\bcase\b", r"\bselect\b", r"\bdefer\b", r"\bgo\b", "&&", r"\|\|"),
+    }
+    rng = random.Random(4)
+    pieces = "if else for while catch case select defer go x &&& || | ??? ? .? ?: \r\n \n \r \x0b \x85 \u2028 é".split(" ") + [" ", " ", "\n", "\r\n"]
+    texts = ["".join(rng.choice(pieces) for _ in range(rng.randint(0, 30))) for _ in range(300)]
+    text = F.col("t")
+    for kind, patterns in apart.items():
+        for r in spark.createDataFrame([(x,) for x in texts], "t string").select("t", polyglot._branches(kind, text).alias("n"), polyglot.line_count(text).alias("lines")).collect():
+            assert r.n == 1 + sum(len(re.findall(p, r.t)) for p in patterns), r
+            assert r.lines == len(r.t.splitlines()), r
