@@ -31,6 +31,7 @@ from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -396,15 +397,31 @@ def _plain_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(plain, pa.string()), pa.array([n[w] for w in plain], pa.int64())], names=["w", "n"])
 
 
-def _key_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, p, q): the keys of restored words, and how many of a batch's texts of label 1 and 0 hold them."""
+def _coded(column: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The distinct words of a batch's lists, each entry as the place of its word among them, and where each list ends and the next one begins."""
+    coded = pc.list_flatten(column).dictionary_encode()
+    return coded.dictionary.to_pylist(), coded.indices.to_numpy(), np.concatenate([[0], np.cumsum(pc.list_value_length(column).to_numpy())])
+
+
+def _key_counts(batches: Iterator[pa.RecordBatch], most: int = 1 << 18) -> Iterator[pa.RecordBatch]:
+    """(key, p, q): the keys of restored words, and how many of a batch's texts of label 1 and 0 hold them; about ``most`` words are told apart at once."""
     for b in batches:
-        held: tuple[Counter, Counter] = (Counter(), Counter())
-        of: dict[str, list[str]] = {}
-        for label, words in zip(b.column(1).to_pylist(), b.column(3).to_pylist(), strict=True):
-            held[label].update({k for w in words for k in (of.get(w) or of.setdefault(w, features(w)))})
-        keys = list(held[0].keys() | held[1].keys())
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), *(pa.array([h[k] for k in keys], pa.int64()) for h in held[::-1])], names=["key", "p", "q"])
+        words, codes, bounds = _coded(b.column(3))
+        place: dict[str, int] = {}
+        listed = [[place.setdefault(k, len(place)) for k in features(w)] for w in words]
+        each = np.array([len(x) for x in listed], np.int64)
+        first, flat = np.cumsum(each) - each, np.array([k for x in listed for k in x], np.int64)
+        label, n, held = b.column(1).to_numpy(), len(place), np.zeros((2, len(place)), np.int64)
+        part = bounds[:-1] // most
+        cuts = np.append(np.flatnonzero(np.diff(part, prepend=-1)), len(label)).tolist()
+        for d, e in zip(cuts[:-1], cuts[1:], strict=True):
+            mine = codes[bounds[d] : bounds[e]]
+            doc, times = np.repeat(np.arange(d, e), np.diff(bounds[d : e + 1])), each[mine]
+            at = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times - first[mine], times)
+            once = np.unique(np.repeat(doc, times) * n + flat[at])  # a text holds a key once
+            for k in (0, 1):
+                held[k] += np.bincount(once[label[once // max(n, 1)] == k] % max(n, 1), minlength=n)
+        yield pa.RecordBatch.from_arrays([pa.array(list(place), pa.string()), pa.array(held[1]), pa.array(held[0])], names=["key", "p", "q"])
 
 
 def train(docs: DataFrame, labels: DataFrame, *, label_column: str = "toxic", id_column: str = "doc_id", text_column: str = "text", lexicon_size: int = 20_000) -> ToxicityModel:
@@ -470,12 +487,19 @@ def _left_out_features(lexicon):
     """(label, hit features) of labelled documents, whose own count is left out of their words' weights."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w = lexicon.value
+        known = lexicon.value
         for b in batches:
+            words, codes, bounds = _coded(b.column(3))
+            seen = np.zeros((2, len(words)))  # each distinct word is looked up once
+            for i, w in enumerate(words):
+                found = [known[k] for k in features(w) if k in known]
+                if found:
+                    seen[:, i] = [max(x) for x in zip(*found, strict=True)]
+            counts = pc.list_flatten(b.column(4)).to_numpy()
             out = []
-            for label, n, words, counts in zip(*(b.column(i).to_pylist() for i in range(1, 5)), strict=True):
-                weights = np.array([max((w[k][label] for k in features(x) if k in w), default=0.0) for x in words], float)
-                out.append((float(label), *hit_features(n, weights, np.array(counts, np.int64))))
+            for i, (label, n) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)):
+                own = slice(bounds[i], bounds[i + 1])
+                out.append((float(label), *hit_features(n, seen[label][codes[own]], counts[own])))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(v, pa.float64()) for v in zip(*out, strict=True)], names=["y", "x0", "x1", "x2", "x3"])
 

@@ -2,7 +2,9 @@
 
 import functools
 import math
+import random
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -287,3 +289,30 @@ def test_plain_words_are_read_without_a_lattice(monkeypatch):
     asked = []
     monkeypatch.setattr(toxicity, "bare", lambda w: asked.append(w) or w)
     assert toxicity.restore("Banana", model.letters) == "banana" and model.weight("idiot") == 2.5 and joiner.piece("iot")[2] and not asked
+
+
+def test_keys_and_left_out_features_of_each_distinct_word_once(monkeypatch):
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abc") for _ in range(rng.randint(0, 9))) for _ in range(60)]
+    texts = [rng.choices(words, k=rng.randint(0, 12)) for _ in range(90)] + [[]]
+    labels, counts = [rng.randint(0, 1) for _ in texts], [[rng.randint(1, 3) for _ in x] for x in texts]
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array(range(len(texts))), pa.array(labels, pa.int32()), pa.array([sum(x) for x in counts], pa.int64()), pa.array(texts, pa.list_(pa.string())), pa.array(counts, pa.list_(pa.int64()))],
+        names=["id", "label", "n", "words", "counts"],
+    )
+    lexicon = {k: (rng.random(), rng.random()) for w in words[:30] for k in toxicity.features(w)}
+    asked = []
+    features = toxicity.features
+    monkeypatch.setattr(toxicity, "features", lambda w: asked.append(w) or features(w))
+    for b in (batch, batch.slice(7, 40), batch.slice(0, 0)):
+        ids = b.column(0).to_pylist()
+        want = {k: [sum(any(k in features(w) for w in texts[i]) for i in ids if labels[i] == label) for label in (1, 0)] for k in {k for i in ids for w in texts[i] for k in features(w)}}
+        for most in (1, 50, 1 << 18):
+            got = [tuple(r.values()) for x in toxicity._key_counts(iter([b]), most) for r in x.to_pylist()]
+            assert len(got) == len(want) and {k: [p, q] for k, p, q in got} == want
+        asked.clear()
+        rows = [tuple(r.values()) for x in toxicity._left_out_features(SimpleNamespace(value=lexicon))(iter([b])) for r in x.to_pylist()]
+        assert len(asked) == len(set(asked))
+        for i, row in zip(ids, rows, strict=True):
+            weights = np.array([max((lexicon[k][labels[i]] for k in features(w) if k in lexicon), default=0.0) for w in texts[i]], float)
+            assert row == (float(labels[i]), *toxicity.hit_features(sum(counts[i]), weights, np.array(counts[i], np.int64)))
