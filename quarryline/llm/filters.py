@@ -1,4 +1,4 @@
-"""Dropping documents by id without moving the texts of those that stay."""
+"""Dropping and labelling documents by id without moving the texts of those that stay."""
 
 from __future__ import annotations
 
@@ -67,6 +67,34 @@ def may_hold(id_column: str, ids: DataFrame) -> Column:
     return probe(slot(id_column))
 
 
+def label_marks(id_column: str, ids: DataFrame, labels: DataFrame, bits: int | None = None) -> Column:
+    """1 for ids of label 0, 2 for ids of label 1, 3 for ids that their slot doesn't tell, 0 for others; ``labels`` has (id, label), ``ids`` (id) of all rows that are asked, none of them null.
+
+    A slot tells a label where only one id, labelled once, has it: so 1 and 2 are exact, and few unlabelled ids get 3.  Each label has a bitmap with
+    8 bits or more for each id, of 2 to 32 MB; both are set where a slot doesn't tell.  Beyond some 30 million ids ever more of them get 3.
+    """
+    if bits is None:
+        bits = min(max(_BITS, math.ceil(math.log2(8 * max(ids.count() + labels.count(), 1)))), _MOST_BITS - 1)
+    one = slot("id") % (1 << bits) + 1
+    every = ids.select("id", F.lit(None).cast("int").alias("label")).unionByName(labels.select("id", "label")).where("id is not null")
+    placed = every.select("id", "label", F.bitmap_bucket_number(one).alias("k"), F.bitmap_bit_position(one).alias("at")).repartition("k")
+    slots = placed.groupBy("k", "at").agg(F.count("label").alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi"), F.max("label").alias("label")).where("n > 0")
+    tells = (F.col("n") == 1) & (F.col("lo") == F.col("hi"))
+    fields = np.zeros((2, (1 << bits) // 8), np.uint8)
+    for r in slots.groupBy("k").agg(*(F.bitmap_construct_agg(F.when(~tells | (F.col("label") == x), F.col("at"))).alias(f"v{x}") for x in (0, 1))).collect():
+        at = (r.k - 1) * 4096
+        for x in (0, 1):
+            fields[x, at : at + 4096] = np.frombuffer(bytes(r[f"v{x}"]), np.uint8)
+    bitmaps = ids.sparkSession.sparkContext.broadcast(fields)
+
+    @F.arrow_udf(T.IntegerType())
+    def probe(slots: pa.Array) -> pa.Array:
+        at = slots.to_numpy()
+        return pa.array(held(bitmaps.value[0], at) + 2 * held(bitmaps.value[1], at).astype(np.int32))
+
+    return probe(slot(id_column))
+
+
 def drop_ids(docs: DataFrame, ids: DataFrame, *, id_column: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` whose id is not in ``ids`` (its first column); rows without an id stay."""
     suspect, name = may_hold(id_column, ids), unused("gone", docs)

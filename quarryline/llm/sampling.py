@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .filters import may_hold
+from .filters import label_marks, may_hold
 from .store import materialize
 
 _UNIT = 1 << 30
@@ -37,6 +37,15 @@ def labelled_texts(docs: DataFrame, chosen: DataFrame, id_column: str, text_colu
     return materialize(some.join(chosen, "id").select("id", "label", "text"), "labelled")
 
 
+def all_labelled_texts(docs: DataFrame, labels: DataFrame, id_column: str, text_column: str, bits: int | None = None) -> DataFrame:
+    """(id, label, text) of all (id, label) rows, whose labels are 0 and 1; only texts whose slot doesn't tell their label are shuffled to it, so there is no limit to the labels."""
+    kind = docs.select(F.col(id_column).alias("id")).unionByName(labels.select("id")).schema["id"].dataType  # equal ids of two types have unlike slots
+    texts, labels = docs.select(F.col(id_column).cast(kind).alias("id"), F.col(text_column).alias("text")).where("id is not null"), labels.withColumn("id", F.col("id").cast(kind))
+    some = materialize(texts.withColumn("mark", label_marks("id", texts.select("id"), labels, bits)).where("mark > 0"), "marked")
+    told = some.where("mark < 3").select("id", (F.col("mark") - 1).alias("label"), "text")
+    return told.unionByName(materialize(some.where("mark = 3").join(labels, "id").select("id", "label", "text"), "labelled"))
+
+
 def prior_shift(rows: DataFrame, label: str, sampled: list[int]) -> float:
     """What to add to the intercept of a model fitted on a sample, so that it fits the labels' shares in all rows."""
     counts = {r[0]: r[1] for r in rows.where(F.col(label).isin(0, 1)).groupBy(F.col(label).cast("int")).count().collect()}

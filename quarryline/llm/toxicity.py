@@ -38,7 +38,7 @@ from pyspark.sql import types as T
 
 from . import logistic
 from .filters import unused, with_text
-from .sampling import labelled_texts
+from .sampling import all_labelled_texts
 from .store import materialize, scratch
 from .words import hash_words, slices, text_bytes
 
@@ -428,7 +428,7 @@ def train(docs: DataFrame, labels: DataFrame, *, label_column: str = "toxic", id
     """Letter model, lexicon and calibration from all labelled documents."""
     marked = labels.where(F.col(label_column).isin(0, 1)).select(F.col(id_column).alias("id"), F.col(label_column).cast("int").alias("label"))
     with scratch(docs.sparkSession):  # the texts go when their words are restored
-        model, restored = _restored(labelled_texts(docs, marked, id_column, text_column))
+        model, restored = _restored(all_labelled_texts(docs, marked, id_column, text_column))
     sc = docs.sparkSession.sparkContext
     left_out = _list(model, restored, lexicon_size)
     x = materialize(restored.mapInArrow(_left_out_features(sc.broadcast(left_out)), "y double, x0 double, x1 double, x2 double, x3 double"), "toxic-features")

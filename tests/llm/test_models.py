@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from quarryline.llm import lang_id, lm_score, quality, toxicity
+from quarryline.llm import lang_id, lm_score, quality, sampling, store, toxicity
 from quarryline.llm.store import crc32_mod
 
 
@@ -316,3 +316,47 @@ def test_keys_and_left_out_features_of_each_distinct_word_once(monkeypatch):
         for i, row in zip(ids, rows, strict=True):
             weights = np.array([max((lexicon[k][labels[i]] for k in features(w) if k in lexicon), default=0.0) for w in texts[i]], float)
             assert row == (float(labels[i]), *toxicity.hit_features(sum(counts[i]), weights, np.array(counts[i], np.int64)))
+
+
+@pytest.mark.parametrize("bits", [15, None])
+@pytest.mark.parametrize(("kind", "of_labels"), [("long", "int"), ("string", "string")])
+def test_labels_meet_all_texts_whatever_their_slots(spark, bits, kind, of_labels):
+    """Ids that share a slot, repeated rows and labels, null ids and texts, ids of two types."""
+    rng = random.Random(7)
+    rows = [(i, None if i % 50 == 0 else f"text {i} {rng.random()}") for i in range(4_000)] + [(i, f"again {i}") for i in range(0, 4_000, 97)] + [(None, "no id")] * 2
+    labels = [(i, i % 3 % 2) for i in range(0, 6_000, 2)] + [(i, 1) for i in range(0, 4_000, 130)] + [(4, 0)] * 2 + [(None, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").select(F.col("doc_id").cast(kind), "text")
+    marked = spark.createDataFrame(labels, "id long, label int").select(F.col("id").cast(of_labels), "label")
+    got = sampling.all_labelled_texts(docs, marked, "doc_id", "text", bits)
+    by_id = {}
+    for i, x in labels:
+        by_id.setdefault(i, []).append(x)
+    want = Counter((i, x, t) for i, t in rows if i is not None for x in by_id.get(i, []))
+    assert Counter((int(r.id), r.label, r.text) for r in got.collect()) == want
+
+
+def test_labelled_texts_are_not_shuffled(spark):
+    """With labels too large to broadcast, training shuffles a fraction of the texts' bytes."""
+    rng = random.Random(8)
+    words = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(500)]
+    rows = [(i, " ".join(rng.choices(words, k=6_000)) + " grobnik" * (i % 4 == 0)) for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    path = store.new_path(spark, "long-texts")
+    docs.write.parquet(path)
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i, _ in rows], "doc_id long, toxic int")
+    sc = spark.sparkContext._jsc.sc()
+
+    def shuffled() -> int:
+        sc.listenerBus().waitUntilEmpty(30_000)
+        return sc.statusStore().executorSummary("driver").totalShuffleWrite()
+
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = shuffled()
+        model = toxicity.train(spark.read.parquet(path), labels)
+        moved = shuffled() - before
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert model.learned == (90, 30) and "grobnik" in model.lexicon
+    assert moved < sum(len(t) for _, t in rows) / 10, moved
