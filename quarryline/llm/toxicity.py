@@ -59,6 +59,7 @@ _NOISE = re.compile("[" + re.escape("".join(LEET) + _ANY + _MARKS) + "]")
 _SWAP, _DROP, _SHORTEN, _WILD, _SPLIT, _JOIN = -1.0, -2.0, -0.5, -1.5, -0.5, -1.0
 #: The most letters of a piece of a word, and the most pieces.
 _PIECE, _PIECES = 5, 3
+_NO_PIECE = "", False, False
 _BEGINNINGS = (5, 6, 7)
 _HEAD = 4  # of a key, and of every word that has it
 _FLOOR, _BY_CHANCE = 2.0, 20
@@ -156,11 +157,21 @@ def lattice(word: str, letters: list[str]) -> list[list[tuple[str, float]]]:
     return out
 
 
+class _Unaccented(dict):
+    """Letters by code point, each taken apart once."""
+
+    def __missing__(self, code: int) -> str:
+        d = unicodedata.normalize("NFD", chr(code))
+        self[code] = d[0] if d[0].isascii() and len(d) > 1 else chr(code)
+        return self[code]
+
+
+_unaccented = _Unaccented()
+
+
 def unaccented(text: str) -> str:
     """Without the accents of Latin letters; other scripts keep their marks."""
-    if text.isascii():
-        return text
-    return "".join(d[0] if (d := unicodedata.normalize("NFD", c))[0].isascii() and len(d) > 1 else c for c in text)
+    return text if text.isascii() else text.translate(_unaccented)
 
 
 def bare(word: str) -> str:
@@ -197,6 +208,8 @@ def readings(word: str, model: LetterModel, spelled: bool = False) -> list[str]:
     letter; and for letters spelled out one by one, the words that a lattice with blanks between letters splits them into.
     """
     w = bare(word)
+    if not spelled and _stands(w) and word[: len(w)].lower() == w:  # nothing but marks after it
+        return [w]
     out = [_decoded(w, model)]
     if spelled and out[0]:
         steps = lattice(w, model.letters)
@@ -227,7 +240,7 @@ class Joiner:
     def piece(self, word: str) -> tuple[str, bool, bool]:
         """What a short written word may be a piece of: its letters, and whether a listed word begins or ends with them."""
         if len(word) > _PIECE + 3:
-            return "", False, False
+            return _NO_PIECE
         if word.isascii() and word.isalpha():
             w = word.lower()
             return w, w in self.starts, w in self.ends
@@ -260,25 +273,33 @@ def documents_words(column: pa.Array, restored, respelled=None, joiner: Joiner |
         return
     u, first, back = np.unique(w.hashes, return_index=True, return_inverse=True)
     raw = data.tobytes()
-    entries = [restored(raw[s:e].decode("utf-8", "replace")) for s, e in zip(w.starts[first].tolist(), w.ends[first].tolist(), strict=True)]
+    joins = joiner is not None and bool(joiner.words)
+    entries, pieces = [], []
+    for s, e in zip(w.starts[first].tolist(), w.ends[first].tolist(), strict=True):
+        word = raw[s:e].decode("utf-8", "replace")
+        entries.append(restored(word))
+        if joins:
+            pieces.append(joiner.piece(word) if e - s <= 3 * _PIECE and len(word) <= _PIECE + 3 else _NO_PIECE)
     short = w.ends - w.starts <= 2  # single letters, beyond ASCII as well
-    if joiner is not None and joiner.words:
-        few = (w.ends - w.starts)[first] <= 3 * _PIECE
-        pieces = [joiner.piece(raw[s:e].decode("utf-8", "replace")) if f else ("", False, False) for s, e, f in zip(w.starts[first].tolist(), w.ends[first].tolist(), few.tolist(), strict=True)]
+    if joins:
         starts, ends, some = (np.array([p[i] if i else bool(p[0]) for p in pieces])[back] for i in (1, 2, 0))
+        places = []  # of all runs of n pieces, and each text's own among them
+        for n in range(2, min(_PIECES, len(back)) + 1):
+            runs = len(back) - n + 1
+            at = np.flatnonzero(starts[:runs] & ends[n - 1 :] & np.logical_and.reduce([some[k : runs + k] for k in range(n)]))
+            places.append((n, at.tolist(), np.searchsorted(at, w.bounds[:-1]).tolist(), np.searchsorted(at, w.bounds[1:] - n + 1).tolist()))
     for d in range(len(column)):
         a, z = int(w.bounds[d]), int(w.bounds[d + 1])
         own, counts = np.unique(back[a:z], return_counts=True)
-        mine = [entries[i] for i in own]
+        mine = [entries[i] for i in own.tolist()]
         spelled = _spelled(raw, w, short, a, z)
         if spelled:
             mine += [(respelled or restored)(x) for x in spelled]
             counts = np.concatenate([counts, np.ones(len(spelled), np.int64)])
-        if joiner is not None and joiner.words:
+        if joins:
             found = []
-            for n in range(2, _PIECES + 1):
-                at = np.arange(a, z - n + 1)
-                for i in at[starts[at] & ends[at + n - 1] & np.logical_and.reduce([some[at + k] for k in range(n)])].tolist():
+            for n, at, begin, end in places:
+                for i in at[begin[d] : max(end[d], begin[d])]:
                     word = joiner.joined([pieces[k][0] for k in back[i : i + n].tolist()])
                     found += [word] if word else []
             mine += [restored(x) for x in found]
@@ -319,13 +340,9 @@ class ToxicityModel:
 
     def weight(self, word: str, spelled: bool = False) -> float:
         """The largest log odds of the keys of a written word's readings, 0 if none is in the lexicon."""
-        lexicon = self.lexicon
-        if not spelled and _stands(word):
-            w = word.lower()
-            if w[:_HEAD] not in self.heads:
-                return 0.0
-            return max((lexicon.get(k, 0.0) for k in features(w)), default=0.0)
-        return max((lexicon.get(k, 0.0) for w in readings(word, self.letters, spelled) for k in features(w)), default=0.0)
+        lexicon, heads = self.lexicon, self.heads
+        read = [word.lower()] if not spelled and _stands(word) else readings(word, self.letters, spelled)
+        return max((lexicon.get(k, 0.0) for w in read if w[:_HEAD] in heads for k in features(w)), default=0.0)
 
     @cached_property
     def heads(self) -> set[str]:

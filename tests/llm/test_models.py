@@ -360,3 +360,14 @@ def test_labelled_texts_are_not_shuffled(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
     assert model.learned == (90, 30) and "grobnik" in model.lexicon
     assert moved < sum(len(t) for _, t in rows) / 10, moved
+
+
+def test_pieces_stay_within_their_text_and_marks_behind_words_are_dropped():
+    model = toxicity.ToxicityModel(toxicity.LetterModel(Counter({"idiot": 30, "scumbag": 30, "the": 9})))
+    model.lexicon = {"idiot": 2.0, "scumbag": 3.0}
+    texts = ["the id", "iot the", "the id iot", "sc um", "bag", None, "", "id", "iot", "sc um bag id iot", "id iot"]
+    got = [sorted(x for x in words if x in model.lexicon) for _, words, _ in toxicity.documents_words(pa.array(texts), lambda w: toxicity.restore(w, model.letters), joiner=model.joiner())]
+    assert got == [[], [], ["idiot"], [], [], [], [], [], [], ["idiot", "scumbag"], ["idiot"]]
+    for word, want in (("Idiot...", ["idiot"]), ("idiot***", ["idiot"]), ("(idiot", ["idiot", "cidiot"]), ("ïdiöt,", ["ïdiöt", "idiot"]), ("!idiot", ["iidiot", "lidiot", "idiot"]), ("...", [])):
+        assert set(toxicity.readings(word, model.letters)) <= set(want) and toxicity.readings(word, model.letters)[:1] == want[:1] or word[0] in "!(", word
+    assert model.weight("ïdiöt,") == 2.0 and model.weight("the,") == 0.0 and toxicity.unaccented("Čéß日à") == "Ceß日a"
