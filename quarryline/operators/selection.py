@@ -113,10 +113,11 @@ def boundary_hits(constraints: DataFrame, files: DataFrame, *, few: int = 64) ->
     it as a part, as a part's beginning before a dot, or within its last part.  The targets of a key go as one list to each of its files.  Of keys with more than ``few`` targets
     a path is listed under its pieces of three letters, a target under its first three, since all fits hold the target; what meets is verified.
     """
-    targets = constraints.select("key", F.explode(forbidden_targets(c("text"))).alias("target")).distinct()
-    targets = materialize(targets.where("key is not null").withColumn("n", F.count("*").over(Window.partitionBy("key"))), "targets")
+    # explode alone would ask first whether there is any, and read every text twice for that
+    targets = constraints.select("key", F.explode_outer(forbidden_targets(c("text"))).alias("target")).dropna().distinct()
+    targets = materialize(targets.withColumn("n", F.count("*").over(Window.partitionBy("key"))), "targets")
     norm = F.regexp_replace(F.lower(F.replace("path", F.lit("\\"), F.lit("/"))), "^[./ ]+|[./ ]+$", "")
-    f = files.select("key", "path").dropna().distinct()
+    f = files.select("key", "path").dropna()
 
     def hit(t: Column) -> Column:
         p = c("norm")
@@ -124,15 +125,16 @@ def boundary_hits(constraints: DataFrame, files: DataFrame, *, few: int = 64) ->
         single = F.array_contains(parts, t) | F.exists(parts, lambda x: F.startswith(x, F.concat(t, F.lit(".")))) | F.contains(K.base_name(p), t)
         return (p == t) | F.endswith(p, F.concat(F.lit("/"), t)) | F.when(F.contains(t, F.lit("/")), F.contains(p, t)).otherwise(single)
 
+    # targets are as many as constraints, however small their compressed file: by its size Spark would broadcast them through the driver
     lists = targets.where(c("n") <= few).groupBy("key").agg(F.collect_list("target").alias("targets"))
-    near = f.join(lists, "key").withColumn("norm", norm)
-    found = near.select("key", "path", F.explode(F.filter("targets", hit)).alias("target"))
+    near = f.join(lists.hint("merge"), "key").withColumn("norm", norm)
+    found = near.select("key", "path", F.explode_outer(F.filter("targets", hit)).alias("target")).dropna().distinct()
     many = targets.where(c("n") > few).select("key", "target", F.substring("target", 1, 3).alias("gram"))
     if many.isEmpty():
         return found
-    f = f.join(many.select("key").distinct(), "key", "left_semi").withColumn("norm", norm).where("length(norm) >= 3")
+    f = f.distinct().join(many.select("key").distinct().hint("merge"), "key", "left_semi").withColumn("norm", norm).where("length(norm) >= 3")
     grams = f.select("key", "path", "norm", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("norm") - 2), lambda i: F.substr(c("norm"), i, F.lit(3))))).alias("gram"))
-    return found.unionByName(grams.join(many, ["key", "gram"]).where(hit(c("target"))).select("key", "path", "target"))
+    return found.unionByName(grams.join(many.hint("merge"), ["key", "gram"]).where(hit(c("target"))).select("key", "path", "target"))
 
 
 # -- queries
@@ -205,5 +207,6 @@ def prj_boundaries(v: Views) -> DataFrame:
         .when(c("o_orderkey") % 3 == 1, F.concat(F.lit("Forbidden: Brand"), brand, F.lit("/m"), m, F.lit(", and any other.")))
         .otherwise(F.concat(F.lit("Prefer small changes to src/Brand"), brand))
     )
-    files = v.table("lineitem").select(c("l_orderkey").alias("key"), c("l_partkey").alias("part")).join(script_files(v), "part")
+    # parts grow with the tables, their paths are longer than their file tells
+    files = v.table("lineitem").select(c("l_orderkey").alias("key"), c("l_partkey").alias("part")).join(script_files(v).hint("merge"), "part")
     return boundary_hits(v.table("orders").select(c("o_orderkey").alias("key"), text.alias("text")), files.select("key", "path"))

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarryline.operators import selection as S
+from quarryline.views import Views
 
 
 def test_categories(spark):
@@ -119,6 +120,15 @@ def test_boundaries_of_few_and_many_targets(spark):
     assert "gram" not in S.boundary_hits(a, b)._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_boundaries_send_no_table_through_the_driver(spark, sf_dir):
+    few = spark.createDataFrame([(k, "never touch abc, never touch abd") for k in range(5)], "key long, text string")
+    files = spark.createDataFrame([(k % 5, f"x/{p}/{k}") for k in range(20) for p in ("abc", "abde")], "key long, path string")
+    for df in (S.boundary_hits(few, files), S.boundary_hits(few, files, few=1), S.prj_boundaries(Views(spark, sf_dir))):
+        assert df.count()
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_nothing_selected(spark):
     none = spark.createDataFrame([], "key long, path string, text string, name string")
     assert S.boundary_hits(none, none).count() == S.affected_tests(none, none, none).count() == 0
