@@ -3,6 +3,7 @@
 import hashlib
 import hmac
 import os
+import random
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -350,6 +351,29 @@ def test_marks_are_numbered_in_order(spark):
     assert [level.count() for level in graph.marked(edges, numbers, 2)] == [size * parts] * 2
 
 
+def test_pairs_of_reach_are_not_shuffled(spark):
+    r = random.Random(8)
+    size = 150  # three blocks of marks
+    pairs = {(r.randrange(size), r.randrange(size)) for _ in range(200)}
+    want = {}
+    for start in range(0, size, 2):
+        seen, level = set(), {start}
+        for depth in (1, 2, 3):
+            level = {b for a, b in pairs if a in level} - seen
+            seen |= level
+            want |= {(start, x): depth for x in level}
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = graph.reach(edge_table(spark, sorted(pairs)), spark.range(0, size, 2).selectExpr("cast(id as int) AS id"), 3)
+        rows = [tuple(x) for x in found.select("start", "id", "depth").collect()]
+        plan = found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert len(rows) == len(want) and {(a, b): d for a, b, d in rows} == want
+    assert 0 < plan.index("Generate") < plan.index("Exchange")  # from the top: all exchanges lie below
+
+
 def test_tests_of_a_domain(spark):
     nodes = [(1, 0), (2, 0), (3, 0), (4, 1), (5, 1), (6, 5), (6, 0), (7, 5), (7, 0), (8, 5), (9, None), (1, 0)]
     edges = [(1, 1), (1, 2), (4, 1), (4, 4), (99, 3), (4, 1), (5, 6), (9, 7), (6, 7), (8, 99)]
