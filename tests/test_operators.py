@@ -10,7 +10,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from quarryline import store
+from quarryline import store, views
 from quarryline.functions import classify, formulas, text
 from quarryline.operators import aggregates, graph, joins, projections, rules, windows
 from quarryline.plans import risk
@@ -374,6 +374,24 @@ def test_pairs_of_reach_are_not_shuffled(spark):
     assert 0 < plan.index("Generate") < plan.index("Exchange")  # from the top: all exchanges lie below
 
 
+def test_sizes_of_parts_by_lists_and_by_joins(spark, sf_dir):
+    """Gaps, repetitions, nulls and keys beyond the lists give what a join gives; of the given tables, some parts stand in lists."""
+    r, end = random.Random(1), views._LISTED
+    listed = [(k, r.randint(1, 3)) for k in range(1, 400) if k != 130] + [(end - 64 + i, i) for i in range(64)] + [(64000 + i, None if i == 7 else 1) for i in range(64)]
+    parts = spark.createDataFrame([*listed, (70, 2), (300, None), (-5, 1), (-64, 2), (end + 3, 1), (None, 1)], "p_partkey long, p_size int")
+    keys = [k for k, _ in listed] + [70, 300, -5, -64, end + 3, None, 130, 9999, end + 4, -6, 0]
+    lines = spark.createDataFrame([(i, i % 7, k, i % 11) for i, k in enumerate(keys * 2)], "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long")
+    got = views.with_sizes(lines, parts)
+    want = lines.join(parts, F.col("l_partkey") == F.col("p_partkey")).select(*got.columns)
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert "BroadcastHashJoin" in views.Views(spark, sf_dir).edges._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
 def test_tests_of_a_domain(spark):
     nodes = [(1, 0), (2, 0), (3, 0), (4, 1), (5, 1), (6, 5), (6, 0), (7, 5), (7, 0), (8, 5), (9, None), (1, 0)]
     edges = [(1, 1), (1, 2), (4, 1), (4, 4), (99, 3), (4, 1), (5, 6), (9, 7), (6, 7), (8, 99)]
