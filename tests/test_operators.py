@@ -383,6 +383,7 @@ def test_sizes_of_parts_by_lists_and_by_joins(spark, sf_dir):
     lines = spark.createDataFrame([(i, i % 7, k, i % 11) for i, k in enumerate(keys * 2)], "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long")
     got = views.with_sizes(lines, parts)
     want = lines.join(parts, F.col("l_partkey") == F.col("p_partkey")).select(*got.columns)
+    assert got._jdf.queryExecution().executedPlan().toString().count("SortMergeJoin") == 1  # small as they are, parts are not broadcast whole
     assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
     limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
